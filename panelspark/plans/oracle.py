@@ -38,7 +38,7 @@ _QA, _QB, _QC = R.QTY_CUTS
 _SA, _SB, _SC = R.SUPPLIER_CUTS
 
 RESPONSES_CTE = f"""
-items AS (
+li_items AS (
   SELECT l.l_orderkey AS id,
          max(l.l_shipdate) AS end_time,
          sum(l.l_quantity) AS qty,
@@ -64,7 +64,7 @@ item_answers AS (
          CAST(least(5, 1 + disc_pct // (2 * n_items)) AS INTEGER) AS satisfaction_score,
          CAST(least(5, 1 + (10 * tax_pct) // (16 * n_items)) AS INTEGER) AS retargeting_score,
          CASE WHEN any_open = 1 THEN 'Yes' ELSE 'No' END AS searched_product
-  FROM items
+  FROM li_items
 ),
 responses AS (
   SELECT o.o_orderkey AS id,
