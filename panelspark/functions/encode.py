@@ -95,8 +95,8 @@ def _sql(c: str | Column) -> str:
 
 
 def slug(label: str) -> str:
-    """Notebook-style flag suffix: lower case, non-alphanumerics -> '_'."""
-    return re.sub(r"[^a-z0-9]", "_", label.lower())
+    """Notebook-style flag suffix: lower case, spaces -> '_', '/' and '.' removed."""
+    return label.lower().replace(" ", "_").replace("/", "").replace(".", "")
 
 
 def encode(df: DataFrame, profile: str = "dashboard") -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries (name -> builder) and their SQL cross-checks."""
 
-from panelspark.plans import network_queries, stats_queries, survey_queries  # noqa: F401  (register)
+from panelspark.plans import more_queries, network_queries, stats_queries, survey_queries  # noqa: F401
 from panelspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

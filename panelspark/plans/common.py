@@ -18,6 +18,8 @@ def values_sql(name: str, cols: list[str], rows: list[tuple]) -> str:
     def lit(v):
         if isinstance(v, str):
             return "'" + v.replace("'", "''") + "'"
+        if isinstance(v, float):
+            return f"CAST({v!r} AS DOUBLE)"
         return repr(v)
     body = ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in rows)
     return f"{name} AS (SELECT * FROM (VALUES {body}) t({', '.join(cols)}))"

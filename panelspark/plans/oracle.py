@@ -27,7 +27,8 @@ def pick(labels: list[str], idx_expr: str) -> str:
 
 
 def r(expr: str, digits: int = ROUND) -> str:
-    return f"round(CAST({expr} AS DOUBLE), {digits})"
+    scale = float(10 ** digits)
+    return f"(round(CAST({expr} AS DOUBLE) * CAST({scale!r} AS DOUBLE)) / CAST({scale!r} AS DOUBLE))"
 
 
 def _joined(expr: str) -> str:

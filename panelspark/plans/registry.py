@@ -27,12 +27,19 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def round_to(c, digits: int = ROUND_DIGITS):
+    """round(x * 10^d) / 10^d: the scaled product is formed in binary first, so every engine that
+    rounds the same double half away from zero gets the same result (no decimal-string ties)."""
+    scale = float(10 ** digits)
+    return F.round(c.cast("double") * F.lit(scale)) / F.lit(scale)
+
+
 def rounded(df: DataFrame, digits: int = ROUND_DIGITS) -> DataFrame:
     """Round every floating column (compare-friendly output; operators keep full precision)."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f.name), digits).alias(f.name))
+            out.append(round_to(F.col(f.name), digits).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
