@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark import schema as S
+from panelspark.functions.literals import local_table
 
 
 def domain_table(spark, c: str, values: Sequence, pos: str = "pos") -> DataFrame:
     """Fixed answer domain as a small ``(c, pos)`` table (size bounded by the literal list)."""
-    return spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"`{c}` string, `{pos}` int")
+    return local_table(spark, [(v, i) for i, v in enumerate(values)], f"`{c}` string, `{pos}` int")
 
 
 def _pct(c: Column) -> Column:
@@ -191,7 +192,7 @@ def distribution(df: DataFrame, c: str, bins: int = 5, lo: float | None = None,
     spark = df.sparkSession
     schema = "bin int, lower double, upper double, n long, mean double, median double, skewness double"
     if lo is None:
-        return spark.createDataFrame([], schema)
+        return local_table(spark, [], schema)
     width = (hi - lo) / bins
     if width == 0:
         b = F.lit(0)

@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark import schema as S
+from panelspark.functions.literals import local_table
 
 
 def benchmarks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(S.TIER_BENCHMARKS, "tier string, cpm double, ctr double, cvr double")
+    return local_table(spark, S.TIER_BENCHMARKS, "tier string, cpm double, ctr double, cvr double")
 
 
 def multipliers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(S.PLATFORM_MULTIPLIERS,
+    return local_table(spark, S.PLATFORM_MULTIPLIERS,
                                  "platform string, reach_mult double, ctr_mult double, cpm_mult double")
 
 
@@ -111,7 +112,10 @@ def campaigns_from_orders(customers: DataFrame, orders: DataFrame, aov: float =
     chosen by the customer key, fixed AOV and budget shares."""
     tiers = F.array(*[F.lit(t[0]) for t in S.TIER_BENCHMARKS])
     plats = F.array(*[F.lit(p[0]) for p in S.PLATFORM_MULTIPLIERS])
-    spend = orders.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice")).alias("budget"))
+    # exact: sum whole cents as integers, then round half up to whole currency units
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
+    spend = orders.groupBy("o_custkey").agg(cents.alias("cents")).select(
+        "o_custkey", F.expr("(cents + 50) div 100").alias("budget"))
     c = customers.join(spend, customers.c_custkey == spend.o_custkey)
     return c.select(
         F.col("c_name").alias("name"),

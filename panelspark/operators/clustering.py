@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelspark import schema as S
 from panelspark.operators.models import standardized_features
+from panelspark.functions.literals import local_table
 
 
 def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, n_init: int = 10, seed: int = 42,
@@ -53,7 +54,7 @@ def k_scan(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 8),
         assigned, _, _, cost = kmeans(df, cols, k, n_init, seed)
         rows.append((int(k), float(cost), float(ev.evaluate(assigned))))
     best = max(rows, key=lambda r: (r[2], -r[0]))[0]
-    return df.sparkSession.createDataFrame([(k, c, s, best) for k, c, s in rows],
+    return local_table(df.sparkSession, [(k, c, s, best) for k, c, s in rows],
                                            "k int, inertia double, silhouette double, best_k int")
 
 
@@ -78,7 +79,7 @@ def centers_original_scale(spark, centers: list[list[float]], cols: Sequence[str
             mean, sd = stats[name]
             sd = sd if sd and sd > 0 else 1.0
             rows.append((i + 1, name, float(c[j] * sd + mean)))
-    return spark.createDataFrame(rows, "cluster int, feature string, center double")
+    return local_table(spark, rows, "cluster int, feature string, center double")
 
 
 def cluster_name(purchase_rate: Column, engagement: Column) -> Column:

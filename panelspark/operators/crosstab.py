@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.encode import split_multi, split_multi_distinct
+from panelspark.functions.literals import local_table
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -49,6 +50,6 @@ def dense_grid(cells: DataFrame, a: str, b: str, a_levels: Sequence[str], b_leve
     broadcast; the data side is only left-joined to it.
     """
     spark = cells.sparkSession
-    grid = spark.createDataFrame([(x, y) for x in a_levels for y in b_levels], f"`{a}` string, `{b}` string")
+    grid = local_table(spark, [(x, y) for x in a_levels for y in b_levels], f"`{a}` string, `{b}` string")
     out = F.broadcast(grid).join(cells.select(a, b, value), [a, b], "left")
     return out.withColumn(value, F.coalesce(F.col(value), F.lit(0).cast(cells.schema[value].dataType)))

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from panelspark.functions.literals import local_table
 
 
 def segment_filter(df: DataFrame, selections: Mapping[str, Sequence]) -> DataFrame:
@@ -58,7 +59,7 @@ def facet_values(df: DataFrame, c: str, order: Sequence[str] | None = None) -> D
     if order is None:
         from pyspark.sql import Window
         return vals.withColumn("pos", F.row_number().over(Window.orderBy(c)).cast("int"))
-    dom = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(order)], f"`{c}` string, pos int")
+    dom = local_table(df.sparkSession, [(v, i) for i, v in enumerate(order)], f"`{c}` string, pos int")
     return F.broadcast(dom).join(vals, c, "left_semi")
 
 

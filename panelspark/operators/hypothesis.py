@@ -42,9 +42,10 @@ def rank_sums(gv: DataFrame, group: str = "g", value: str = "v") -> DataFrame:
 
 
 def _two_sample_long(df: DataFrame, cond_a: Column, cond_b: Column, measure: str) -> DataFrame:
-    a = df.where(F.coalesce(cond_a, F.lit(False))).select(F.lit("a").alias("g"), F.col(measure).cast("double").alias("v"))
-    b = df.where(F.coalesce(cond_b, F.lit(False))).select(F.lit("b").alias("g"), F.col(measure).cast("double").alias("v"))
-    return a.unionByName(b).where(F.col("v").isNotNull())
+    # one scan: each row lands in group a, group b, or neither; the measure keeps its own type
+    # (answer codes stay integers, so ranks take the small-domain path)
+    g = F.when(F.coalesce(cond_a, F.lit(False)), F.lit("a")).when(F.coalesce(cond_b, F.lit(False)), F.lit("b"))
+    return df.select(g.alias("g"), F.col(measure).alias("v")).where(F.col("g").isNotNull() & F.col("v").isNotNull())
 
 
 def mann_whitney_stats(df: DataFrame, cond_a: Column, cond_b: Column, measure: str) -> DataFrame:
@@ -56,7 +57,7 @@ def mann_whitney_stats(df: DataFrame, cond_a: Column, cond_b: Column, measure: s
     long = _two_sample_long(df, cond_a, cond_b, measure)
     gv = group_value_counts(long)
     per_group = rank_sums(gv)
-    desc = long.groupBy("g").agg(F.avg("v").alias("mean"), F.median("v").alias("median"))
+    desc = long.groupBy("g").agg(F.avg("v").alias("mean"), F.median("v").cast("double").alias("median"))
     pg = per_group.join(desc, "g")
     row = pg.agg(
         *[F.max(F.when(F.col("g") == s, F.col(c))).alias(f"{c}_{s}")
@@ -91,7 +92,7 @@ def mann_whitney(df: DataFrame, cond_a: Column, cond_b: Column, measure: str, hy
 def kruskal_stats(long: DataFrame, group: str = "g", value: str = "v", min_n: int = 5) -> DataFrame:
     """H2/H3 statistic: one row ``(k, n, h, eta2)``; groups with fewer than ``min_n`` rows drop out
     before ranking.  Tie-corrected H; eta2 = (H - k + 1) / (N - k) floored at 0."""
-    lv = long.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    lv = long.select(F.col(group).alias("g"), F.col(value).alias("v"))
     gv = group_value_counts(lv)
     sizes = gv.groupBy("g").agg(F.sum("cnt").alias("gn")).where(F.col("gn") >= min_n).select("g")
     gv = gv.join(sizes, "g", "left_semi")
@@ -135,26 +136,34 @@ def t_test_1samp(df: DataFrame, c: str, mu: float = S.NEUTRAL_SCORE, hypothesis:
 
 
 def chi_square_stats(df: DataFrame, a: str, b: str, label_a: str | None = None, label_b: str | None = None) -> DataFrame:
-    """H7 statistic: one row ``(var_a, var_b, chi2, dof, n, cramers_v)``; no row when either
-    variable has fewer than 2 levels.
+    """H7 statistic for one pair; see ``chi_square_stats_many``."""
+    return chi_square_stats_many(df, [(label_a or a, label_b or b, a, b)])
 
-    Works on the present cells only: sum over all cells of (o-e)^2/e equals the sum over present
-    cells plus (n - sum of present e), so no dense level grid is built.  For 2x2 tables (dof 1)
-    the Yates correction uses |o - e| = D, equal in every cell, and sum 1/e = n (sum 1/R)(sum 1/C).
+
+def chi_square_stats_many(df: DataFrame, pairs: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """H7 statistics, one row per pair ``(var_a, var_b, chi2, dof, n, cramers_v)``; no row when
+    either variable has fewer than 2 levels.
+
+    All pairs share ONE scan and ONE grouped count: every row emits one ``(test, a, b)`` cell key
+    per pair.  The rest runs on the small cell table: sum over all cells of (o-e)^2/e equals the
+    sum over present cells plus (n - sum of present e), so no dense level grid is built; for 2x2
+    tables (dof 1) the Yates correction uses |o - e| = D, equal in every cell, and
+    sum 1/e = n (sum 1/R)(sum 1/C).
     """
-    cells = (df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-             .groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))
-             .agg(F.count(F.lit(1)).alias("o")))
-    w = Window.partitionBy()
-    rows = (cells.groupBy("a").agg(F.sum("o").alias("row_total"))
+    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))
+                     for i, (_, _, a, b) in enumerate(pairs)])
+    cells = (df.select(F.inline(keys)).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+             .groupBy("t", "a", "b").agg(F.count(F.lit(1)).alias("o")))
+    w = Window.partitionBy("t")
+    rows = (cells.groupBy("t", "a").agg(F.sum("o").alias("row_total"))
             .withColumn("n_rows", F.count(F.lit(1)).over(w))
             .withColumn("inv_r", F.sum(1.0 / F.col("row_total")).over(w)))
-    cols = (cells.groupBy("b").agg(F.sum("o").alias("col_total"))
+    cols = (cells.groupBy("t", "b").agg(F.sum("o").alias("col_total"))
             .withColumn("n_cols", F.count(F.lit(1)).over(w))
             .withColumn("inv_c", F.sum(1.0 / F.col("col_total")).over(w)))
-    full = cells.join(rows, "a").join(cols, "b").withColumn("n", F.sum("o").over(w))
+    full = cells.join(rows, ["t", "a"]).join(cols, ["t", "b"]).withColumn("n", F.sum("o").over(w))
     e = F.col("row_total") * F.col("col_total") / F.col("n")
-    agg = full.agg(
+    agg = full.groupBy("t").agg(
         F.first("n").alias("n"), F.first("n_rows").alias("nr"), F.first("n_cols").alias("nc"),
         F.first("inv_r").alias("inv_r"), F.first("inv_c").alias("inv_c"),
         F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("sum_present"), F.sum(e).alias("sum_e"),
@@ -165,8 +174,10 @@ def chi_square_stats(df: DataFrame, a: str, b: str, label_a: str | None = None,
     dof = (F.col("nr") - 1) * (F.col("nc") - 1)
     chi2 = F.when(dof == 1, yates).otherwise(general)
     v = F.sqrt(chi2 / (F.col("n") * (F.least(F.col("nr"), F.col("nc")) - 1)))
+    la = F.element_at(F.array(*[F.lit(p[0]) for p in pairs]), F.col("t") + 1)
+    lb = F.element_at(F.array(*[F.lit(p[1]) for p in pairs]), F.col("t") + 1)
     return agg.where((F.col("nr") >= 2) & (F.col("nc") >= 2)).select(
-        F.lit(label_a or a).alias("var_a"), F.lit(label_b or b).alias("var_b"), chi2.alias("chi2"),
+        la.alias("var_a"), lb.alias("var_b"), chi2.alias("chi2"),
         dof.cast("long").alias("dof"), F.col("n").cast("long").alias("n"), v.alias("cramers_v"))
 
 
@@ -181,10 +192,7 @@ DEFAULT_CHI_PAIRS = [
 
 def chi_square(df: DataFrame, pairs: Sequence[tuple[str, str, str, str]] = DEFAULT_CHI_PAIRS) -> DataFrame:
     """H7: chi-square independence tests with p-value, significance and strength labels."""
-    out = None
-    for la, lb, a, b in pairs:
-        st = chi_square_stats(df, a, b, la, lb)
-        out = st if out is None else out.unionByName(st)
+    out = chi_square_stats_many(df, pairs)
     p = chi2_survival(F.col("chi2"), F.col("dof"))
     lo, hi = S.CRAMERS_V_CUTS[1], S.CRAMERS_V_CUTS[0]
     return (out.withColumn("p_value", p)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.encode import column_stats, standardize_exprs
 from panelspark.operators.ranks import rank_table
+from panelspark.functions.literals import local_table
 
 
 # -- splits and folds (M12, M5, M11) ---------------------------------------------------------------
@@ -93,7 +94,7 @@ def pca_scree(df: DataFrame, cols: Sequence[str], threshold: float = 0.8) -> Dat
     n_need = next((i + 1 for i, c in enumerate(cum) if c >= threshold - 1e-12), len(cum))
     for i, (v, c) in enumerate(zip(ev, cum)):
         rows.append((i + 1, v * 100.0, c * 100.0, n_need))
-    return df.sparkSession.createDataFrame(rows, "component int, explained_pct double, cumulative_pct double, "
+    return local_table(df.sparkSession, rows, "component int, explained_pct double, cumulative_pct double, "
                                                  "n_for_threshold int")
 
 
@@ -103,7 +104,7 @@ def pca_loadings(df: DataFrame, cols: Sequence[str], k: int = 3) -> DataFrame:
     model, _, _, signs = pca_fit(df, cols, k)
     pc = model.pc.toArray()
     rows = [(c, j + 1, float(pc[i, j] * signs[j])) for j in range(pc.shape[1]) for i, c in enumerate(cols)]
-    return df.sparkSession.createDataFrame(rows, "feature string, component int, loading double")
+    return local_table(df.sparkSession, rows, "feature string, component int, loading double")
 
 
 def pca_project(df: DataFrame, cols: Sequence[str], k: int = 2, carry: Sequence[str] = ("id",)) -> DataFrame:
@@ -133,7 +134,7 @@ def ols(df: DataFrame, features: Sequence[str], label: str, train_frac: float |
                           standardization=False)
     model = lr.fit(train)
     spark = df.sparkSession
-    coefs = spark.createDataFrame(
+    coefs = local_table(spark, 
         [(f, float(c)) for f, c in zip(features, model.coefficients.toArray())] + [("(intercept)", float(model.intercept))],
         "feature string, coef double")
     m_test = _r2_rmse(model.transform(test), label).withColumn("split", F.lit("test" if train_frac else "all"))
@@ -152,7 +153,7 @@ def cross_validate_ols(df: DataFrame, features: Sequence[str], label: str, k: in
         r2 = _r2_rmse(model.transform(folded.where(F.col("fold") == i)), label).first()["r2"]
         rows.append((i, float(r2)))
     folded.unpersist()
-    out = df.sparkSession.createDataFrame(rows, "fold int, r2 double")
+    out = local_table(df.sparkSession, rows, "fold int, r2 double")
     w = Window.partitionBy()
     return out.withColumn("mean_r2", F.avg("r2").over(w)).withColumn("sd_r2", F.stddev_pop("r2").over(w))
 
@@ -170,7 +171,7 @@ def logistic(df: DataFrame, features: Sequence[str], label: str, C: float = 1.0,
     model = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter, elasticNetParam=0.0,
                                regParam=1.0 / (C * max(n_train, 1)), standardization=False, fitIntercept=True,
                                tol=1e-8).fit(train)
-    coefs = df.sparkSession.createDataFrame(
+    coefs = local_table(df.sparkSession, 
         [(f, float(c)) for f, c in zip(features, model.coefficients.toArray())] + [("(intercept)", float(model.intercept))],
         "feature string, coef double")
     pred = model.transform(test).select(key, F.col(label).cast("int").alias("label"),
@@ -189,7 +190,7 @@ def forest_importance(df: DataFrame, features: Sequence[str], label: str, trees:
     train, test = (vec, vec) if train_frac is None else split(vec, train_frac, key, seed)
     model = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth,
                                    impurity="gini", featureSubsetStrategy="sqrt", seed=seed).fit(train)
-    imp = df.sparkSession.createDataFrame(
+    imp = local_table(df.sparkSession, 
         [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())], "feature string, importance double")
     pred = model.transform(test).select(key, F.col(label).cast("int").alias("label"),
                                         F.col("prediction").cast("int").alias("prediction"),
@@ -212,7 +213,7 @@ def forest_cv_auc(df: DataFrame, features: Sequence[str], label: str, k: int = 5
             F.col(label).cast("int").alias("label"), vector_to_array("probability")[1].alias("score"))
         rows.append((i, auc(pred).first()["auc"]))
     vec.unpersist()
-    out = df.sparkSession.createDataFrame(rows, "fold int, auc double")
+    out = local_table(df.sparkSession, rows, "fold int, auc double")
     w = Window.partitionBy()
     return out.withColumn("mean_auc", F.avg("auc").over(w)).withColumn("sd_auc", F.stddev_pop("auc").over(w))
 
@@ -222,7 +223,7 @@ def confusion(pred: DataFrame, label: str = "label", prediction: str = "predicti
     """M7: ``(label, prediction, n)`` over the full 2x2 grid (absent cells 0)."""
     cells = pred.groupBy(F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction")) \
         .agg(F.count(F.lit(1)).alias("n"))
-    grid = pred.sparkSession.createDataFrame([(a, b) for a in (0, 1) for b in (0, 1)], "label int, prediction int")
+    grid = local_table(pred.sparkSession, [(a, b) for a in (0, 1) for b in (0, 1)], "label int, prediction int")
     return F.broadcast(grid).join(cells, ["label", "prediction"], "left").fillna(0, subset=["n"])
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from panelspark import schema as S
 from panelspark.functions.encode import split_multi, split_multi_distinct
 from panelspark.session import checkpoint_dir
+from panelspark.functions.literals import local_table
 
 # Every round of the loops below refers to the previous round's table more than once, so the
 # logical plan would double per round; a reliable checkpoint each round keeps it constant size.
@@ -129,7 +130,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
     node_ids = nodes.select("node").distinct()
     n = node_ids.count()
     if n == 0:
-        return spark.createDataFrame([], "node string, pagerank double")
+        return local_table(spark, [], "node string, pagerank double")
     both = _both_ways(edges)
     out_w = both.groupBy("src").agg(F.sum("weight").alias("out_w"))
     trans = both.join(out_w, "src").select("src", "dst", (F.col("weight") / F.col("out_w")).alias("p"))

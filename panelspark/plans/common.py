@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.functions.encode import encode
 from panelspark.sources.responses import responses
 
+# The prepared response table is built once per (session, source, profile) and kept with
+# MEMORY_AND_DISK; a lost executor's blocks are recomputed from lineage.
+_PREPARED: dict[tuple, DataFrame] = {}
 
-def encoded(spark: SparkSession, sf_dir: str, profile: str = "dashboard") -> DataFrame:
-    """Encoded response table built from the driver tables (lazy)."""
-    return encode(responses(spark, sf_dir), profile)
+
+def encoded(spark: SparkSession, sf_dir: str, profile: str = "dashboard", cache: bool = True) -> DataFrame:
+    """Encoded response table built from the driver tables."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, profile)
+    if cache and key in _PREPARED:
+        return _PREPARED[key]
+    df = encode(responses(spark, sf_dir), profile)
+    if cache:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        _PREPARED[key] = df
+    return df
+
+
+def release(spark: SparkSession | None = None) -> None:
+    """Drop every memoised table (all sessions, or one)."""
+    for key in list(_PREPARED):
+        if spark is None or key[0] == id(spark):
+            _PREPARED.pop(key).unpersist()
 
 
 def values_sql(name: str, cols: list[str], rows: list[tuple]) -> str:

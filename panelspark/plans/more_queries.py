@@ -238,10 +238,11 @@ camp AS (
   SELECT c.c_name AS name,
          ([{', '.join(q(t) for t in _TIERS)}])[CAST(c.c_custkey % {len(_TIERS)} AS BIGINT) + 1] AS tier,
          ([{', '.join(q(p) for p in _PLATS)}])[CAST(c.c_custkey % {len(_PLATS)} AS BIGINT) + 1] AS platform,
-         CAST(round(s.total) AS DOUBLE) AS budget, CAST(1500.0 AS DOUBLE) AS aov, CAST(0.6 AS DOUBLE) AS commission,
+         CAST((s.cents + 50) // 100 AS DOUBLE) AS budget, CAST(1500.0 AS DOUBLE) AS aov, CAST(0.6 AS DOUBLE) AS commission,
          CAST(0.2 AS DOUBLE) AS retargeting, CAST(0.3 AS DOUBLE) AS dropoff,
          CAST(c.c_custkey % 10 + 1 AS INTEGER) AS n_influencers
-  FROM customer c JOIN (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1) s ON s.o_custkey = c.c_custkey),
+  FROM customer c JOIN (SELECT o_custkey, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders GROUP BY 1) s
+    ON s.o_custkey = c.c_custkey),
 rated AS (SELECT camp.*, bench.cpm, bench.ctr, bench.cvr, mult.reach_mult, mult.ctr_mult, mult.cpm_mult
           FROM camp JOIN bench ON camp.tier = bench.tier JOIN mult ON camp.platform = mult.platform)"""
 

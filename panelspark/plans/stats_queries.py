@@ -302,12 +302,7 @@ def _chi_sql_one(la: str, lb: str, a: str, b: str) -> str:
 @register("chi_square_stats", with_enc("\n" + "\nUNION ALL ".join(
     "SELECT * FROM " + _chi_sql_one(*p) for p in H.DEFAULT_CHI_PAIRS)))
 def q_chi_square_stats(spark, sf_dir):
-    enc = encoded(spark, sf_dir)
-    out = None
-    for la, lb, a, b in H.DEFAULT_CHI_PAIRS:
-        st = H.chi_square_stats(enc, a, b, la, lb)
-        out = st if out is None else out.unionByName(st)
-    return rounded(out)
+    return rounded(H.chi_square_stats_many(encoded(spark, sf_dir), H.DEFAULT_CHI_PAIRS))
 
 
 @register("chi_square_tests")
