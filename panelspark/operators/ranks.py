@@ -153,26 +153,41 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], mode: str = "listwise")
     complete = df.select(*cols).dropna()
     maps = rank_maps(complete, cols)
     if maps is not None:
-        ranked = complete.select(*[_map_col(maps[c], c).alias(f"__r_{c}") for c in cols])
+        # n is known from the rank tables; average ranks have mean (n + 1) / 2 exactly, so centred
+        # ranks let plain sums of products give every correlation in one cheap aggregate.
+        n_rows = maps.pop("__n__")
+        mid = (n_rows + 1) / 2.0
+        ranked = complete.select(*[(_map_col(maps[c], c) - F.lit(mid)).alias(f"__r_{c}") for c in cols])
+        sums = [F.count(F.lit(1)).alias("n")]
+        for i, a in enumerate(cols):
+            for b in cols[i:]:
+                sums.append(F.sum(F.col(f"__r_{a}") * F.col(f"__r_{b}")).alias(f"{a}__{b}"))
+        wide = ranked.agg(*sums)
+
+        def rho(a, b):
+            i, j = cols.index(a), cols.index(b)
+            key = f"{a}__{b}" if i <= j else f"{b}__{a}"
+            va, vb = F.col(f"{a}__{a}"), F.col(f"{b}__{b}")
+            return F.when((va > 0) & (vb > 0), F.col(key) / F.sqrt(va * vb))
     else:
         ranked = complete
         for c in cols:
             rt = rank_table(complete, c, out=f"__r_{c}").select(c, f"__r_{c}")
             ranked = ranked.join(rt, c, "left")
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            aggs.append(F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}__{b}"))
-    wide = ranked.agg(*aggs)
+        aggs = [F.count(F.lit(1)).alias("n")]
+        for i, a in enumerate(cols):
+            for b in cols[i + 1:]:
+                aggs.append(F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}__{b}"))
+        wide = ranked.agg(*aggs)
+
+        def rho(a, b):
+            i, j = cols.index(a), cols.index(b)
+            return F.col(f"{a}__{b}" if i < j else f"{b}__{a}")
     rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if a == b:
-                rho = F.when(F.col("n") > 1, F.lit(1.0))
-            else:
-                key = f"{a}__{b}" if i < j else f"{b}__{a}"
-                rho = F.col(key)
-            rows.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), rho.cast("double").alias("rho")))
+    for a in cols:
+        for b in cols:
+            r = F.when(F.col("n") > 1, F.lit(1.0)) if a == b else rho(a, b)
+            rows.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.cast("double").alias("rho")))
     return wide.select("n", F.inline(F.array(*rows))).select("x", "y", "rho", "n")
 
 
@@ -189,13 +204,17 @@ def rank_maps(df: DataFrame, cols: Sequence[str], max_distinct: int = 10_000) ->
     (ordinal answers: a few dozen); the caller then ranks rows with map literals inside codegen.
     ``None`` means the domain is large and the caller must join rank tables instead.
     """
-    rt = rank_table(long_values(df, cols), "v", by=["col"]).select("col", "v", "rank")
+    rt = rank_table(long_values(df, cols), "v", by=["col"]).select("col", "v", "cnt", "rank")
     rows = rt.limit(max_distinct + 1).collect()
     if len(rows) > max_distinct:
         return None
     maps: dict = {c: {} for c in cols}
+    n = 0
     for r in rows:
         maps[r["col"]][r["v"]] = r["rank"]
+        if r["col"] == cols[0]:
+            n += r["cnt"]
+    maps["__n__"] = n
     return maps
 
 

@@ -29,9 +29,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     target = min_partitions or spark.sparkContext.defaultParallelism
     if target <= 1:
         return df
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Connect session without RDD access: leave as is
         return df
-    return df.repartition(target)
+    return df if splits >= target else df.repartition(target)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
