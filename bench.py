@@ -31,8 +31,12 @@ def main() -> None:
 
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in QUERIES]
-    QUERIES["kpi_summary"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
+    spark.range(1000).write.format("noop").mode("overwrite").save()  # JVM / codegen warm-up
     times = {}
+    # one-time build of the prepared (encoded) response table, memoised for the queries below
+    t0 = time.perf_counter()
+    QUERIES["kpi_summary"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    times["build_prepared_table"] = round(time.perf_counter() - t0, 3)
     for name in names:
         t0 = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

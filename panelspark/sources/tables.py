@@ -10,8 +10,9 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
-# Tables small by construction (fixed TPC-style dimensions): never re-spread.
-_FIXED_SMALL = {"region", "nation"}
+# Fact-like tables whose row count drives the work; dimension tables are left as scanned (they
+# are usually broadcast, and at scale every table has many splits anyway).
+_SPREAD = {"lineitem", "orders", "events", "documents", "conversations", "pages", "embeddings"}
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -25,11 +26,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     first shuffle would run in a single task.  At scale a scan has far more splits than cores and
     this is a no-op (checked from the planned partition count; no job runs).
     """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if target <= 1:
-        return df
     try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if target <= 1:
+            return df
         splits = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - e.g. a Connect session without RDD access: leave as is
         return df
@@ -42,6 +42,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     df = spark.read.parquet(table_path(sf_dir, name))
     if columns:
         df = df.select(*columns)
-    if parallel and name not in _FIXED_SMALL:
+    if parallel and name in _SPREAD:
         df = spread(df)
     return df
