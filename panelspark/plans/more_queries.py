@@ -121,7 +121,12 @@ def q_rules_notebook_top(spark, sf_dir):
     return R.top_rules(rules, 15)
 
 
-@register("rules_summary")
+_RULES_MP_SQL = _rules_sql(_DASH_ITEMS_SQL, "Made_Purchase", 0.08, 0.5)
+
+
+@register("rules_summary", f"""SELECT count(*) AS n_rules, max(lift) AS best_lift, max(confidence) AS best_confidence,
+       (SELECT antecedent FROM ({_RULES_MP_SQL}) x ORDER BY lift DESC, antecedent LIMIT 1) AS best_rule
+FROM ({_RULES_MP_SQL}) r""")
 def q_rules_summary(spark, sf_dir):
     return R.rules_summary(_dash_rules(spark, sf_dir))
 
