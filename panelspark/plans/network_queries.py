@@ -169,3 +169,15 @@ def q_platform_centrality_table(spark, sf_dir):
 def q_content_edge_lookup(spark, sf_dir):
     _, edges = N.cooccurrence(encoded(spark, sf_dir), "content_type")
     return N.edge_weight(edges, "Food", "Fashion / Beauty")
+
+
+@register("platform_top_nodes")
+def q_platform_top_nodes(spark, sf_dir):
+    """The top node for each centrality metric."""
+    nodes, edges = N.cooccurrence(encoded(spark, sf_dir), "platforms")
+    table = N.centrality_table(nodes, edges).persist()
+    out = None
+    for m in ["usage", "degree_centrality", "strength", "closeness", "pagerank", "betweenness"]:
+        t = N.top_node(table, m)
+        out = t if out is None else out.unionByName(t)
+    return rounded(out)

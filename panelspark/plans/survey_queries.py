@@ -350,3 +350,21 @@ SELECT 'top_trust_factor' AS finding, trust_factor AS label, {r('share_pct')} AS
 UNION ALL SELECT 'not_ad_responsive_pct', '', {r('100.0 - coalesce(avg(high_ad_responsive) * 100.0, 0)')} FROM enc"""))
 def q_findings(spark, sf_dir):
     return rounded(A.findings(encoded(spark, sf_dir)))
+
+
+@register("tail_bias_profile", with_enc(f"""
+SELECT 'age_group' AS "column", label, n, {r('share_pct')} AS share_pct FROM (
+  SELECT age_group AS label, n, n * 100.0 / sum(n) OVER () AS share_pct
+  FROM (SELECT age_group, count(*) AS n FROM enc WHERE age_group IS NOT NULL GROUP BY 1)
+  ORDER BY n DESC, label LIMIT 1)
+UNION ALL
+SELECT 'gender', label, n, {r('share_pct')} FROM (
+  SELECT gender AS label, n, n * 100.0 / sum(n) OVER () AS share_pct
+  FROM (SELECT gender, count(*) AS n FROM enc WHERE gender IS NOT NULL GROUP BY 1)
+  ORDER BY n DESC, label LIMIT 1)"""))
+def q_tail_bias_profile(spark, sf_dir):
+    """How dominant the largest age group and gender are (share of non-null answers)."""
+    enc = encoded(spark, sf_dir)
+    parts = [A.top_category(enc, c).select(F.lit(c).alias("column"), F.col(c).alias("label"), "n", "share_pct")
+             for c in ("age_group", "gender")]
+    return rounded(parts[0].unionByName(parts[1]))

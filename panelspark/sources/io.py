@@ -68,3 +68,25 @@ def export_csv(df: DataFrame, path: str, cols: Sequence[str] | None = None, mode
         out = out.withColumns(fixes)
     out.write.mode(mode).option("header", True).csv(path)
     return path
+
+
+def export_reports(enc: DataFrame, out_dir: str, numeric_cols: Sequence[str], corr_cols: Sequence[str],
+                   hypothesis_table: DataFrame | None = None, export_cols: Sequence[str] | None = None) -> dict:
+    """The filtered rows (fixed column list), summary statistics, the pairwise Spearman
+    matrix (wide, rounded to 3) and, when given, the hypothesis-test table -- each a CSV folder
+    under ``out_dir``.  Returns the written paths."""
+    import os
+
+    from panelspark import schema as S
+    from panelspark.operators.aggregate import describe_numeric
+    from panelspark.operators.ranks import spearman_matrix
+
+    paths = {}
+    paths["rows"] = export_csv(enc, os.path.join(out_dir, "filtered_rows"), export_cols or S.EXPORT_COLUMNS)
+    paths["summary"] = export_csv(describe_numeric(enc, numeric_cols), os.path.join(out_dir, "summary_statistics"))
+    m = spearman_matrix(enc, corr_cols, mode="pairwise")
+    wide = m.groupBy("x").pivot("y", list(corr_cols)).agg(F.first(F.round("rho", 3)))
+    paths["correlation"] = export_csv(wide, os.path.join(out_dir, "correlation_matrix"))
+    if hypothesis_table is not None:
+        paths["hypotheses"] = export_csv(hypothesis_table, os.path.join(out_dir, "hypothesis_results"))
+    return paths

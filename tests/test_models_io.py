@@ -71,3 +71,16 @@ def test_repartition_invariance_of_aggregates(spark):
     a = sorted(map(tuple, A.group_mean(df, "g", "m").collect()))
     b = sorted(map(tuple, A.group_mean(df.repartition(13), "g", "m").collect()))
     assert a == b
+
+
+def test_export_reports(spark):
+    from panelspark.functions.encode import encode
+    from panelspark.sources.io import export_reports
+    from panelspark.sources.responses import responses
+    enc = encode(responses(spark, "/root/testdata/sf0.001"))
+    out = tempfile.mkdtemp(prefix="panelspark-test-reports-")
+    paths = export_reports(enc, out, ["satisfaction_score", "purchase_ord"], ["satisfaction_score", "purchase_ord"])
+    back = spark.read.option("header", True).csv(paths["correlation"])
+    assert back.count() == 2 and set(back.columns) == {"x", "satisfaction_score", "purchase_ord"}
+    rows_back = spark.read.option("header", True).csv(paths["rows"])
+    assert rows_back.count() == enc.count() and "made_purchase" in rows_back.columns
