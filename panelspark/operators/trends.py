@@ -114,9 +114,13 @@ def rolling_mean(df: DataFrame, ts: str, value: str, window: int = 20, min_perio
             if not bool(h.iloc[0]["all_same"]):
                 break
             p -= 1
-        pre = pd.concat(prefix, ignore_index=True) if prefix else pd.DataFrame(columns=by + [value])
-        n_pre = len(pre)
-        full = pd.concat([pre, pdf[by + [value]]], ignore_index=True)
+        if prefix:
+            pre = pd.concat(prefix, ignore_index=True)
+            n_pre = len(pre)
+            full = pd.concat([pre, pdf[by + [value]]], ignore_index=True)
+        else:
+            n_pre = 0
+            full = pdf[by + [value]].reset_index(drop=True)
         vals = full[value].astype("float64")
         if by:
             gkey = full[by].astype(str).agg("\u0001".join, axis=1) if len(by) > 1 else full[by[0]]
