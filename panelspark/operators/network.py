@@ -41,17 +41,23 @@ def cooccurrence(df: DataFrame, multi: str, measure: str | None = None) -> tuple
     Items of a row are split, trimmed and de-duplicated (a repeated answer does not make a
     self-loop); each unordered pair of a row's items adds 1 to the edge weight.  With ``measure``,
     nodes also get the mean of that measure over their users (null measure counts as 0).
+
+    Rows are first collapsed to their distinct item set (``groupBy(items)`` with map-side partial
+    aggregation, so a hot item set becomes one weighted row per task); nodes and pairs are then
+    expanded from the weighted sets only.
     """
     keep = [F.coalesce(F.col(measure).cast("double"), F.lit(0.0)).alias("m")] if measure else []
     items = df.where(F.col(multi).isNotNull()).select(split_multi_distinct(multi).alias("items"), *keep)
-    exploded = items.select(F.explode("items").alias("node"), *(["m"] if measure else []))
-    aggs = [F.count(F.lit(1)).alias("usage")]
+    set_aggs = [F.count(F.lit(1)).alias("w")] + ([F.sum("m").alias("wm")] if measure else [])
+    sets = items.groupBy("items").agg(*set_aggs)
+    exploded = sets.select(F.explode("items").alias("node"), "w", *(["wm"] if measure else []))
+    aggs = [F.sum("w").alias("usage")]
     if measure:
-        aggs.append(F.avg("m").alias("avg_measure"))
+        aggs.append((F.sum("wm") / F.sum("w")).alias("avg_measure"))
     nodes = exploded.groupBy("node").agg(*aggs)
-    edges = (items.where(F.size("items") >= 2).select(F.explode(_pairs(F.col("items"))).alias("p"))
+    edges = (sets.where(F.size("items") >= 2).select(F.explode(_pairs(F.col("items"))).alias("p"), "w")
              .groupBy(F.col("p.src").alias("src"), F.col("p.dst").alias("dst"))
-             .agg(F.count(F.lit(1)).alias("weight")))
+             .agg(F.sum("w").alias("weight")))
     return nodes, edges
 
 

@@ -145,8 +145,9 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], mode: str = "listwise")
                     pieces = [part]
                 else:
                     sp = spearman_pair(df, a, b)
-                    pieces = [sp.select(F.lit(a).alias("x"), F.lit(b).alias("y"), "rho", "n"),
-                              sp.select(F.lit(b).alias("x"), F.lit(a).alias("y"), "rho", "n")]
+                    both = F.array(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")),
+                                   F.struct(F.lit(b).alias("x"), F.lit(a).alias("y")))
+                    pieces = [sp.select(F.inline(both), "rho", "n")]
                 for p in pieces:
                     out = p if out is None else out.unionByName(p)
         return out

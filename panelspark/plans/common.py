@@ -20,6 +20,8 @@ def encoded(spark: SparkSession, sf_dir: str, profile: str = "dashboard", cache:
         return _PREPARED[key]
     df = encode(responses(spark, sf_dir), profile)
     if cache:
+        # let adaptive execution size the cached table's partitions from its real volume
+        spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
         _PREPARED[key] = df
     return df
