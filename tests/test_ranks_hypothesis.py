@@ -79,3 +79,11 @@ def test_pvalue_closed_forms():
     assert abs(P.t_sf(1.0, 1) - 0.25) < 1e-12                       # Cauchy
     assert abs(P.t_sf(2.0, 2) - 0.5 * (1 - 2 / math.sqrt(6))) < 1e-12
     assert abs(P.norm_isf(0.025) - 1.959963984540054) < 1e-9
+
+
+def test_pvalue_even_df_chi2_and_large_df_t():
+    x = 7.3
+    closed = math.exp(-x / 2) * (1 + x / 2)          # chi-square sf, 4 degrees of freedom
+    assert abs(P.chi2_sf(x, 4) - closed) < 1e-12
+    assert abs(P.t_sf(1.5, 1e7) - P.norm_sf(1.5)) < 1e-6
+    assert abs(P.t_sf(-1.0, 1) - 0.75) < 1e-12
