@@ -9,8 +9,8 @@ Plan shape at scale: lineitem |><| part is a shuffle join on the part key (part
 data, so it is not broadcast unless the optimizer's size statistics allow it); the per-order
 aggregate is partial+final hash aggregation on ``l_orderkey``; ``orders`` left-joins it on the same
 key; ``customer`` joins on the customer key; ``nation`` and ``region`` are fixed 25/5-row
-dimension tables and are broadcast.  Every ``collect_set`` below is bounded by a small label
-domain (6-7 values), so no group ever collects an unbounded list.
+dimension tables and are broadcast.  Multi-select answers are presence flags over fixed label
+domains (6-7 values), so no group ever collects a list.
 """
 
 from __future__ import annotations
@@ -60,31 +60,59 @@ def _pick(labels: list[str], idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in labels]), idx.cast("int") + 1)
 
 
-def _joined_set(c: Column) -> Column:
-    return F.array_join(F.array_sort(F.collect_set(c)), ";")
+def _label_flags(prefix: str, label: Column, labels: list[str]) -> list[Column]:
+    """One 0/1 presence column per label of a fixed domain (plain, codegen'd aggregates)."""
+    return [F.max((label == F.lit(x)).cast("int")).alias(f"{prefix}{i}") for i, x in enumerate(labels)]
+
+
+def _joined_from_flags(prefix: str, labels: list[str]) -> Column:
+    """';'-joined labels present, in code-point order (as sorting the distinct set would give)."""
+    order = sorted(range(len(labels)), key=lambda i: labels[i])
+    parts = [F.when(F.col(f"{prefix}{i}") == 1, F.lit(labels[i])) for i in order]
+    return F.concat_ws(";", *parts)
 
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-order item answers (one row per order that has items)."""
+    """Per-order item answers (one row per order that has items).
+
+    Two hash aggregates, each with map-side partial aggregation: (order, supplier) first, then
+    order -- the count of rows at the second level is the number of distinct suppliers, and
+    multi-select answers are presence flags over their fixed label domains, so no set-valued
+    aggregate (object hash aggregate with sort fallback) and no Expand is needed.
+    """
     li = read_table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate"])
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_size"])
     items = li.join(part, li.l_partkey == part.p_partkey, "inner")
-    agg = items.groupBy(F.col("l_orderkey").alias("id")).agg(
+    plat_labels = list(dict.fromkeys(PART_TYPE_TO_PLATFORM.values()))
+    motiv_labels = list(dict.fromkeys(FLAGS_TO_MOTIVATION.values()))
+    content_labels = list(S.CONTENT_TYPES)
+    plat = _lookup(PART_TYPE_TO_PLATFORM, F.col("p_type"))
+    motiv = _lookup(FLAGS_TO_MOTIVATION, F.concat("l_returnflag", "l_linestatus"))
+    content = _pick(S.CONTENT_TYPES, F.floor((F.col("p_size") - 1) / 8).cast("int"))
+    flag_cols = ([f"pf{i}" for i in range(len(plat_labels))] + [f"mf{i}" for i in range(len(motiv_labels))]
+                 + [f"cf{i}" for i in range(len(content_labels))])
+    per_supplier = items.groupBy(F.col("l_orderkey").alias("id"), "l_suppkey").agg(
         F.max("l_shipdate").alias("end_time"),
         F.sum("l_quantity").alias("qty"),
-        F.countDistinct("l_suppkey").alias("n_supp"),
         F.count(F.lit(1)).alias("n_items"),
         F.sum((F.col("l_returnflag") == "N").cast("int")).alias("n_flag_n"),
         F.sum((F.col("l_returnflag") == "R").cast("int")).alias("n_flag_r"),
         F.sum(F.round(F.col("l_discount") * 100).cast("int")).alias("disc_pct"),
         F.sum(F.round(F.col("l_tax") * 100).cast("int")).alias("tax_pct"),
         F.max((F.col("l_linestatus") == "O").cast("int")).alias("any_open"),
-        _joined_set(_lookup(PART_TYPE_TO_PLATFORM, F.col("p_type"))).alias("platforms"),
-        _joined_set(_lookup(FLAGS_TO_MOTIVATION, F.concat("l_returnflag", "l_linestatus"))).alias("purchase_motivation"),
-        _joined_set(_pick(S.CONTENT_TYPES, F.floor((F.col("p_size") - 1) / 8).cast("int"))).alias("content_type"),
-    )
+        *_label_flags("pf", plat, plat_labels), *_label_flags("mf", motiv, motiv_labels),
+        *_label_flags("cf", content, content_labels))
+    agg = per_supplier.groupBy("id").agg(
+        F.max("end_time").alias("end_time"), F.sum("qty").alias("qty"),
+        F.count(F.lit(1)).alias("n_supp"), F.sum("n_items").alias("n_items"),
+        F.sum("n_flag_n").alias("n_flag_n"), F.sum("n_flag_r").alias("n_flag_r"),
+        F.sum("disc_pct").alias("disc_pct"), F.sum("tax_pct").alias("tax_pct"),
+        F.max("any_open").alias("any_open"), *[F.max(c).alias(c) for c in flag_cols])
+    agg = agg.select("*", _joined_from_flags("pf", plat_labels).alias("platforms"),
+                     _joined_from_flags("mf", motiv_labels).alias("purchase_motivation"),
+                     _joined_from_flags("cf", content_labels).alias("content_type"))
     q1, q2, q3 = QTY_CUTS
     s1, s2, s3 = SUPPLIER_CUTS
     qty_band = (F.when(F.col("qty") < q1, 0).when(F.col("qty") < q2, 1)
