@@ -44,7 +44,11 @@ def value_counts_for_rank(df: DataFrame, c: str, by: Sequence[str] = (), weight:
 
 def _range_running_counts(counts: DataFrame, c: str, partitions: int) -> DataFrame:
     """Running count before each distinct value, computed per range partition + offsets."""
-    ranged = counts.repartitionByRange(partitions, c).sortWithinPartitions(c)
+    # The range-partitioned table feeds two branches (per-partition totals and the rows); a
+    # reliable checkpoint pins its partitioning so both see the same partition ids.
+    from panelspark.session import checkpoint_dir
+    checkpoint_dir(counts.sparkSession)
+    ranged = counts.repartitionByRange(partitions, c).sortWithinPartitions(c).checkpoint(eager=True)
     schema = T.StructType(counts.schema.fields + [T.StructField("pid", T.IntegerType()),
                                                   T.StructField("local_before", T.LongType())])
 
