@@ -6,10 +6,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.functions.encode import encode
+from panelspark.session import checkpoint_dir
 from panelspark.sources.responses import responses
 
-# The prepared response table is built once per (session, source, profile) and kept with
-# MEMORY_AND_DISK; a lost executor's blocks are recomputed from lineage.
+# The prepared response table is built once per (session, source, profile), written with a
+# reliable checkpoint into the session's shared checkpoint folder (lineage cut: a lost executor
+# re-reads those files instead of re-running the whole build) and cached for the queries that follow.
 _PREPARED: dict[tuple, DataFrame] = {}
 
 
@@ -22,7 +24,8 @@ def encoded(spark: SparkSession, sf_dir: str, profile: str = "dashboard", cache:
     if cache:
         # let adaptive execution size the cached table's partitions from its real volume
         spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        checkpoint_dir(spark)
+        df = df.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
         _PREPARED[key] = df
     return df
 
