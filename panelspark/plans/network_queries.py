@@ -181,3 +181,32 @@ def q_platform_top_nodes(spark, sf_dir):
         t = N.top_node(table, m)
         out = t if out is None else out.unionByName(t)
     return rounded(out)
+
+
+def _pagerank_unrolled_sql(rounds: int, damping: float = 0.85) -> str:
+    steps = []
+    for k in range(1, rounds + 1):
+        prev = f"r{k - 1}"
+        steps.append(f"""r{k} AS (
+  SELECT nodes.node, (1 - {damping}) / nn.n + {damping} * (coalesce(f.inflow, 0.0) + d.dm / nn.n) AS pr
+  FROM nodes CROSS JOIN nn
+  CROSS JOIN (SELECT coalesce(sum(pr), 0.0) AS dm FROM {prev} WHERE node NOT IN (SELECT src FROM ow)) d
+  LEFT JOIN (SELECT tr.dst AS node, sum({prev}.pr * tr.p) AS inflow FROM tr JOIN {prev} ON {prev}.node = tr.src
+             GROUP BY 1) f ON f.node = nodes.node)""")
+    return with_enc(f", {_items_cte('enc', 'id', 'content_type')}," + f"""
+nodes AS (SELECT DISTINCT item AS node FROM items),
+edges AS ({_edges_sql()}),
+bw AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges),
+ow AS (SELECT src, sum(weight) AS out_w FROM bw GROUP BY src),
+tr AS (SELECT bw.src, bw.dst, bw.weight * 1.0 / ow.out_w AS p FROM bw JOIN ow ON bw.src = ow.src),
+nn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes),
+r0 AS (SELECT node, 1.0 / (SELECT n FROM nn) AS pr FROM nodes),
+""" + ",\n".join(steps) + f"""
+SELECT node, {r('pr')} AS pagerank FROM r{rounds}""")
+
+
+@register("content_pagerank_3_rounds", _pagerank_unrolled_sql(3))
+def q_content_pagerank_3_rounds(spark, sf_dir):
+    """N7 with a fixed number of rounds, so it can be compared with unrolled SQL."""
+    nodes, edges = N.cooccurrence(encoded(spark, sf_dir), "content_type")
+    return rounded(N.pagerank(nodes, edges, fixed_iter=3))
