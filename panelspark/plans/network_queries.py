@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from panelspark.operators import network as N
 from panelspark.plans.common import encoded
 from panelspark.plans.oracle import r, with_enc

@@ -1,5 +1,3 @@
-import math
-
 from pyspark.sql import functions as F
 
 from panelspark.operators import aggregate as A
