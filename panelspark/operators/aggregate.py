@@ -162,19 +162,25 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pandas-style ``describe``: count, mean, sample sd, min, linear-interpolated quartiles, max.
 
-    One long ``(column, value)`` projection, grouped by column; ``percentile`` is exact with linear
-    interpolation.  The long form keeps one group per column, and partial aggregation merges the
-    per-task buffers (value -> count maps), so memory grows with distinct values, not rows.
+    Moments and extremes come from one constant-memory aggregate; the quartiles are exact order
+    statistics read off the distributed rank tables (``ranks.quantiles_exact``), so memory never
+    grows with the number of distinct values of a column.
     """
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("r")
-    ).select("r.column", "r.v").where(F.col("v").isNotNull())
-    q = F.percentile("v", [0.25, 0.5, 0.75])
-    return (long.groupBy("column").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"))
-        .select("column", "count", "mean", "std", "min",
-                F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max"))
+    from panelspark.operators.ranks import quantiles_exact
+    aggs = []
+    for i, c in enumerate(cols):
+        v = F.col(c).cast("double")
+        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
+                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    row = df.agg(*aggs).first()
+    out = []
+    for i, c in enumerate(cols):
+        if not row[f"n{i}"]:
+            continue
+        q1, q2, q3 = quantiles_exact(df.select(c), c, [0.25, 0.5, 0.75])
+        out.append((c, int(row[f"n{i}"]), row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"], q1, q2, q3, row[f"hi{i}"]))
+    return local_table(df.sparkSession, out, "column string, count long, mean double, std double, min double, "
+                                              "p25 double, p50 double, p75 double, max double")
 
 
 def distribution(df: DataFrame, c: str, bins: int = 5, lo: float | None = None, hi: float | None = None) -> DataFrame:
@@ -184,9 +190,11 @@ def distribution(df: DataFrame, c: str, bins: int = 5, lo: float | None = None,
     One global aggregate gives the bin edges (a single row read back to the driver); rows are then
     bucketed by arithmetic and counted -- no sort, partial aggregation before the shuffle.
     """
+    from panelspark.operators.ranks import quantiles_exact
     base = df.select(F.col(c).cast("double").alias("v")).where(F.col("v").isNotNull())
     st = base.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"),
-                  F.median("v").alias("median"), F.skewness("v").alias("skewness")).first()
+                  F.skewness("v").alias("skewness")).first().asDict()
+    st["median"] = quantiles_exact(df.select(F.col(c).alias("v")), "v", [0.5])[0]
     lo = st["lo"] if lo is None else float(lo)
     hi = st["hi"] if hi is None else float(hi)
     spark = df.sparkSession

@@ -57,7 +57,11 @@ def mann_whitney_stats(df: DataFrame, cond_a: Column, cond_b: Column, measure: s
     long = _two_sample_long(df, cond_a, cond_b, measure)
     gv = group_value_counts(long)
     per_group = rank_sums(gv)
-    desc = long.groupBy("g").agg(F.avg("v").alias("mean"), F.median("v").cast("double").alias("median"))
+    # medians are exact order statistics from the distributed rank tables (no per-group value map)
+    from panelspark.operators.ranks import quantiles_exact
+    med = {s: quantiles_exact(long.where(F.col("g") == s).select("v"), "v", [0.5])[0] for s in ("a", "b")}
+    median = F.when(F.col("g") == "a", F.lit(med["a"])).otherwise(F.lit(med["b"])).cast("double")
+    desc = long.groupBy("g").agg(F.avg("v").alias("mean")).withColumn("median", median)
     pg = per_group.join(desc, "g")
     row = pg.agg(
         *[F.max(F.when(F.col("g") == s, F.col(c))).alias(f"{c}_{s}")

@@ -251,3 +251,43 @@ def line_fit_by_member(df: DataFrame, flag_to_label: dict[str, str], x: str, y:
     from panelspark.operators.aggregate import explode_members
     long = explode_members(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), flag_to_label, keep=[x, y])
     return line_fit(long, x, y, by=["member"]).where(F.col("n") >= min_n)
+
+
+def quantiles_exact(df: DataFrame, c: str, qs: Sequence[float], high_cardinality: bool | None = None) -> list:
+    """Exact quantiles with linear interpolation (position (n - 1) q, as pandas / SQL
+    ``quantile_cont``), read off the distributed running counts of the value-count table.
+
+    Only the (at most 2 per quantile) order statistics needed come back to the driver, so no task
+    ever holds all distinct values of the column -- unlike an exact ``percentile`` aggregate.
+    Returns ``None`` entries when the column has no non-null value.
+    """
+    rt = rank_table(df.select(c), c, high_cardinality=high_cardinality)
+    n = rt.agg(F.sum("cnt")).first()[0] or 0
+    if n == 0:
+        return [None for _ in qs]
+    positions = set()
+    for q in qs:
+        h = (n - 1) * float(q)
+        lo = int(h)
+        positions.update({lo, min(lo + 1, n - 1)})
+    cond = None
+    for p in sorted(positions):
+        hit = (F.col("before") <= p) & (F.lit(p) < F.col("before") + F.col("cnt"))
+        cond = hit if cond is None else cond | hit
+    found = rt.where(cond).select(c, "before", "cnt").collect()
+
+    def value_at(p):
+        for r in found:
+            if r["before"] <= p < r["before"] + r["cnt"]:
+                return float(r[c])
+        raise AssertionError("order statistic not found")
+
+    out = []
+    for q in qs:
+        h = (n - 1) * float(q)
+        lo = int(h)
+        frac = h - lo
+        v_lo = value_at(lo)
+        v_hi = value_at(min(lo + 1, n - 1))
+        out.append(v_lo + (v_hi - v_lo) * frac)
+    return out
