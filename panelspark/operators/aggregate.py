@@ -173,11 +173,18 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
                  F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     row = df.agg(*aggs).first()
+    from panelspark.operators.ranks import _is_small_domain, quantiles_exact_small
+    small = [c for c in cols if _is_small_domain(df, c)]
+    qs_small = quantiles_exact_small(df, small, [0.25, 0.5, 0.75],
+                                     {c: row[f"n{i}"] for i, c in enumerate(cols) if c in small}) if small else {}
     out = []
     for i, c in enumerate(cols):
         if not row[f"n{i}"]:
             continue
-        q1, q2, q3 = quantiles_exact(df.select(c), c, [0.25, 0.5, 0.75])
+        if c in qs_small:
+            q1, q2, q3 = qs_small[c]
+        else:
+            q1, q2, q3 = quantiles_exact(df.select(c), c, [0.25, 0.5, 0.75])
         out.append((c, int(row[f"n{i}"]), row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"], q1, q2, q3, row[f"hi{i}"]))
     return local_table(df.sparkSession, out, "column string, count long, mean double, std double, min double, "
                                               "p25 double, p50 double, p75 double, max double")

@@ -291,3 +291,49 @@ def quantiles_exact(df: DataFrame, c: str, qs: Sequence[float], high_cardinality
         v_hi = value_at(min(lo + 1, n - 1))
         out.append(v_lo + (v_hi - v_lo) * frac)
     return out
+
+
+def quantiles_exact_small(df: DataFrame, cols: Sequence[str], qs: Sequence[float], counts: dict) -> dict:
+    """``quantiles_exact`` for several small-domain columns at once: one long-form rank table
+    (window per column over its few distinct values) and one collect of the needed order
+    statistics.  ``counts`` gives each column's non-null count."""
+    rt = rank_table(long_values(df, cols), "v", by=["col"])
+    need = {}
+    cond = None
+    for c in cols:
+        n = counts.get(c) or 0
+        if n == 0:
+            continue
+        ps = set()
+        for q in qs:
+            lo = int((n - 1) * float(q))
+            ps.update({lo, min(lo + 1, n - 1)})
+        need[c] = ps
+        for p in ps:
+            hit = (F.col("col") == c) & (F.col("before") <= p) & (F.lit(p) < F.col("before") + F.col("cnt"))
+            cond = hit if cond is None else cond | hit
+    if cond is None:
+        return {c: [None for _ in qs] for c in cols}
+    found = rt.where(cond).select("col", "v", "before", "cnt").collect()
+    out = {}
+    for c in cols:
+        n = counts.get(c) or 0
+        if n == 0:
+            out[c] = [None for _ in qs]
+            continue
+        rows_c = [r for r in found if r["col"] == c]
+
+        def value_at(p, rows_c=rows_c):
+            for r in rows_c:
+                if r["before"] <= p < r["before"] + r["cnt"]:
+                    return float(r["v"])
+            raise AssertionError("order statistic not found")
+
+        vals = []
+        for q in qs:
+            h = (n - 1) * float(q)
+            lo = int(h)
+            v_lo, v_hi = value_at(lo), value_at(min(lo + 1, n - 1))
+            vals.append(v_lo + (v_hi - v_lo) * (h - lo))
+        out[c] = vals
+    return out
