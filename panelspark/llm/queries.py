@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, token_store
+from . import exact_dedup, lm_scoring, mixing, packing, quality, substring_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,4 +53,43 @@ def op8(spark, sf_dir):
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-__all__ = ["ORACLES", "QUERIES", "zlib"]
+@register("op4_flow_mixing")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    taken, sources = mixing.mix_sources(docs, F.array("source"))
+    one = taken.withColumn("name", F.col("members")[0])
+    # the sources are as many as the mixture names
+    joined = one.join(F.broadcast(sources), one["name"].eqNullSafe(sources["name"]))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"))
+
+
+@register("op6_retrieval_packing")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.with_crc(packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1))
+
+
+@register("op10_subword_quality")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.fit(docs, labels, learnable=crc_of_id("label_id") % 3 != 1)
+    rows = quality.scored(docs, model)
+    return rows.select("doc_id", (crc_of_id() % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op3_deleted_interpolation")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = crc_of_id() % 10
+    return lm_scoring.score_documents(docs, held_out=part == 0, deleted=part == 1)
+
+
+@register("op9_super_kmer_dedup")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = substring_dedup.drop_repeated_substrings(docs)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -32,7 +32,7 @@ from .common import shuffle_width, small_batches, stage, text_buffers
 from .tokens import encoder
 
 MAGIC = b"WAVELET1"
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 _HEAD = struct.Struct("<8s7q")
 _STEP = 512
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint8)

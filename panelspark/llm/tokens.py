@@ -36,8 +36,8 @@ _OTHERS = [b for b in range(256) if b not in set(_PRINTABLE)]
 _LETTERS = np.arange(256, dtype="<u2")
 _LETTERS[_OTHERS] = np.arange(256, 256 + len(_OTHERS))
 _LETTERS[0] = 0
-_MAX_UNITS = 1_500_000
-_MAX_PIECES = 600_000
+_MAX_UNITS = 600_000
+_MAX_PIECES = 200_000
 
 
 class Encoder:
