@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm_scoring, mixing, packing, quality, substring_dedup, token_store
+from . import exact_dedup, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,4 +92,9 @@ def op9(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@register("op5_jaccard_prefixes")
+def op5(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))[0]
+
+
 __all__ = ["ORACLES", "QUERIES"]
