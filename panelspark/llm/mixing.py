@@ -179,3 +179,16 @@ def _last_pass(rows: DataFrame, quotas: DataFrame) -> DataFrame:
     others = rows.where(~near).withColumn("extra", F.coalesce(F.col("bucket") <= F.col("cut"), F.lit(False)))
     parsed = F.from_json("pattern", "m array<string>")["m"]
     return others.select(*columns).unionByName(tail.select(*columns)).withColumn("members", parsed)
+
+
+def mixed_documents(docs: DataFrame, sources: Column, **options) -> DataFrame:
+    """The documents with their own columns, each as many times as the mix takes it; ids are expected to be unique."""
+    taken, _ = mix_sources(docs, sources, **options)
+    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__members", F.to_json(F.struct(
+        F.array_sort(F.array_distinct(sources.cast("array<string>"))).alias("m")), {"ignoreNullFields": "false"}))
+    taken = taken.where("passes > 0").select(F.col("doc_id").alias("__id"), F.to_json(F.struct(F.col("members").alias("m")), {"ignoreNullFields": "false"}).alias("__members"),
+                                            F.col("passes").cast("int").alias("__passes"))
+    # rows that repeat an id share its passes: each of them stands once
+    taken = taken.groupBy("__id", "__members").agg(F.max("__passes").alias("__passes"))
+    joined = rows.join(taken, rows["__id"].eqNullSafe(taken["__id"]) & (rows["__members"] == taken["__members"])).drop("__id", "__members")
+    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__passes")))).drop("__n", "__passes")

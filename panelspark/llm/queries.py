@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, token_store
+from . import embedding_neardup, exact_dedup, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,4 +97,9 @@ def op5(spark, sf_dir):
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))[0]
 
 
+@register("op2_projection_forest")
+def op2(spark, sf_dir):
+    return embedding_neardup.near_duplicate_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
