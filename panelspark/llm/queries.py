@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_neardup, exact_dedup, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, token_store
+from . import embedding_neardup, exact_dedup, html_extract, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,4 +102,9 @@ def op2(spark, sf_dir):
     return embedding_neardup.near_duplicate_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+@register("op7_html_tree_model")
+def op7(spark, sf_dir):
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
