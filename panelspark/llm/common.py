@@ -6,6 +6,7 @@ All hashing works on UTF-8 bytes, 64 bits wide, without per-word Python.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,11 +21,19 @@ _MASK = (1 << 64) - 1
 
 # ---------------------------------------------------------------------------------------------- session
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; sessions must name one in ``spark.checkpoint.dir``."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        # one process, as in tests: any folder is shared
+        path = _local.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="panelspark-shared-")
+        _local[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 

@@ -172,6 +172,10 @@ def _last_pass(rows: DataFrame, quotas: DataFrame) -> DataFrame:
         for size in group["size"]:
             extra.append(0 < size <= room)
             room -= size if extra[-1] else 0
+        # what is left may be nearer to one more document than to none
+        over = [(abs(room - size), k) for k, size in enumerate(group["size"]) if size and not extra[k]]
+        if over and min(over)[0] < room:
+            extra[min(over)[1]] = True
         return group.assign(extra=extra)[["pattern", "doc_id", "size", "whole", "extra"]]
 
     columns = ["pattern", "doc_id", "size", "whole", "extra"]
