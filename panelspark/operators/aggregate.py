@@ -174,12 +174,13 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                  F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     row = df.agg(*aggs).first()
     from panelspark.operators.ranks import _is_small_domain, quantiles_exact_small
-    small = [c for c in cols if _is_small_domain(df, c)]
+    small = [c for i, c in enumerate(cols) if row[f"n{i}"] and _is_small_domain(df, c)]
     qs_small = quantiles_exact_small(df, small, [0.25, 0.5, 0.75],
                                      {c: row[f"n{i}"] for i, c in enumerate(cols) if c in small}) if small else {}
     out = []
     for i, c in enumerate(cols):
         if not row[f"n{i}"]:
+            out.append((c, 0, *[None] * 7))
             continue
         if c in qs_small:
             q1, q2, q3 = qs_small[c]

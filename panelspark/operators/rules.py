@@ -68,8 +68,8 @@ def dashboard_items() -> dict[str, Column]:
 def report_items() -> dict[str, Column]:
     """R1, report variant: 6 items."""
     d = dashboard_items()
-    return {k: d[k] for k in ["High_Engagement", "ContentQuality_Trust", "High_Interest", "Made_Purchase",
-                              "High_AdClick", "Motiv_Reviews"]}
+    return {k: d[k] for k in ["High_Engagement", "ContentQuality_Trust", "High_Interest", "High_Satisfaction",
+                              "Made_Purchase", "High_TimeSpent"]}
 
 
 def transaction_items(df: DataFrame, items: Mapping[str, Column], keep: Sequence[str] = ("id",)) -> DataFrame:

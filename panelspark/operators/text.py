@@ -25,7 +25,7 @@ def raw_tokens(text: Column, separators: str | None = None) -> Column:
 
 def clean_token(tok: Column) -> Column:
     """A trailing possessive ``'s`` removed (per-token column expression, codegen-friendly)."""
-    return F.when(tok.endswith("'s"), F.expr("substring({0}, 1, length({0}) - 2)".format("__tok"))).otherwise(tok)
+    return F.when(tok.endswith("'s"), tok.substr(F.lit(1), F.length(tok) - 2)).otherwise(tok)
 
 
 def is_term(tok: Column) -> Column:

@@ -155,13 +155,13 @@ def q_forest_importance_ad(spark, sf_dir):
 @register("forest_cv_auc_ad")
 def q_forest_cv_auc_ad(spark, sf_dir):
     return rounded(M.forest_cv_auc(encoded(spark, sf_dir), FEATURES_AD_LEAK_FREE, "high_ad_responsive",
-                                   k=5, trees=20, depth=5))
+                                   k=5, trees=100, depth=5))
 
 
 @register("kmeans_profile")
 def q_kmeans_profile(spark, sf_dir):
     enc = encoded(spark, sf_dir)
-    assigned, _, _, _ = K.kmeans(enc, CLUSTER_FEATURES, k=3, n_init=3,
+    assigned, _, _, _ = K.kmeans(enc, CLUSTER_FEATURES, k=3, n_init=10,
                                  keep=("id", "made_purchase", "high_ad_responsive"))
     return rounded(K.name_clusters(K.cluster_profile(assigned)))
 
@@ -169,19 +169,19 @@ def q_kmeans_profile(spark, sf_dir):
 @register("kmeans_centers")
 def q_kmeans_centers(spark, sf_dir):
     enc = encoded(spark, sf_dir)
-    _, centers, stats, _ = K.kmeans(enc, CLUSTER_FEATURES, k=3, n_init=3)
+    _, centers, stats, _ = K.kmeans(enc, CLUSTER_FEATURES, k=3, n_init=10)
     return rounded(K.centers_original_scale(spark, centers, CLUSTER_FEATURES, stats))
 
 
 @register("kmeans_scan")
 def q_kmeans_scan(spark, sf_dir):
-    return rounded(K.k_scan(encoded(spark, sf_dir), CLUSTER_FEATURES, ks=range(2, 5), n_init=2))
+    return rounded(K.k_scan(encoded(spark, sf_dir), CLUSTER_FEATURES, ks=range(2, 8), n_init=10))
 
 
 @register("embedding_clusters")
 def q_embedding_clusters(spark, sf_dir):
     emb, cols = _embedding_columns(spark, sf_dir)
-    assigned, _, _, _ = K.kmeans(emb, cols, k=4, n_init=2, keep=("id", "label"))
+    assigned, _, _, _ = K.kmeans(emb, cols, k=4, n_init=10, keep=("id", "label"))
     return assigned.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
 
 

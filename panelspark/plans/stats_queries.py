@@ -131,7 +131,8 @@ def q_spearman_matrix(spark, sf_dir):
     return rounded(RK.spearman_matrix(encoded(spark, sf_dir), _CORR_COLS))
 
 
-_PAIR_COLS = ["spending_ord", "engagement_ord", "satisfaction_score", "purchase_ord"]
+_PAIR_COLS = ["spending_ord", "daily_time_ord", "engagement_ord", "product_interest_score",
+              "purchase_ord", "satisfaction_score", "ad_click_ord", "retargeting_score"]
 
 
 def _pairwise_sql() -> str:
@@ -178,8 +179,9 @@ def q_spearman_tests(spark, sf_dir):
     from panelspark.functions.encode import label_strength
     from panelspark.functions.pvalues import t_survival
     base = _spearman_vs_purchase(spark, sf_dir)
-    t = F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
-    out = base.withColumn("p_value", 2 * t_survival(F.abs(t), F.col("n") - 2))
+    t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))
+    p = F.when(F.col("n") < 3, F.lit(None)).when(F.abs("rho") >= 1, F.lit(0.0)).otherwise(2 * t_survival(F.abs(t), F.col("n") - 2))
+    out = base.withColumn("p_value", p)
     return rounded(out.withColumn("strength", label_strength("rho", S.RHO_CUTS, ["Strong", "Moderate", "Weak"])))
 
 

@@ -52,11 +52,25 @@ def q_renamed_questions(spark, sf_dir):
     return short.select("id", *[F.col(k).alias(v) for k, v in inverse.items()])
 
 
-@register("preview_rows", with_responses(
-    "SELECT id, " + ", ".join(S.PREVIEW_COLUMNS) + " FROM responses ORDER BY id LIMIT 50"))
+@register("preview_rows", with_enc("""
+SELECT id, age_group, gender, spending, trust_factor, purchase_freq, engagement_freq,
+       preferred_ad_format, satisfaction_score, made_purchase
+FROM enc WHERE age_group IS NOT NULL ORDER BY id LIMIT 50"""))
 def q_preview_rows(spark, sf_dir):
-    from panelspark.sources.responses import responses
-    return preview(responses(spark, sf_dir), ["id"] + S.PREVIEW_COLUMNS, n=50, order_by="id")
+    """S8 on the encoded table; the SQL spells its columns out, so a wrong list shows."""
+    rows = encoded(spark, sf_dir).where(F.col("age_group").isNotNull())
+    return preview(rows, ["id"] + S.PREVIEW_COLUMNS, n=50, order_by="id")
+
+
+@register("export_rows", with_enc("""
+SELECT id, age_group, gender, spending, platforms, daily_time, follows_influencers, trust_factor,
+       engagement_freq, product_interest_score, purchase_freq, satisfaction_score, ad_click_freq,
+       ad_influenced, retargeting_score, preferred_ad_format, purchase_ord, engagement_ord,
+       spending_ord, made_purchase, high_ad_responsive
+FROM enc"""))
+def q_export_rows(spark, sf_dir):
+    """The rows and columns of the CSV export."""
+    return encoded(spark, sf_dir).select("id", *S.EXPORT_COLUMNS)
 
 
 # -- A15 cohort summary (flagship) -----------------------------------------------------------

@@ -14,6 +14,12 @@ from __future__ import annotations
 
 # Question text -> short column name.
 QUESTION_ALIASES = {
+    "ID": "id",
+    "Start time": "start_time",
+    "Completion time": "end_time",
+    "Email": "email",
+    "Name": "name",
+    "Last modified time": "modified_time",
     "Age Group": "age_group",
     "Gender": "gender",
     "Average Monthly Online Spending (₹)": "spending",
@@ -136,14 +142,15 @@ NUMERIC_FEATURES = [
 ]
 # Columns written by the filtered-rows export.
 EXPORT_COLUMNS = [
-    "id", "age_group", "gender", "spending", "platforms", "daily_time", "follows_influencers",
-    "content_type", "trust_factor", "engagement_freq", "product_interest_score", "searched_product",
-    "purchase_freq", "purchase_motivation", "satisfaction_score", "ad_click_freq", "ad_influenced",
-    "retargeting_score", "preferred_ad_format", "made_purchase",
+    "age_group", "gender", "spending", "platforms", "daily_time", "follows_influencers",
+    "trust_factor", "engagement_freq", "product_interest_score", "purchase_freq",
+    "satisfaction_score", "ad_click_freq", "ad_influenced", "retargeting_score",
+    "preferred_ad_format", "purchase_ord", "engagement_ord", "spending_ord", "made_purchase",
+    "high_ad_responsive",
 ]
 PREVIEW_COLUMNS = [
-    "age_group", "gender", "spending", "platforms", "trust_factor", "engagement_freq",
-    "purchase_freq", "satisfaction_score", "preferred_ad_format",
+    "age_group", "gender", "spending", "trust_factor", "purchase_freq", "engagement_freq",
+    "preferred_ad_format", "satisfaction_score", "made_purchase",
 ]
 
 # English stop words used by the term-frequency report (a small common list).

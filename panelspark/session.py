@@ -41,8 +41,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
-    Reads ``spark.checkpoint.dir`` from the session (a cluster names a shared folder there). Only
-    when it is unset -- local tests -- a fresh scratch folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session. Where it is unset, a local master (one process,
+    as in tests) gets a scratch folder, and a cluster an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -51,6 +51,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc_dir = spark.sparkContext.getCheckpointDir()
     if sc_dir:
         return sc_dir
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="panelspark-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
