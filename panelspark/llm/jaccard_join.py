@@ -9,9 +9,11 @@ documents' ``l``.
 
 Plan: (1) n-grams are counted bucket by bucket from packed hashes; an n-gram of a single document cannot be shared, so
 only documents with enough n-grams that occur elsewhere go on.  (2) Equal sets become one.  (3) Each document is verified
-against the candidate that shares most prefix n-grams with it among the least documents of its posting lists; links found
-so make components, which near-copies of one text fill at once.  (4) All remaining candidate pairs, those between
-different components, are counted, filtered by ``l`` and verified.  No link between components is lost, and a group of
+against the candidate that shares most prefix n-grams with it among the leaders of its posting lists (first the most
+central document of a list, then one drawn by hash, in ``ROUNDS`` rounds); links found so make components, which
+near-copies of one text fill at once.  (4) All remaining candidate pairs, those between
+different components, are found list by list: the shared prefix n-grams of its documents are counted in blocks, and only
+pairs that share enough are handed on and verified.  No link between components is lost, and a group of
 thousands of near copies is not expanded into all pairs.
 
 N-grams are told apart by 64-bit hashes, of which 48 bits and the bucket travel.  Edge cases: null and empty texts have
@@ -37,8 +39,10 @@ from .graph import components
 N = 5
 PERCENT = 75
 LONGEST = 12     # largest l that is tried
+ROUNDS = 2       # rounds of leaders before all remaining pairs
 VERIFY = 20.0    # cost of verifying a candidate, in posting reads
 CHUNK_BYTES = 6 << 20
+BLOCK = 1024     # rows of a posting list that one group compares
 NO_ID = -2**63
 _LOW = U((1 << 48) - 1)
 
@@ -199,13 +203,68 @@ def choose_prefix(size: int, df: np.ndarray) -> tuple[int, int]:
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [[], [], [], []]
+        columns = [[], [], [], [], [], []]
         for doc, size, tokens, df in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_shingles", "tokens", "df"))):
             match, held = choose_prefix(size, np.frombuffer(df, np.uint32))
             columns[0].append(np.frombuffer(tokens, np.int64)[:held])
-            for k, v in ((1, doc), (2, size), (3, match)):
+            centre = int(1000 * np.frombuffer(df, np.uint32).sum(dtype=np.int64) // size)
+            for k, v in ((1, doc), (2, size), (3, match), (4, centre), (5, len(tokens) // 8 - held)):
                 columns[k].append(np.full(held, v, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["token", "doc_id", "size", "match"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["token", "doc_id", "size", "match", "centre", "rest"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of every document's prefix, 32 bits each: a collision can only make a pair a candidate."""
+    for batch in batches:
+        out = []
+        for size, tokens, df in zip(*(batch.column(c).to_pylist() for c in ("n_shingles", "tokens", "df"))):
+            _, held = choose_prefix(size, np.frombuffer(df, np.uint32))
+            out.append(np.frombuffer(tokens, U)[:held].astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["prefix_of", "prefix"])
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """Pairs of different components that share enough of their prefixes, each in the first list that both are in.
+
+    The k-th of O shared n-grams lies within the first ``size - O + k`` of either set, so a pair at the threshold shares
+    at least O less the larger number of n-grams beyond a prefix, and no less than the smaller ``l``."""
+    token, doc, size, match, rest, component, block = (np.asarray(table.column(c)) for c in ("token", "doc_id", "size", "match", "rest", "component", "block"))
+    prefix = table.column("prefix").to_pylist()
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    order = np.argsort(token, kind="stable")
+    cuts = group_starts(token[order])
+    out = []
+    for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist()):
+        at = order[lo:hi]
+        if (component[at] == component[at[0]]).all():
+            continue
+        grams = [np.frombuffer(prefix[k], np.uint32) for k in at]
+        values, which = np.unique(np.concatenate(grams), return_inverse=True)
+        owner = np.repeat(np.arange(len(at)), [len(g) for g in grams])
+        used = np.bincount(which, minlength=len(values)) > 1  # n-grams of one row add nothing
+        column = np.cumsum(used) - 1
+        has = np.zeros((len(at), int(used.sum())), np.float32)
+        has[owner[used[which]], column[which[used[which]]]] = 1
+        left, right = np.flatnonzero(block[at] == i), np.flatnonzero(block[at] == j)
+        mine = int(np.searchsorted(values, np.uint32(int(token[at[0]]) & 0xFFFFFFFF)))
+        mine = int(column[mine])
+        for start in range(0, len(left), 256):
+            x = left[start: start + 256]
+            shared = has[x] @ has[right].T
+            a, b = at[x][:, None], at[right][None, :]
+            need = (PERCENT * (size[a] + size[b]) + 99 + PERCENT) // (100 + PERCENT) - np.maximum(rest[a], rest[b])
+            fits = (shared >= np.maximum(need, np.minimum(match[a], match[b]))) & (component[a] != component[b]) & (
+                100 * np.minimum(size[a], size[b]) >= PERCENT * np.maximum(size[a], size[b]))
+            p, q = np.nonzero(fits)
+            p, q = x[p], right[q]
+            if i == j:
+                p, q = p[p < q], q[p < q]
+            if len(p) and mine:
+                first = ~((has[p, :mine] > 0) & (has[q, :mine] > 0)).any(1)
+                p, q = p[first], q[first]
+            out.append(np.stack([doc[at[p]], doc[at[q]]], 1))
+    rows = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+    return pa.table({"a": rows.min(1) if len(rows) else rows[:, 0], "b": rows.max(1) if len(rows) else rows[:, 1]})
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,26 +296,36 @@ def near_duplicates(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
     # equal sets of different chunks become one
     least = sets.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     sets = stage(sets.join(least, ["sig", "doc_id"], "left_semi").dropDuplicates(["doc_id"]), "jaccard-sets")
-    postings = stage(sets.mapInArrow(_postings, "token long, doc_id long, size long, match long"), "jaccard-postings")
-
-    leader = postings.groupBy("token").agg(F.min("doc_id").alias("leader"))
-    near = postings.join(leader, "token").where("leader != doc_id").groupBy("doc_id", "leader").count()
-    best = near.groupBy("doc_id").agg(F.max(F.struct("count", -F.col("leader"))).alias("best"))
-    pairs = best.select(F.col("doc_id").alias("a"), (-F.col("best")["col2"]).alias("b"))
-    first = stage(_links(pairs, sets), "jaccard-links")
-    groups = components(first, "jaccard-components")
-    labelled = postings.join(groups, postings["doc_id"] == groups["node"], "left").select(
-        "token", "doc_id", "size", "match", F.coalesce("component", "doc_id").alias("component"))
-    labelled = stage(labelled, "jaccard-labelled")
-    # lists that lie in one component have no pair left
-    open_ = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    labelled = labelled.join(open_, "token", "left_semi")
-    side = lambda x: labelled.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "size", "match", "component")))
-    fits = (F.col("component_a") < F.col("component_b")) & (100 * F.least("size_a", "size_b") >= PERCENT * F.greatest("size_a", "size_b"))
-    counted = side("a").join(side("b"), "token").where(fits).groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(
-        F.count("*").alias("shared"), F.min(F.least("match_a", "match_b")).alias("match"))
-    more = _links(counted.where("shared >= match").select("a", "b"), sets)
-    links = stage(first.unionByName(more), "jaccard-links")
+    postings = stage(sets.mapInArrow(_postings, "token long, doc_id long, size long, match long, centre long, rest long"), "jaccard-postings")
+
+    labelled, links = postings.withColumn("component", F.col("doc_id")), None
+    for seed in range(ROUNDS):
+        # the first leader of a list is its most central text, which a group of near copies resembles; later ones are drawn
+        rank = F.col("centre") if seed == 0 else F.xxhash64("doc_id", F.lit(seed))
+        head = F.max(F.struct(rank.alias("rank"), (-F.col("doc_id")).alias("least"), "component")).alias("head")
+        heads = labelled.groupBy("token").agg(head, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+        heads = heads.select("token", (-F.col("head.least")).alias("leader"), F.col("head.component").alias("of"))
+        near = labelled.join(heads, "token").where("component != of").groupBy("doc_id", "leader").count()
+        best = near.groupBy("doc_id").agg(F.max(F.struct("count", (-F.col("leader")).alias("least"))).alias("best"))
+        found = _links(best.select(F.col("doc_id").alias("a"), (-F.col("best.least")).alias("b")), sets)
+        links = stage(found if links is None else links.unionByName(found), "jaccard-links")
+        groups = components(links, "jaccard-components")
+        labelled = stage(postings.join(groups, postings["doc_id"] == groups["node"], "left").select(
+            *postings.columns, F.coalesce("component", "doc_id").alias("component")), "jaccard-labelled")
+    # lists that lie in one component have no pair left; longer ones are compared in pairs of blocks
+    lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    open_ = labelled.drop("centre").join(lists.select("token", blocks.alias("blocks")), "token")
+    prefixes = sets.mapInArrow(_prefixes, "prefix_of long, prefix binary")
+    open_ = open_.join(prefixes, F.col("doc_id") == F.col("prefix_of")).drop("prefix_of")
+    open_ = open_.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = open_.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
+    # short lists share a group, each long one has groups of its own
+    long_list = F.col("blocks") > 1
+    open_ = open_.withColumn("bucket", F.when(long_list, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), F.lit(buckets)))).withColumn("long", long_list)
+    pairs = open_.drop("blocks", "with").groupBy("long", "bucket", "i", "j").applyInArrow(_candidates, "a long, b long")
+    more = _links(pairs.distinct(), sets)
+    links = stage(links.unionByName(more), "jaccard-links")
     groups = components(links, "jaccard-components")
 
     reps = digests.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
