@@ -41,7 +41,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
-    return packing.with_crc(packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1))
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, crc=True)
 
 
 STAGES = [("quality_filter", quality_filter), ("exact_copies", exact_copies), ("near_copies", near_copies),

@@ -16,6 +16,7 @@ shard of their own; an empty table gives no piece; extra columns are ignored; a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -68,11 +69,20 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.docs, self.weights = doc[order], weight[order].astype(np.float32)
         self.begin = np.concatenate(([0], np.cumsum(df)))
+        # terms that a quarter of the tails hold have a row with every tail, at most four times as wide as their postings
+        common = np.flatnonzero(df * 4 >= n)
+        self.row = np.full(len(df), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n), np.float32)
+        at = ranges(self.begin[common], df[common])
+        self.rows[np.repeat(np.arange(len(common)), df[common]), self.docs[at]] = self.weights[at]
 
     def scores(self, i: int) -> np.ndarray:
         terms = self.terms[self.first[i]: self.first[i + 1]]
-        at = ranges(self.begin[terms], self.begin[terms + 1] - self.begin[terms])
-        return np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n)
+        row = self.row[terms]
+        common, rare = row[row >= 0], terms[row < 0]
+        at = ranges(self.begin[rare], self.begin[rare + 1] - self.begin[rare])
+        return np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n) + self.rows[common].sum(0)
 
 
 def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -91,8 +101,9 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
     if not len(here):
         return pieces
     index = Index([docs[i][at[i]:] for i in here])
-    left, at = left[here], at[here]
     total = int(left.sum())
+    unused = np.ones(len(here), bool)
+    left, at, here = left[here].tolist(), at[here].tolist(), here.tolist()
     for seed in range(len(here)):
         while left[seed]:
             if total < window:  # what remains of the shard: lengths that are powers of two
@@ -109,25 +120,26 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
                     else:
                         if order is None:
                             score = index.scores(seed)
-                            open_ = np.flatnonzero(left)
-                            order = open_[np.lexsort((open_, -score[open_]))].tolist()
-                        order = [j for j in order if left[j]]
-                        j = next((j for j in order[:64] if left[j] <= space), order[0])
-                    take = min(space, int(left[j]))
-                    pieces.append((int(here[j]), int(at[j]), take, sequence, offset))
+                            open_ = np.flatnonzero(unused)
+                            order = open_[np.argsort(-score[open_], kind="stable")].tolist()
+                        k = next((k for k, j in enumerate(order[:64]) if left[j] <= space), 0)
+                        j = order.pop(k) if left[order[k]] <= space else order[k]
+                    take = min(space, left[j])
+                    pieces.append((here[j], at[j], take, sequence, offset))
                     at[j] += take
                     left[j] -= take
+                    unused[j] = left[j] > 0
                     total -= take
                     offset += take
                 sequence += 1
     return pieces
 
 
-_OUT = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")]
-                    + [T.StructField("ids", T.BinaryType())])
+_OUT = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")])
+_IDS, _CRC = T.StructField("ids", T.BinaryType()), T.StructField("ids_crc32", T.LongType())
 
 
-def _pack(window: int):
+def _pack(window: int, crc: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         sequence = TaskContext.get().partitionId() << 40
@@ -141,10 +153,12 @@ def _pack(window: int):
             for a in range(0, len(pieces), 4096):
                 part = pieces[a: a + 4096]
                 number = lambda k: pa.array([p[k] for p in part], pa.int64())
+                own = (ids[p[0]][p[1]: p[1] + p[2]].astype("<u4") for p in part)
+                last = pa.array([crc32(x) for x in own], pa.int64()) if crc else pa.array([x.tobytes() for x in own], pa.binary())
                 yield pa.RecordBatch.from_arrays([
                     pa.array([docs[p[0]] for p in part], pa.int64()), number(1), number(2),
                     pa.array([len(ids[p[0]]) for p in part], pa.int64()), pa.array([sequence + p[3] for p in part], pa.int64()), number(4),
-                    pa.array([ids[p[0]][p[1]: p[1] + p[2]].astype("<u4").tobytes() for p in part], pa.binary())], names=[f.name for f in _OUT])
+                    last], names=[*_OUT.names, (_CRC if crc else _IDS).name])
             sequence += max(p[3] for p in pieces) + 1
             held = 0
             ids.clear()
@@ -164,25 +178,11 @@ def _pack(window: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -> DataFrame:
-    """Pieces of all documents: ``doc_id, start, length, doc_tokens, sequence_id, offset`` and their ``ids`` (uint32)."""
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, crc: bool = False) -> DataFrame:
+    """Pieces of all documents: ``doc_id, start, length, doc_tokens, sequence_id, offset`` and their ``ids`` (uint32).
+
+    With ``crc``, the unsigned crc32 of those ids (``ids_crc32``) stands in place of them."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     coded = stage(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, low long, n_tokens long, ids binary"), "packing-ids")
     dealt = coded.repartitionByRange(shuffle_width(docs.sparkSession), "low", "doc_id").sortWithinPartitions("low", "doc_id", "n_tokens")
-    return dealt.select("doc_id", "ids").mapInArrow(_pack(window), _OUT)
-
-
-def with_crc(pieces: DataFrame) -> DataFrame:
-    """The pieces with the unsigned crc32 of their ids in place of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from zlib import crc32
-        for batch in batches:
-            data, at = text_buffers(batch.column("ids"))
-            raw = memoryview(data)
-            crcs = pa.array([crc32(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.int64())
-            keep = [k for k, n in enumerate(batch.schema.names) if n != "ids"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), crcs], names=[*(batch.schema.names[k] for k in keep), "ids_crc32"])
-
-    fields = [f for f in pieces.schema.fields if f.name != "ids"]
-    return pieces.mapInArrow(run, T.StructType([*fields, T.StructField("ids_crc32", T.LongType())]))
+    return dealt.select("doc_id", "ids").mapInArrow(_pack(window, crc), T.StructType([*_OUT, _CRC if crc else _IDS]))

@@ -66,7 +66,7 @@ def op4(spark, sf_dir):
 @register("op6_retrieval_packing")
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.with_crc(packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1))
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, crc=True)
 
 
 @register("op10_subword_quality")

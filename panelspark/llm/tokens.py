@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 import regex
 
-from .common import ranges, span_hashes
+from .common import group_starts, ranges, span_hashes
 
 _WHITE_RUN = re.compile(r"\s\s")
 _LATIN = re.compile(r"[\x00-ɏ]*")
@@ -78,13 +78,16 @@ class Encoder:
             known[piece] = array(code, [t.id for t in tokenize(spelt)]).tobytes()
         gc.enable()
 
-    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, bytes]:
-        """Number of ids and ids of units never seen; only their distinct pieces reach the model."""
-        joined = _SEP.join(units)
+    def _encode_units(self, raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """Number of ids and ids of units never seen, in text order; only their distinct pieces reach the model."""
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[starts] += 1
+        edge[ends] -= 1
+        joined = np.insert(data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)], np.cumsum(ends - starts)[:-1], 0).tobytes().decode("utf-8", "replace")
         odd = []
-        if _LATIN.fullmatch(joined) is None or joined.count(_SEP) != len(units) - 1 or (self.added and self.added.search(joined)):
+        if _LATIN.fullmatch(joined) is None or joined.count(_SEP) != len(starts) - 1 or (self.added and self.added.search(joined)):
+            units = [raw[i:j].decode("utf-8", "replace") for i, j in zip(starts.tolist(), ends.tolist())]
             odd = [k for k, u in enumerate(units) if _SEP in u or not _LATIN.fullmatch(u) or (self.added and self.added.search(u))]
-            units = list(units)
             whole = {k: self.encode_text(units[k]) for k in odd}
             for k in odd:
                 units[k] = ""
@@ -93,17 +96,17 @@ class Encoder:
             joined = unicodedata.normalize("NFC", joined).lower()
         pieces = self.pieces.findall(joined)
         if len(self.known) > _MAX_PIECES:
-            self.known.clear()
+            self.known = {p: self.known[p] for p in set(pieces) if p in self.known}
         self.known[_SEP] = b""
         self._encode_pieces([p for p in set(pieces) if p not in self.known])
         coded = list(map(self.known.__getitem__, pieces))
-        cuts = np.flatnonzero(np.fromiter((p == _SEP for p in pieces), bool, len(pieces)))
+        cuts = np.flatnonzero(np.fromiter(map(_SEP.__eq__, pieces), bool, len(pieces)))
         sums = np.concatenate(([0], np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))))) // np.dtype(self.dtype).itemsize
         lengths = np.diff(np.concatenate(([0], sums[cuts], [sums[-1]])))
         ids = b"".join(coded)
         if odd:
             flat, ends = np.frombuffer(ids, self.dtype), np.cumsum(lengths)
-            parts = [whole[k] if k in whole else flat[ends[k] - lengths[k]: ends[k]] for k in range(len(units))]
+            parts = [whole[k] if k in whole else flat[ends[k] - lengths[k]: ends[k]] for k in range(len(starts))]
             return np.array([len(x) for x in parts], np.int64), np.concatenate(parts).tobytes()
         return lengths, ids
 
@@ -120,14 +123,19 @@ class Encoder:
         starts = np.flatnonzero(cut | starts_here)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         hashes = span_hashes(data, starts, ends)
-        unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        by_hash = np.argsort(hashes)
+        first = np.zeros(len(hashes), bool)
+        first[group_starts(hashes[by_hash])] = True
+        at = by_hash[first]
+        unique, inverse = hashes[at], np.empty(len(hashes), np.int64)
+        inverse[by_hash] = np.cumsum(first) - 1
         place = np.searchsorted(self.hashes, unique)
         found = place < len(self.hashes)
         found[found] = self.hashes[place[found]] == unique[found]
         if not found.all():
             new = np.flatnonzero(~found)
-            a, b = starts[at[new]].tolist(), ends[at[new]].tolist()
-            sizes, ids = self._encode_units([raw[i:j].decode("utf-8", "replace") for i, j in zip(a, b)])
+            new = new[np.argsort(at[new])]
+            sizes, ids = self._encode_units(raw, data, starts[at[new]], ends[at[new]])
             if len(self.hashes) + len(new) > _MAX_UNITS:
                 old = unique[found]
                 keep = self.slots[place[found]]
@@ -147,9 +155,10 @@ class Encoder:
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
     def _add(self, hashes: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
-        place = np.searchsorted(self.hashes, hashes)
-        self.slots = np.insert(self.slots, place, np.arange(len(hashes)) + len(self.begin))
-        self.hashes = np.insert(self.hashes, place, hashes)
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.hashes, hashes[order])
+        self.slots = np.insert(self.slots, place, order + len(self.begin))
+        self.hashes = np.insert(self.hashes, place, hashes[order])
         self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(lengths) - lengths))
         self.length = np.concatenate((self.length, lengths))
         self.pool = np.concatenate((self.pool, ids))
