@@ -133,8 +133,8 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], mode: str = "listwise")
     """Long ``(x, y, rho, n)`` for every ordered pair of ``cols`` (diagonal = 1).
 
     ``listwise``: rows with a null in any column are dropped first, every column is ranked once
-    over the remaining rows (ranks joined back with a size-checked broadcast), and all pair
-    correlations come from ONE aggregate of built-in ``corr``.
+    over the remaining rows, in the column's own type (rank tables joined back on the value), and all
+    pair correlations come from ONE aggregate of products of centred ranks.
     ``pairwise``: each pair is ranked inside its own complete rows (``spearman_pair``).
     """
     cols = list(cols)
@@ -155,38 +155,24 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], mode: str = "listwise")
                     out = p if out is None else out.unionByName(p)
         return out
     complete = df.select(*cols).dropna()
-    maps = rank_maps(complete, cols)
-    if maps is not None:
-        # n is known from the rank tables; average ranks have mean (n + 1) / 2 exactly, so centred
-        # ranks let plain sums of products give every correlation in one cheap aggregate.
-        n_rows = maps.pop("__n__")
-        mid = (n_rows + 1) / 2.0
-        ranked = complete.select(*[(_map_col(maps[c], c) - F.lit(mid)).alias(f"__r_{c}") for c in cols])
-        sums = [F.count(F.lit(1)).alias("n")]
-        for i, a in enumerate(cols):
-            for b in cols[i:]:
-                sums.append(F.sum(F.col(f"__r_{a}") * F.col(f"__r_{b}")).alias(f"{a}__{b}"))
-        wide = ranked.agg(*sums)
-
-        def rho(a, b):
-            i, j = cols.index(a), cols.index(b)
-            key = f"{a}__{b}" if i <= j else f"{b}__{a}"
-            va, vb = F.col(f"{a}__{a}"), F.col(f"{b}__{b}")
-            return F.when((va > 0) & (vb > 0), F.col(key) / F.sqrt(va * vb))
-    else:
-        ranked = complete
-        for c in cols:
-            rt = rank_table(complete, c, out=f"__r_{c}").select(c, f"__r_{c}")
-            ranked = ranked.join(rt, c, "left")
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for i, a in enumerate(cols):
-            for b in cols[i + 1:]:
-                aggs.append(F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}__{b}"))
-        wide = ranked.agg(*aggs)
+    # average ranks have mean (n + 1) / 2 exactly, so centred ranks let plain sums of products give every correlation
+    mid = (complete.count() + 1) / 2.0
+    ranked = complete
+    for c in cols:
+        rt = rank_table(complete, c).select(c, (F.col("rank") - F.lit(mid)).alias(f"__r_{c}"))
+        ranked = ranked.join(rt, c)
+    sums = [F.count(F.lit(1)).alias("n")]
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            sums.append(F.sum(F.col(f"__r_{a}") * F.col(f"__r_{b}")).alias(f"{a}__{b}"))
+    wide = ranked.agg(*sums)
+
+    def rho(a, b):
+        i, j = cols.index(a), cols.index(b)
+        key = f"{a}__{b}" if i <= j else f"{b}__{a}"
+        va, vb = F.col(f"{a}__{a}"), F.col(f"{b}__{b}")
+        return F.when((va > 0) & (vb > 0), F.col(key) / F.sqrt(va * vb))
 
-        def rho(a, b):
-            i, j = cols.index(a), cols.index(b)
-            return F.col(f"{a}__{b}" if i < j else f"{b}__{a}")
     rows = []
     for a in cols:
         for b in cols:
@@ -201,34 +187,6 @@ def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.explode(arr).alias("e")).select("e.col", "e.v").where(F.col("v").isNotNull())
 
 
-def rank_maps(df: DataFrame, cols: Sequence[str], max_distinct: int = 10_000) -> dict | None:
-    """Average-rank lookup per column, from ONE aggregate over the long ``(col, v)`` form.
-
-    Returned only when the total number of distinct values is checked to be <= ``max_distinct``
-    (ordinal answers: a few dozen); the caller then ranks rows with map literals inside codegen.
-    ``None`` means the domain is large and the caller must join rank tables instead.
-    """
-    rt = rank_table(long_values(df, cols), "v", by=["col"]).select("col", "v", "cnt", "rank")
-    rows = rt.limit(max_distinct + 1).collect()
-    if len(rows) > max_distinct:
-        return None
-    maps: dict = {c: {} for c in cols}
-    n = 0
-    for r in rows:
-        maps[r["col"]][r["v"]] = r["rank"]
-        if r["col"] == cols[0]:
-            n += r["cnt"]
-    maps["__n__"] = n
-    return maps
-
-
-def _map_col(mapping: dict, c: str):
-    if not mapping:
-        return F.lit(None).cast("double")
-    lit = F.create_map(*[F.lit(x) for kv in mapping.items() for x in (float(kv[0]), float(kv[1]))])
-    return lit[F.col(c).cast("double")]
-
-
 def top_drivers(matrix: DataFrame, outcome: str, k: int = 3, by_abs: bool = True) -> DataFrame:
     """C4: the ``k`` strongest correlations with ``outcome`` (ties broken by feature name)."""
     m = matrix.where((F.col("y") == outcome) & (F.col("x") != outcome))

@@ -26,6 +26,16 @@ def hourly_counts(df: DataFrame, ts: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def _group_numbers(frame: pd.DataFrame, by: Sequence[str]) -> np.ndarray:
+    """Number of each row's group in a frame sorted by ``by``; nulls are one group."""
+    change = np.zeros(len(frame), dtype=bool)
+    for c in by:
+        v = frame[c].to_numpy()
+        same = (v[1:] == v[:-1]).astype(bool) | (pd.isna(v[1:]) & pd.isna(v[:-1]))
+        change[1:] |= ~same
+    return np.cumsum(change)
+
+
 def rolling_mean(df: DataFrame, ts: str, value: str, window: int = 20, min_periods: int = 5,
                  by: Sequence[str] = (), order_tiebreak: str = "id", out: str = "rolling") -> DataFrame:
     """Mean of ``value`` over the last ``window`` rows in ``ts`` order (null until
@@ -60,10 +70,8 @@ def rolling_mean(df: DataFrame, ts: str, value: str, window: int = 20, min_perio
         if pdf.empty:
             return
         if by:
-            last_key = tuple(pdf.iloc[-1][by])
-            same = np.ones(len(pdf), dtype=bool)
-            for c, v in zip(by, last_key):
-                same &= (pdf[c] == v).to_numpy()
+            number = _group_numbers(pdf, by)
+            same = number == number[-1]
             # rows of the last group are a suffix because the partition is sorted by key
             grp = pdf[same]
             all_same = bool(same.all())
@@ -106,7 +114,7 @@ def rolling_mean(df: DataFrame, ts: str, value: str, window: int = 20, min_perio
             if h is None or h.empty:
                 p -= 1
                 continue
-            if by and tuple(h.iloc[0][by]) != first_key:
+            if not all(a == b or (pd.isna(a) and pd.isna(b)) for a, b in zip(h.iloc[0][by], first_key)):
                 break
             take = h.tail(need)
             prefix.insert(0, take[by + [value]])
@@ -123,8 +131,7 @@ def rolling_mean(df: DataFrame, ts: str, value: str, window: int = 20, min_perio
             full = pdf[by + [value]].reset_index(drop=True)
         vals = full[value].astype("float64")
         if by:
-            gkey = full[by].astype(str).agg("\u0001".join, axis=1) if len(by) > 1 else full[by[0]]
-            r = vals.groupby(gkey.to_numpy(), sort=False).transform(
+            r = vals.groupby(_group_numbers(full, by), sort=False).transform(
                 lambda s: s.rolling(window, min_periods=min_periods).mean())
         else:
             r = vals.rolling(window, min_periods=min_periods).mean()

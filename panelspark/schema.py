@@ -140,6 +140,14 @@ NUMERIC_FEATURES = [
     "spending_ord", "daily_time_ord", "engagement_ord", "product_interest_score",
     "satisfaction_score", "ad_click_ord", "retargeting_score",
 ]
+# Pairs of the independence tests: two labels, two columns.
+CHI_PAIRS = [
+    ("Trust Factor", "Made Purchase", "trust_factor", "made_purchase"),
+    ("Trust Factor", "High Ad Responsive", "trust_factor", "high_ad_responsive"),
+    ("Age Group", "Made Purchase", "age_group", "made_purchase"),
+    ("Gender", "Made Purchase", "gender", "made_purchase"),
+    ("Preferred Ad Format", "High Ad Responsive", "preferred_ad_format", "high_ad_responsive"),
+]
 # Columns written by the filtered-rows export.
 EXPORT_COLUMNS = [
     "age_group", "gender", "spending", "platforms", "daily_time", "follows_influencers",

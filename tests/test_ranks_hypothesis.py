@@ -87,3 +87,15 @@ def test_pvalue_even_df_chi2_and_large_df_t():
     assert abs(P.chi2_sf(x, 4) - closed) < 1e-12
     assert abs(P.t_sf(1.5, 1e7) - P.norm_sf(1.5)) < 1e-6
     assert abs(P.t_sf(-1.0, 1) - 0.75) < 1e-12
+
+
+def test_spearman_matrix_ranks_large_longs_in_their_own_type(spark):
+    df = spark.createDataFrame([((1 << 53) + i, i) for i in range(3)], "x long, y long")
+    m = {(r.x, r.y): r.rho for r in RK.spearman_matrix(df, ["x", "y"]).collect()}
+    assert abs(m[("x", "y")] - 1) < 1e-12
+
+
+def test_mann_whitney_counts_a_row_in_both_groups(spark):
+    df = spark.createDataFrame([(1, 1, 1.0), (1, 0, 2.0), (0, 1, 3.0), (None, 1, 4.0), (0, 0, 5.0)], "a int, b int, v double")
+    r = H.mann_whitney_stats(df, F.col("a") == 1, F.col("b") == 1, "v").collect()[0]
+    assert (r.n_a, r.n_b) == (2, 3) and r.u == 1.5

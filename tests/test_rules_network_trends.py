@@ -90,3 +90,12 @@ def test_campaign_roi_flat_in_budget_and_zero_retargeting(spark):
     assert abs(s["k1"].roi_pct - s["k2"].roi_pct) < 1e-9 and s["k1"].retargeting_conversions == 0.0
     sweep = B.budget_sweep(c.where(F.col("name") == "k1")).collect()
     assert len(sweep) == 60 and max(r.roi_pct for r in sweep) - min(r.roi_pct for r in sweep) < 1e-9
+
+
+def test_rolling_mean_null_key_is_one_group(spark):
+    data = [(i, i, (None, "None", "a")[i % 3], float(i)) for i in range(90)]
+    df = spark.createDataFrame(data, "id long, ts long, u string, v double")
+    got = {r.id: r.rolling for r in W.rolling_mean(df, "ts", "v", 3, 1, by=["u"]).collect()}
+    for i in range(90):
+        last = [float(k) for k in (i - 6, i - 3, i) if k >= 0]
+        assert abs(got[i] - sum(last) / len(last)) < 1e-12
