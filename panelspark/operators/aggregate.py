@@ -159,12 +159,12 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
             .select("column", "n_missing", (F.col("n_missing") * 100.0 / F.col("__n")).alias("pct_missing")))
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: Sequence[str], high_cardinality: bool = True) -> DataFrame:
     """Pandas-style ``describe``: count, mean, sample sd, min, linear-interpolated quartiles, max.
 
-    Moments and extremes come from one constant-memory aggregate; the quartiles are exact order
-    statistics read off the distributed rank tables (``ranks.quantiles_exact``), so memory never
-    grows with the number of distinct values of a column.
+    Moments and extremes come from one constant-memory aggregate; the quartiles of all columns are exact order
+    statistics read off one distributed rank table, so memory never grows with the number of distinct values.
+    ``high_cardinality=False`` says that every column holds a few values only (answer codes).
     """
     from panelspark.operators.ranks import quantiles_exact
     aggs = []
@@ -173,25 +173,15 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
                  F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     row = df.agg(*aggs).first()
-    from panelspark.operators.ranks import _is_small_domain, quantiles_exact_small
-    small = [c for i, c in enumerate(cols) if row[f"n{i}"] and _is_small_domain(df, c)]
-    qs_small = quantiles_exact_small(df, small, [0.25, 0.5, 0.75],
-                                     {c: row[f"n{i}"] for i, c in enumerate(cols) if c in small}) if small else {}
-    out = []
-    for i, c in enumerate(cols):
-        if not row[f"n{i}"]:
-            out.append((c, 0, *[None] * 7))
-            continue
-        if c in qs_small:
-            q1, q2, q3 = qs_small[c]
-        else:
-            q1, q2, q3 = quantiles_exact(df.select(c), c, [0.25, 0.5, 0.75])
-        out.append((c, int(row[f"n{i}"]), row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"], q1, q2, q3, row[f"hi{i}"]))
+    quartiles = quantiles_exact(df, cols, [0.25, 0.5, 0.75], high_cardinality)
+    out = [(c, row[f"n{i}"], row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"], *quartiles[c], row[f"hi{i}"])
+           for i, c in enumerate(cols)]
     return local_table(df.sparkSession, out, "column string, count long, mean double, std double, min double, "
                                               "p25 double, p50 double, p75 double, max double")
 
 
-def distribution(df: DataFrame, c: str, bins: int = 5, lo: float | None = None, hi: float | None = None) -> DataFrame:
+def distribution(df: DataFrame, c: str, bins: int = 5, lo: float | None = None, hi: float | None = None,
+                 high_cardinality: bool = True) -> DataFrame:
     """Equal-width histogram over [min, max] (last bin closed) with the column's mean,
     median and population skewness on every row: ``(bin, lower, upper, n, mean, median, skewness)``.
 
@@ -202,7 +192,7 @@ def distribution(df: DataFrame, c: str, bins: int = 5, lo: float | None = None,
     base = df.select(F.col(c).cast("double").alias("v")).where(F.col("v").isNotNull())
     st = base.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"),
                   F.skewness("v").alias("skewness")).first().asDict()
-    st["median"] = quantiles_exact(df.select(F.col(c).alias("v")), "v", [0.5])[0]
+    st["median"] = quantiles_exact(base, ["v"], [0.5], high_cardinality)["v"][0]
     lo = st["lo"] if lo is None else float(lo)
     hi = st["hi"] if hi is None else float(hi)
     spark = df.sparkSession

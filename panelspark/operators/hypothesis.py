@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from panelspark import schema as S
 from panelspark.functions.pvalues import chi2_survival, normal_isf, normal_sf, t_survival
-from panelspark.operators.ranks import rank_table
+from panelspark.operators.ranks import group_medians, rank_table
 
 
 def _decision(p: Column, alpha: float = S.ALPHA) -> Column:
@@ -28,13 +28,13 @@ def group_value_counts(long: DataFrame, group: str = "g", value: str = "v") -> D
             .groupBy(group, value).agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def rank_sums(gv: DataFrame, group: str = "g", value: str = "v") -> DataFrame:
+def rank_sums(gv: DataFrame, group: str = "g", value: str = "v", high_cardinality: bool = True) -> DataFrame:
     """``(g, n, rank_sum, tie_part)`` from a ``(g, v, cnt)`` table; ranks pool all groups.
 
     ``tie_part`` sums cnt * (t^2 - 1) with t the pooled count of the value, so adding it over the
     groups gives the tie term sum(t^3 - t) without a separate pass or join.
     """
-    rt = rank_table(gv, value, weight="cnt").select(value, F.col("cnt").alias("tcnt"), "rank")
+    rt = rank_table(gv, value, weight="cnt", high_cardinality=high_cardinality).select(value, F.col("cnt").alias("tcnt"), "rank")
     t = F.col("tcnt").cast("double")
     return (gv.join(rt, value)
             .groupBy(group).agg(F.sum("cnt").alias("n"), F.sum(F.col("cnt") * F.col("rank")).alias("rank_sum"),
@@ -43,26 +43,20 @@ def rank_sums(gv: DataFrame, group: str = "g", value: str = "v") -> DataFrame:
 
 def _two_sample_long(df: DataFrame, cond_a: Column, cond_b: Column, measure: str) -> DataFrame:
     # one scan: a row that meets both conditions counts in both groups; the measure keeps its own type
-    # (answer codes stay integers, so ranks take the small-domain path)
     g = F.explode(F.array(F.when(cond_a, F.lit("a")), F.when(cond_b, F.lit("b"))))
     return df.select(g.alias("g"), F.col(measure).alias("v")).where(F.col("g").isNotNull() & F.col("v").isNotNull())
 
 
-def mann_whitney_stats(df: DataFrame, cond_a: Column, cond_b: Column, measure: str) -> DataFrame:
+def mann_whitney_stats(df: DataFrame, cond_a: Column, cond_b: Column, measure: str,
+                       high_cardinality: bool = True) -> DataFrame:
     """H1/H5 statistic: one row ``(n_a, n_b, mean_a, mean_b, median_a, median_b, u, z)``.
 
     ``u`` is the statistic of sample a; ``z`` is the normal approximation of the one-sided
     (a > b) test with tie correction and continuity correction 0.5.
     """
-    long = _two_sample_long(df, cond_a, cond_b, measure)
-    gv = group_value_counts(long)
-    per_group = rank_sums(gv)
-    # medians are exact order statistics from the distributed rank tables (no per-group value map)
-    from panelspark.operators.ranks import quantiles_exact
-    med = {s: quantiles_exact(long.where(F.col("g") == s).select("v"), "v", [0.5])[0] for s in ("a", "b")}
-    median = F.when(F.col("g") == "a", F.lit(med["a"])).otherwise(F.lit(med["b"])).cast("double")
-    desc = long.groupBy("g").agg(F.avg("v").alias("mean")).withColumn("median", median)
-    pg = per_group.join(desc, "g")
+    gv = group_value_counts(_two_sample_long(df, cond_a, cond_b, measure))
+    desc = group_medians(gv, "g", "v", high_cardinality).select("g", "mean", "median")
+    pg = rank_sums(gv, high_cardinality=high_cardinality).join(desc, "g")
     row = pg.agg(
         *[F.max(F.when(F.col("g") == s, F.col(c))).alias(f"{c}_{s}")
           for s in ("a", "b") for c in ("n", "rank_sum", "mean", "median")],
@@ -80,9 +74,9 @@ def mann_whitney_stats(df: DataFrame, cond_a: Column, cond_b: Column, measure: s
 
 
 def mann_whitney(df: DataFrame, cond_a: Column, cond_b: Column, measure: str, hypothesis: str = "",
-                 description: str = "") -> DataFrame:
+                 description: str = "", high_cardinality: bool = True) -> DataFrame:
     """H1/H5: one-tailed (greater) Mann-Whitney U with p-value and effect r = z(p)/sqrt(N)."""
-    st = mann_whitney_stats(df, cond_a, cond_b, measure)
+    st = mann_whitney_stats(df, cond_a, cond_b, measure, high_cardinality)
     st = st.where((F.col("n_a") > 0) & (F.col("n_b") > 0))
     p = normal_sf(F.col("z"))
     out = st.withColumn("p_value", p)
@@ -93,14 +87,15 @@ def mann_whitney(df: DataFrame, cond_a: Column, cond_b: Column, measure: str, hy
                       _decision(F.col("p_value")).alias("decision"), "n_a", "n_b")
 
 
-def kruskal_stats(long: DataFrame, group: str = "g", value: str = "v", min_n: int = 5) -> DataFrame:
+def kruskal_stats(long: DataFrame, group: str = "g", value: str = "v", min_n: int = 5,
+                  high_cardinality: bool = True) -> DataFrame:
     """H2/H3 statistic: one row ``(k, n, h, eta2)``; groups with fewer than ``min_n`` rows drop out
     before ranking.  Tie-corrected H; eta2 = (H - k + 1) / (N - k) floored at 0."""
     lv = long.select(F.col(group).alias("g"), F.col(value).alias("v"))
     gv = group_value_counts(lv)
     sizes = gv.groupBy("g").agg(F.sum("cnt").alias("gn")).where(F.col("gn") >= min_n).select("g")
     gv = gv.join(sizes, "g", "left_semi")
-    row = rank_sums(gv).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"), F.sum("tie_part").alias("tie_term"),
+    row = rank_sums(gv, high_cardinality=high_cardinality).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"), F.sum("tie_part").alias("tie_term"),
                             F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("s"))
     nn = F.col("N").cast("double")
     h_raw = 12.0 / (nn * (nn + 1)) * F.col("s") - 3.0 * (nn + 1)
@@ -111,8 +106,8 @@ def kruskal_stats(long: DataFrame, group: str = "g", value: str = "v", min_n: in
 
 
 def kruskal(long: DataFrame, group: str = "g", value: str = "v", min_n: int = 5, hypothesis: str = "",
-            description: str = "") -> DataFrame:
-    st = kruskal_stats(long, group, value, min_n)
+            description: str = "", high_cardinality: bool = True) -> DataFrame:
+    st = kruskal_stats(long, group, value, min_n, high_cardinality)
     out = st.withColumn("p_value", chi2_survival(F.col("h"), F.col("k") - 1))
     return out.select(F.lit(hypothesis).alias("hypothesis"), F.lit(description).alias("description"),
                       F.lit("Kruskal-Wallis H").alias("test"), F.col("h").alias("statistic"), "p_value",
@@ -216,18 +211,19 @@ def hypothesis_summary(results: Sequence[DataFrame]) -> tuple[DataFrame, DataFra
 
 
 def standard_tests(enc: DataFrame, platforms: Mapping[str, str] | None = None) -> list[DataFrame]:
-    """The notebook's five tests H1-H5 on an encoded response table."""
+    """The notebook's five tests H1-H5 on an encoded response table, whose measures are answer codes."""
     from panelspark.operators.aggregate import explode_members
     platforms = platforms or {f"platform_{p.lower()}": p for p in S.PLATFORMS_FILTER}
     h1 = mann_whitney(enc, F.col("follows_influencers") == "Yes", F.col("follows_influencers") == "No",
-                      "purchase_ord", "H1", "purchases: people who follow influencers against the rest")
+                      "purchase_ord", "H1", "purchases: people who follow influencers against the rest",
+                      high_cardinality=False)
     h2 = kruskal(enc.select(F.col("age_group").alias("g"), F.col("purchase_ord").alias("v")),
-                 hypothesis="H2", description="purchases by age band")
+                 hypothesis="H2", description="purchases by age band", high_cardinality=False)
     h3_long = explode_members(enc, platforms, keep=["ad_click_ord"]).select(
         F.col("member").alias("g"), F.col("ad_click_ord").alias("v"))
-    h3 = kruskal(h3_long, hypothesis="H3", description="ad clicks by platform in use")
+    h3 = kruskal(h3_long, hypothesis="H3", description="ad clicks by platform in use", high_cardinality=False)
     h4 = t_test_1samp(enc, "satisfaction_score", S.NEUTRAL_SCORE, "H4",
                       f"satisfaction above the scale's middle, {S.NEUTRAL_SCORE}")
     h5 = mann_whitney(enc, F.col("spending_ord") >= 3, F.col("spending_ord") <= 2, "engagement_ord", "H5",
-                      "engagement: upper two spending bands against the lower two")
+                      "engagement: upper two spending bands against the lower two", high_cardinality=False)
     return [h1, h2, h3, h4, h5]

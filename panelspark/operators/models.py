@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.encode import column_stats, standardize_exprs
 from panelspark.functions.literals import local_table
-from panelspark.operators.ranks import rank_table
+from panelspark.operators.ranks import rank_table, running_sums
 
 
 # -- splits and folds (M12, M5, M11) ---------------------------------------------------------------
@@ -40,7 +40,7 @@ def contiguous_folds(df: DataFrame, k: int = 5, key: str = "id") -> DataFrame:
     """M5: ``fold`` column for k contiguous folds in ``key`` order (no shuffle; the first n % k
     folds hold one extra row).  Positions come from the range-partitioned rank of the key."""
     n = df.count()
-    rt = rank_table(df, key, high_cardinality=True).select(key, F.col("rank").alias("__pos"))
+    rt = rank_table(df, key).select(key, F.col("rank").alias("__pos"))
     sizes = [n // k + (1 if i < n % k else 0) for i in range(k)]
     bounds, acc = [], 0
     for s in sizes:
@@ -281,16 +281,14 @@ def auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFram
 
 def roc_points(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """M9: ``(threshold, fpr, tpr)`` at every distinct score.  Running class counts come from
-    the range-partitioned rank machinery (distinct scores can be as many as rows)."""
+    one range-partitioned pass for both classes (distinct scores can be as many as rows)."""
     lv = pred.select(F.col(label).cast("int").alias("g"), F.col(score).cast("double").alias("v")).where(
         F.col("v").isNotNull() & F.col("g").isNotNull())
     per = lv.groupBy("v").agg(F.sum(F.col("g")).cast("long").alias("pos"),
                               F.sum(1 - F.col("g")).cast("long").alias("neg"))
-    tot = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
-    P, N = float(tot["P"] or 0), float(tot["N"] or 0)
-    rp = rank_table(per, "v", weight="pos", high_cardinality=True).select("v", F.col("before").alias("bp"))
-    rn = rank_table(per, "v", weight="neg", high_cardinality=True).select("v", F.col("before").alias("bn"))
-    return rp.join(rn, "v").select(
+    run = running_sums(per, ["v"], {"bp": "pos", "bn": "neg"})
+    tot = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))  # one row
+    return run.join(F.broadcast(tot), F.lit(True)).select(
         F.col("v").alias("threshold"),
-        F.try_divide(F.lit(N) - F.col("bn"), F.lit(N)).alias("fpr"),
-        F.try_divide(F.lit(P) - F.col("bp"), F.lit(P)).alias("tpr"))
+        F.try_divide((F.col("N") - F.col("bn")).cast("double"), F.col("N").cast("double")).alias("fpr"),
+        F.try_divide((F.col("P") - F.col("bp")).cast("double"), F.col("P").cast("double")).alias("tpr"))

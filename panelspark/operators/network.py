@@ -3,8 +3,9 @@
 Graphs are two DataFrames: nodes ``(node, usage, ...)`` and undirected edges ``(src, dst, weight)``
 with ``src < dst``.  Building them is one explode + one grouped count.  The iterative measures
 (PageRank, closeness, betweenness) are loops of joins + aggregations over those tables; lineage
-is cut every few rounds with ``checkpoint()`` into the session's checkpoint folder, so a lost
-executor recomputes at most a few rounds.
+is cut every round with ``checkpoint()`` into the session's checkpoint folder, as each round reads the
+previous one more than once.  Distances hold one row for each pair of nodes: closeness and betweenness
+are meant for item vocabularies (the options of a question), not for graphs of users.
 """
 
 from __future__ import annotations
@@ -17,11 +18,6 @@ from panelspark.functions.encode import split_multi, split_multi_distinct
 from panelspark.functions.literals import local_table
 from panelspark.session import checkpoint_dir
 
-# Every round of the loops below refers to the previous round's table more than once, so the
-# logical plan would double per round; a reliable checkpoint each round keeps it constant size.
-CHECKPOINT_EVERY = 1
-
-
 def _pairs(arr: Column) -> Column:
     """All (a, b) with a before b in a sorted, de-duplicated item array.  The array is one
     respondent's answer to a multi-select question, so its size is bounded by the option list."""
@@ -115,11 +111,9 @@ def weighted_degree(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
     return nodes.select("node").join(s, "node", "left").fillna(0, subset=["strength"])
 
 
-def _cut(df: DataFrame, i: int) -> DataFrame:
-    if i % CHECKPOINT_EVERY == 0:
-        checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    return df
+def _cut(df: DataFrame) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter: int = 100,
@@ -128,42 +122,39 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
 
     Start 1/N; each round: mass flows along edges in proportion to weight / out-strength, the
     mass of dangling nodes is spread evenly, then ``(1 - d)/N + d * inflow``.  Stops when the L1
-    change is below ``N * tol`` (or after ``fixed_iter`` rounds).  Returns ``(node, pagerank)``.
+    change is below ``N * tol`` (or after ``fixed_iter`` rounds); ranks that have not converged after
+    ``max_iter`` rounds are an error.  Returns ``(node, pagerank)``.
     """
     spark = nodes.sparkSession
-    node_ids = nodes.select("node").distinct()
-    n = node_ids.count()
-    if n == 0:
-        return local_table(spark, [], "node string, pagerank double")
     both = _both_ways(edges)
     out_w = both.groupBy("src").agg(F.sum("weight").alias("out_w"))
-    trans = both.join(out_w, "src").select("src", "dst", (F.col("weight") / F.col("out_w")).alias("p"))
-    trans = trans.persist()
-    ranks = node_ids.select("node", F.lit(1.0 / n).alias("pr"))
-    has_out = out_w.select(F.col("src").alias("node"), F.lit(True).alias("has_out"))
-    rounds = fixed_iter if fixed_iter is not None else max_iter
-    for i in range(1, rounds + 1):
-        flow = (trans.join(ranks.withColumnRenamed("node", "src"), "src")
+    trans = both.join(out_w, "src").select("src", "dst", (F.col("weight") / F.col("out_w")).alias("p")).persist()
+    known = nodes.select("node").distinct().join(out_w.select(F.col("src").alias("node"), F.lit(False).alias("dangles")),
+                                                 "node", "left")
+    known = _cut(known.select("node", F.coalesce("dangles", F.lit(True)).alias("dangles")))
+    n, loose = known.agg(F.count(F.lit(1)), F.sum(F.col("dangles").cast("long"))).first()
+    if n == 0:
+        return local_table(spark, [], "node string, pagerank double")
+    ranks, dangling = known.withColumn("pr", F.lit(1.0 / n)), loose / n
+    for _ in range(fixed_iter if fixed_iter is not None else max_iter):
+        flow = (trans.join(ranks.select(F.col("node").alias("src"), "pr"), "src")
                 .groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("pr") * F.col("p")).alias("inflow")))
-        dangling = (ranks.join(has_out, "node", "left").where(F.col("has_out").isNull())
-                    .agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("dm")).first()["dm"])
-        new = (ranks.join(flow, "node", "left")
-               .select("node", F.col("pr").alias("old"),
-                       (F.lit((1 - damping) / n) + F.lit(damping)
-                        * (F.coalesce(F.col("inflow"), F.lit(0.0)) + F.lit(dangling / n))).alias("pr")))
-        new = _cut(new, i)
+        new = _cut(ranks.join(flow, "node", "left").select(
+            "node", "dangles", F.col("pr").alias("old"),
+            (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("inflow", F.lit(0.0)) + F.lit(dangling / n))).alias("pr")))
+        err, dangling = new.agg(F.sum(F.abs(F.col("pr") - F.col("old"))),
+                                F.coalesce(F.sum(F.when(F.col("dangles"), F.col("pr"))), F.lit(0.0))).first()
+        ranks = new.drop("old")
+        if fixed_iter is None and err < n * tol:
+            break
+    else:
         if fixed_iter is None:
-            err = new.agg(F.sum(F.abs(F.col("pr") - F.col("old")))).first()[0]
-            ranks = new.select("node", "pr")
-            if err < n * tol:
-                break
-        else:
-            ranks = new.select("node", "pr")
+            raise RuntimeError(f"PageRank has not converged in {max_iter} rounds")
     trans.unpersist()
     return ranks.select("node", F.col("pr").alias("pagerank"))
 
 
-def shortest_hops(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def shortest_hops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Unweighted distances ``(s, v, dist)`` for every reachable pair, by frontier expansion.
 
     Each round joins the newest frontier with the adjacency list and anti-joins what is already
@@ -173,17 +164,13 @@ def shortest_hops(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = N
     adj = _both_ways(edges).select(F.col("src").alias("v"), F.col("dst").alias("nbr")).distinct().persist()
     reached = nodes.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0).alias("dist"))
     frontier = reached
-    i = 0
     while True:
-        i += 1
         step = (frontier.join(adj, "v").select("s", F.col("nbr").alias("v"), (F.col("dist") + 1).alias("dist"))
                 .dropDuplicates(["s", "v"]))
-        new = step.join(reached.select("s", "v"), ["s", "v"], "left_anti")
-        new = _cut(new, i)
-        if new.isEmpty() or (max_rounds is not None and i >= max_rounds):
+        frontier = _cut(step.join(reached.select("s", "v"), ["s", "v"], "left_anti"))
+        if frontier.isEmpty():
             break
-        reached = _cut(reached.unionByName(new), i)
-        frontier = new
+        reached = reached.unionByName(frontier)
     adj.unpersist()
     return reached
 
@@ -199,30 +186,31 @@ def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True) -> DataFrame:
-    """Betweenness with edge weight read as a *distance* (as the source does).
-
-    All-source Brandes on DataFrames: (1) Bellman-Ford relaxation rounds give ``d(s, v)``;
-    (2) the shortest-path DAG keeps edges with ``d(s,u) + w = d(s,v)``; (3) path counts sigma
-    propagate forward and (4) dependencies delta propagate backward along that DAG, each as
-    repeated join + groupBy rounds until nothing changes.  Normalised by 1/((n-1)(n-2)) over
-    ordered pairs (the undirected double count is part of that factor).
+    """Betweenness with edge weight read as a *distance* (as the source does); weights must be positive.
+
+    All-source Brandes on DataFrames: (1) relaxation of the pairs that changed last gives ``d(s, v)``;
+    (2) the shortest-path DAG keeps edges with ``d(s,u) + w = d(s,v)``; (3) path counts sigma and the
+    depth of each node (its longest DAG path) propagate forward until the depths stand still, which they do
+    after as many rounds as the DAG is deep; (4) dependencies delta propagate backward for that many
+    rounds, so no test compares rounded sums.  Normalised by 1/((n-1)(n-2)) over ordered pairs (the
+    undirected double count is part of that factor).
     """
-    spark = nodes.sparkSession
     n = _node_count(nodes)
     adj = _both_ways(edges).select(F.col("src").alias("u"), F.col("dst").alias("v"),
                                    F.col("weight").cast("double").alias("w")).persist()
+    if not adj.where(~(F.col("w") > 0)).isEmpty():
+        raise ValueError("betweenness needs positive edge weights")
     # (1) distances
     dist = nodes.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0.0).alias("d"))
-    i = 0
+    frontier = dist
     while True:
-        i += 1
-        cand = (dist.withColumnRenamed("v", "u").join(adj, "u")
-                .select("s", "v", (F.col("d") + F.col("w")).alias("d")))
-        new = dist.unionByName(cand).groupBy("s", "v").agg(F.min("d").alias("d"))
-        new = _cut(new, i)
-        changed = new.join(dist, ["s", "v", "d"], "left_anti").limit(1).count()
-        dist = new
-        if changed == 0:
+        cand = (frontier.withColumnRenamed("v", "u").join(adj, "u")
+                .select("s", "v", (F.col("d") + F.col("w")).alias("d"), F.lit(None).cast("double").alias("old")))
+        merged = _cut(dist.withColumn("old", F.col("d")).unionByName(cand).groupBy("s", "v")
+                      .agg(F.min("d").alias("d"), F.min("old").alias("old")))
+        dist = merged.drop("old")
+        frontier = merged.where(F.col("old").isNull() | (F.col("d") < F.col("old"))).drop("old")
+        if frontier.isEmpty():
             break
     # (2) DAG edges per source: u -> v with d(s,u) + w == d(s,v)
     du = dist.select("s", F.col("v").alias("u"), F.col("d").alias("du"))
@@ -230,38 +218,30 @@ def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True) ->
     dag = (du.join(adj, "u").join(dv, ["s", "v"])
            .where(F.col("du") + F.col("w") == F.col("dv")).select("s", "u", "v").persist())
     # (3) sigma: number of shortest paths s -> v
-    sigma = dist.select("s", "v", F.when(F.col("s") == F.col("v"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("sigma"))
-    i = 0
+    root = F.col("s") == F.col("v")
+    sigma = dist.select("s", "v", F.when(root, F.lit(1.0)).otherwise(F.lit(0.0)).alias("sigma"), F.lit(0).alias("depth"))
+    rounds = 0
     while True:
-        i += 1
         inflow = (dag.join(sigma.withColumnRenamed("v", "u"), ["s", "u"])
-                  .groupBy("s", "v").agg(F.sum("sigma").alias("inflow")))
-        new = (sigma.join(inflow, ["s", "v"], "left")
-               .select("s", "v", F.when(F.col("s") == F.col("v"), F.lit(1.0))
-                       .otherwise(F.coalesce(F.col("inflow"), F.lit(0.0))).alias("sigma")))
-        new = _cut(new, i)
-        changed = new.join(sigma, ["s", "v", "sigma"], "left_anti").limit(1).count()
-        sigma = new
-        if changed == 0:
+                  .groupBy("s", "v").agg(F.sum("sigma").alias("inflow"), (F.max("depth") + 1).alias("deeper")))
+        sigma = _cut(sigma.select("s", "v").join(inflow, ["s", "v"], "left").select(
+            "s", "v", F.when(root, F.lit(1.0)).otherwise(F.coalesce("inflow", F.lit(0.0))).alias("sigma"),
+            F.coalesce("deeper", F.lit(0)).alias("depth")))
+        deepest = sigma.agg(F.max("depth")).first()[0] or 0
+        if deepest <= rounds:
             break
+        rounds += 1
     # (4) delta(s, v) = sum over DAG children x of sigma(s,v)/sigma(s,x) * (1 + delta(s,x))
     sv = sigma.select("s", F.col("v").alias("u"), F.col("sigma").alias("su"))
     sx = sigma.select("s", "v", F.col("sigma").alias("sx"))
     dag_w = dag.join(sv, ["s", "u"]).join(sx, ["s", "v"]).select("s", "u", "v", (F.col("su") / F.col("sx")).alias("ratio"))
     dag_w = dag_w.persist()
     delta = sigma.select("s", "v", F.lit(0.0).alias("delta"))
-    i = 0
-    while True:
-        i += 1
+    for _ in range(rounds):
         back = (dag_w.join(delta, ["s", "v"])
-                .groupBy("s", "u").agg(F.sum(F.col("ratio") * (1 + F.col("delta"))).alias("nd")))
-        new = (delta.join(back.withColumnRenamed("u", "v"), ["s", "v"], "left")
-               .select("s", "v", F.coalesce(F.col("nd"), F.lit(0.0)).alias("delta")))
-        new = _cut(new, i)
-        changed = new.join(delta, ["s", "v", "delta"], "left_anti").limit(1).count()
-        delta = new
-        if changed == 0:
-            break
+                .groupBy("s", F.col("u").alias("v")).agg(F.sum(F.col("ratio") * (1 + F.col("delta"))).alias("nd")))
+        delta = _cut(delta.select("s", "v").join(back, ["s", "v"], "left")
+                     .select("s", "v", F.coalesce("nd", F.lit(0.0)).alias("delta")))
     bc = delta.where(F.col("s") != F.col("v")).groupBy(F.col("v").alias("node")).agg(F.sum("delta").alias("b"))
     scale = 1.0 / ((n - 1) * (n - 2)) if (normalized and n > 2) else (0.5 if not normalized else 1.0)
     out = nodes.select("node").join(bc, "node", "left").select(

@@ -6,33 +6,24 @@ Average ranks are computed on the *value-count* table, never by sorting raw rows
    holds a third of all rows becomes one row per task;
 2. the running count before each distinct value gives ``rank = before + (cnt + 1) / 2``.
 
-For low-cardinality values (ordinal answers) step 2 is one window over a handful of rows.  For
-high-cardinality values the distinct values are range-partitioned, each partition computes its
-local running count in a pandas batch loop, and per-partition totals (one row per partition, a
-bounded table) supply the offsets -- no single task ever sees all distinct values.
+Step 2 is ``running_sums``: the distinct values are range-partitioned, every range sums its own rows and
+one row for each range and group supplies the offsets, so no task sees all distinct values.  Callers that
+know a column to hold a few values only (survey answer codes) say so with ``high_cardinality=False`` and
+get one window; the library never guesses it from types or sizes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BROADCAST_MAX_ROWS = 200_000
-_SMALL_DOMAIN_TYPES = (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType, T.StringType)
-
-
-def _is_small_domain(df: DataFrame, c: str) -> bool:
-    return isinstance(df.schema[c].dataType, _SMALL_DOMAIN_TYPES)
-
-
-def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``small`` only when its row count is checked to be <= max_rows; otherwise
-    return it unchanged and let the planner shuffle-join it."""
-    n = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small
+from panelspark import schema as S
+from panelspark.functions.encode import label_strength
+from panelspark.functions.pvalues import t_survival
+from panelspark.session import checkpoint_dir
 
 
 def value_counts_for_rank(df: DataFrame, c: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -41,58 +32,51 @@ def value_counts_for_rank(df: DataFrame, c: str, by: Sequence[str] = (), weight:
     return g.agg(cnt.cast("long").alias("cnt"))
 
 
-def _range_running_counts(counts: DataFrame, c: str, partitions: int) -> DataFrame:
-    """Running count before each distinct value, computed per range partition + offsets."""
-    # The range-partitioned table feeds two branches (per-partition totals and the rows); a
-    # reliable checkpoint pins its partitioning so both see the same partition ids.
-    from panelspark.session import checkpoint_dir
-    checkpoint_dir(counts.sparkSession)
-    ranged = counts.repartitionByRange(partitions, c).sortWithinPartitions(c).checkpoint(eager=True)
-    schema = T.StructType(counts.schema.fields + [T.StructField("pid", T.IntegerType()),
-                                                  T.StructField("local_before", T.LongType())])
-
-    def local(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        running = 0
-        for pdf in batches:
-            cs = pdf["cnt"].cumsum()
-            pdf = pdf.assign(pid=pid, local_before=(cs - pdf["cnt"] + running).astype("int64"))
-            running += int(pdf["cnt"].sum())
-            yield pdf
-
-    loc = ranged.mapInPandas(local, schema)
-    totals = loc.groupBy("pid").agg(F.sum("cnt").alias("ptotal"))
-    offsets = totals.withColumn(
-        "offset", F.coalesce(F.sum("ptotal").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)),
-                             F.lit(0)).cast("long")).select("pid", "offset")
-    # one row per partition: bounded by the partition count, safe to broadcast
-    return (loc.join(F.broadcast(offsets), "pid")
-            .select(*counts.columns, (F.col("local_before") + F.col("offset")).alias("before")))
-
-
-def rank_table(df: DataFrame, c: str, by: Sequence[str] = (), high_cardinality: bool | None = None,
+def running_sums(df: DataFrame, order: Sequence[str], sums: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``{out: col}``: the sum of ``col`` over the rows before this one in ``order``, within each ``by`` group.
+
+    ``order`` must be unique within a group.  Rows are dealt to ranges of (by, order) and each keeps the number of its
+    range; a reliable checkpoint pins those numbers, as sums inside the ranges and totals of the ranges are two
+    readers of them.  A window holds one group's rows of one range, the offsets one row for each range and group.
+    """
+    by, order = list(by), list(order)
+    checkpoint_dir(df.sparkSession)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.repartitionByRange(parts, *by, *order).withColumn("__range", F.spark_partition_id())
+              .checkpoint(eager=True))
+    before = Window.unboundedPreceding, -1
+    inside = Window.partitionBy("__range", *by).orderBy(*order).rowsBetween(*before)
+    across = Window.partitionBy(*by).orderBy("__range").rowsBetween(*before)
+    zero = F.lit(0).cast("long")
+    totals = ranged.groupBy("__range", *by).agg(*[F.sum(c).alias(f"__t_{o}") for o, c in sums.items()])
+    offsets = totals.select(F.col("__range").alias("__at"), *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)],
+                            *[F.coalesce(F.sum(f"__t_{o}").over(across), zero).alias(f"__o_{o}") for o in sums])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)],
+                  F.col("__range") == F.col("__at"))
+    local = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), zero).alias(f"__l_{o}") for o, c in sums.items()])
+    return local.join(offsets, same).select(
+        *df.columns, *[(F.col(f"__l_{o}") + F.col(f"__o_{o}")).alias(o) for o in sums])
+
+
+def rank_table(df: DataFrame, c: str, by: Sequence[str] = (), high_cardinality: bool = True,
                weight: str | None = None, out: str = "rank") -> DataFrame:
     """``(by..., c, cnt, before, rank)`` -- average rank (ties share the mean position) of each
     distinct non-null value of ``c`` within each ``by`` group."""
     by = list(by)
     counts = value_counts_for_rank(df, c, by, weight)
-    if high_cardinality is None:
-        high_cardinality = not _is_small_domain(df, c)
-    if by or not high_cardinality:
+    if high_cardinality:
+        ranked = running_sums(counts, [c], {"before": "cnt"}, by)
+    else:
         w = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
         ranked = counts.withColumn("before", F.coalesce(F.sum("cnt").over(w), F.lit(0)).cast("long"))
-    else:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranked = _range_running_counts(counts, c, parts)
     return ranked.withColumn(out, F.col("before") + (F.col("cnt") + F.lit(1)) / F.lit(2.0))
 
 
 def avg_rank(df: DataFrame, c: str, by: Sequence[str] = (), out: str = "rank",
-             high_cardinality: bool | None = None) -> DataFrame:
+             high_cardinality: bool = True) -> DataFrame:
     """Add the average rank of ``c`` to every row (null value -> null rank)."""
     rt = rank_table(df, c, by, high_cardinality, out=out).select(*by, c, out)
-    return df.join(bounded_broadcast(rt), [*by, c], "left")
+    return df.join(rt, [*by, c], "left")
 
 
 def tie_term(rt: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -101,7 +85,7 @@ def tie_term(rt: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return rt.groupBy(*by).agg(F.sum(t * t * t - t).alias("tie_term"), F.sum("cnt").alias("n"))
 
 
-def spearman_pair(df: DataFrame, x: str, y: str) -> DataFrame:
+def spearman_pair(df: DataFrame, x: str, y: str, high_cardinality: bool = True) -> DataFrame:
     """C3 statistic: ``(n, rho)`` over pairwise-complete rows.
 
     Works on the compressed ``(x, y, cnt)`` table: ranks of x and of y come from its marginals,
@@ -109,8 +93,8 @@ def spearman_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     """
     pairs = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
              .groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("cnt")))
-    rx = rank_table(pairs, "x", weight="cnt", out="rx").select("x", "rx")
-    ry = rank_table(pairs, "y", weight="cnt", out="ry").select("y", "ry")
+    rx = rank_table(pairs, "x", weight="cnt", out="rx", high_cardinality=high_cardinality).select("x", "rx")
+    ry = rank_table(pairs, "y", weight="cnt", out="ry", high_cardinality=high_cardinality).select("y", "ry")
     # both sides are compressed tables; the planner (AQE) picks the join strategy from runtime size
     joined = pairs.join(rx, "x").join(ry, "y")
     return weighted_corr(joined, "cnt", "rx", "ry")
@@ -129,7 +113,30 @@ def weighted_corr(t: DataFrame, w: str, a: str, b: str) -> DataFrame:
                       F.when(va * vb > 0, cov / F.sqrt(va * vb)).alias("rho"))
 
 
-def spearman_matrix(df: DataFrame, cols: Sequence[str], mode: str = "listwise") -> DataFrame:
+def spearman_test(df: DataFrame, pairs: Sequence[tuple[str, str, str]] = S.SPEARMAN_PAIRS,
+                  high_cardinality: bool = True) -> DataFrame:
+    """One row per ``(label, x, y)``: ``(hypothesis, n, rho, p_value, direction, strength, stars, status)``.
+
+    Two-sided p-value from t with n - 2 degrees of freedom: 0 where |rho| is 1, null below three rows or where a
+    column is constant; the labels are null where rho is.
+    """
+    stat = reduce(DataFrame.unionByName, [spearman_pair(df, x, y, high_cardinality).select(
+        F.lit(label).alias("hypothesis"), "n", "rho") for label, x, y in pairs])
+    rho, n, p = F.col("rho"), F.col("n"), F.col("p_value")
+    t = F.abs(rho) * F.sqrt(F.try_divide(n - 2, 1 - rho * rho))
+    out = stat.withColumn("p_value", F.when((n >= 3) & (F.abs(rho) >= 1), F.lit(0.0))
+                          .when(n >= 3, 2 * t_survival(t, n - 2)))
+    some = rho.isNotNull()
+    return out.select(
+        "hypothesis", "n", "rho", "p_value",
+        F.when(rho > 0, "Positive").when(some, "Negative").alias("direction"),
+        F.when(some, label_strength("rho", S.RHO_CUTS, ["Strong", "Moderate", "Weak"])).alias("strength"),
+        F.when(some, label_strength("rho", S.STAR_CUTS, ["***", "**", "*", ""])).alias("stars"),
+        F.when(p < S.ALPHA, "SIGNIFICANT").when(p.isNotNull(), "NOT SIGNIFICANT").alias("status"))
+
+
+def spearman_matrix(df: DataFrame, cols: Sequence[str], mode: str = "listwise",
+                    high_cardinality: bool = True) -> DataFrame:
     """Long ``(x, y, rho, n)`` for every ordered pair of ``cols`` (diagonal = 1).
 
     ``listwise``: rows with a null in any column are dropped first, every column is ranked once
@@ -147,7 +154,7 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], mode: str = "listwise")
                         F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(1.0).alias("rho"), "n")
                     pieces = [part]
                 else:
-                    sp = spearman_pair(df, a, b)
+                    sp = spearman_pair(df, a, b, high_cardinality)
                     both = F.array(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")),
                                    F.struct(F.lit(b).alias("x"), F.lit(a).alias("y")))
                     pieces = [sp.select(F.inline(both), "rho", "n")]
@@ -159,7 +166,7 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], mode: str = "listwise")
     mid = (complete.count() + 1) / 2.0
     ranked = complete
     for c in cols:
-        rt = rank_table(complete, c).select(c, (F.col("rank") - F.lit(mid)).alias(f"__r_{c}"))
+        rt = rank_table(complete, c, high_cardinality=high_cardinality).select(c, (F.col("rank") - F.lit(mid)).alias(f"__r_{c}"))
         ranked = ranked.join(rt, c)
     sums = [F.count(F.lit(1)).alias("n")]
     for i, a in enumerate(cols):
@@ -211,87 +218,37 @@ def line_fit_by_member(df: DataFrame, flag_to_label: dict[str, str], x: str, y:
     return line_fit(long, x, y, by=["member"]).where(F.col("n") >= min_n)
 
 
-def quantiles_exact(df: DataFrame, c: str, qs: Sequence[float], high_cardinality: bool | None = None) -> list:
-    """Exact quantiles with linear interpolation (position (n - 1) q, as pandas / SQL
-    ``quantile_cont``), read off the distributed running counts of the value-count table.
+def quantiles_exact(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
+                    high_cardinality: bool = True) -> dict[str, list]:
+    """Exact quantiles of each column with linear interpolation (position (n - 1) q, as pandas / SQL
+    ``quantile_cont``); ``None`` entries for a column without a value.
 
-    Only the (at most 2 per quantile) order statistics needed come back to the driver, so no task
-    ever holds all distinct values of the column -- unlike an exact ``percentile`` aggregate.
-    Returns ``None`` entries when the column has no non-null value.
+    All columns share one ``(col, v, cnt)`` rank table.  Only the (at most two for each quantile) order
+    statistics needed come back to the driver, so no task holds all distinct values of a column.
     """
-    rt = rank_table(df.select(c), c, high_cardinality=high_cardinality)
-    n = rt.agg(F.sum("cnt")).first()[0] or 0
-    if n == 0:
-        return [None for _ in qs]
-    positions = set()
-    for q in qs:
-        h = (n - 1) * float(q)
-        lo = int(h)
-        positions.update({lo, min(lo + 1, n - 1)})
-    cond = None
-    for p in sorted(positions):
-        hit = (F.col("before") <= p) & (F.lit(p) < F.col("before") + F.col("cnt"))
-        cond = hit if cond is None else cond | hit
-    found = rt.where(cond).select(c, "before", "cnt").collect()
-
-    def value_at(p):
-        for r in found:
-            if r["before"] <= p < r["before"] + r["cnt"]:
-                return float(r[c])
-        raise AssertionError("order statistic not found")
-
-    out = []
-    for q in qs:
-        h = (n - 1) * float(q)
-        lo = int(h)
-        frac = h - lo
-        v_lo = value_at(lo)
-        v_hi = value_at(min(lo + 1, n - 1))
-        out.append(v_lo + (v_hi - v_lo) * frac)
-    return out
-
-
-def quantiles_exact_small(df: DataFrame, cols: Sequence[str], qs: Sequence[float], counts: dict) -> dict:
-    """``quantiles_exact`` for several small-domain columns at once: one long-form rank table
-    (window per column over its few distinct values) and one collect of the needed order
-    statistics.  ``counts`` gives each column's non-null count."""
-    rt = rank_table(long_values(df, cols), "v", by=["col"])
-    need = {}
-    cond = None
-    for c in cols:
-        n = counts.get(c) or 0
-        if n == 0:
-            continue
-        ps = set()
-        for q in qs:
-            lo = int((n - 1) * float(q))
-            ps.update({lo, min(lo + 1, n - 1)})
-        need[c] = ps
-        for p in ps:
-            hit = (F.col("col") == c) & (F.col("before") <= p) & (F.lit(p) < F.col("before") + F.col("cnt"))
-            cond = hit if cond is None else cond | hit
-    if cond is None:
-        return {c: [None for _ in qs] for c in cols}
-    found = rt.where(cond).select("col", "v", "before", "cnt").collect()
-    out = {}
-    for c in cols:
-        n = counts.get(c) or 0
-        if n == 0:
-            out[c] = [None for _ in qs]
-            continue
-        rows_c = [r for r in found if r["col"] == c]
-
-        def value_at(p, rows_c=rows_c):
-            for r in rows_c:
-                if r["before"] <= p < r["before"] + r["cnt"]:
-                    return float(r["v"])
-            raise AssertionError("order statistic not found")
-
-        vals = []
-        for q in qs:
-            h = (n - 1) * float(q)
-            lo = int(h)
-            v_lo, v_hi = value_at(lo), value_at(min(lo + 1, n - 1))
-            vals.append(v_lo + (v_hi - v_lo) * (h - lo))
-        out[c] = vals
-    return out
+    rt = rank_table(long_values(df, cols), "v", by=["col"], high_cardinality=high_cardinality)
+    total = rt.groupBy("col").agg(F.sum("cnt").alias("n"))  # one row for each column
+    spots = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("n") - 1) * F.lit(float(q))).alias("h"))
+                                for i, q in enumerate(qs)])).alias("q")
+    wanted = total.select("col", "n", spots).select(
+        "col", F.col("q.i").alias("i"), F.col("q.h").alias("h"), F.floor("q.h").alias("lo"),
+        F.least(F.floor("q.h") + 1, F.col("n") - 1).alias("hi"))
+    hit = (F.col("before") <= F.col("hi")) & (F.col("before") + F.col("cnt") > F.col("lo"))
+    at = lambda p: F.max(F.when((F.col("before") <= F.col(p)) & (F.col("before") + F.col("cnt") > F.col(p)), F.col("v")))
+    found = (rt.join(F.broadcast(wanted), "col").where(hit).groupBy("col", "i")
+             .agg(at("lo").alias("v_lo"), at("hi").alias("v_hi"), F.max(F.col("h") - F.col("lo")).alias("part")))
+    got = {(r["col"], r["i"]): r["v_lo"] + (r["v_hi"] - r["v_lo"]) * r["part"] for r in found.collect()}
+    return {c: [got.get((c, i)) for i in range(len(qs))] for c in cols}
+
+
+def group_medians(gv: DataFrame, group: str, value: str, high_cardinality: bool = True) -> DataFrame:
+    """``(group, n, mean, median)`` from a ``(group, value, cnt)`` table."""
+    rt = rank_table(gv, value, by=[group], weight="cnt", high_cardinality=high_cardinality)
+    n = gv.groupBy(group).agg(F.sum("cnt").alias("n"), (F.sum(F.col(value).cast("double") * F.col("cnt"))
+                                                        / F.sum("cnt")).alias("mean"))
+    last = F.col("before") + F.col("cnt")
+    holds = lambda p: ((F.col("before") <= p) & (last > p)).cast("int")
+    times = holds(F.floor((F.col("n") - 1) / 2)) + holds(F.floor(F.col("n") / 2))
+    mid = (rt.join(n.select(group, "n"), group).where(times > 0).groupBy(group)
+           .agg((F.sum(F.col(value).cast("double") * times) / 2).alias("median")))
+    return n.join(mid, group)

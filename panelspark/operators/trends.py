@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from panelspark.session import checkpoint_dir
+from panelspark.operators.ranks import running_sums
 
 
 def daily_trend(df: DataFrame, ts: str, measures: dict[str, str], count_name: str = "responses") -> DataFrame:
@@ -26,117 +23,24 @@ def hourly_counts(df: DataFrame, ts: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def _group_numbers(frame: pd.DataFrame, by: Sequence[str]) -> np.ndarray:
-    """Number of each row's group in a frame sorted by ``by``; nulls are one group."""
-    change = np.zeros(len(frame), dtype=bool)
-    for c in by:
-        v = frame[c].to_numpy()
-        same = (v[1:] == v[:-1]).astype(bool) | (pd.isna(v[1:]) & pd.isna(v[:-1]))
-        change[1:] |= ~same
-    return np.cumsum(change)
-
-
 def rolling_mean(df: DataFrame, ts: str, value: str, window: int = 20, min_periods: int = 5,
-                 by: Sequence[str] = (), order_tiebreak: str = "id", out: str = "rolling") -> DataFrame:
+                 by: Sequence[str] = (), order_tiebreak: str = "id", out: str = "rolling",
+                 chunk_rows: int = 65_536) -> DataFrame:
     """Mean of ``value`` over the last ``window`` rows in ``ts`` order (null until
-    ``min_periods`` rows), per ``by`` group; rows with a null ts or value are dropped first.
+    ``min_periods`` rows), per ``by`` group; rows with a null ts or value are dropped first, a null key is a group.
 
-    Scales without one task per group: rows are range-partitioned on (by, ts, tie-break) and
-    sorted inside partitions; each partition publishes the last ``window - 1`` rows of its last
-    group (a table bounded by partitions x window, read back once), and every partition
-    prepends the halo it needs from the partitions before it.  A group spanning many partitions
-    (one user with a third of all rows) is therefore split across tasks.
+    Scales without one task per group: rows get their position in the group from ``running_sums``, the group is cut
+    into chunks of ``chunk_rows`` positions, the last ``window - 1`` rows of a chunk also travel to the next one, and
+    the window runs inside (group, chunk).  One user with a third of all rows is therefore split across tasks.
     """
+    if window > chunk_rows:
+        raise ValueError("chunk_rows must be at least window")
     by = list(by)
-    key = by + [ts, order_tiebreak]
-    base = df.where(F.col(ts).isNotNull() & F.col(value).isNotNull())
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    checkpoint_dir(df.sparkSession)
-    ranged = base.repartitionByRange(parts, *key).sortWithinPartitions(*key).checkpoint(eager=True)
-    halo_n = window - 1
-    schema = ranged.schema
-    tail_schema = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("n_rows", T.LongType()),
-                                T.StructField("all_same", T.BooleanType())]
-                               + [T.StructField(c, schema[c].dataType) for c in by + [value]]
-                               + [T.StructField("pos", T.IntegerType())])
-
-    def tails(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        frames = [b for b in batches]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        if pdf.empty:
-            return
-        if by:
-            number = _group_numbers(pdf, by)
-            same = number == number[-1]
-            # rows of the last group are a suffix because the partition is sorted by key
-            grp = pdf[same]
-            all_same = bool(same.all())
-        else:
-            grp = pdf
-            all_same = True
-        t = grp.tail(halo_n)
-        out = pd.concat([pd.DataFrame({"pid": [pid] * len(t), "n_rows": [len(grp)] * len(t),
-                                       "all_same": [all_same] * len(t)}),
-                         t[by + [value]].reset_index(drop=True)], axis=1)
-        out["pos"] = range(len(t))
-        yield out
-
-    halo_rows = ranged.mapInPandas(tails, tail_schema).collect()  # <= partitions * (window - 1) rows
-    halos: dict[int, pd.DataFrame] = {}
-    if halo_rows:
-        hp = pd.DataFrame([r.asDict() for r in halo_rows]).sort_values(["pid", "pos"])
-        for pid, g in hp.groupby("pid"):
-            halos[int(pid)] = g.reset_index(drop=True)
-    out_schema = T.StructType(schema.fields + [T.StructField(out, T.DoubleType())])
-    sc = df.sparkSession.sparkContext
-    bc = sc.broadcast(halos)
-
-    def roll(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        frames = [b for b in batches]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        if pdf.empty:
-            return
-        first_key = tuple(pdf.iloc[0][by]) if by else ()
-        prefix = []
-        need = halo_n
-        p = pid - 1
-        hal = bc.value
-        while need > 0 and p >= 0:
-            h = hal.get(p)
-            if h is None or h.empty:
-                p -= 1
-                continue
-            if not all(a == b or (pd.isna(a) and pd.isna(b)) for a, b in zip(h.iloc[0][by], first_key)):
-                break
-            take = h.tail(need)
-            prefix.insert(0, take[by + [value]])
-            need -= len(take)
-            if not bool(h.iloc[0]["all_same"]):
-                break
-            p -= 1
-        if prefix:
-            pre = pd.concat(prefix, ignore_index=True)
-            n_pre = len(pre)
-            full = pd.concat([pre, pdf[by + [value]]], ignore_index=True)
-        else:
-            n_pre = 0
-            full = pdf[by + [value]].reset_index(drop=True)
-        vals = full[value].astype("float64")
-        if by:
-            r = vals.groupby(_group_numbers(full, by), sort=False).transform(
-                lambda s: s.rolling(window, min_periods=min_periods).mean())
-        else:
-            r = vals.rolling(window, min_periods=min_periods).mean()
-        res = pdf.copy()
-        res[out] = r.to_numpy()[n_pre:]
-        yield res
-
-    return ranged.mapInPandas(roll, out_schema)
+    base = df.where(F.col(ts).isNotNull() & F.col(value).isNotNull()).withColumn("__one", F.lit(1).cast("long"))
+    placed = running_sums(base, [ts, order_tiebreak], {"__pos": "__one"}, by)
+    chunk = F.floor(F.col("__pos") / chunk_rows)
+    spilled = F.pmod(F.col("__pos"), F.lit(chunk_rows)) > chunk_rows - window
+    dealt = placed.withColumn("__chunk", F.explode(F.when(spilled, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))))
+    frame = Window.partitionBy(*by, "__chunk").orderBy("__pos").rowsBetween(1 - window, 0)
+    mean = F.when(F.count(value).over(frame) >= min_periods, F.avg(value).over(frame)).cast("double")
+    return dealt.withColumn(out, mean).where(F.col("__chunk") == chunk).select(*df.columns, out)

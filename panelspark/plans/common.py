@@ -2,39 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.functions.encode import encode
 from panelspark.session import checkpoint_dir
 from panelspark.sources.responses import responses
 
-# The prepared response table is built once per (session, source, profile), written with a
-# reliable checkpoint into the session's shared checkpoint folder (lineage cut: a lost executor
-# re-reads those files instead of re-running the whole build) and cached for the queries that follow.
-_PREPARED: dict[tuple, DataFrame] = {}
+# The prepared response table is built once per (application, source, profile) and written as Parquet into
+# the session's shared checkpoint folder.  Queries read that table, so their columns and filters reach its scan
+# and a lost executor re-reads files instead of re-running the build.
+_PREPARED: dict[tuple, str] = {}
 
 
 def encoded(spark: SparkSession, sf_dir: str, profile: str = "dashboard", cache: bool = True) -> DataFrame:
     """Encoded response table built from the driver tables."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, profile)
-    if cache and key in _PREPARED:
-        return _PREPARED[key]
     df = encode(responses(spark, sf_dir), profile)
-    if cache:
-        # let adaptive execution size the cached table's partitions from its real volume
-        spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
-        checkpoint_dir(spark)
-        df = df.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
-        _PREPARED[key] = df
-    return df
-
-
-def release(spark: SparkSession | None = None) -> None:
-    """Drop every memoised table (all sessions, or one)."""
-    for key in list(_PREPARED):
-        if spark is None or key[0] == id(spark):
-            _PREPARED.pop(key).unpersist()
+    if not cache:
+        return df
+    key = (spark.sparkContext.applicationId, sf_dir, profile)
+    if key not in _PREPARED:
+        path = f"{checkpoint_dir(spark)}/prepared-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _PREPARED[key] = path
+    return spark.read.schema(df.schema).parquet(_PREPARED[key])
+
+
+def release() -> None:
+    """Forget every prepared table; the files stay in the shared folder until it is cleared."""
+    _PREPARED.clear()
 
 
 def values_sql(name: str, cols: list[str], rows: list[tuple]) -> str:

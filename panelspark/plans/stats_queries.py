@@ -18,6 +18,11 @@ from panelspark.sources.tables import read_table
 PLATFORM_FLAGS = {f"platform_{p.lower()}": p for p in S.PLATFORMS_FILTER}
 
 
+def _exact(expr: str) -> str:
+    """Stands in for the rounding of statistics that SQL goes on to use."""
+    return f"({expr})"
+
+
 def _rank_sql(v: str, part: str = "") -> str:
     p = f"PARTITION BY {part} " if part else ""
     pv = f"PARTITION BY {part + ', ' if part else ''}{v}"
@@ -97,7 +102,7 @@ SELECT c_custkey, c_acctbal, {_rank_sql('c_acctbal')} AS rank FROM customer""")
 def q_avg_rank_acctbal(spark, sf_dir):
     """High-cardinality path: range-partitioned running counts + partition offsets."""
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_acctbal"])
-    return RK.avg_rank(cust, "c_acctbal", high_cardinality=True).select("c_custkey", "c_acctbal", "rank")
+    return RK.avg_rank(cust, "c_acctbal").select("c_custkey", "c_acctbal", "rank")
 
 
 @register("avg_rank_quantity", f"""
@@ -128,7 +133,7 @@ def _listwise_sql() -> str:
 
 @register("spearman_matrix", _listwise_sql())
 def q_spearman_matrix(spark, sf_dir):
-    return rounded(RK.spearman_matrix(encoded(spark, sf_dir), _CORR_COLS))
+    return rounded(RK.spearman_matrix(encoded(spark, sf_dir), _CORR_COLS, high_cardinality=False))
 
 
 _PAIR_COLS = ["spending_ord", "daily_time_ord", "engagement_ord", "product_interest_score",
@@ -149,7 +154,7 @@ def _pairwise_sql() -> str:
 
 @register("spearman_matrix_pairwise", _pairwise_sql())
 def q_spearman_matrix_pairwise(spark, sf_dir):
-    return rounded(RK.spearman_matrix(encoded(spark, sf_dir), _PAIR_COLS, mode="pairwise"))
+    return rounded(RK.spearman_matrix(encoded(spark, sf_dir), _PAIR_COLS, mode="pairwise", high_cardinality=False))
 
 
 def _vs_purchase_sql() -> str:
@@ -163,7 +168,7 @@ def _spearman_vs_purchase(spark, sf_dir):
     enc = encoded(spark, sf_dir)
     out = None
     for c in S.NUMERIC_FEATURES:
-        sp = RK.spearman_pair(enc, c, "purchase_ord").select(F.lit(c).alias("feature"), "n", "rho")
+        sp = RK.spearman_pair(enc, c, "purchase_ord", high_cardinality=False).select(F.lit(c).alias("feature"), "n", "rho")
         out = sp if out is None else out.unionByName(sp)
     return out
 
@@ -173,25 +178,13 @@ def q_spearman_vs_purchase(spark, sf_dir):
     return rounded(_spearman_vs_purchase(spark, sf_dir))
 
 
-@register("spearman_tests")
-def q_spearman_tests(spark, sf_dir):
-    """C3 with p-values (t approximation, n-2 df, two-sided) and strength labels."""
-    from panelspark.functions.encode import label_strength
-    from panelspark.functions.pvalues import t_survival
-    base = _spearman_vs_purchase(spark, sf_dir)
-    t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))
-    p = F.when(F.col("n") < 3, F.lit(None)).when(F.abs("rho") >= 1, F.lit(0.0)).otherwise(2 * t_survival(F.abs(t), F.col("n") - 2))
-    out = base.withColumn("p_value", p)
-    return rounded(out.withColumn("strength", label_strength("rho", S.RHO_CUTS, ["Strong", "Moderate", "Weak"])))
-
-
 @register("top_drivers_purchase", with_enc(f""", rk AS (
   SELECT {', '.join(f'{_rank_sql(c)} AS r_{c}' for c in _CORR_COLS)} FROM enc
   WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _CORR_COLS)}),
 m AS ({' UNION ALL '.join(f"SELECT {q(c)} AS feature, corr(r_{c}, r_purchase_ord) AS rho FROM rk" for c in S.NUMERIC_FEATURES)})
 SELECT feature, {r('rho')} AS rho FROM m ORDER BY abs(rho) DESC, feature LIMIT 3"""))
 def q_top_drivers_purchase(spark, sf_dir):
-    m = RK.spearman_matrix(encoded(spark, sf_dir), _CORR_COLS)
+    m = RK.spearman_matrix(encoded(spark, sf_dir), _CORR_COLS, high_cardinality=False)
     return rounded(RK.top_drivers(m, "purchase_ord", k=3))
 
 
@@ -215,8 +208,58 @@ def q_line_fit_by_platform(spark, sf_dir):
     return rounded(RK.line_fit_by_member(encoded(spark, sf_dir), PLATFORM_FLAGS, "daily_time_ord", "purchase_ord"))
 
 
+# -- p-values in SQL: finite sums and a series of positive terms, nothing shared with functions/pvalues.py ----------
+def _chi2_p_sql(x: str, dof: str) -> str:
+    """Upper tail of chi-square for even degrees of freedom: exp(-x/2) * sum of (x/2)^i / i!."""
+    return f"(exp(-{x} / 2) * list_sum(list_transform(range(0, CAST({dof} AS BIGINT) // 2), lambda i: pow({x} / 2, i) / gamma(i + 1))))"
+
+
+def _normal_p_sql(z: str) -> str:
+    """Upper normal tail: 1/2 - density * sum of z^(2i+1) / (1 * 3 * ... * (2i+1))."""
+    return (f"(0.5 - sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 400), lambda i: "
+            f"exp((2 * i + 1) * ln(greatest(abs({z}), 1e-300)) - (i + 1) * ln(2) - lgamma(i + 1.5) + ln(pi()) / 2))))")
+
+
+def _t_p_sql(t: str, dof: str) -> str:
+    """Upper tail of Student's t for t >= 0 and whole degrees of freedom, by its finite sums in cos(atan(t / sqrt(dof)))."""
+    v = f"CAST({dof} AS BIGINT)"
+    cos2 = f"({v} / ({v} + {t} * {t}))"
+    sin = f"({t} / sqrt({v} + {t} * {t}))"
+    even = (f"{sin} * list_sum(list_transform(range(0, {v} // 2), lambda k: "
+            f"exp(lgamma(k + 0.5) - lgamma(k + 1) + k * ln({cos2})) / sqrt(pi())))")
+    odd = (f"2 / pi() * (atan({t} / sqrt({v})) + {sin} * coalesce(list_sum(list_transform(range(0, ({v} - 1) // 2), lambda k: "
+           f"exp(lgamma(k + 1) - lgamma(k + 1.5) + (k + 0.5) * ln({cos2})) * sqrt(pi()) / 2)), 0))")
+    return f"((1 - CASE WHEN {v} % 2 = 0 THEN {even} ELSE {odd} END) / 2)"
+
+
+def _spearman_tests_sql() -> str:
+    parts = [f"""SELECT {q(label)} AS hypothesis, count(*) AS n, corr(ra, rb) AS rho FROM (
+  SELECT {_rank_sql(x)} AS ra, {_rank_sql(y)} AS rb FROM enc WHERE {x} IS NOT NULL AND {y} IS NOT NULL)""" for label, x, y in (
+        ("H1: Trust → Purchase", "product_interest_score", "purchase_ord"),
+        ("H2: Engagement → Purchase", "engagement_ord", "purchase_ord"),
+        ("H3: Satisfaction → Retargeting", "satisfaction_score", "retargeting_score"),
+        ("H4: Daily Time → Engagement", "daily_time_ord", "engagement_ord"),
+        ("H5: Product Interest → Ad Click", "product_interest_score", "ad_click_ord"))]
+    union = "\nUNION ALL ".join(parts)
+    return with_enc(f""", st AS ({union}),
+t AS (SELECT *, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t FROM st),
+pv AS (SELECT *, 2 * {_t_p_sql('t', 'n - 2')} AS p FROM t)
+SELECT hypothesis, n, {r('rho')} AS rho, {r('p')} AS p_value,
+       CASE WHEN rho > 0 THEN 'Positive' ELSE 'Negative' END AS direction,
+       CASE WHEN abs(rho) > 0.4 THEN 'Strong' WHEN abs(rho) > 0.2 THEN 'Moderate' ELSE 'Weak' END AS strength,
+       CASE WHEN abs(rho) > 0.3 THEN '***' WHEN abs(rho) > 0.2 THEN '**' WHEN abs(rho) > 0.1 THEN '*' ELSE '' END AS stars,
+       CASE WHEN p < 0.05 THEN 'SIGNIFICANT' ELSE 'NOT SIGNIFICANT' END AS status
+FROM pv""")
+
+
+@register("spearman_tests", _spearman_tests_sql())
+def q_spearman_tests(spark, sf_dir):
+    """The five hypotheses with p-values (t approximation, n - 2 df, two-sided) and labels."""
+    return rounded(RK.spearman_test(encoded(spark, sf_dir), high_cardinality=False))
+
+
 # -- H1-H8 ----------------------------------------------------------------------------------------
-def _mw_sql(cond_a: str, cond_b: str, measure: str) -> str:
+def _mw_sql(cond_a: str, cond_b: str, measure: str, r=r) -> str:
     return with_enc(f""",
 lng AS (SELECT 'a' AS g, CAST({measure} AS DOUBLE) AS v FROM enc WHERE coalesce({cond_a}, false) AND {measure} IS NOT NULL
         UNION ALL
@@ -238,16 +281,17 @@ FROM u""")
 def q_mw_followers(spark, sf_dir):
     enc = encoded(spark, sf_dir)
     return rounded(H.mann_whitney_stats(enc, F.col("follows_influencers") == "Yes",
-                                        F.col("follows_influencers") == "No", "purchase_ord"))
+                                        F.col("follows_influencers") == "No", "purchase_ord", high_cardinality=False))
 
 
 @register("mann_whitney_spenders", _mw_sql("spending_ord >= 3", "spending_ord <= 2", "engagement_ord"))
 def q_mw_spenders(spark, sf_dir):
     enc = encoded(spark, sf_dir)
-    return rounded(H.mann_whitney_stats(enc, F.col("spending_ord") >= 3, F.col("spending_ord") <= 2, "engagement_ord"))
+    return rounded(H.mann_whitney_stats(enc, F.col("spending_ord") >= 3, F.col("spending_ord") <= 2, "engagement_ord",
+                                        high_cardinality=False))
 
 
-def _kw_sql(long_sql: str, min_n: int = 5) -> str:
+def _kw_sql(long_sql: str, min_n: int = 5, r=r) -> str:
     return with_enc(f""",
 lng0 AS ({long_sql}),
 keep AS (SELECT g FROM lng0 GROUP BY g HAVING count(*) >= {min_n}),
@@ -261,32 +305,41 @@ SELECT CAST(k AS BIGINT) AS k, CAST(nn AS BIGINT) AS n, {r('h')} AS h, {r('great
 FROM h WHERE k >= 2""")
 
 
-@register("kruskal_age", _kw_sql(
-    "SELECT age_group AS g, CAST(purchase_ord AS DOUBLE) AS v FROM enc WHERE age_group IS NOT NULL AND purchase_ord IS NOT NULL"))
+_KW_AGE = "SELECT age_group AS g, CAST(purchase_ord AS DOUBLE) AS v FROM enc WHERE age_group IS NOT NULL AND purchase_ord IS NOT NULL"
+_KW_PLATFORMS = " UNION ALL ".join(
+    f"SELECT {q(lab)} AS g, CAST(ad_click_ord AS DOUBLE) AS v FROM enc WHERE {f} = 1 AND ad_click_ord IS NOT NULL"
+    for f, lab in PLATFORM_FLAGS.items())
+
+
+@register("kruskal_age", _kw_sql(_KW_AGE))
 def q_kruskal_age(spark, sf_dir):
     enc = encoded(spark, sf_dir)
-    return rounded(H.kruskal_stats(enc.select(F.col("age_group").alias("g"), F.col("purchase_ord").alias("v"))))
+    return rounded(H.kruskal_stats(enc.select(F.col("age_group").alias("g"), F.col("purchase_ord").alias("v")),
+                                   high_cardinality=False))
 
 
-@register("kruskal_platforms", _kw_sql(" UNION ALL ".join(
-    f"SELECT {q(lab)} AS g, CAST(ad_click_ord AS DOUBLE) AS v FROM enc WHERE {f} = 1 AND ad_click_ord IS NOT NULL"
-    for f, lab in PLATFORM_FLAGS.items())))
+@register("kruskal_platforms", _kw_sql(_KW_PLATFORMS))
 def q_kruskal_platforms(spark, sf_dir):
     """H3: overlapping groups -- a respondent is in every platform group they use."""
     long = explode_members(encoded(spark, sf_dir), PLATFORM_FLAGS, keep=["ad_click_ord"])
-    return rounded(H.kruskal_stats(long.select(F.col("member").alias("g"), F.col("ad_click_ord").alias("v"))))
+    return rounded(H.kruskal_stats(long.select(F.col("member").alias("g"), F.col("ad_click_ord").alias("v")),
+                                   high_cardinality=False))
+
+
+def _t_sql(r=r) -> str:
+    mean, sd, n = "avg(satisfaction_score)", "stddev_samp(satisfaction_score)", "count(satisfaction_score)"
+    return with_enc(f"""
+SELECT {n} AS n, {r(mean)} AS mean, {r(sd)} AS sd, {r(f'({mean} - 3.0) / ({sd} / sqrt({n}))')} AS t,
+       {r(f'({mean} - 3.0) / {sd}')} AS cohens_d
+FROM enc""")
 
 
-@register("t_test_satisfaction", with_enc(f"""
-SELECT count(satisfaction_score) AS n, {r('avg(satisfaction_score)')} AS mean, {r('stddev_samp(satisfaction_score)')} AS sd,
-       {r(f'(avg(satisfaction_score) - {S.NEUTRAL_SCORE}) / (stddev_samp(satisfaction_score) / sqrt(count(satisfaction_score)))')} AS t,
-       {r(f'(avg(satisfaction_score) - {S.NEUTRAL_SCORE}) / stddev_samp(satisfaction_score)')} AS cohens_d
-FROM enc"""))
+@register("t_test_satisfaction", _t_sql())
 def q_t_test_satisfaction(spark, sf_dir):
     return rounded(H.t_test_1samp_stats(encoded(spark, sf_dir), "satisfaction_score", S.NEUTRAL_SCORE))
 
 
-def _chi_sql_one(la: str, lb: str, a: str, b: str) -> str:
+def _chi_sql_one(la: str, lb: str, a: str, b: str, r=r) -> str:
     return f"""(WITH cells AS (SELECT CAST({a} AS VARCHAR) AS a, CAST({b} AS VARCHAR) AS b, count(*) AS o FROM enc
                 WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2),
   ra AS (SELECT a, sum(o) AS rt FROM cells GROUP BY a),
@@ -307,23 +360,54 @@ def q_chi_square_stats(spark, sf_dir):
     return rounded(H.chi_square_stats_many(encoded(spark, sf_dir), H.DEFAULT_CHI_PAIRS))
 
 
-@register("chi_square_tests")
+def _chi_tests_sql() -> str:
+    """The statistics again, unrounded, with the p-values of even degrees of freedom and the labels."""
+    return with_enc(", st AS (" + "\nUNION ALL ".join("SELECT * FROM " + _chi_sql_one(*p, r=_exact) for p in H.DEFAULT_CHI_PAIRS)
+                    + f"), pv AS (SELECT *, {_chi2_p_sql('chi2', 'dof')} AS p FROM st)")
+
+
+_CHI_COLUMNS = f"""var_a, var_b, {r('chi2')} AS chi2, dof, n, {r('cramers_v')} AS cramers_v, {r('p')} AS p_value, p < 0.05 AS significant,
+       CASE WHEN cramers_v > 0.3 THEN 'Strong' WHEN cramers_v > 0.15 THEN 'Moderate' ELSE 'Weak' END AS strength"""
+
+
+@register("chi_square_tests", _chi_tests_sql() + f" SELECT {_CHI_COLUMNS} FROM pv")
 def q_chi_square_tests(spark, sf_dir):
     return rounded(H.chi_square(encoded(spark, sf_dir)))
 
 
-@register("strongest_association")
+@register("strongest_association", _chi_tests_sql()
+          + f" SELECT {_CHI_COLUMNS} FROM pv WHERE p < 0.05 ORDER BY cramers_v DESC, var_a, var_b LIMIT 1")
 def q_strongest_association(spark, sf_dir):
     return rounded(H.strongest(H.chi_square(encoded(spark, sf_dir))))
 
 
-@register("hypothesis_tests")
+def _hypothesis_sql() -> str:
+    """CTE ``tests``: H1-H5 from the statistics' own SQL, each with its p-value and effect."""
+    mw = [("H1", "purchases: people who follow influencers against the rest",
+           _mw_sql("follows_influencers = 'Yes'", "follows_influencers = 'No'", "purchase_ord", r=_exact)),
+          ("H5", "engagement: upper two spending bands against the lower two",
+           _mw_sql("spending_ord >= 3", "spending_ord <= 2", "engagement_ord", r=_exact))]
+    kw = [("H2", "purchases by age band", _kw_sql(_KW_AGE, r=_exact)), ("H3", "ad clicks by platform in use", _kw_sql(_KW_PLATFORMS, r=_exact))]
+    parts = [f"""SELECT {q(h)} AS hypothesis, {q(d)} AS description, 'Mann-Whitney U (one-tailed)' AS test, u AS statistic,
+       {_normal_p_sql('z')} AS p_value, z / sqrt(n_a + n_b) AS effect_size, 'r' AS effect_name FROM ({sql})""" for h, d, sql in mw]
+    parts += [f"""SELECT {q(h)}, {q(d)}, 'Kruskal-Wallis H', h, {_chi2_p_sql('h', '(k - 1)')}, eta2, 'eta2' FROM ({sql})"""
+              for h, d, sql in kw]
+    parts.append(f"""SELECT 'H4', 'satisfaction above the scale''s middle, 3.0', 'One-sample t-test (one-tailed)', t,
+       CASE WHEN t > 0 THEN {_t_p_sql('greatest(t, 0.0)', '(n - 1)')} ELSE 1.0 END, cohens_d, 'cohens_d' FROM ({_t_sql(r=_exact)})""")
+    return "WITH tests AS (" + "\nUNION ALL ".join(parts) + ")"
+
+
+@register("hypothesis_tests", _hypothesis_sql() + f"""
+SELECT hypothesis, description, test, {r('statistic')} AS statistic, {r('p_value')} AS p_value,
+       {r('effect_size')} AS effect_size, effect_name,
+       CASE WHEN p_value < 0.05 THEN 'REJECT H0' ELSE 'FAIL TO REJECT H0' END AS decision FROM tests""")
 def q_hypothesis_tests(spark, sf_dir):
     table, _ = H.hypothesis_summary(H.standard_tests(encoded(spark, sf_dir)))
     return rounded(table)
 
 
-@register("hypothesis_decisions")
+@register("hypothesis_decisions", _hypothesis_sql() + """
+SELECT CASE WHEN p_value < 0.05 THEN 'REJECT H0' ELSE 'FAIL TO REJECT H0' END AS decision, count(*) AS n FROM tests GROUP BY 1""")
 def q_hypothesis_decisions(spark, sf_dir):
     _, counts = H.hypothesis_summary(H.standard_tests(encoded(spark, sf_dir)))
     return counts

@@ -148,6 +148,16 @@ CHI_PAIRS = [
     ("Gender", "Made Purchase", "gender", "made_purchase"),
     ("Preferred Ad Format", "High Ad Responsive", "preferred_ad_format", "high_ad_responsive"),
 ]
+# Pairs of the rank-correlation hypotheses: label, two columns.
+SPEARMAN_PAIRS = [
+    ("H1: Trust → Purchase", "product_interest_score", "purchase_ord"),
+    ("H2: Engagement → Purchase", "engagement_ord", "purchase_ord"),
+    ("H3: Satisfaction → Retargeting", "satisfaction_score", "retargeting_score"),
+    ("H4: Daily Time → Engagement", "daily_time_ord", "engagement_ord"),
+    ("H5: Product Interest → Ad Click", "product_interest_score", "ad_click_ord"),
+]
+# Stars of a correlation by its absolute value.
+STAR_CUTS = (0.3, 0.2, 0.1)
 # Columns written by the filtered-rows export.
 EXPORT_COLUMNS = [
     "age_group", "gender", "spending", "platforms", "daily_time", "follows_influencers",
