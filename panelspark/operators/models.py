@@ -14,7 +14,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.encode import column_stats, standardize_exprs
@@ -22,54 +22,72 @@ from panelspark.functions.literals import local_table
 from panelspark.operators.ranks import rank_table, running_sums
 
 
-# -- splits and folds (M12, M5, M11) ---------------------------------------------------------------
-def hash_unit(key: str, seed: int = 42) -> Column:
-    """Deterministic uniform [0, 1) per row from a hash of (key, seed): reproducible on any
-    executor, independent of partitioning."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-
-
-def split(df: DataFrame, train_frac: float = 0.75, key: str = "id", seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Hash split.  Because the draw is independent of the label, each class is split in
-    the same proportion in expectation (stratified in expectation, with no per-class sort)."""
-    u = hash_unit(key, seed)
-    return df.where(u < train_frac), df.where(u >= train_frac)
-
+MIN_ROWS, MIN_CLASS_ROWS, MIN_PCA_ROWS = 30, 5, 10
 
-def contiguous_folds(df: DataFrame, k: int = 5, key: str = "id") -> DataFrame:
-    """M5: ``fold`` column for k contiguous folds in ``key`` order (no shuffle; the first n % k
-    folds hold one extra row).  Positions come from the range-partitioned rank of the key."""
-    n = df.count()
-    rt = rank_table(df, key).select(key, F.col("rank").alias("__pos"))
-    sizes = [n // k + (1 if i < n % k else 0) for i in range(k)]
-    bounds, acc = [], 0
-    for s in sizes:
-        acc += s
-        bounds.append(acc)
-    pos = F.col("__pos")
-    fold = None
-    for i, b in enumerate(bounds):
-        fold = F.when(pos <= b, i) if fold is None else fold.when(pos <= b, i)
-    return df.join(rt, key).withColumn("fold", fold.otherwise(k - 1)).drop("__pos")
 
-
-def hash_folds(df: DataFrame, k: int = 5, key: str = "id", seed: int = 42) -> DataFrame:
-    """``fold`` = hash of the key mod k (balanced per class in expectation)."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int"))
+# -- splits and folds (M12, M5, M11) ---------------------------------------------------------------
+def placed(df: DataFrame, order: Sequence[str], label: str | None = None) -> DataFrame:
+    """Adds ``__pos`` (place in ``order``, from 0, within the row's class) and ``__size`` (rows of the class); without
+    ``label`` all rows are one class.  Places come from range-partitioned running sums, so a class may hold most rows."""
+    by = [label] if label else []
+    out = running_sums(df.withColumn("__one", F.lit(1).cast("long")), order, {"__pos": "__one"}, by).drop("__one")
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__size"))  # one row for each class of the label
+    return out.join(F.broadcast(sizes), by) if by else out.crossJoin(F.broadcast(sizes))
+
+
+def split(df: DataFrame, train_frac: float = 0.75, key: str = "id", seed: int = 42,
+          stratify: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Seeded split by the rows' places in the order of a hash of ``key``: exactly the rounded share of all rows,
+    or of each class of ``stratify``, trains; reruns and other partitionings agree."""
+    drawn = placed(df.withColumn("__draw", F.xxhash64(F.col(key), F.lit(seed))), ["__draw", key], stratify)
+    trains = F.col("__pos") < F.round(F.col("__size") * train_frac)
+    return drawn.where(trains).select(*df.columns), drawn.where(~trains).select(*df.columns)
+
+
+def contiguous_folds(df: DataFrame, k: int = 5, key: str = "id", stratify: str | None = None) -> DataFrame:
+    """``fold`` column for k contiguous folds in ``key`` order (no shuffle), of all rows or of each class of
+    ``stratify``; the first n % k folds hold one extra row."""
+    at = placed(df, [key], stratify)
+    small, extra = F.floor(F.col("__size") / k), F.col("__size") % k
+    cut = extra * (small + 1)
+    fold = F.when(F.col("__pos") < cut, F.floor(F.col("__pos") / (small + 1))).otherwise(
+        extra + F.floor(F.try_divide(F.col("__pos") - cut, small)))
+    return at.select(*df.columns, fold.cast("int").alias("fold"))
+
+
+def enough_rows(df: DataFrame, label: str | None = None, least: int = MIN_ROWS, per_class: int = MIN_CLASS_ROWS) -> bool:
+    """sample guard of the fits: ``least`` rows, and ``per_class`` rows of 0 and of 1 where there is a label."""
+    if label is None:
+        return df.count() >= least
+    n, ones = df.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col(label) == 1).cast("long")), F.lit(0))).first()
+    return n >= least and min(ones, n - ones) >= per_class
 
 
 # -- features --------------------------------------------------------------------------------------
-def standardized_features(df: DataFrame, cols: Sequence[str], out: str = "features",
-                          keep: Sequence[str] = ()) -> tuple[DataFrame, dict]:
+def standardized_features(df: DataFrame, cols: Sequence[str], out: str = "features", keep: Sequence[str] = (),
+                          stats: dict | None = None) -> tuple[DataFrame, dict]:
     """P13 + assembler: z-scored columns (population sd) as one vector column; rows with a null
-    feature are dropped (list-wise).  Returns the frame and the (mean, sd) used."""
+    feature are dropped (list-wise).  Returns the frame and the (mean, sd) used: those given
+    (of training rows), else those of the rows themselves."""
     base = df.select(*keep, *cols).dropna(subset=list(cols))
-    stats = column_stats(base, cols)
+    stats = column_stats(base, cols) if stats is None else stats
     z = base.withColumns(standardize_exprs(stats))
     vec = VectorAssembler(inputCols=list(cols), outputCol=out).transform(z)
     return vec, stats
 
 
+def scaled_split(df: DataFrame, features: Sequence[str], label: str, train_frac: float | None, key: str, seed: int,
+                 stratify: bool, scale_on: str = "train") -> tuple[DataFrame, DataFrame]:
+    """Standardized ``(train, test)`` rows without nulls.  ``scale_on="train"`` takes means and deviations from the
+    training rows, ``"all"`` from all rows; with ``train_frac=None`` both frames are all rows."""
+    if scale_on not in ("train", "all"):
+        raise ValueError("scale_on is 'train' or 'all'")
+    base = df.select(key, F.col(label).cast("double").alias(label), *[c for c in features]).dropna()
+    train, test = (base, base) if train_frac is None else split(base, train_frac, key, seed, label if stratify else None)
+    stats = column_stats(train if scale_on == "train" else base, features)
+    return tuple(standardized_features(x, features, keep=[key, label], stats=stats)[0] for x in (train, test))
+
+
 # -- PCA (M1-M3) ---------------------------------------------------------------------------------
 def pca_fit(df: DataFrame, cols: Sequence[str], k: int | None = None, keep: Sequence[str] = ()):
     vec, stats = standardized_features(df, cols, keep=keep)
@@ -120,16 +138,15 @@ def _r2_rmse(pred: DataFrame, label: str) -> DataFrame:
     err = F.col(label) - F.col("prediction")
     return pred.agg(F.count(F.lit(1)).alias("n"), F.sum(err * err).alias("sse"),
                     (F.variance(label) * (F.count(F.lit(1)) - 1)).alias("sst")).select(
-        "n", (1 - F.col("sse") / F.col("sst")).alias("r2"), F.sqrt(F.col("sse") / F.col("n")).alias("rmse"))
+        "n", (1 - F.try_divide("sse", "sst")).alias("r2"), F.sqrt(F.try_divide("sse", "n")).alias("rmse"))
 
 
 def ols(df: DataFrame, features: Sequence[str], label: str, train_frac: float | None = 0.75,
-        key: str = "id", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+        key: str = "id", seed: int = 42, scale_on: str = "train") -> tuple[DataFrame, DataFrame]:
     """M4: least squares on standardized features.  Returns ``(coefs(feature, coef), metrics(split,
-    n, r2, rmse))``; with ``train_frac=None`` the fit and R2 use all rows (dashboard variant)."""
-    vec, _ = standardized_features(df, features, keep=[key, label])
-    vec = vec.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
-    train, test = (vec, vec) if train_frac is None else split(vec, train_frac, key, seed)
+    n, r2, rmse))``; with ``train_frac=None`` the fit and R2 use all rows (dashboard variant).  R2 of constant
+    labels is null."""
+    train, test = scaled_split(df, features, label, train_frac, key, seed, False, scale_on)
     lr = LinearRegression(featuresCol="features", labelCol=label, solver="normal", regParam=0.0,
                           standardization=False)
     model = lr.fit(train)
@@ -151,22 +168,29 @@ def cross_validate_ols(df: DataFrame, features: Sequence[str], label: str, k: in
         model = LinearRegression(featuresCol="features", labelCol=label, solver="normal", regParam=0.0,
                                  standardization=False).fit(folded.where(F.col("fold") != i))
         r2 = _r2_rmse(model.transform(folded.where(F.col("fold") == i)), label).first()["r2"]
-        rows.append((i, float(r2)))
+        rows.append((i, r2))
     folded.unpersist()
     out = local_table(df.sparkSession, rows, "fold int, r2 double")
     w = Window.partitionBy()
     return out.withColumn("mean_r2", F.avg("r2").over(w)).withColumn("sd_r2", F.stddev_pop("r2").over(w))
 
 
+def _no_fit(df: DataFrame, key: str, schema: str = "feature string, coef double") -> tuple[DataFrame, DataFrame]:
+    """Empty results of a classifier that has too few rows."""
+    none = df.where(F.lit(False)).select(key, F.lit(0).alias("label"), F.lit(0).alias("prediction"), F.lit(0.0).alias("score"))
+    return local_table(df.sparkSession, [], schema), none
+
+
 # -- classification (M6, M10, M11) -----------------------------------------------------------------
 def logistic(df: DataFrame, features: Sequence[str], label: str, C: float = 1.0, max_iter: int = 500,
-             train_frac: float = 0.75, key: str = "id", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+             train_frac: float = 0.75, key: str = "id", seed: int = 42,
+             scale_on: str = "train") -> tuple[DataFrame, DataFrame]:
     """M6: L2 logistic regression on standardized features, sklearn-style strength ``C``
-    (regParam = 1 / (C * n_train)).  Returns ``(coefs, test predictions(key, label, prediction,
-    probability))``."""
-    vec, _ = standardized_features(df, features, keep=[key, label])
-    vec = vec.withColumn(label, F.col(label).cast("double"))
-    train, test = split(vec, train_frac, key, seed)
+    (regParam = 1 / (C * n_train)).  The split keeps the share of each class.  Returns ``(coefs, test
+    predictions(key, label, prediction, score))``; both are empty below 30 rows or 5 rows of a class."""
+    if not enough_rows(df.select(label, *features).dropna(), label):
+        return _no_fit(df, key)
+    train, test = scaled_split(df, features, label, train_frac, key, seed, True, scale_on)
     n_train = train.count()
     model = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter, elasticNetParam=0.0,
                                regParam=1.0 / (C * max(n_train, 1)), standardization=False, fitIntercept=True,
@@ -185,9 +209,11 @@ def forest_importance(df: DataFrame, features: Sequence[str], label: str, trees:
     """Random forest (gini, sqrt feature subsets) -> ``(feature, importance)`` and test
     predictions; ``train_frac=None`` fits on all rows (dashboard variant)."""
     base = df.select(key, label, *features).dropna()
-    vec = VectorAssembler(inputCols=list(features), outputCol="features").transform(base)
-    vec = vec.withColumn(label, F.col(label).cast("double"))
-    train, test = (vec, vec) if train_frac is None else split(vec, train_frac, key, seed)
+    if not enough_rows(base, label):
+        return _no_fit(df, key, "feature string, importance double")
+    base = base.withColumn(label, F.col(label).cast("double"))
+    train, test = (base, base) if train_frac is None else split(base, train_frac, key, seed, label)
+    train, test = (VectorAssembler(inputCols=list(features), outputCol="features").transform(x) for x in (train, test))
     model = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth,
                                    impurity="gini", featureSubsetStrategy="sqrt", seed=seed).fit(train)
     imp = local_table(df.sparkSession, 
@@ -200,8 +226,12 @@ def forest_importance(df: DataFrame, features: Sequence[str], label: str, trees:
 
 def forest_cv_auc(df: DataFrame, features: Sequence[str], label: str, k: int = 5, trees: int = 100, depth: int = 5,
                   key: str = "id", seed: int = 42) -> DataFrame:
-    """K hash folds; ``(fold, auc)`` with mean and population sd."""
-    base = hash_folds(df.select(key, label, *features).dropna(), k, key, seed)
+    """K contiguous folds of each class; ``(fold, auc)`` with mean and population sd; no row below 30 rows or 5
+    rows of a class."""
+    base = df.select(key, label, *features).dropna()
+    if not enough_rows(base, label):
+        return local_table(df.sparkSession, [], "fold int, auc double, mean_auc double, sd_auc double")
+    base = contiguous_folds(base, k, key, stratify=label)
     vec = VectorAssembler(inputCols=list(features), outputCol="features").transform(base)
     vec = vec.withColumn(label, F.col(label).cast("double")).persist()
     rows = []
@@ -264,7 +294,7 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
 
 
 def auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """M9: exact ROC AUC = (R_pos - n_pos (n_pos + 1) / 2) / (n_pos n_neg) with average ranks of
+    """M9: (null where a class is absent) exact ROC AUC = (R_pos - n_pos (n_pos + 1) / 2) / (n_pos n_neg) with average ranks of
     the scores over both classes (tied scores count one half)."""
     lv = pred.select(F.col(label).cast("int").alias("g"), F.col(score).cast("double").alias("v")).where(
         F.col("v").isNotNull() & F.col("g").isNotNull())
@@ -274,7 +304,8 @@ def auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFram
     wide = per.agg(F.max(F.when(F.col("g") == 1, F.col("n"))).alias("n_pos"),
                    F.max(F.when(F.col("g") == 0, F.col("n"))).alias("n_neg"),
                    F.max(F.when(F.col("g") == 1, F.col("rs"))).alias("r_pos"))
-    a = (F.col("r_pos") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / (F.col("n_pos") * F.col("n_neg"))
+    a = F.col("r_pos") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0
+    a = F.try_divide(a, (F.col("n_pos") * F.col("n_neg")).cast("double"))
     return wide.select(F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"),
                        a.alias("auc"))
 

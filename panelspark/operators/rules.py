@@ -10,7 +10,6 @@ antecedent counted for every row carries ``n`` and ``n(C)`` through the same agg
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,23 +93,18 @@ def association_rules(items_df: DataFrame, antecedents: Sequence[str], consequen
     order.  Thresholds apply to unrounded values (kept when support >= min_support and confidence
     >= min_confidence); outputs are rounded to 3 places, half to even.
 
-    Rows are first collapsed to their item-set bitmask (at most 2^items distinct values, in
-    practice a few hundred): ``groupBy(mask)`` with map-side partial aggregation turns any number
-    of rows -- and any hot item set -- into one weighted row per set.  Singles and pairs are then
-    expanded from that small table only.
+    Rows are first collapsed to their item set (in practice a few hundred distinct ones):
+    ``groupBy(items)`` with map-side partial aggregation turns any number of rows -- and any hot
+    item set -- into one weighted row per set.  Singles and pairs are then expanded from that
+    small table only.
     """
     banned = set(exclude) | {consequent}
     ants = [a for a in antecedents if a not in banned]
-    if len(ants) > 62:
-        raise ValueError("at most 62 antecedent items (bitmask in a 64-bit long)")
-    bits = [F.when(F.col(a) == 1, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, a in enumerate(ants)]
-    mask = reduce(lambda x, y: x + y, bits) if bits else F.lit(0).cast("long")
+    held = F.array_compact(F.array(*[F.when(F.col(a) == 1, F.lit(a)) for a in ants]).cast("array<string>"))
     cons = F.coalesce(F.col(consequent), F.lit(0)).cast("long")
-    sets = items_df.select(mask.alias("mask"), cons.alias("c")).groupBy("mask").agg(
+    sets = items_df.select(held.alias("items"), cons.alias("c")).groupBy("items").agg(
         F.count(F.lit(1)).alias("w"), F.sum("c").alias("wc"))
-    m = F.col("mask")
-    active = F.filter(F.array(*[F.when(m.bitwiseAND(F.lit(1 << i)) != 0, F.lit(a)) for i, a in enumerate(ants)]),
-                      lambda x: x.isNotNull())
+    active = F.col("items")
     all_names = F.concat(F.array(F.lit(_ALL)), active)
     if max_len >= 2:
         all_names = F.concat(all_names, _ordered_pairs(active))

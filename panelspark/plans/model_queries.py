@@ -125,6 +125,14 @@ def q_ols_purchase(spark, sf_dir):
                    .unionByName(metrics.select(F.lit("(test)").alias("feature"), F.col("rmse").alias("coef"), "r2")))
 
 
+@register("ols_purchase_all_rows")
+def q_ols_purchase_all_rows(spark, sf_dir):
+    """M4 on all rows, with the dashboard's features."""
+    coefs, metrics = M.ols(encoded(spark, sf_dir), FEATURES_DASH, "purchase_ord", train_frac=None)
+    return rounded(coefs.select("feature", "coef", F.lit(None).cast("double").alias("r2"))
+                   .unionByName(metrics.select(F.lit("(all)").alias("feature"), F.col("rmse").alias("coef"), "r2")))
+
+
 @register("ols_purchase_cv")
 def q_ols_purchase_cv(spark, sf_dir):
     return rounded(M.cross_validate_ols(encoded(spark, sf_dir), FEATURES_NB, "purchase_ord", k=5))
@@ -152,6 +160,52 @@ def q_forest_importance_ad(spark, sf_dir):
     return rounded(imp)
 
 
+@register("forest_split_auc_ad")
+def q_forest_split_auc_ad(spark, sf_dir):
+    """M10 with 100 trees on the stratified split: importances, and the AUC of the test rows."""
+    imp, pred = M.forest_importance(encoded(spark, sf_dir), FEATURES_AD_LEAK_FREE, "high_ad_responsive", trees=100, depth=5)
+    return rounded(imp.unionByName(M.auc(pred).select(F.lit("(test auc)").alias("feature"), F.col("auc").alias("importance"))))
+
+
+def _split_sizes_sql() -> str:
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in FEATURES_AD_LEAK_FREE)
+    return with_enc(f""", c AS (SELECT high_ad_responsive AS label, count(*) AS n FROM enc
+  WHERE {complete} AND high_ad_responsive IS NOT NULL GROUP BY 1)
+SELECT label, CAST(round(n * 0.75) AS BIGINT) AS train, n - CAST(round(n * 0.75) AS BIGINT) AS test FROM c""")
+
+
+@register("stratified_split_sizes", _split_sizes_sql())
+def q_stratified_split_sizes(spark, sf_dir):
+    """Rows of each class that train and that test."""
+    label = "high_ad_responsive"
+    base = encoded(spark, sf_dir).select("id", label, *FEATURES_AD_LEAK_FREE).dropna()
+    train, test = M.split(base, 0.75, stratify=label)
+    sides = train.select(label, F.lit(1).alias("t")).unionByName(test.select(label, F.lit(0).alias("t")))
+    return sides.groupBy(F.col(label).alias("label")).agg(F.sum("t").alias("train"), F.sum(1 - F.col("t")).alias("test"))
+
+
+_FOLDS = 5
+
+
+def _fold_sql() -> str:
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in FEATURES_AD_LEAK_FREE)
+    return with_enc(f""", p AS (SELECT high_ad_responsive AS label, id,
+    row_number() OVER (PARTITION BY high_ad_responsive ORDER BY id) - 1 AS pos,
+    count(*) OVER (PARTITION BY high_ad_responsive) AS n FROM enc WHERE {complete} AND high_ad_responsive IS NOT NULL),
+f AS (SELECT label, id, CAST(CASE WHEN pos < (n % 5) * (n // 5 + 1) THEN pos // (n // 5 + 1)
+       ELSE n % 5 + (pos - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold FROM p)
+SELECT label, fold, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM f GROUP BY 1, 2""")
+
+
+@register("stratified_folds", _fold_sql())
+def q_stratified_folds(spark, sf_dir):
+    """Contiguous folds of each class."""
+    label = "high_ad_responsive"
+    base = encoded(spark, sf_dir).select("id", label, *FEATURES_AD_LEAK_FREE).dropna()
+    return M.contiguous_folds(base, _FOLDS, "id", label).groupBy(F.col(label).alias("label"), "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
 @register("forest_cv_auc_ad")
 def q_forest_cv_auc_ad(spark, sf_dir):
     return rounded(M.forest_cv_auc(encoded(spark, sf_dir), FEATURES_AD_LEAK_FREE, "high_ad_responsive",

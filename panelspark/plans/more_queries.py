@@ -53,21 +53,22 @@ _DASH_ITEMS_SQL = {
 }
 
 
-def _rules_sql(items: dict[str, str], consequent: str, min_sup: float, min_conf: float, exclude=(), top=None) -> str:
+def _rules_sql(items: dict[str, str], consequent: str, min_sup: float, min_conf: float, exclude=(), top=None, singles=False) -> str:
     ants = [a for a in items if a != consequent and a not in exclude]
     flags = ", ".join(f"CAST(coalesce({e}, false) AS INTEGER) AS {n}" for n, e in items.items())
     long = " UNION ALL ".join(f"SELECT rid, {q(a)} AS item, {i} AS pos, {consequent} AS c FROM t WHERE {a} = 1"
                               for i, a in enumerate(ants))
     order = "ORDER BY lift DESC, antecedent LIMIT " + str(top) if top else ""
+    pairs = "" if singles else """
+  UNION ALL
+  SELECT a.item || ' + ' || b.item, count(*), sum(a.c) FROM lng a JOIN lng b ON a.rid = b.rid AND a.pos < b.pos
+  GROUP BY 1"""
     return with_enc(f""",
 t AS (SELECT row_number() OVER () AS rid, {flags} FROM enc),
 tot AS (SELECT count(*) AS n, sum({consequent}) AS n_c FROM t),
 lng AS ({long}),
 ants AS (
-  SELECT item AS antecedent, count(*) AS n_a, sum(c) AS n_ac FROM lng GROUP BY item
-  UNION ALL
-  SELECT a.item || ' + ' || b.item, count(*), sum(a.c) FROM lng a JOIN lng b ON a.rid = b.rid AND a.pos < b.pos
-  GROUP BY 1),
+  SELECT item AS antecedent, count(*) AS n_a, sum(c) AS n_ac FROM lng GROUP BY item{pairs}),
 m AS (SELECT antecedent, n_ac * 1.0 / n AS sup, n_ac * 1.0 / n_a AS conf, n_c * 1.0 / n AS cr, n_a FROM ants, tot)
 SELECT antecedent, {q(consequent)} AS consequent, round_even(sup * 1000.0, 0) / 1000.0 AS support,
        round_even(conf * 1000.0, 0) / 1000.0 AS confidence,
@@ -91,6 +92,17 @@ def q_rules_high_adclick(spark, sf_dir):
     return _dash_rules(spark, sf_dir, "High_AdClick", 0.05, 0.3)
 
 
+_REPORT_ITEMS = ("High_Engagement", "ContentQuality_Trust", "High_Interest", "High_Satisfaction", "Made_Purchase", "High_TimeSpent")
+
+
+@register("rules_report_top6", _rules_sql({k: _DASH_ITEMS_SQL[k] for k in _REPORT_ITEMS}, "Made_Purchase", 0.06, 0.45, top=6, singles=True))
+def q_rules_report_top6(spark, sf_dir):
+    """R1/R4, report variant: single items, support 0.06, confidence 0.45, the six of highest lift."""
+    items = R.transaction_items(encoded(spark, sf_dir), R.report_items())
+    rules = R.association_rules(items, list(R.report_items()), "Made_Purchase", 0.06, 0.45, max_len=1)
+    return rules.orderBy(F.desc("lift"), "antecedent").limit(6)
+
+
 _NB_ITEMS_SQL = {
     "High_Engagement": "engagement_ord >= 2",
     "Low_Engagement": "engagement_ord = 1",

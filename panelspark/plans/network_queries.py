@@ -143,19 +143,70 @@ def q_platform_closeness(spark, sf_dir):
     return rounded(N.closeness(nodes, edges))
 
 
-@register("content_pagerank")
+def _central_sql(multi: str, rounds: int = 60, damping: float = 0.85, tol: float = 1e-6) -> str:
+    """CTEs ``usage``, ``degree``, ``close``, ``between`` and ``rank`` of a small item graph, in a style of their own:
+    every simple path is listed, shortest ones are counted, and PageRank is unrolled to its first round below the
+    tolerance."""
+    steps, ranks = [], []
+    for k in range(1, rounds + 1):
+        prev = f"r{k - 1}"
+        steps.append(f"""r{k} AS MATERIALIZED (
+  SELECT nodes.node, (1 - {damping}) / nn.n + {damping} * (coalesce(f.inflow, 0.0) + d.dm / nn.n) AS pr
+  FROM nodes CROSS JOIN nn
+  CROSS JOIN (SELECT coalesce(sum(pr), 0.0) AS dm FROM {prev} WHERE node NOT IN (SELECT src FROM ow)) d
+  LEFT JOIN (SELECT tr.dst AS node, sum({prev}.pr * tr.p) AS inflow FROM tr JOIN {prev} ON {prev}.node = tr.src
+             GROUP BY 1) f ON f.node = nodes.node)""")
+        ranks.append(f"SELECT {k} AS k, a.node, a.pr, abs(a.pr - b.pr) AS moved FROM r{k} a JOIN {prev} b ON a.node = b.node")
+    return with_enc(f", {_items_cte('enc', 'id', multi)}," + f"""
+nodes AS MATERIALIZED (SELECT item AS node, count(*) AS usage FROM items GROUP BY 1),
+edges AS ({_edges_sql()}),
+bw AS MATERIALIZED (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges),
+nn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes),
+degree AS (SELECT node, count(bw.src) AS degree, count(bw.src) / (any_value(nn.n) - 1) AS degree_centrality,
+                  CAST(coalesce(sum(weight), 0) AS BIGINT) AS strength
+           FROM nodes CROSS JOIN nn LEFT JOIN bw ON bw.src = node GROUP BY node),
+walk(s, v, d, path) AS (
+  SELECT node, node, CAST(0 AS BIGINT), [node] FROM nodes
+  UNION ALL
+  SELECT w.s, bw.dst, CAST(w.d + bw.weight AS BIGINT), list_append(w.path, bw.dst) FROM walk w JOIN bw ON bw.src = w.v
+  WHERE NOT list_contains(w.path, bw.dst)),
+hops AS (SELECT s, v, min(len(path)) - 1 AS h FROM walk GROUP BY 1, 2),
+close AS (SELECT s AS node, CASE WHEN sum(h) > 0 THEN (count(*) - 1) / sum(h) * (count(*) - 1) / (any_value(nn.n) - 1) ELSE 0 END AS closeness
+          FROM hops CROSS JOIN nn GROUP BY 1),
+best AS (SELECT *, min(d) OVER (PARTITION BY s, v) AS least FROM walk WHERE s <> v),
+sp AS (SELECT path, count(*) OVER (PARTITION BY s, v) AS ways FROM best WHERE d = least),
+thru AS (SELECT unnest(path[2:len(path) - 1]) AS node, 1.0 / ways AS part FROM sp),
+between AS (SELECT nodes.node, coalesce(sum(part), 0) / ((any_value(nn.n) - 1) * (any_value(nn.n) - 2)) AS betweenness
+            FROM nodes CROSS JOIN nn LEFT JOIN thru ON thru.node = nodes.node GROUP BY 1),
+ow AS MATERIALIZED (SELECT src, sum(weight) AS out_w FROM bw GROUP BY src),
+tr AS MATERIALIZED (SELECT bw.src, bw.dst, bw.weight * 1.0 / ow.out_w AS p FROM bw JOIN ow ON bw.src = ow.src),
+r0 AS MATERIALIZED (SELECT node, 1.0 / (SELECT n FROM nn) AS pr FROM nodes),
+""" + ",\n".join(steps) + ",\nrounds AS MATERIALIZED (" + "\nUNION ALL ".join(ranks) + f"""),
+settled AS (SELECT min(k) AS k FROM (SELECT k FROM rounds CROSS JOIN nn GROUP BY k HAVING sum(moved) < any_value(nn.n) * {tol})),
+pagerank AS (SELECT node, pr AS pagerank FROM rounds WHERE k = (SELECT k FROM settled))""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_TABLE_SQL = """, central AS (SELECT nodes.node, usage, degree, degree_centrality, strength, closeness, pagerank, betweenness
+  FROM nodes JOIN degree ON degree.node = nodes.node JOIN close ON close.node = nodes.node
+  JOIN pagerank ON pagerank.node = nodes.node JOIN between ON between.node = nodes.node)
+"""
+
+
+@register("content_pagerank", _central_sql("content_type") + f" SELECT node, {r('pagerank')} AS pagerank FROM pagerank")
 def q_content_pagerank(spark, sf_dir):
     nodes, edges = N.cooccurrence(encoded(spark, sf_dir), "content_type")
     return rounded(N.pagerank(nodes, edges))
 
 
-@register("content_betweenness")
+@register("content_betweenness", _central_sql("content_type") + f" SELECT node, {r('betweenness')} AS betweenness FROM between")
 def q_content_betweenness(spark, sf_dir):
     nodes, edges = N.cooccurrence(encoded(spark, sf_dir), "content_type")
     return rounded(N.betweenness(nodes, edges))
 
 
-@register("platform_centrality_table")
+@register("platform_centrality_table", _central_sql("platforms") + _TABLE_SQL + f"""
+SELECT node, usage, degree, {r('degree_centrality')} AS degree_centrality, strength, {r('closeness')} AS closeness,
+       {r('pagerank')} AS pagerank, {r('betweenness')} AS betweenness FROM central""")
 def q_platform_centrality_table(spark, sf_dir):
     nodes, edges = N.cooccurrence(encoded(spark, sf_dir), "platforms")
     return rounded(N.centrality_table(nodes, edges))
@@ -169,7 +220,9 @@ def q_content_edge_lookup(spark, sf_dir):
     return N.edge_weight(edges, "Food", "Fashion / Beauty")
 
 
-@register("platform_top_nodes")
+@register("platform_top_nodes", _central_sql("platforms") + _TABLE_SQL + "\nUNION ALL ".join(
+    f"SELECT * FROM (SELECT '{m}' AS metric, node, {r(m)} AS value FROM central ORDER BY {m} DESC, node LIMIT 1)"
+    for m in ("usage", "degree_centrality", "strength", "closeness", "pagerank", "betweenness")))
 def q_platform_top_nodes(spark, sf_dir):
     """The top node for each centrality metric."""
     nodes, edges = N.cooccurrence(encoded(spark, sf_dir), "platforms")

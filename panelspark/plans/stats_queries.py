@@ -360,9 +360,9 @@ def q_chi_square_stats(spark, sf_dir):
     return rounded(H.chi_square_stats_many(encoded(spark, sf_dir), H.DEFAULT_CHI_PAIRS))
 
 
-def _chi_tests_sql() -> str:
+def _chi_tests_sql(pairs=H.DEFAULT_CHI_PAIRS) -> str:
     """The statistics again, unrounded, with the p-values of even degrees of freedom and the labels."""
-    return with_enc(", st AS (" + "\nUNION ALL ".join("SELECT * FROM " + _chi_sql_one(*p, r=_exact) for p in H.DEFAULT_CHI_PAIRS)
+    return with_enc(", st AS (" + "\nUNION ALL ".join("SELECT * FROM " + _chi_sql_one(*p, r=_exact) for p in pairs)
                     + f"), pv AS (SELECT *, {_chi2_p_sql('chi2', 'dof')} AS p FROM st)")
 
 
@@ -381,6 +381,19 @@ def q_strongest_association(spark, sf_dir):
     return rounded(H.strongest(H.chi_square(encoded(spark, sf_dir))))
 
 
+# pairs that do depend on each other: spending stands for the value of the order
+_DEPENDENT_PAIRS = [("Spending", "Purchases", "spending_ord", "purchase_ord"),
+                    ("Engagement", "Made Purchase", "engagement_ord", "made_purchase"),
+                    ("Purchases", "Made Purchase", "purchase_ord", "made_purchase")]
+
+
+@register("strongest_dependent_pair", _chi_tests_sql(_DEPENDENT_PAIRS)
+          + f" SELECT {_CHI_COLUMNS} FROM pv WHERE p < 0.05 ORDER BY cramers_v DESC, var_a, var_b LIMIT 1")
+def q_strongest_dependent_pair(spark, sf_dir):
+    """H8 on pairs of which some are associated."""
+    return rounded(H.strongest(H.chi_square(encoded(spark, sf_dir), _DEPENDENT_PAIRS)))
+
+
 def _hypothesis_sql() -> str:
     """CTE ``tests``: H1-H5 from the statistics' own SQL, each with its p-value and effect."""
     mw = [("H1", "purchases: people who follow influencers against the rest",

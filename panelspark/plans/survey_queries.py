@@ -39,17 +39,17 @@ def q_encoded_responses(spark, sf_dir):
                              F.to_date("end_time").cast("string").alias("end_day")))
 
 
-@register("renamed_questions", with_responses(
-    "SELECT id, age_group AS " + q("Age Group").replace("'", '"') + ", trust_factor AS "
-    + '"What factor makes you trust an influencer the most?"' + " FROM responses"))
+@register("renamed_questions", with_responses("""
+SELECT id, start_time, end_time, age_group, gender, spending, platforms, daily_time, follows_influencers, content_type,
+       trust_factor, engagement_freq, product_interest_score, searched_product, purchase_freq, purchase_motivation,
+       satisfaction_score, ad_click_freq, ad_influenced, retargeting_score, preferred_ad_format FROM responses"""))
 def q_renamed_questions(spark, sf_dir):
-    """S2 round trip: question-text columns renamed back to short names, missing ones tolerated."""
+    """An export under all 24 question texts, renamed, and without the personal columns."""
     from panelspark.sources.responses import responses
-    inverse = {"age_group": "Age Group", "trust_factor": "What factor makes you trust an influencer the most?"}
-    raw = responses(spark, sf_dir).select("id", *[F.col(k).alias(v) for k, v in inverse.items()])
-    short = rename_columns(raw, S.QUESTION_ALIASES)
-    # back to the question texts, so both sides expose the same column names
-    return short.select("id", *[F.col(k).alias(v) for k, v in inverse.items()])
+    raw = responses(spark, sf_dir)
+    export = raw.select(*[(F.col(short) if short in raw.columns else F.lit("n/a")).alias(text)
+                          for text, short in S.QUESTION_ALIASES.items()])
+    return rename_columns(export, S.QUESTION_ALIASES).drop(*S.PERSONAL_COLUMNS)
 
 
 @register("preview_rows", with_enc("""

@@ -40,6 +40,9 @@ QUESTION_ALIASES = {
     "Which ad format influences you the most?": "preferred_ad_format",
 }
 
+# Columns about the person or the form, which no analysis reads.
+PERSONAL_COLUMNS = ["email", "name", "modified_time"]
+
 SPENDING_MAP = {"< ₹500": 1, "₹500–₹2000": 2, "₹2000–₹5000": 3, "₹5000+": 4}
 DAILY_TIME_MAP = {"Less than 1 hour": 1, "1-2 hour": 2, "2-4 hour": 3, "More than 4 hours": 4}
 ENGAGEMENT_MAP = {"Rarely": 1, "Sometimes": 2, "frequently": 3, "Almost always": 4}

@@ -99,3 +99,13 @@ def test_rolling_mean_null_key_is_one_group(spark):
     for i in range(90):
         last = [float(k) for k in (i - 6, i - 3, i) if k >= 0]
         assert abs(got[i] - sum(last) / len(last)) < 1e-12
+
+
+def test_rolling_mean_chunks_of_a_hot_key(spark):
+    from pyspark.sql import Window
+    df = spark.range(500).select("id", F.when(F.col("id") % 5 > 0, "hot").otherwise("cold").alias("u"),
+                                 (F.col("id") * 37 % 500).alias("ts"), (F.col("id") % 11).alias("v"))
+    got = {r.id: r.rolling for r in W.rolling_mean(df, "ts", "v", 6, 2, by=["u"], chunk_rows=7).collect()}
+    w = Window.partitionBy("u").orderBy("ts", "id").rowsBetween(-5, 0)
+    exp = df.select("id", F.when(F.count("v").over(w) >= 2, F.avg("v").over(w)).alias("m")).collect()
+    assert len(got) == 500 and all(got[r.id] == r.m for r in exp)
