@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import filters as FL
 from panelspark.operators import hypothesis as H
 from panelspark.operators import models as M
+from tests.conftest import SF001
 
 
 def _brute_u(a, b):
@@ -40,3 +41,12 @@ def test_segment_filter_reaches_parquet_scan(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(c_mktsegment, [BUILDING,MACHINERY])]" in plan
     assert "ReadSchema: struct<c_custkey:bigint,c_mktsegment:string>" in plan
+
+
+def test_prepared_table_is_scanned_with_its_columns_and_filters(spark):
+    from panelspark.plans.common import encoded
+    df = encoded(spark, SF001).where(F.col("age_group") == "19-24").groupBy("gender").count()
+    plan = df._jdf.queryExecution().toString()
+    schema = plan[plan.rindex("ReadSchema"):].split("\n")[0]
+    assert "gender" in schema and "age_group" in schema and "spending" not in schema
+    assert "EqualTo(age_group,19-24)" in plan and "InMemoryTableScan" not in plan
