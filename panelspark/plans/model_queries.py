@@ -125,7 +125,59 @@ def q_ols_purchase(spark, sf_dir):
                    .unionByName(metrics.select(F.lit("(test)").alias("feature"), F.col("rmse").alias("coef"), "r2")))
 
 
-@register("ols_purchase_all_rows")
+def _solve_sql(source: str, unknowns: int, name: str = "beta") -> str:
+    """CTEs that solve normal equations by elimination, one system for each row of ``source``: columns ``fold`` and
+    ``a_i_j`` (j = unknowns: right side).  The last CTE ``name`` has ``fold, b_0, b_1, ...``."""
+    steps, prev = [], source
+    for k in range(unknowns):
+        cols = [f"a_{i}_{j} - a_{i}_{k} * a_{k}_{j} / a_{k}_{k} AS a_{i}_{j}" if i != k else f"a_{k}_{j} / a_{k}_{k} AS a_{k}_{j}"
+                for i in range(unknowns) for j in range(k + 1, unknowns + 1)]
+        steps.append(f"{name}_{k} AS MATERIALIZED (SELECT fold, {', '.join(cols)} FROM {prev})")
+        prev = f"{name}_{k}"
+    found = ", ".join(f"a_{i}_{unknowns} AS b_{i}" for i in range(unknowns))
+    return ", ".join([*steps, f"{name} AS MATERIALIZED (SELECT fold, {found} FROM {prev})"])
+
+
+def _products_sql(terms: list[str], label: str) -> str:
+    """Sums of products of the terms with one another and with the label."""
+    return ", ".join(f"sum(CAST({a} AS DOUBLE) * {b}) AS a_{i}_{j}" for i, a in enumerate(terms)
+                     for j, b in enumerate([*terms, label]))
+
+
+def _fit_sql(terms: list[str]) -> str:
+    return " + ".join(f"b_{i} * {t}" for i, t in enumerate(terms))
+
+
+def _ols_all_sql() -> str:
+    cols, y = FEATURES_DASH, "purchase_ord"
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in [*cols, y])
+    z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{i}" for i, c in enumerate(cols))
+    terms = ["1.0", *[f"z{i}" for i in range(len(cols))]]
+    names = ["(intercept)", *cols]
+    return with_enc(f""", z AS MATERIALIZED (SELECT CAST({y} AS DOUBLE) AS y, {z} FROM enc WHERE {complete}),
+sums AS (SELECT 0 AS fold, {_products_sql(terms, 'y')} FROM z), {_solve_sql('sums', len(terms))},
+m AS (SELECT sum(pow(y - ({_fit_sql(terms)}), 2)) AS sse, var_pop(y) * count(*) AS sst, count(*) AS n FROM z CROSS JOIN beta)
+""" + "\nUNION ALL ".join(f"SELECT '{f}' AS feature, {r(f'b_{i}')} AS coef, CAST(NULL AS DOUBLE) AS r2 FROM beta" for i, f in enumerate(names))
+                    + f"\nUNION ALL SELECT '(all)', {r('sqrt(sse / n)')}, {r('1 - sse / sst')} FROM m")
+
+
+def _ols_cv_sql() -> str:
+    """Least squares does not depend on the scale of its features, so R2 follows from the answers as they are."""
+    cols, y = FEATURES_NB, "purchase_ord"
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in [*cols, y])
+    terms = ["1.0", *cols]
+    return with_enc(f""", p AS MATERIALIZED (SELECT {', '.join(cols)}, CAST({y} AS DOUBLE) AS y,
+    row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM enc WHERE {complete}),
+f AS MATERIALIZED (SELECT *, CAST(CASE WHEN pos < (n % 5) * (n // 5 + 1) THEN pos // (n // 5 + 1)
+    ELSE n % 5 + (pos - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS part FROM p),
+sums AS (SELECT k.fold, {_products_sql(terms, 'y')} FROM f JOIN (SELECT CAST(range AS INTEGER) AS fold FROM range(5)) k
+         ON f.part <> k.fold GROUP BY k.fold), {_solve_sql('sums', len(terms))},
+m AS (SELECT fold, 1 - sum(pow(y - ({_fit_sql(terms)}), 2)) / (var_pop(y) * count(*)) AS r2
+      FROM f JOIN beta ON f.part = beta.fold GROUP BY fold)
+SELECT fold, {r('r2')} AS r2, {r('avg(r2) OVER ()')} AS mean_r2, {r('stddev_pop(r2) OVER ()')} AS sd_r2 FROM m""")
+
+
+@register("ols_purchase_all_rows", _ols_all_sql())
 def q_ols_purchase_all_rows(spark, sf_dir):
     """M4 on all rows, with the dashboard's features."""
     coefs, metrics = M.ols(encoded(spark, sf_dir), FEATURES_DASH, "purchase_ord", train_frac=None)
@@ -133,7 +185,7 @@ def q_ols_purchase_all_rows(spark, sf_dir):
                    .unionByName(metrics.select(F.lit("(all)").alias("feature"), F.col("rmse").alias("coef"), "r2")))
 
 
-@register("ols_purchase_cv")
+@register("ols_purchase_cv", _ols_cv_sql())
 def q_ols_purchase_cv(spark, sf_dir):
     return rounded(M.cross_validate_ols(encoded(spark, sf_dir), FEATURES_NB, "purchase_ord", k=5))
 
