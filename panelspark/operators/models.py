@@ -37,9 +37,9 @@ def placed(df: DataFrame, order: Sequence[str], label: str | None = None) -> Dat
 
 def split(df: DataFrame, train_frac: float = 0.75, key: str = "id", seed: int = 42,
           stratify: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Seeded split by the rows' places in the order of a hash of ``key``: exactly the rounded share of all rows,
+    """Seeded split by the rows' places in the order of md5("key:seed"), which any engine can repeat: exactly the rounded share of all rows,
     or of each class of ``stratify``, trains; reruns and other partitionings agree."""
-    drawn = placed(df.withColumn("__draw", F.xxhash64(F.col(key), F.lit(seed))), ["__draw", key], stratify)
+    drawn = placed(df.withColumn("__draw", F.md5(F.concat_ws(":", F.col(key), F.lit(seed)))), ["__draw", key], stratify)
     trains = F.col("__pos") < F.round(F.col("__size") * train_frac)
     return drawn.where(trains).select(*df.columns), drawn.where(~trains).select(*df.columns)
 

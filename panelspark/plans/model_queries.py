@@ -105,6 +105,28 @@ def q_pca_loadings_survey(spark, sf_dir):
     return rounded(M.pca_loadings(encoded(spark, sf_dir), FEATURES_DASH, k=3))
 
 
+def _pca_power_sql(powers: int) -> str:
+    """Traces of the powers of the correlation matrix, which are the power sums of its eigenvalues."""
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in FEATURES_DASH)
+    cells = ", ".join(f"{{'i': {i}, 'j': {j}, 'v': corr({a}, {b})}}" for i, a in enumerate(FEATURES_DASH)
+                      for j, b in enumerate(FEATURES_DASH))
+    steps = [f"c1 AS MATERIALIZED (SELECT x.i AS i, x.j AS j, x.v AS v FROM (SELECT unnest([{cells}]) AS x FROM enc WHERE {complete}))"]
+    steps += [f"c{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM c{k - 1} a JOIN c1 b ON a.j = b.i GROUP BY 1, 2)"
+              for k in range(2, powers + 1)]
+    return with_enc(", " + ", ".join(steps)) + " UNION ALL ".join(
+        f"SELECT {k} AS power, {r('sum(v)')} AS total FROM c{k} WHERE i = j" for k in range(1, powers + 1))
+
+
+@register("pca_eigenvalue_sums", _pca_power_sql(len(FEATURES_DASH)))
+def q_pca_eigenvalue_sums(spark, sf_dir):
+    """M1 against SQL: as many power sums as there are components fix every eigenvalue."""
+    p = len(FEATURES_DASH)
+    value = F.col("explained_pct") / 100 * p
+    sums = F.inline(F.array(*[F.struct(F.lit(k).alias("power"), F.pow(value, F.lit(k)).alias("part")) for k in range(1, p + 1)]))
+    return rounded(M.pca_scree(encoded(spark, sf_dir), FEATURES_DASH).select(sums)
+                   .groupBy("power").agg(F.sum("part").alias("total")))
+
+
 def _embedding_columns(spark, sf_dir, dims: int = 64):
     emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     cols = [f"e{i}" for i in range(dims)]
@@ -118,13 +140,6 @@ def q_pca_project_embeddings(spark, sf_dir):
     return rounded(M.pca_project(emb, cols, k=2, carry=("id", "label")))
 
 
-@register("ols_purchase")
-def q_ols_purchase(spark, sf_dir):
-    coefs, metrics = M.ols(encoded(spark, sf_dir), FEATURES_NB, "purchase_ord", train_frac=0.75)
-    return rounded(coefs.select("feature", "coef", F.lit(None).cast("double").alias("r2"))
-                   .unionByName(metrics.select(F.lit("(test)").alias("feature"), F.col("rmse").alias("coef"), "r2")))
-
-
 def _solve_sql(source: str, unknowns: int, name: str = "beta") -> str:
     """CTEs that solve normal equations by elimination, one system for each row of ``source``: columns ``fold`` and
     ``a_i_j`` (j = unknowns: right side).  The last CTE ``name`` has ``fold, b_0, b_1, ...``."""
@@ -161,6 +176,48 @@ m AS (SELECT sum(pow(y - ({_fit_sql(terms)}), 2)) AS sse, var_pop(y) * count(*)
                     + f"\nUNION ALL SELECT '(all)', {r('sqrt(sse / n)')}, {r('1 - sse / sst')} FROM m")
 
 
+def _drawn_sql(cols: list[str], y: str, stratify: bool) -> str:
+    """CTEs ``p`` (complete rows, whether they train) and ``z`` (scaled as the training rows are)."""
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in [*cols, y])
+    part = f"PARTITION BY {y}" if stratify else ""
+    z = ", ".join(f"({c} - (SELECT avg({c}) FROM p WHERE train)) / (SELECT stddev_pop({c}) FROM p WHERE train) AS z{i}"
+                  for i, c in enumerate(cols))
+    return with_enc(f""", p AS MATERIALIZED (SELECT id, {', '.join(cols)}, CAST({y} AS DOUBLE) AS y,
+    row_number() OVER ({part} ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id) - 1 < round(count(*) OVER ({part}) * 0.75) AS train
+  FROM enc WHERE {complete}),
+z AS MATERIALIZED (SELECT id, y, train, {z} FROM p)""")
+
+
+def _ols_split_sql() -> str:
+    cols = FEATURES_NB
+    terms = ["1.0", *[f"z{i}" for i in range(len(cols))]]
+    return _drawn_sql(cols, "purchase_ord", False) + f""",
+sums AS (SELECT 0 AS fold, {_products_sql(terms, 'y')} FROM z WHERE train), {_solve_sql('sums', len(terms))},
+m AS (SELECT sum(pow(y - ({_fit_sql(terms)}), 2)) AS sse, var_pop(y) * count(*) AS sst, count(*) AS n
+      FROM z CROSS JOIN beta WHERE NOT train)
+""" + "\nUNION ALL ".join(f"SELECT '{f}' AS feature, {r(f'b_{i}')} AS coef, CAST(NULL AS DOUBLE) AS r2 FROM beta"
+                          for i, f in enumerate(["(intercept)", *cols])) \
+        + f"\nUNION ALL SELECT '(test)', {r('sqrt(sse / n)')}, {r('1 - sse / sst')} FROM m"
+
+
+def _logistic_sql(rounds: int = 12) -> str:
+    """CTEs up to ``pred`` (test rows, label, prediction, score): Newton's method on the training rows, penalty
+    |b|^2 / 2 but for the intercept, its steps unrolled."""
+    cols = FEATURES_AD_LEAK_FREE
+    terms = ["1.0", *[f"z{i}" for i in range(len(cols))]]
+    n = len(terms)
+    sql = _drawn_sql(cols, "high_ad_responsive", True) + ", w0 AS (SELECT " + ", ".join(f"0.0 AS b_{i}" for i in range(n)) + ")"
+    for k in range(rounds):
+        hess = ", ".join(f"sum(q * (1 - q) * {a} * {b}) + {1.0 if i == j and i else 0.0} AS a_{i}_{j}"
+                         for i, a in enumerate(terms) for j, b in enumerate(terms))
+        grad = ", ".join(f"sum((y - q) * {a}) - {1.0 if i else 0.0} * any_value(b_{i}) AS a_{i}_{n}" for i, a in enumerate(terms))
+        sql += f""", q{k} AS MATERIALIZED (SELECT z.*, w{k}.*, 1 / (1 + exp(-({_fit_sql(terms)}))) AS q FROM z CROSS JOIN w{k} WHERE train),
+h{k} AS (SELECT 0 AS fold, {hess}, {grad} FROM q{k}), {_solve_sql(f'h{k}', n, f'd{k}')},
+w{k + 1} AS MATERIALIZED (SELECT {', '.join(f'w{k}.b_{i} + d{k}.b_{i} AS b_{i}' for i in range(n))} FROM w{k} CROSS JOIN d{k})"""
+    return sql + f""", pred AS (SELECT id, CAST(y AS INTEGER) AS label, 1 / (1 + exp(-({_fit_sql(terms)}))) AS score,
+    CAST({_fit_sql(terms)} > 0 AS INTEGER) AS prediction FROM z CROSS JOIN w{rounds} WHERE NOT train)"""
+
+
 def _ols_cv_sql() -> str:
     """Least squares does not depend on the scale of its features, so R2 follows from the answers as they are."""
     cols, y = FEATURES_NB, "purchase_ord"
@@ -177,6 +234,13 @@ m AS (SELECT fold, 1 - sum(pow(y - ({_fit_sql(terms)}), 2)) / (var_pop(y) * coun
 SELECT fold, {r('r2')} AS r2, {r('avg(r2) OVER ()')} AS mean_r2, {r('stddev_pop(r2) OVER ()')} AS sd_r2 FROM m""")
 
 
+@register("ols_purchase", _ols_split_sql())
+def q_ols_purchase(spark, sf_dir):
+    coefs, metrics = M.ols(encoded(spark, sf_dir), FEATURES_NB, "purchase_ord", train_frac=0.75)
+    return rounded(coefs.select("feature", "coef", F.lit(None).cast("double").alias("r2"))
+                   .unionByName(metrics.select(F.lit("(test)").alias("feature"), F.col("rmse").alias("coef"), "r2")))
+
+
 @register("ols_purchase_all_rows", _ols_all_sql())
 def q_ols_purchase_all_rows(spark, sf_dir):
     """M4 on all rows, with the dashboard's features."""
@@ -190,7 +254,9 @@ def q_ols_purchase_cv(spark, sf_dir):
     return rounded(M.cross_validate_ols(encoded(spark, sf_dir), FEATURES_NB, "purchase_ord", k=5))
 
 
-@register("logistic_ad_confusion")
+@register("logistic_ad_confusion", _logistic_sql() + """
+SELECT g.label, g.prediction, count(pred.id) AS n FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) g(label, prediction)
+LEFT JOIN pred ON pred.label = g.label AND pred.prediction = g.prediction GROUP BY 1, 2""")
 def q_logistic_ad_confusion(spark, sf_dir):
     _, pred = M.logistic(encoded(spark, sf_dir), FEATURES_AD_LEAK_FREE, "high_ad_responsive")
     return M.confusion(pred)
