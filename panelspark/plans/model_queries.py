@@ -46,20 +46,28 @@ def q_confusion_quality(spark, sf_dir):
     return M.confusion(_length_predictions(spark, sf_dir))
 
 
-@register("classification_report_quality", _PRED_SQL + f""",
+def _report_sql(source: str) -> str:
+    """CTEs over ``source`` (label, prediction) and the report's rows."""
+    return f""",
 c AS (SELECT count(*) FILTER (WHERE label = 0 AND prediction = 0) AS n00, count(*) FILTER (WHERE label = 0 AND prediction = 1) AS n01,
-             count(*) FILTER (WHERE label = 1 AND prediction = 0) AS n10, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS n11 FROM p),
+             count(*) FILTER (WHERE label = 1 AND prediction = 0) AS n10, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS n11 FROM {source}),
 m AS (SELECT *, coalesce(n00 / nullif(n00 + n10, 0), 0) AS p0, coalesce(n00 / nullif(n00 + n01, 0), 0) AS r0,
              coalesce(n11 / nullif(n11 + n01, 0), 0) AS p1, coalesce(n11 / nullif(n11 + n10, 0), 0) AS r1,
              n00 + n01 AS s0, n10 + n11 AS s1 FROM c),
 f AS (SELECT *, coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) AS f0, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) AS f1,
-             s0 + s1 AS tot FROM m)
+             s0 + s1 AS tot FROM m),
+rk AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rnk FROM {source}),
+s AS (SELECT count(*) FILTER (WHERE label = 1) AS n_pos, count(*) FILTER (WHERE label = 0) AS n_neg,
+             sum(rnk) FILTER (WHERE label = 1) AS r_pos FROM rk)
 SELECT '0' AS "row", {r('p0')} AS precision, {r('r0')} AS recall, {r('f0')} AS f1, s0 AS support FROM f
 UNION ALL SELECT '1', {r('p1')}, {r('r1')}, {r('f1')}, s1 FROM f
 UNION ALL SELECT 'accuracy', {r('(n00 + n11) / tot')}, {r('(n00 + n11) / tot')}, {r('(n00 + n11) / tot')}, tot FROM f
 UNION ALL SELECT 'macro avg', {r('(p0 + p1) / 2')}, {r('(r0 + r1) / 2')}, {r('(f0 + f1) / 2')}, tot FROM f
 UNION ALL SELECT 'weighted avg', {r('(p0 * s0 + p1 * s1) / tot')}, {r('(r0 * s0 + r1 * s1) / tot')},
-                 {r('(f0 * s0 + f1 * s1) / tot')}, tot FROM f""")
+                 {r('(f0 * s0 + f1 * s1) / tot')}, tot FROM f"""
+
+
+@register("classification_report_quality", _PRED_SQL + _report_sql("p"))
 def q_classification_report_quality(spark, sf_dir):
     return rounded(M.classification_report(_length_predictions(spark, sf_dir)))
 
@@ -262,7 +270,8 @@ def q_logistic_ad_confusion(spark, sf_dir):
     return M.confusion(pred)
 
 
-@register("logistic_ad_report")
+@register("logistic_ad_report", _logistic_sql() + _report_sql("pred") + f"""
+UNION ALL SELECT 'auc', {r('(r_pos - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg)')}, NULL, NULL, n_pos + n_neg FROM s""")
 def q_logistic_ad_report(spark, sf_dir):
     _, pred = M.logistic(encoded(spark, sf_dir), FEATURES_AD_LEAK_FREE, "high_ad_responsive")
     return rounded(M.classification_report(pred).unionByName(
