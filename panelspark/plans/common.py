@@ -13,20 +13,21 @@ from panelspark.sources.responses import responses
 # The prepared response table is built once per (application, source, profile) and written as Parquet into
 # the session's shared checkpoint folder.  Queries read that table, so their columns and filters reach its scan
 # and a lost executor re-reads files instead of re-running the build.
-_PREPARED: dict[tuple, str] = {}
+_PREPARED: dict[tuple, tuple] = {}
 
 
 def encoded(spark: SparkSession, sf_dir: str, profile: str = "dashboard", cache: bool = True) -> DataFrame:
     """Encoded response table built from the driver tables."""
-    df = encode(responses(spark, sf_dir), profile)
-    if not cache:
-        return df
     key = (spark.sparkContext.applicationId, sf_dir, profile)
-    if key not in _PREPARED:
+    if not cache or key not in _PREPARED:
+        df = encode(responses(spark, sf_dir), profile)
+        if not cache:
+            return df
         path = f"{checkpoint_dir(spark)}/prepared-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        _PREPARED[key] = path
-    return spark.read.schema(df.schema).parquet(_PREPARED[key])
+        _PREPARED[key] = path, df.schema
+    path, schema = _PREPARED[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def release() -> None:
