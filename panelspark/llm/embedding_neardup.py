@@ -4,6 +4,10 @@ Every tree splits recursively along random directions at medians, with spill: ve
 Splits are fitted on a bounded sample (``SAMPLE`` rows with the lowest hash); all rows are routed and compared.  Vectors
 that share a leaf in any tree are compared by cosine in double precision, verified pairs are united.
 
+A split may part at most ``LOSS`` of the pairs of its sample that reach the cosine: where the usual spill parts more (a
+group of near copies that fills much of the node), the cut moves beside the group or the spill widens to the distance of
+its pairs, and a node that no such split makes cheaper to compare is a leaf, whatever its size.
+
 Equal vectors are one row with a weight.  A leaf with more than ``BLOCK`` rows is compared in pairs of blocks, each a
 group of its own, so no leaf is held whole by one task and none is cut.  A pair that meets in several leaves counts in
 the first of them: rows carry the leaves they lie in.  A group hands on sums for each vector and stars for each
@@ -34,6 +38,10 @@ LEAF = 96
 SPILL = 0.08
 SAMPLE = 20_000
 LEAST_SAMPLE = 16   # sampled rows of a node that is still split
+LOSS = 0.05         # share of a node's sampled near pairs that a split may part
+PROBE = 384         # sampled rows of a node whose near pairs are looked at
+CUTS = (0.5, 0.4, 0.6, 0.3, 0.7, 0.2, 0.8)
+LEVELS = 40
 BLOCK = 1024
 SEED = 2
 _OTHER = -1
@@ -60,23 +68,47 @@ def unit(blobs: list[bytes]) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
-def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES) -> list[list[dict[int, tuple]]]:
+def _split(p: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, float, float] | None:
+    """Lower end of the spill, cut and upper end for the projections of a node's rows, of which (x, y) are near pairs."""
+    least, best = float(len(at)) ** 2, None
+    near_low, near_high = np.minimum(p[x], p[y]), np.maximum(p[x], p[y])
+    for middle in CUTS:
+        low, cut, high = np.quantile(p, [middle - SPILL, middle, middle + SPILL])
+        parted = ((near_low <= low) & (near_high >= high)).sum() > LOSS * len(x)
+        if parted:
+            apart = np.maximum(np.minimum(near_high - cut, cut - near_low), 0)
+            reach = np.nextafter(np.quantile(apart, 1 - LOSS, method="higher"), np.inf)
+            low, high = min(low, cut - reach), max(high, cut + reach)
+        cost = float(((p <= cut) | (p < high)).sum()) ** 2 + float(((p > cut) | (p > low)).sum()) ** 2
+        if cost < least:
+            least, best = cost, (low, cut, high)
+        if not parted and middle == CUTS[0]:
+            break
+    return best
+
+
+def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, cosine: float = COSINE) -> list[list[dict[int, tuple]]]:
     """For each tree and level, the split of each node: direction, lower and upper end of the spill, and threshold."""
     rng = np.random.default_rng(SEED)
-    depth = max(0, int(np.ceil(np.log2(max(rows, 1) / LEAF))))
     forest = []
     for _ in range(trees):
         levels, members = [], {0: np.arange(len(sample))}
-        for _ in range(depth):
+        while members and len(levels) < LEVELS:
             splits, below = {}, {}
             for node, at in members.items():
-                if len(at) < LEAST_SAMPLE:
+                if len(at) < LEAST_SAMPLE or len(at) * rows <= LEAF * len(sample):
                     continue
                 direction = rng.standard_normal(sample.shape[1])
                 p = sample[at] @ direction
-                low, cut, high = np.quantile(p, [0.5 - SPILL, 0.5, 0.5 + SPILL])
-                splits[node] = (direction, low, cut, high)
-                below[2 * node + 1], below[2 * node + 2] = at[p <= cut], at[p > cut]
+                probe = sample[at[:PROBE]]  # the sample is in hash order
+                x, y = np.nonzero(np.triu(probe @ probe.T >= cosine, 1))
+                split = _split(p, at, x, y)
+                if split is None:
+                    continue
+                splits[node] = (direction, *split)
+                below[2 * node + 1], below[2 * node + 2] = at[p <= split[1]], at[p > split[1]]
+            if not splits:
+                break
             levels.append(splits)
             members = below
         forest.append(levels)
@@ -169,8 +201,8 @@ def _compare(cosine: float):
         vectors, leaves = unit(table.column("vector").to_pylist()), _pad(table.column("leaves").to_pylist())
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         pairs = []
-        for start in range(0, len(left), 512):  # a strip of the comparison at a time
-            rows = left[start: start + 512]
+        for start in range(0, len(left), 128):  # a strip of the comparison at a time
+            rows = left[start: start + 128]
             x, y = np.nonzero(vectors[rows] @ vectors[right].T >= cosine)
             x, y = rows[x], right[y]
             keep = x < y if i == j else x != y
@@ -200,7 +232,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, trees: in
     sample = [r["vector"] for r in reps.orderBy(F.xxhash64("key"), "vec_id").select("vector").limit(SAMPLE).collect()]
     dim = Counter(len(v) // 8 for v in sample).most_common(1)[0][0] if sample else 0
     usual = [v for v in sample if len(v) == 8 * dim]
-    forest = fit_forest(unit(usual), n, trees) if usual else []
+    forest = fit_forest(unit(usual), n, trees, cosine) if usual else []
     routed = stage(reps.mapInArrow(_routing(spark.sparkContext.broadcast(forest), dim), _ROUTED), "vectors-routed")
     sizes = routed.groupBy("tree", "leaf").agg(F.count("*").alias("rows")).where("rows > 1")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")

@@ -251,6 +251,35 @@ def test_forest_recall_and_components(spark, monkeypatch):
     assert embedding_neardup.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("size,noise", [(3000, 0.15), (3000, 0.25)])
+def test_forest_finds_the_links_of_a_large_group(size, noise):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((size + 2000, 32))
+    x[:size] = x[0] + noise * rng.standard_normal((size, 32))
+    x = rng.permutation(x / np.linalg.norm(x, axis=1)[:, None])
+    row, tree, leaf = embedding_neardup.route(embedding_neardup.fit_forest(x, len(x)), x)
+    met = np.zeros((len(x), len(x)), bool)
+    code = tree.astype(np.int64) << 48 | leaf
+    for c in np.unique(code):
+        at = row[code == c]
+        met[np.ix_(at, at)] = True
+    near = x @ x.T >= embedding_neardup.COSINE
+    assert near.sum() > 0.5 * size ** 2 and (met & near).sum() >= 0.95 * near.sum()
+    assert len(row) < 80 * len(x)
+
+
+def test_links_of_a_large_group(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((2500, 16))
+    x[:2000] = x[0] + 0.15 * rng.standard_normal((2000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = {r["vec_id"]: r["n_links"] for r in embedding_neardup.near_duplicate_vectors(rows).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    found = np.array([out[i] for i in range(2500)])
+    assert (found <= links).all() and found.sum() >= 0.95 * links.sum()
+
+
 # ---------------------------------------------------------------------------------------------- 7
 
 def test_html_model_on_unseen_layouts(spark):
