@@ -35,6 +35,7 @@ _WHITE = re.compile(r"\s+")
 # Kinds of HTML elements.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title svg math iframe object select".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in _RAW}
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -66,7 +67,7 @@ class Page:
         pieces: list[str] = []
         linked = [0]
         in_link = 0
-        skip = ""
+        position = 0
 
         def flush() -> None:
             if not pieces:
@@ -89,12 +90,9 @@ class Page:
                 found.append("symbol")
             self._add(node, 0, [_FEATURES[f] for f in found], text, label)
 
-        for token in _TOKEN.finditer(source):
+        while token := _TOKEN.match(source, position):
+            position = token.end()
             name = token.group(2)
-            if skip:
-                if name and token.group(1) and name.lower() == skip:
-                    skip = ""
-                continue
             if name is None:
                 text = token.group()
                 if text[0] != "<" or text == "<":
@@ -118,8 +116,9 @@ class Page:
                     del stack[at:]
                 continue
             if name in _RAW:
-                if not token.group(3).rstrip().endswith("/"):
-                    skip = name
+                if not token.group(3).rstrip().endswith("/"):  # its text is no markup: go on at its end tag
+                    end = _RAW_END[name].search(source, position)
+                    position = end.start() if end else len(source)
                 continue
             if name in _INLINE:
                 in_link = 1 if name == "a" else in_link

@@ -296,6 +296,14 @@ def test_html_model_on_unseen_layouts(spark):
     assert rows[2]["text"] == "" and rows[3]["text"] == ""
 
 
+@pytest.mark.parametrize("raw", ["<script>for(i=0;i<n;i++){f()}</script>", "<script>if(a<b)f()</SCRIPT >", "<script><!-- f()</script>", "<style>/* <!-- a<b */</style>",
+                                 "<script>s='<a title=\"'</script>", "<textarea>x<y</textarea>", "<script>'</scripts>' + a<b</script>"])
+def test_html_goes_on_after_raw_elements(raw):
+    texts = lambda source: [t for t in html_extract.Page(source).texts if t]
+    assert texts(f"<p>One</p>{raw}<article><p>Two.</p></article>") == ["One", "Two."]
+    assert texts(f"<p>One</p>{raw}{raw}<article><p>Two.</p></article><script>a<b") == ["One", "Two."]
+
+
 def test_marginals_are_exact():
     page = html_extract.Page("<div><p>a</p><p class=ad>b</p></div>")
     forest = html_extract.Forest([page])
