@@ -17,8 +17,9 @@ pairs that share enough are handed on and verified.  No link between components
 thousands of near copies is not expanded into all pairs.
 
 N-grams are told apart by 64-bit hashes, of which 48 bits and the bucket travel.  Edge cases: null and empty texts have
-an empty set and link with nothing; repeated rows are equal sets; very long texts are whole; an empty table gives an
-empty result; extra columns are ignored.
+an empty set and link with nothing; repeated rows are equal sets; null and repeated ids are allowed, as the join runs on
+numbers of the distinct sets and maps them back at the end; very long texts are whole; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,8 +83,8 @@ def _digests(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             values, at = shingle_sets(*text_buffers(batch.column("text")), n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(_signatures(values, at), pa.binary())],
-                                             names=["doc_id", "n_shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(np.diff(at), pa.int64()),
+                                              pa.array(_signatures(values, at), pa.binary())], names=["doc_id", "digest", "n_shingles", "sig"])
     return run
 
 
@@ -283,19 +284,24 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one("a"), "a").join(one("b"), "b").mapInArrow(_verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, n_shingles, component_id`` of all documents, and the verified links between sets that are not equal.
+def _row_key() -> list:
+    """Identifier and digest of the text: rows with both equal are one document."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")]
+
 
-    The links connect all that the threshold connects; of pairs within one component not each is listed."""
+def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``doc_id, digest, n_shingles, sig`` of all documents; of each distinct set that is not empty its ``sig``, least
+    document (``rep``) and component (null without a link); the links ``(a, b)`` between the ``rep`` ids."""
     spark = docs.sparkSession
     buckets = 4 * shuffle_width(spark)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    digests = stage(rows.mapInArrow(_digests(n), "doc_id long, n_shingles long, sig binary"), "jaccard-digests")
+    rows = docs.select(*_row_key(), "text")
+    digests = stage(rows.mapInArrow(_digests(n), "doc_id long, digest binary, n_shingles long, sig binary"), "jaccard-digests")
+    rows = rows.drop("digest")
     shared = rows.mapInArrow(_send(buckets, n), _SENT).groupBy("bucket").applyInArrow(_shared, _FOUND)
     sets = stage(shared.groupBy("chunk").applyInArrow(_sets, _SETS), "jaccard-sets")
-    # equal sets of different chunks become one
-    least = sets.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    sets = stage(sets.join(least, ["sig", "doc_id"], "left_semi").dropDuplicates(["doc_id"]), "jaccard-sets")
+    # equal sets of different chunks become one, with a number in place of the id, which may be null or repeated
+    sets = stage(sets.dropDuplicates(["sig"]).withColumn("doc_id", F.monotonically_increasing_id()), "jaccard-sets")
     postings = stage(sets.mapInArrow(_postings, "token long, doc_id long, size long, match long, centre long, rest long"), "jaccard-postings")
 
     labelled, links = postings.withColumn("component", F.col("doc_id")), None
@@ -328,18 +334,35 @@ def near_duplicates(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
     links = stage(links.unionByName(more), "jaccard-links")
     groups = components(links, "jaccard-components")
 
-    reps = digests.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    reps = reps.join(groups, reps["rep"] == groups["node"], "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    classes = digests.join(reps, "sig", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return classes.select("doc_id", "n_shingles", component.alias("component_id")), links
+    reps = digests.where("n_shingles > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "digest")).alias("rep"))
+    numbers = sets.select("sig", F.col("doc_id").alias("number"))
+    reps = stage(reps.join(numbers, "sig", "left").join(groups, F.col("number") == F.col("node"), "left").select("sig", "rep", "number", "component"), "jaccard-reps")
+    ids = reps.where("number is not null").select("number", F.col("rep.doc_id").alias("id"))
+    ends = links.join(ids.toDF("a", "id_a"), "a").join(ids.toDF("b", "id_b"), "b")
+    return digests, reps, ends.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
-    """One document of each class (the least id), with its own columns; ids are expected to be unique."""
-    classes, _ = near_duplicates(docs, n)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return rows.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+def near_duplicates(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n_shingles, component_id`` of all documents, and the verified links between sets that are not equal.
 
+    The links connect all that the threshold connects; of pairs within one component not each is listed.  A component is
+    named by its least id, a null id standing as the smallest long, so classes of repeated ids can share a name."""
+    digests, reps, links = _classes(docs, n)
+    heads = reps.where("component is not null").groupBy("component").agg(F.min("rep.doc_id").alias("least"))
+    named = reps.join(heads, "component", "left").select("sig", F.coalesce("least", "rep.doc_id").alias("component_id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return digests.join(named, "sig", "left").select("doc_id", "n_shingles", component.alias("component_id")), links
 
+
+def drop_near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
+    """One document of each class (the least id, then the least digest of the text), with its own columns.
+
+    Documents without words are classes of their own; rows with equal id and text are one document."""
+    digests, reps, _ = _classes(docs, n)
+    linked = reps.where("component is not null").groupBy("component").agg(F.min("rep").alias("rep")).select("rep")
+    kept = reps.where("component is null").select("rep").unionByName(linked).select("rep.doc_id", "rep.digest")
+    kept = kept.unionByName(digests.where("n_shingles = 0").select("doc_id", "digest"))
+    kept = kept.toDF("__id", "__digest")
+    key = _row_key()
+    rows = docs.withColumn("__id", key[0]).withColumn("__digest", key[1])
+    return rows.join(kept, ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")

@@ -210,6 +210,25 @@ def test_jaccard_long_lists_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == _classes(sets)
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(60))
+    near = lambda k: text(k) + " end"
+    rows = [(None, text("a")), (None, text("b")), (None, near("b")), (None, ""), (None, " "), (None, None),
+            (5, text("a")), (6, near("a")), (7, text("c")), (7, text("d")), (7, text("d")), (8, near("d")), (9, text("e")), (10, near("c"))]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    kept = jaccard_join.drop_near_duplicates(docs)
+    got = [(r["doc_id"], r["text"] or "") for r in kept.collect()]
+    assert kept.columns == docs.columns
+    assert sorted(t[:2] for _, t in got if t.strip()) == ["aw", "bw", "cw", "dw", "ew"]
+    assert {(i, t[:1]) for i, t in got if t.strip()} == {(None, "a"), (None, "b"), (7, "c"), (7, "d"), (9, "e")}
+    assert sorted(t for _, t in got if not t.strip()) == ["", " "]
+    classes, links = jaccard_join.near_duplicates(docs)
+    no = jaccard_join.NO_ID
+    assert sorted((r["doc_id"], r["component_id"]) for r in classes.collect()) == sorted(
+        [(no, no)] * 6 + [(5, no), (6, no), (7, 7), (7, 7), (7, 7), (8, 7), (9, 9), (10, 7)])
+    assert {frozenset(r) for r in links.collect()} == {frozenset(x) for x in [(no, 6), (no, no), (7, 8), (7, 10)]}
+
+
 # ---------------------------------------------------------------------------------------------- 9
 
 def test_substrings(docs, empty):
