@@ -8,6 +8,10 @@ words themselves).  Every window but the first occurrence (least ``doc_id``, the
 A hot passage is first reduced where it is read: of equal windows in one chunk of documents only the first travels, so a
 bucket holds a passage at most once for each chunk, however many documents share it.  Packed strings are compressed.
 
+A line between differing words gives distinct windows with one minimiser.  Minimisers are counted on a sample of the
+documents; windows of those that fill more than an average bucket (and more than ``HOT`` windows) go by the hash of the
+whole window, so equal ones still meet.  The sample decides only where windows meet, not what is found.
+
 Edge cases: null and empty texts have no words; documents shorter than a window keep all words; overlapping repeats in
 one document count; repeated rows (one ``doc_id`` in several rows) are taken as the same document, so they do not remove
 each other's words; a null id is ordered first; an empty table gives an empty result; extra columns are ignored.
@@ -24,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, group_starts, ranges, rolling, shuffle_width, small_batches, span_hashes, text_buffers, word_spans
+from .common import U, group_starts, ranges, rolling, shuffle_width, small_batches, span_hashes, stage, text_buffers, word_spans
 
 WIDTH, M = 20, 4
 CHUNK_BYTES = 6 << 20
+HOT = 1 << 16    # windows of one minimiser that stay together in any case
+SAMPLED = 1 / 16  # share of the documents whose minimisers are counted
 NO_ID = -2**63
 
 
@@ -55,23 +61,59 @@ _SENT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("repe
 _FOUND = "doc_id long, first long, end long"
 
 
-def _send(buckets: int, width: int, m: int):
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in small_batches(batches, "text"):
+        held.append(batch)
+        size += int(text_buffers(batch.column("text"))[1][-1])
+        if size >= CHUNK_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _send(buckets: int, width: int, m: int, hot):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in small_batches(batches, "text"):
-            held.append(batch)
-            size += int(text_buffers(batch.column("text"))[1][-1])
-            if size >= CHUNK_BYTES:
-                yield _chunk(held, buckets, width, m)
-                held, size = [], 0
-        if held:
-            yield _chunk(held, buckets, width, m)
+        for held in _chunks(batches):
+            yield _chunk(held, buckets, width, m, hot.value)
 
     return send
 
 
-def _chunk(held: list[pa.RecordBatch], buckets: int, width: int, m: int) -> pa.RecordBatch:
+def _minimisers(hashes: np.ndarray, width: int, m: int) -> np.ndarray:
+    return sliding_min(rolling(hashes, m), width - m + 1)
+
+
+def _count(width: int, m: int):
+    """Windows of each minimiser in a chunk, equal windows once."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _chunks(batches):
+            data, offsets = text_buffers(pa.Table.from_batches(held).column("text"))
+            starts, ends, bounds = word_spans(data, offsets)
+            hashes = span_hashes(data, starts, ends)
+            doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            windows = rolling(hashes, width)
+            n = len(windows)
+            valid = np.flatnonzero(doc[:n] == doc[width - 1: n + width - 1]) if n else np.empty(0, np.int64)
+            valid = valid[np.unique(windows[valid], return_index=True)[1]]
+            value, times = np.unique(_minimisers(hashes, width, m)[valid] if n else np.empty(0, U), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times.astype(np.int64))], names=["minimiser", "windows"])
+
+    return count
+
+
+def _hot_minimisers(rows: DataFrame, buckets: int, width: int, m: int) -> np.ndarray:
+    """Sorted minimisers to split: no more than there are buckets, as each fills one."""
+    sample = rows.sample(SAMPLED, 9) if SAMPLED < 1 else rows
+    counted = stage(sample.mapInArrow(_count(width, m), "minimiser long, windows long").groupBy("minimiser").agg(F.sum("windows").alias("windows")), "substring-minimisers")
+    total = counted.agg(F.sum("windows")).first()[0] or 0
+    found = counted.where(F.col("windows") > max(HOT * SAMPLED, total / buckets)).select("minimiser").collect()
+    return np.sort(np.array([r["minimiser"] for r in found], np.int64).view(U))
+
+
+def _chunk(held: list[pa.RecordBatch], buckets: int, width: int, m: int, hot: np.ndarray) -> pa.RecordBatch:
     """Super-k-mers of the windows that occur first in these documents, by bucket, and the repeats among them."""
     table = pa.Table.from_batches(held).sort_by("doc_id").combine_chunks()
     ids = np.asarray(table.column("doc_id"))
@@ -94,7 +136,9 @@ def _chunk(held: list[pa.RecordBatch], buckets: int, width: int, m: int) -> pa.R
     owner, begin, end = _intervals(at[later], doc[later], width) if len(later) else (later, later, later)
     repeats = np.stack([ids[owner], begin, end], 1).astype("<i8") if len(later) else np.empty((0, 3), "<i8")
 
-    least = sliding_min(rolling(hashes, m), width - m + 1)
+    least = _minimisers(hashes, width, m)
+    if len(hot):
+        least = np.where(hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least, windows, least)
     send = np.flatnonzero(is_first)
     breaks = np.concatenate(([True], (send[1:] != send[:-1] + 1) | (least[send[1:]] != least[send[:-1]]))) if len(send) else np.empty(0, bool)
     head = np.flatnonzero(breaks)
@@ -171,7 +215,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, m: int = M) -> DataFrame
     """Word spans ``(doc_id, first, end)`` covered by windows whose words also start earlier in the corpus."""
     buckets = 4 * shuffle_width(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    sent = rows.mapInArrow(_send(buckets, width, m), _SENT)
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_minimisers(rows, buckets, width, m))
+    sent = rows.mapInArrow(_send(buckets, width, m, hot), _SENT)
     return sent.groupBy("bucket").applyInArrow(_bucket_repeats(width), _FOUND)
 
 

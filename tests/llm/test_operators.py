@@ -7,7 +7,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from panelspark.llm import (embedding_neardup, exact_dedup, html_extract, html_pages, jaccard_join, lm_scoring, mixing, packing,
@@ -247,6 +249,33 @@ def test_substrings(docs, empty):
     assert substring_dedup.drop_repeated_substrings(empty).count() == 0
 
 
+def test_substrings_of_a_frequent_line_are_split(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 100)
+    monkeypatch.setattr(substring_dedup, "SAMPLED", 1)
+    rng, line = random.Random(6), ["line%d" % k for k in range(12)]
+    texts = [[f"u{i}x{k}" for k in range(25)] + line + [f"v{i}x{k}" for k in range(25)] for i in range(300)]
+    for i in range(0, 300, 7):  # some windows of the line are equal, too
+        texts[i] = texts[i][:10] + texts[rng.randrange(300)][8:55]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(5)
+    seen, want = set(), {}
+    for i, w in enumerate(texts):
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            x = tuple(w[k:k + 20])
+            if x in seen:
+                gone[k:k + 20] = [True] * 20
+            seen.add(x)
+        want[i] = (len(w), sum(gone), " ".join(a for a, g in zip(w, gone) if not g).encode())
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], bytes(r["kept"])) for r in substring_dedup.drop_repeated_substrings(docs).collect()}
+    assert got == want and sum(n for _, n, _ in want.values()) > 0
+    hot = substring_dedup._hot_minimisers(docs.select("doc_id", "text"), 16, 20, 4)
+    table = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": [" ".join(w) for w in texts]})
+    windows = lambda split: Counter({r["bucket"]: int(np.frombuffer(zstandard.decompress(r["places"]), "<i8").reshape(-1, 3)[:, 2].sum())
+                                     for r in substring_dedup._chunk([table], 16, 20, 4, split).to_pylist() if r["places"]})
+    before, after = windows(np.empty(0, np.uint64)), windows(hot)
+    assert before.total() == after.total() and max(before.values()) > 2.5 * before.total() / 16 and max(after.values()) < 1.5 * after.total() / 16
+
+
 # ---------------------------------------------------------------------------------------------- 2
 
 def test_forest_recall_and_components(spark, monkeypatch):
