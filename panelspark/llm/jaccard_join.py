@@ -215,12 +215,12 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-grams of every document's prefix, 32 bits each: a collision can only make a pair a candidate."""
+    """The n-grams of every document's prefix, 64 bits each as in the posting lists, so that the first list of a pair is one that holds it."""
     for batch in batches:
         out = []
         for size, tokens, df in zip(*(batch.column(c).to_pylist() for c in ("n_shingles", "tokens", "df"))):
             _, held = choose_prefix(size, np.frombuffer(df, np.uint32))
-            out.append(np.frombuffer(tokens, U)[:held].astype(np.uint32).tobytes())
+            out.append(tokens[: 8 * held])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["prefix_of", "prefix"])
 
 
@@ -239,7 +239,7 @@ def _candidates(table: pa.Table) -> pa.Table:
         at = order[lo:hi]
         if (component[at] == component[at[0]]).all():
             continue
-        grams = [np.frombuffer(prefix[k], np.uint32) for k in at]
+        grams = [np.frombuffer(prefix[k], U) for k in at]
         values, which = np.unique(np.concatenate(grams), return_inverse=True)
         owner = np.repeat(np.arange(len(at)), [len(g) for g in grams])
         used = np.bincount(which, minlength=len(values)) > 1  # n-grams of one row add nothing
@@ -247,7 +247,7 @@ def _candidates(table: pa.Table) -> pa.Table:
         has = np.zeros((len(at), int(used.sum())), np.float32)
         has[owner[used[which]], column[which[used[which]]]] = 1
         left, right = np.flatnonzero(block[at] == i), np.flatnonzero(block[at] == j)
-        mine = int(np.searchsorted(values, np.uint32(int(token[at[0]]) & 0xFFFFFFFF)))
+        mine = int(np.searchsorted(values, token[at[0]].view(U)))
         mine = int(column[mine])
         for start in range(0, len(left), 256):
             x = left[start: start + 256]

@@ -212,6 +212,17 @@ def test_jaccard_long_lists_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == _classes(sets)
 
 
+def test_jaccard_prefixes_with_equal_low_bits():
+    # 1 << 40 | 3 and 2 << 40 | 3 lie in one document each; both documents share the list of 9
+    lists = [np.array([k << 40 | 3, 9, *range(100 * k, 100 * k + 6)], np.uint64) for k in (1, 2)]
+    sets = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "n_shingles": [8, 8], "tokens": [x.tobytes() for x in lists],
+                                       "df": [np.full(8, 2, np.uint32).tobytes()] * 2})
+    prefix = next(jaccard_join._prefixes(iter([sets]))).column("prefix").to_pylist()
+    table = pa.table({"token": [9, 9], "doc_id": [1, 2], "size": [8, 8], "match": [1, 1], "rest": [7, 7], "component": [1, 2], "block": [0, 0],
+                      "i": [0, 0], "j": [0, 0], "prefix": prefix})
+    assert jaccard_join._candidates(table).to_pylist() == [{"a": 1, "b": 2}]
+
+
 def test_jaccard_null_and_repeated_ids(spark):
     text = lambda k: " ".join(f"{k}w{j}" for j in range(60))
     near = lambda k: text(k) + " end"
