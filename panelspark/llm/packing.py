@@ -122,7 +122,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
                             score = index.scores(seed)
                             open_ = np.flatnonzero(unused)
                             order = open_[np.argsort(-score[open_], kind="stable")].tolist()
-                        k = next((k for k, j in enumerate(order[:64]) if left[j] <= space), 0)
+                        k = next((k for k, j in enumerate(order) if left[j] <= space), 0)
                         j = order.pop(k) if left[order[k]] <= space else order[k]
                     take = min(space, left[j])
                     pieces.append((here[j], at[j], take, sequence, offset))

@@ -118,6 +118,13 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, path, 1).count() == 0
 
 
+def test_packing_looks_at_all_neighbours():
+    # 80 neighbours resemble the seed more and are too long for the rest of its window; the last one fits
+    docs = [np.arange(95)] + [np.append(np.arange(49), 200 + k) for k in range(80)] + [np.arange(900, 905)]
+    pieces = packing.pack(docs, 100)
+    assert [p[:3] for p in pieces if p[3] == 0] == [(0, 0, 95), (81, 0, 5)]
+
+
 # ---------------------------------------------------------------------------------------------- 4
 
 def test_mixing(spark, docs, empty):
