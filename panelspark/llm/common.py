@@ -108,9 +108,12 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the n+1 positions in them at which each text's words begin."""
-    solid = ~_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and the n+1 positions in them at which each text's words begin.
+
+    ``gap`` says for each byte whether it lies between words (white space, unless given).
+    """
+    solid = ~gap[data]
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
