@@ -1,61 +1,313 @@
-"""k-means segmentation (K1-K4) on standardized features."""
+"""k-means segmentation (K1-K4) on standardized features, fitted on distinct weighted points.
+
+The fit is one that any engine can repeat: seeds come from md5, not from a generator, and distances are compared in whole
+billionths, so that the last bit of a sum decides nothing.
+
+* Seeding is greedy k-means++.  Every point draws ``-ln(u) / (w d^2)`` with ``u`` from md5("pid:seed:start:step"); the
+  three smallest draws are a weighted sample without replacement, and the one that leaves the least total distance
+  becomes the next centre.  One sequence of centres for each start serves every k.
+* A Lloyd round is one grouped aggregate for all k and all starts together: a task assigns its points and sends a row for
+  each centre.  Fits whose centres hardly moved leave the rounds.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark import schema as S
+from panelspark.functions.encode import standardize_exprs
 from panelspark.functions.literals import local_table
-from panelspark.operators.models import standardized_features
+from panelspark.operators.points import squared_distance, weighted_points
+
+#: Candidates of a greedy seeding step, units in which distances are compared, Lloyd rounds at most, and the sum of
+#: squared moves of all centres (standardized units) below which a fit has settled.
+CANDIDATES, UNITS, MAX_ITER, TOLERANCE = 3, 1e9, 100, 1e-4
+#: Points of a block of the exact silhouette.
+BLOCK = 2048
+
+
+def _points_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = batch.column("x")
+    flat = x.flatten().to_numpy(zero_copy_only=False)
+    n = batch.num_rows
+    return batch.column("pid").to_numpy(zero_copy_only=False), batch.column("w").to_numpy(zero_copy_only=False), flat.reshape(n, len(flat) // max(n, 1))
+
+
+def _units(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of points (rows) to centres (columns) in whole units."""
+    out = np.empty((len(x), len(centres)), np.int64)
+    for j, c in enumerate(centres):
+        d = x - c
+        out[:, j] = np.floor((d * d).sum(1) * UNITS + 0.5)
+    return out
+
+
+def _uniform(pid, seed: int, start: int, step: int) -> float:
+    head = hashlib.md5(f"{pid}:{seed}:{start}:{step}".encode(), usedforsecurity=False).hexdigest()[:13]
+    return (int(head, 16) + 0.5) / 16.0 ** 13
+
+
+def _draws(centres: dict[int, np.ndarray], seed: int, starts: int, step: int, keep: int):
+    """Each task's smallest draws of every start."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pid, w, x = _points_of(batch)
+            rows: list[tuple] = []
+            for s in range(starts):
+                weight = w.astype(np.float64)
+                if step:
+                    weight = weight * _units(x, centres[s]).min(1)
+                some = np.flatnonzero(weight > 0)
+                draw = np.array([-math.log(_uniform(p, seed, s, step)) for p in pid[some].tolist()]) / weight[some]
+                best = np.lexsort((pid[some], draw))[:keep]
+                rows += [(s, float(draw[b]), int(pid[some[b]]), x[some[b]].tolist()) for b in best]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()),
+                 pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.float64()))],
+                names=["start", "draw", "pid", "x"])
+    return run
+
+
+def _potentials(centres: dict[int, np.ndarray], tried: dict[int, np.ndarray]):
+    """What the total distance of each start would be with each candidate."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, w, x = _points_of(batch)
+            rows = []
+            for s, candidates in tried.items():
+                near = _units(x, centres[s]).min(1)
+                total = (np.minimum(near[:, None], _units(x, candidates)) * w[:, None].astype(np.float64)).sum(0)
+                rows += [(s, c, float(t)) for c, t in enumerate(total)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
+                                              pa.array([r[2] for r in rows], pa.float64())], names=["start", "candidate", "total"])
+    return run
+
+
+def seed_centres(points: DataFrame, k: int, starts: int, seed: int) -> dict[int, np.ndarray]:
+    """Up to ``k`` first centres of every start, in the order drawn (fewer where there are fewer distinct points)."""
+    weight = points.agg(F.sum("w")).first()[0] or 0
+    centres: dict[int, np.ndarray] = {}
+    best = Window.partitionBy("start").orderBy("draw", "pid")
+    for step in range(k):
+        keep = CANDIDATES if step else 1
+        drawn = points.mapInArrow(_draws(centres, seed, starts, step, keep), "start int, draw double, pid long, x array<double>")
+        # at most three rows for each start
+        rows = drawn.withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep).orderBy("start", "n").collect()
+        tried = {s: np.array([r["x"] for r in rows if r["start"] == s]) for s in sorted({r["start"] for r in rows})}
+        if not tried:
+            break
+        if step == 0:
+            centres = tried
+            continue
+        totals = points.mapInArrow(_potentials(centres, tried), "start int, candidate int, total double") \
+            .groupBy("start", "candidate").agg(F.sum("total").alias("total")).collect()
+        mean = {(r["start"], r["candidate"]): math.floor(r["total"] / weight / UNITS * 1e6 + 0.5) for r in totals}
+        for s, candidates in tried.items():
+            pick = min(range(len(candidates)), key=lambda c: (mean[s, c], c))
+            centres[s] = np.vstack([centres[s], candidates[pick]])
+    return centres
+
+
+def _round(fits: dict[tuple[int, int], np.ndarray], names: list[str]):
+    """Sums of weights, features and distances of the points next to each centre."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, w, x = _points_of(batch)
+            keys, sums = [], []
+            for (k, s), centres in fits.items():
+                units = _units(x, centres)
+                nearest = units.argmin(1)
+                columns = [w.astype(np.float64), w * (units.min(1) / UNITS), *(w * x[:, j] for j in range(x.shape[1]))]
+                table = np.stack([np.bincount(nearest, c, len(centres)) for c in columns], 1)
+                keys += [(k, s, c) for c in range(len(centres))]
+                sums.append(table)
+            table = np.concatenate(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in keys], pa.int32()) for i in range(3)]
+                                             + [pa.array(table[:, j], pa.float64()) for j in range(table.shape[1])], names=["k", "start", "c", *names])
+    return run
+
+
+def fit_all(points: DataFrame, ks: Sequence[int], dims: int, starts: int = 10, seed: int = 42,
+            max_iter: int = MAX_ITER) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """K1 for several k at once: of each k the ``(centres, weights, cost)`` of its best start (lowest cost, then first)."""
+    seeds = seed_centres(points, max(ks), starts, seed)
+    names = ["w", "cost", *[f"s{j}" for j in range(dims)]]
+    schema = "k int, start int, c int, " + ", ".join(f"{n} double" for n in names)
+    open_ = {(k, s): c[:k] for k in ks for s, c in seeds.items()}
+    done: dict[tuple[int, int], tuple] = {}
+    for turn in range(max_iter + 1):
+        if not open_:
+            break
+        # a row for each centre of each fit
+        rows = points.mapInArrow(_round(open_, names), schema).groupBy("k", "start", "c").agg(*[F.sum(n).alias(n) for n in names]).collect()
+        by_fit: dict[tuple[int, int], list] = {}
+        for r in rows:
+            by_fit.setdefault((r["k"], r["start"]), []).append(r)
+        moved = {}
+        for fit, found in by_fit.items():
+            old = open_[fit]
+            new, weights, cost = old.copy(), np.zeros(len(old)), 0.0
+            for r in found:
+                weights[r["c"]] = r["w"]
+                cost += r["cost"]
+                if r["w"] > 0:  # a centre without points stays where it is
+                    new[r["c"]] = [r[f"s{j}"] / r["w"] for j in range(dims)]
+            if np.square(new - old).sum() <= TOLERANCE or turn == max_iter:
+                done[fit] = old, weights, cost
+            else:
+                moved[fit] = new
+        open_ = moved
+    out = {}
+    for k in ks:
+        starts_of = [s for kk, s in done if kk == k]
+        if starts_of:
+            weight = max(1.0, done[k, starts_of[0]][1].sum())
+            out[k] = done[k, min(starts_of, key=lambda s: (math.floor(done[k, s][2] / weight * 1e6 + 0.5), s))]
+    return out
+
+
+def _in_order(centres: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Clusters by falling size, then by their first coordinates."""
+    order = sorted(range(len(centres)), key=lambda j: (-weights[j], np.round(centres[j], 6).tolist()))
+    return centres[order], weights[order]
+
+
+def nearest_cluster(cols: Sequence[str], stats: dict, centres: np.ndarray) -> Column:
+    """Number from 1 of the centre next to a row (the first of equally near ones), as one expression."""
+    z = list(standardize_exprs({c: stats[c] for c in cols}).values())
+    return F.array_min(F.array(*[F.struct(F.floor(squared_distance(z, c) * UNITS + 0.5).alias("d"), F.lit(j + 1).alias("j"))
+                                 for j, c in enumerate(centres)]))["j"]
 
 
 def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, n_init: int = 10, seed: int = 42,
-           keep: Sequence[str] = ("id",)):
-    """K1: best of ``n_init`` seeded k-means|| fits (lowest within-cluster sum of squares).
+           keep: Sequence[str] = ("id",), key: str = "id"):
+    """K1: best of ``n_init`` seeded fits (lowest within-cluster sum of squares).
 
-    Returns ``(assigned, centers, stats, cost)``: rows with a ``cluster`` id 1..k relabelled by
-    (cluster size desc, first centre coordinate) so labels do not depend on the seed order;
-    ``centers`` are in standardized units.
+    Returns ``(assigned, centers, stats, cost)``: the complete rows with a ``cluster`` id from 1 by falling cluster size;
+    ``centers`` are in standardized units.  Fewer distinct rows than ``k`` give as many clusters as there are; an empty
+    table gives none.
     """
-    vec, stats = standardized_features(df, cols, keep=keep)
-    vec = vec.persist()
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="raw", maxIter=300, tol=1e-6).fit(vec)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    model, cost = best
-    assigned = model.transform(vec)
-    sizes = {r["raw"]: r["n"] for r in assigned.groupBy("raw").agg(F.count(F.lit(1)).alias("n")).collect()}
-    centers = [list(map(float, c)) for c in model.clusterCenters()]
-    order = sorted(range(k), key=lambda j: (-sizes.get(j, 0), centers[j][0]))
-    relabel = {old: new + 1 for new, old in enumerate(order)}
-    lab = F.create_map(*[F.lit(x) for kv in relabel.items() for x in kv])
-    out = assigned.withColumn("cluster", lab[F.col("raw")]).drop("raw")
-    centers_sorted = [centers[j] for j in order]
-    vec.unpersist(blocking=False)
-    return out, centers_sorted, stats, cost
+    points, stats = weighted_points(df, cols, key)
+    fits = fit_all(points, [k], len(cols), n_init, seed)
+    rows = df.select(*dict.fromkeys([*keep, *cols])).dropna(subset=list(cols))
+    if not fits:
+        return rows.withColumn("cluster", F.lit(None).cast("int")), [], stats, 0.0
+    centres, weights, cost = fits[k]
+    centres, _ = _in_order(centres, weights)
+    return rows.withColumn("cluster", nearest_cluster(cols, stats, centres)), centres.tolist(), stats, cost
 
 
-def k_scan(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 8), n_init: int = 10,
-           seed: int = 42) -> DataFrame:
-    """K2: ``(k, inertia, silhouette, best_k)``: within-cluster SS and the squared-Euclidean
-    silhouette (MLlib's linear-time form) per k; best k maximises the silhouette."""
-    rows = []
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette",
-                             distanceMeasure="squaredEuclidean")
+# -- silhouette (K2) -------------------------------------------------------------------------------
+def _labelled(points: DataFrame, fits: dict[int, np.ndarray]) -> DataFrame:
+    """Points with the cluster (from 0) that each k gives them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, x = _points_of(batch)
+            labels = np.stack([_units(x, c).argmin(1) for c in fits.values()], 1).astype(np.int32)
+            flat = pa.array(labels.ravel(), pa.int32())
+            at = pa.array(np.arange(0, labels.size + 1, labels.shape[1]), pa.int32())
+            yield batch.append_column("labels", pa.ListArray.from_arrays(at, flat))
+    return points.mapInArrow(run, "pid long, w long, x array<double>, labels array<int>")
+
+
+def _distance_sums(offsets: list[int], width: int, squared: bool):
+    """Of one block's points the weighted distances to the points of another, summed over each cluster of each k."""
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
+        one, other = one.combine_chunks(), other.combine_chunks()
+        pid, _, x = _points_of(one.to_batches()[0]) if one.num_rows else (np.empty(0, np.int64), None, None)
+        if one.num_rows == 0 or other.num_rows == 0:
+            return pa.table({"pid": pa.array([], pa.int64())} | {f"d{j}": pa.array([], pa.float64()) for j in range(width)})
+        batch = other.to_batches()[0]
+        _, w, y = _points_of(batch)
+        labels = batch.column("labels").flatten().to_numpy(zero_copy_only=False).reshape(len(w), -1)
+        member = np.zeros((len(w), width))
+        for i, offset in enumerate(offsets):
+            member[np.arange(len(w)), offset + labels[:, i]] = w
+        out = np.empty((len(pid), width))
+        for lo in range(0, len(pid), 128):
+            part = x[lo: lo + 128]
+            d = np.zeros((len(part), len(w)))
+            for j in range(x.shape[1]):
+                d += np.square(part[:, j, None] - y[None, :, j])
+            out[lo: lo + 128] = (d if squared else np.sqrt(d)) @ member
+        return pa.table({"pid": pa.array(pid, pa.int64())} | {f"d{j}": pa.array(out[:, j], pa.float64()) for j in range(width)})
+    return run
+
+
+def silhouettes(points: DataFrame, fits: dict[int, np.ndarray], distance: str = "euclidean", blocks: int | None = None) -> dict[int, float | None]:
+    """K2: mean silhouette of every row for each k, from distinct weighted points.
+
+    Exact: every block of points meets every other, and only sums over clusters leave a task, never pairs.  The work is
+    the square of the number of *distinct* points; memory is that of two blocks.  A row's own copies are at distance 0,
+    a row alone in its cluster scores 0, one cluster alone has no silhouette (null).  ``distance="squared"`` takes squared
+    Euclidean distances.
+    """
+    if distance not in ("euclidean", "squared"):
+        raise ValueError("distance is 'euclidean' or 'squared'")
+    ks = [k for k, c in fits.items() if len(c) > 1]
+    out: dict[int, float | None] = {k: None for k in fits}
+    if not ks:
+        return out
+    offsets, width = [], 0
     for k in ks:
-        assigned, _, _, cost = kmeans(df, cols, k, n_init, seed)
-        rows.append((int(k), float(cost), float(ev.evaluate(assigned))))
-    best = max(rows, key=lambda r: (r[2], -r[0]))[0]
-    return local_table(df.sparkSession, [(k, c, s, best) for k, c, s in rows],
-                                           "k int, inertia double, silhouette double, best_k int")
+        offsets.append(width)
+        width += len(fits[k])
+    labelled = _labelled(points, {k: fits[k] for k in ks}).checkpoint(eager=True)
+    n = labelled.count()
+    blocks = blocks or max(1, -(-n // BLOCK))
+    block = F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = labelled.select("pid", "w", "x", block.alias("a"), every.alias("b"))
+    right = labelled.select("pid", "w", "x", "labels", block.alias("b"), every.alias("a"))
+    names = [f"d{j}" for j in range(width)]
+    sums = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(
+        _distance_sums(offsets, width, distance == "squared"), "pid long, " + ", ".join(f"{c} double" for c in names))
+    sums = sums.groupBy("pid").agg(*[F.sum(c).alias(c) for c in names])
+    # a row for each k and cluster
+    sizes: dict[tuple[int, int], float] = {}
+    weights = labelled.select("w", F.posexplode("labels").alias("i", "c")).groupBy("i", "c").agg(F.sum("w").alias("w"))
+    for r in weights.collect():
+        sizes[r["i"], r["c"]] = float(r["w"])
+    rows = sums.join(labelled.select("pid", "w", "labels"), "pid")
+    parts = []
+    for i, k in enumerate(ks):
+        own = F.col("labels")[i]
+        inside, nearest, size = F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double")
+        for c in range(len(fits[k])):
+            if (i, c) not in sizes:
+                continue
+            total = F.col(names[offsets[i] + c])
+            inside = F.when(own == c, total).otherwise(inside)
+            size = F.when(own == c, F.lit(sizes[i, c])).otherwise(size)
+            mean = F.when(own != c, total / F.lit(sizes[i, c]))
+            nearest = F.least(nearest, mean)  # skips nulls
+        a = inside / (size - 1)
+        score = F.when(size > 1, F.coalesce(F.try_divide(nearest - a, F.greatest(a, nearest)), F.lit(0.0))).otherwise(0.0)
+        parts.append((F.sum(F.col("w") * score) / F.sum("w")).alias(f"k{k}"))
+    found = rows.agg(*parts).first()
+    for k in ks:
+        out[k] = found[f"k{k}"]
+    return out
+
+
+def k_scan(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 8), n_init: int = 10,
+           seed: int = 42, distance: str = "euclidean", key: str = "id") -> DataFrame:
+    """K2: ``(k, inertia, silhouette, best_k)``: within-cluster sum of squares and mean silhouette of the best fit of each
+    k; best k has the largest silhouette (the smaller k of equal ones)."""
+    points, _ = weighted_points(df, cols, key)
+    fits = fit_all(points, list(ks), len(cols), n_init, seed)
+    scores = silhouettes(points, {k: c for k, (c, _, _) in fits.items()}, distance)
+    known = [k for k in fits if scores[k] is not None]
+    best = min(known, key=lambda k: (-round(scores[k], 9), k)) if known else None
+    return local_table(df.sparkSession, [(int(k), float(fits[k][2]), scores[k], best) for k in fits],
+                       "k int, inertia double, silhouette double, best_k int").where("k IS NOT NULL")
 
 
 def cluster_profile(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import clustering as K
 from panelspark.operators import models as M
+from panelspark.plans import cluster_sql as C
 from panelspark.plans.common import encoded
 from panelspark.plans.oracle import r, with_enc
 from panelspark.plans.registry import register, rounded
@@ -339,28 +340,49 @@ def q_forest_cv_auc_ad(spark, sf_dir):
                                    k=5, trees=100, depth=5))
 
 
-@register("kmeans_profile")
+def _km_sql(ks, tail: str) -> str:
+    return with_enc(",\n" + C.kmeans_ctes("enc", CLUSTER_FEATURES, ks) + tail).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_PROFILE_KEEP = ["made_purchase", "high_ad_responsive"]
+
+
+@register("kmeans_profile", _km_sql([3], ",\n" + C.rows_with_cluster(CLUSTER_FEATURES, "e.*") + f"""
+SELECT cluster, count(*) AS n, {r('avg(spending_ord)')} AS avg_spending, {r('avg(engagement_ord)')} AS avg_engagement,
+       {r('avg(product_interest_score)')} AS avg_interest, {r('avg(satisfaction_score)')} AS avg_satisfaction,
+       {r('avg(made_purchase)')} AS purchase_rate, {r('avg(high_ad_responsive)')} AS ad_responsive_rate,
+       CASE WHEN avg(made_purchase) > 0.85 AND avg(engagement_ord) > 2.5 THEN 'High-Value Converter'
+            WHEN avg(made_purchase) > 0.7 AND avg(engagement_ord) <= 2.5 THEN 'Passive Buyer'
+            WHEN avg(made_purchase) <= 0.5 AND avg(engagement_ord) > 2 THEN 'Engaged Window-Shopper'
+            ELSE 'Low-Engagement Observer' END AS segment FROM assigned GROUP BY cluster"""))
 def q_kmeans_profile(spark, sf_dir):
-    enc = encoded(spark, sf_dir)
-    assigned, _, _, _ = K.kmeans(enc, CLUSTER_FEATURES, k=3, n_init=10,
-                                 keep=("id", "made_purchase", "high_ad_responsive"))
+    """K1, K3, K4: three clusters, the best of ten starts, described and named."""
+    assigned, _, _, _ = K.kmeans(encoded(spark, sf_dir), CLUSTER_FEATURES, k=3, n_init=10, keep=("id", *_PROFILE_KEEP))
     return rounded(K.name_clusters(K.cluster_profile(assigned)))
 
 
-@register("kmeans_centers")
+@register("kmeans_centers", _km_sql([3], "\n" + C.centres_sql(CLUSTER_FEATURES)))
 def q_kmeans_centers(spark, sf_dir):
-    enc = encoded(spark, sf_dir)
-    _, centers, stats, _ = K.kmeans(enc, CLUSTER_FEATURES, k=3, n_init=10)
+    """K3: centres in answer units."""
+    _, centers, stats, _ = K.kmeans(encoded(spark, sf_dir), CLUSTER_FEATURES, k=3, n_init=10)
     return rounded(K.centers_original_scale(spark, centers, CLUSTER_FEATURES, stats))
 
 
-@register("kmeans_scan")
+@register("kmeans_scan", _km_sql(range(2, 8), C.scan_sql(len(CLUSTER_FEATURES))))
 def q_kmeans_scan(spark, sf_dir):
+    """K2: inertia and exact plain-Euclidean silhouette of k = 2..7, all fitted together."""
     return rounded(K.k_scan(encoded(spark, sf_dir), CLUSTER_FEATURES, ks=range(2, 8), n_init=10))
 
 
-@register("embedding_clusters")
+_EMB_COLS = [f"e{i}" for i in range(64)]
+_EMB_SQL = "emb AS (SELECT vec_id AS id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(64)) + " FROM embeddings)"
+
+
+@register("embedding_clusters", "WITH RECURSIVE " + _EMB_SQL + ",\n" + C.kmeans_ctes("emb", _EMB_COLS, [4]) + """
+SELECT cl.cluster, emb.label, count(*) AS n FROM cl JOIN (SELECT id, min(id) OVER (PARTITION BY """ + ", ".join(_EMB_COLS) + """) AS pid FROM km_rows) p USING (pid)
+JOIN emb ON emb.id = p.id GROUP BY ALL""")
 def q_embedding_clusters(spark, sf_dir):
+    """K1 on 64 continuous features, which do not collapse."""
     emb, cols = _embedding_columns(spark, sf_dir)
     assigned, _, _, _ = K.kmeans(emb, cols, k=4, n_init=10, keep=("id", "label"))
     return assigned.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
