@@ -115,6 +115,40 @@ def kruskal(long: DataFrame, group: str = "g", value: str = "v", min_n: int = 5,
                       _decision(F.col("p_value")).alias("decision"), "k", "n")
 
 
+def dunn(long: DataFrame, group: str = "g", value: str = "v", min_n: int = 5, high_cardinality: bool = True) -> DataFrame:
+    """H3 post-hoc (Dunn 1964): which groups of a Kruskal-Wallis test differ, one row for each pair ``a < b`` of groups.
+
+    ``z`` compares the mean ranks over all rows of the kept groups with the tie-corrected pooled variance; ``p_value`` is
+    two-sided, ``p_bonferroni`` and ``p_holm`` are adjusted for the number of pairs (Holm steps down in the order of
+    p-value, then names).  Groups below ``min_n`` rows drop out before ranking, as in ``kruskal``.  Where all values are
+    equal the variance is 0 and every z and p is null.  Overlapping groups (a respondent in several) are compared as if
+    apart, as the test before does.  The rows are ranked once for all pairs; pairs are as many as the groups allow.
+    """
+    gv = group_value_counts(long.select(F.col(group).alias("g"), F.col(value).alias("v")))
+    sizes = gv.groupBy("g").agg(F.sum("cnt").alias("gn")).where(F.col("gn") >= min_n).select("g")
+    per = rank_sums(gv.join(sizes, "g", "left_semi"), high_cardinality=high_cardinality).select(
+        "g", "n", (F.col("rank_sum") / F.col("n")).alias("mean_rank"), "tie_part")
+    # one row for each group from here on
+    total = per.agg(F.sum("n").cast("double").alias("N"), F.sum("tie_part").alias("tie"))
+    left = per.select(F.col("g").alias("a"), F.col("n").alias("n_a"), F.col("mean_rank").alias("mean_rank_a"))
+    right = per.select(F.col("g").alias("b"), F.col("n").alias("n_b"), F.col("mean_rank").alias("mean_rank_b"))
+    nn = F.col("N")
+    variance = (nn * (nn + 1) / 12 - F.col("tie") / (12 * (nn - 1))) * (1 / F.col("n_a") + 1 / F.col("n_b"))
+    z = F.when(variance > 1e-12, (F.col("mean_rank_a") - F.col("mean_rank_b")) / F.sqrt(variance))
+    pairs = left.join(F.broadcast(right), F.col("a") < F.col("b")).join(F.broadcast(total), F.lit(True)).withColumn("z", z)
+    pairs = pairs.withColumn("p_value", F.least(F.lit(1.0), 2 * normal_sf(F.abs("z"))))
+    everything = Window.partitionBy(F.lit(0))
+    down = everything.orderBy(F.asc_nulls_last("p_value"), "a", "b")
+    pairs = pairs.withColumn("m", F.count(F.lit(1)).over(everything)).withColumn("i", F.row_number().over(down))
+    step = F.least(F.lit(1.0), (F.col("m") - F.col("i") + 1) * F.col("p_value"))
+    holm = F.max(step).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = pairs.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("m") * F.col("p_value"))).withColumn("p_holm", holm)
+    some = F.col("p_value").isNotNull()
+    return out.select("a", "b", "n_a", "n_b", "mean_rank_a", "mean_rank_b", "z", "p_value",
+                      F.when(some, F.col("p_bonferroni")).alias("p_bonferroni"), F.when(some, F.col("p_holm")).alias("p_holm"),
+                      F.when(some, _decision(F.col("p_holm"))).alias("decision"))
+
+
 def t_test_1samp_stats(df: DataFrame, c: str, mu: float = S.NEUTRAL_SCORE) -> DataFrame:
     """H4 statistic: ``(n, mean, sd, t, cohens_d)`` with the sample sd."""
     a = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"))

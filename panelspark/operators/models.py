@@ -8,10 +8,14 @@ than MLlib's binned curve.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
@@ -89,48 +93,95 @@ def scaled_split(df: DataFrame, features: Sequence[str], label: str, train_frac:
 
 
 # -- PCA (M1-M3) ---------------------------------------------------------------------------------
-def pca_fit(df: DataFrame, cols: Sequence[str], k: int | None = None, keep: Sequence[str] = ()):
-    vec, stats = standardized_features(df, cols, keep=keep)
-    k = k or len(cols)
-    model = PCA(k=k, inputCol="features", outputCol="pcs").fit(vec)
-    pc = model.pc.toArray()
-    signs = []
-    for j in range(pc.shape[1]):
-        col = pc[:, j]
-        signs.append(1.0 if col[abs(col).argmax()] >= 0 else -1.0)
-    return model, vec, stats, signs
+def _cross_products(width: int):
+    """Sums of products of all pairs of elements of ``x``, a row for each pair from every batch."""
+    i, j = np.divmod(np.arange(width * width), width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total.ravel(), pa.float64())],
+                                         names=["i", "j", "total"])
+    return run
+
+
+def jacobi_eigen(a: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues (falling) and eigenvectors (columns) of a symmetric matrix by cyclic Jacobi rotations.
+
+    Each vector's entry of largest magnitude is positive (the first of equal ones).  Eigenvalues equal to ten places are
+    ordered by the place of that entry.
+    """
+    a, n = a.copy(), len(a)
+    v = np.eye(n)
+    for _ in range(sweeps):
+        if np.abs(a - np.diag(np.diag(a))).max(initial=0.0) < 1e-15 * max(1.0, np.abs(a).max(initial=0.0)):
+            break
+        for p in range(n - 1):
+            for q in range(p + 1, n):
+                if a[p, q] == 0.0:
+                    continue
+                theta = (a[q, q] - a[p, p]) / (2 * a[p, q])
+                t = (1.0 if theta >= 0 else -1.0) / (abs(theta) + math.sqrt(theta * theta + 1))
+                c = 1 / math.sqrt(t * t + 1)
+                turn = np.array([[c, t * c], [-t * c, c]])
+                a[[p, q], :] = turn.T @ a[[p, q], :]
+                a[:, [p, q]] = a[:, [p, q]] @ turn
+                v[:, [p, q]] = v[:, [p, q]] @ turn
+    lead = np.abs(np.round(v, 12)).argmax(0)
+    v = v * np.where(v[lead, np.arange(n)] < 0, -1.0, 1.0)
+    values = np.diag(a)
+    order = sorted(range(n), key=lambda k: (-round(float(values[k]), 10), int(lead[k])))
+    return values[order], v[:, order]
+
+
+def pca_fit(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray, dict]:
+    """Eigenvalues, eigenvectors (columns) and the (mean, sd) used, of the standardized complete rows.
+
+    The rows pass once for the scales and once for the products of all pairs of features; the matrix of features by
+    features is all that reaches the driver.  No rows give a zero matrix.
+    """
+    base = df.select(*cols).dropna()
+    stats = column_stats(base, cols)
+    z = standardize_exprs(stats)
+    width = len(cols)
+    sums = (base.select(F.array(*[z[c] for c in cols]).alias("x")).mapInArrow(_cross_products(width), "i int, j int, total double")
+            .groupBy("i", "j").agg(F.sum("total").alias("total")).collect())
+    matrix = np.zeros((width, width))
+    for r in sums:
+        matrix[r["i"], r["j"]] = r["total"]
+    n = base.count()
+    values, vectors = jacobi_eigen((matrix + matrix.T) / (2.0 * max(n, 1)))
+    return values, vectors, stats
 
 
 def pca_scree(df: DataFrame, cols: Sequence[str], threshold: float = 0.8) -> DataFrame:
-    """M1: ``(component, explained_pct, cumulative_pct, n_for_threshold)``."""
-    model, _, _, _ = pca_fit(df, cols)
-    ev = [float(x) for x in model.explainedVariance.toArray()]
-    cum, rows, acc = [], [], 0.0
-    for v in ev:
-        acc += v
-        cum.append(acc)
-    n_need = next((i + 1 for i, c in enumerate(cum) if c >= threshold - 1e-12), len(cum))
-    for i, (v, c) in enumerate(zip(ev, cum)):
-        rows.append((i + 1, v * 100.0, c * 100.0, n_need))
-    return local_table(df.sparkSession, rows, "component int, explained_pct double, cumulative_pct double, "
-                                                 "n_for_threshold int")
+    """M1: ``(component, explained_pct, cumulative_pct, n_for_threshold)``; shares of no variance are null."""
+    values, _, _ = pca_fit(df, cols)
+    total = float(values.sum())
+    share = [float(v) / total if total > 0 else None for v in values]
+    cumulative = np.cumsum([v or 0.0 for v in share]).tolist()
+    needed = next((i + 1 for i, c in enumerate(cumulative) if c >= threshold - 1e-12), len(cumulative))
+    rows = [(i + 1, None if v is None else v * 100.0, None if v is None else c * 100.0, needed) for i, (v, c) in enumerate(zip(share, cumulative))]
+    return local_table(df.sparkSession, rows, "component int, explained_pct double, cumulative_pct double, n_for_threshold int")
 
 
 def pca_loadings(df: DataFrame, cols: Sequence[str], k: int = 3) -> DataFrame:
     """M2: long ``(feature, component, loading)``; each component's sign is fixed so that its
     largest-magnitude loading is positive."""
-    model, _, _, signs = pca_fit(df, cols, k)
-    pc = model.pc.toArray()
-    rows = [(c, j + 1, float(pc[i, j] * signs[j])) for j in range(pc.shape[1]) for i, c in enumerate(cols)]
+    _, vectors, _ = pca_fit(df, cols)
+    rows = [(c, j + 1, float(vectors[i, j])) for j in range(min(k, len(cols))) for i, c in enumerate(cols)]
     return local_table(df.sparkSession, rows, "feature string, component int, loading double")
 
 
 def pca_project(df: DataFrame, cols: Sequence[str], k: int = 2, carry: Sequence[str] = ("id",)) -> DataFrame:
     """M3: per-row scores ``pc1..pck`` of the standardized (centred) features, plus ``carry``."""
-    model, vec, _, signs = pca_fit(df, cols, k, keep=carry)
-    arr = vector_to_array(F.col("pcs"))
-    out = model.transform(vec).select(*carry, *[(arr[j] * signs[j]).alias(f"pc{j + 1}") for j in range(k)])
-    return out
+    _, vectors, stats = pca_fit(df, cols)
+    z = standardize_exprs(stats)
+    rows = df.select(*dict.fromkeys([*carry, *cols])).dropna(subset=list(cols))
+    scores = [reduce(lambda x, y: x + y, [z[c] * F.lit(float(vectors[i, j])) for i, c in enumerate(cols)]).alias(f"pc{j + 1}") for j in range(k)]
+    return rows.select(*carry, *scores)
 
 
 # -- regression (M4, M5) ---------------------------------------------------------------------------
@@ -158,19 +209,38 @@ def ols(df: DataFrame, features: Sequence[str], label: str, train_frac: float |
     return coefs, m_test
 
 
+def _r2_of(sums: np.ndarray, beta: np.ndarray) -> float | None:
+    """R2 of coefficients on rows known by their sums of products of (1, features, label)."""
+    xx, xy, yy, n = sums[:-1, :-1], sums[:-1, -1], sums[-1, -1], sums[0, 0]
+    sse = yy - 2 * beta @ xy + beta @ xx @ beta
+    sst = yy - sums[0, -1] ** 2 / n if n else 0.0
+    return float(1 - sse / sst) if sst > 1e-12 * max(1.0, yy) else None
+
+
 def cross_validate_ols(df: DataFrame, features: Sequence[str], label: str, k: int = 5, key: str = "id") -> DataFrame:
-    """M5: k contiguous folds; ``(fold, r2)`` rows plus mean and population sd in every row."""
-    vec, _ = standardized_features(df, features, keep=[key, label])
-    vec = vec.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
-    folded = contiguous_folds(vec, k, key).persist()
-    rows = []
-    for i in range(k):
-        model = LinearRegression(featuresCol="features", labelCol=label, solver="normal", regParam=0.0,
-                                 standardization=False).fit(folded.where(F.col("fold") != i))
-        r2 = _r2_rmse(model.transform(folded.where(F.col("fold") == i)), label).first()["r2"]
-        rows.append((i, r2))
-    folded.unpersist()
-    out = local_table(df.sparkSession, rows, "fold int, r2 double")
+    """M5: k contiguous folds; ``(fold, r2)`` rows plus mean and population sd in every row.
+
+    One grouped aggregate gives every fold's sums of products.  The sums of the training rows of a fold are those of all
+    rows less its own, and the error on its rows follows from its own sums, so no fold is fitted over rows again.
+    """
+    base = df.select(key, F.col(label).cast("double").alias(label), *[F.col(c).cast("double").alias(c) for c in features]).dropna()
+    z = standardize_exprs(column_stats(base, [*features, label]))
+    folded = contiguous_folds(base, k, key)
+    terms = [F.lit(1.0), *[z[c] for c in features], z[label]]
+    m = len(terms)
+    cells = [(i, j) for i in range(m) for j in range(i, m)]
+    rows = folded.groupBy("fold").agg(*[F.sum(terms[i] * terms[j]).alias(f"s{i}_{j}") for i, j in cells]).collect()
+    sums = {f: np.zeros((m, m)) for f in range(k)}
+    for r in rows:
+        for i, j in cells:
+            sums[r["fold"]][i, j] = sums[r["fold"]][j, i] = r[f"s{i}_{j}"]
+    total = sum(sums.values())
+    scores = []
+    for f in range(k):
+        rest = total - sums[f]
+        beta = np.linalg.lstsq(rest[:-1, :-1], rest[:-1, -1], rcond=None)[0]
+        scores.append((f, _r2_of(sums[f], beta)))
+    out = local_table(df.sparkSession, scores, "fold int, r2 double")
     w = Window.partitionBy()
     return out.withColumn("mean_r2", F.avg("r2").over(w)).withColumn("sd_r2", F.stddev_pop("r2").over(w))
 

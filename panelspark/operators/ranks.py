@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from panelspark import schema as S
 from panelspark.functions.encode import label_strength
+from panelspark.functions.literals import local_table
 from panelspark.functions.pvalues import t_survival
 from panelspark.session import checkpoint_dir
 
@@ -142,36 +143,25 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], mode: str = "listwise",
     ``listwise``: rows with a null in any column are dropped first, every column is ranked once
     over the remaining rows, in the column's own type (rank tables joined back on the value), and all
     pair correlations come from ONE aggregate of products of centred ranks.
-    ``pairwise``: each pair is ranked inside its own complete rows (``spearman_pair``).
+    ``pairwise``: each pair is ranked inside its own complete rows, all pairs in one grouped pass.
     """
     cols = list(cols)
+    checkpoint_dir(df.sparkSession)
+    # the raw rows are read once: answers collapse to their distinct combinations, and all ranks come from those
+    rows = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).checkpoint(eager=True)
     if mode == "pairwise":
-        out = None
-        for i, a in enumerate(cols):
-            for b in cols[i:]:
-                if a == b:
-                    part = df.where(F.col(a).isNotNull()).agg(F.count(F.lit(1)).alias("n")).select(
-                        F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(1.0).alias("rho"), "n")
-                    pieces = [part]
-                else:
-                    sp = spearman_pair(df, a, b, high_cardinality)
-                    both = F.array(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")),
-                                   F.struct(F.lit(b).alias("x"), F.lit(a).alias("y")))
-                    pieces = [sp.select(F.inline(both), "rho", "n")]
-                for p in pieces:
-                    out = p if out is None else out.unionByName(p)
-        return out
-    complete = df.select(*cols).dropna()
+        return _pairwise_matrix(rows, cols, high_cardinality)
+    complete = rows.dropna()
     # average ranks have mean (n + 1) / 2 exactly, so centred ranks let plain sums of products give every correlation
-    mid = (complete.count() + 1) / 2.0
+    mid = ((complete.agg(F.sum("__n")).first()[0] or 0) + 1) / 2.0
     ranked = complete
     for c in cols:
-        rt = rank_table(complete, c, high_cardinality=high_cardinality).select(c, (F.col("rank") - F.lit(mid)).alias(f"__r_{c}"))
+        rt = rank_table(complete, c, weight="__n", high_cardinality=high_cardinality).select(c, (F.col("rank") - F.lit(mid)).alias(f"__r_{c}"))
         ranked = ranked.join(rt, c)
-    sums = [F.count(F.lit(1)).alias("n")]
+    sums = [F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("n")]
     for i, a in enumerate(cols):
         for b in cols[i:]:
-            sums.append(F.sum(F.col(f"__r_{a}") * F.col(f"__r_{b}")).alias(f"{a}__{b}"))
+            sums.append(F.sum(F.col("__n") * F.col(f"__r_{a}") * F.col(f"__r_{b}")).alias(f"{a}__{b}"))
     wide = ranked.agg(*sums)
 
     def rho(a, b):
@@ -188,6 +178,34 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], mode: str = "listwise",
     return wide.select("n", F.inline(F.array(*rows))).select("x", "y", "rho", "n")
 
 
+def _pairwise_matrix(rows: DataFrame, cols: list[str], high_cardinality: bool) -> DataFrame:
+    """Every pair on its own complete rows.  A value is replaced by its place in its column, a whole number that orders
+    as the value does, so columns of any type melt into one ``(pair, x, y, weight)`` table that is ranked by pair."""
+    coded = rows
+    for c in cols:
+        places = rank_table(rows, c, weight="__n", high_cardinality=high_cardinality).select(c, F.col("before").alias(f"__p_{c}"))
+        coded = coded.join(places, c, "left")
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("pair"), F.col(f"__p_{cols[i]}").alias("x"), F.col(f"__p_{cols[j]}").alias("y"))
+                               for n, (i, j) in enumerate(pairs)])).alias("e")
+    cells = (coded.select("__n", each).select("e.*", "__n").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+             .groupBy("pair", "x", "y").agg(F.sum("__n").alias("cnt")))
+    for side in ("x", "y"):
+        ranks = rank_table(cells, side, ["pair"], high_cardinality, "cnt", f"r{side}").select("pair", side, f"r{side}")
+        cells = cells.join(ranks, ["pair", side])
+    w, n = F.col("cnt").cast("double"), F.col("n")
+    found = cells.groupBy("pair").agg(F.sum("cnt").cast("long").alias("n"), F.sum(w * F.col("rx")).alias("sx"), F.sum(w * F.col("ry")).alias("sy"),
+                                      F.sum(w * F.col("rx") * F.col("ry")).alias("sxy"), F.sum(w * F.col("rx") * F.col("rx")).alias("sxx"),
+                                      F.sum(w * F.col("ry") * F.col("ry")).alias("syy"))
+    spread = (F.col("sxx") - F.col("sx") * F.col("sx") / n) * (F.col("syy") - F.col("sy") * F.col("sy") / n)
+    rho = F.when(spread > 0, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(spread))
+    names = local_table(rows.sparkSession, [(k, cols[a], cols[b]) for k, (i, j) in enumerate(pairs) for a, b in {(i, j), (j, i)}],
+                        "pair int, x string, y string")
+    return F.broadcast(names).join(found.select("pair", "n", rho.alias("rho")), "pair", "left").select(
+        "x", "y", F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(F.col("rho")).alias("rho"),
+        F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n"))
+
+
 def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(col, v)`` rows: every listed column as a double value (nulls dropped)."""
     arr = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols])

@@ -1,4 +1,4 @@
-"""SQL (DuckDB) for the k-means fit, its silhouettes and the queries on them: seeding unrolled, Lloyd rounds recursive."""
+"""SQL (DuckDB) for k-means (seeding unrolled, Lloyd rounds recursive), its silhouettes, and principal components."""
 
 from __future__ import annotations
 
@@ -97,3 +97,34 @@ ab AS (SELECT o.pid, o.k, o.w, any_value(own.cw) AS own, max(pr.total) FILTER (W
 sil AS (SELECT k, sum(w * CASE WHEN own > 1 THEN coalesce((b - a) / nullif(greatest(a, b), 0), 0) ELSE 0 END) / sum(w) AS s FROM ab GROUP BY k)
 SELECT CAST(k AS INTEGER) AS k, {r('cost')} AS inertia, {r('sil.s')} AS silhouette,
        CAST(first_value(k) OVER (ORDER BY round(sil.s, 9) DESC, k) AS INTEGER) AS best_k FROM best JOIN sil USING (k)"""
+
+
+def eigen_ctes(source: str, cols: Sequence[str], components: int, key: str = "id", squarings: int = 30) -> str:
+    """CTEs up to ``zl(id, i, z)`` and ``ev(comp, ev, v)``: the correlation matrix is squared until only the projector
+    on its first eigenvector is left, taken off with its eigenvalue, and the rest squared again."""
+    n = len(cols)
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    cells = ", ".join(f"{{'i': {i}, 'z': (CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / coalesce(nullif(stddev_pop(CAST({c} AS DOUBLE)) OVER (), 0), 1)}}"
+                      for i, c in enumerate(cols))
+
+    def squared(a: str) -> str:
+        row = "{a}[({k}) * {n} + 1 : ({k}) * {n} + {n}]"
+        return (f"list_transform(range({n * n}), lambda e: list_inner_product({row.format(a=a, k=f'e // {n}', n=n)}, "
+                f"{row.format(a=a, k=f'e % {n}', n=n)}))")
+
+    def trace(a: str) -> str:
+        return f"list_sum(list_transform(range({n}), lambda t: {a}[t * {n} + t + 1]))"
+
+    return f"""zl AS MATERIALIZED (SELECT id, x.i AS i, x.z AS z FROM (SELECT {key} AS id, unnest([{cells}]) AS x FROM {source} WHERE {complete})),
+cm AS MATERIALIZED (SELECT list(v ORDER BY i, j) AS c FROM (SELECT a.i AS i, b.i AS j, sum(a.z * b.z) / (SELECT count(DISTINCT id) FROM zl) AS v
+  FROM zl a JOIN zl b USING (id) GROUP BY ALL)),
+pw AS (SELECT 1 AS comp, 0 AS step, c, list_transform(c, lambda x: x / {trace('c')}) AS p FROM cm
+  UNION ALL
+  SELECT comp + done, CASE WHEN done = 1 THEN 0 ELSE step + 1 END, c2, list_transform(q, lambda x: x / {trace('q')}) FROM (
+    SELECT comp, step, done, lam, c2, CASE WHEN done = 1 THEN c2 ELSE {squared('p')} END AS q FROM (
+      SELECT *, CASE WHEN done = 1 THEN list_transform(range({n * n}), lambda e: c[e + 1] - lam * p[e + 1]) ELSE c END AS c2 FROM (
+        SELECT comp, step, c, p, CASE WHEN step = {squarings} THEN 1 ELSE 0 END AS done, list_inner_product(c, p) AS lam FROM pw
+        WHERE comp <= {components}))) WHERE comp + done <= {components}),
+pj AS MATERIALIZED (SELECT comp, p, list_inner_product(c, p) AS ev,
+  list_transform(range({n}), lambda t: p[t * {n} + t + 1]) AS diag FROM pw WHERE step = {squarings}),
+ev AS MATERIALIZED (SELECT comp, ev, list_transform(range({n}), lambda t: p[t * {n} + list_position(diag, list_max(diag))] / sqrt(list_max(diag))) AS v FROM pj)"""

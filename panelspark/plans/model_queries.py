@@ -103,13 +103,22 @@ def q_roc_quality_length(spark, sf_dir):
     return rounded(M.roc_points(_length_predictions(spark, sf_dir)))
 
 
-# -- rows-only model queries (seeded fits; compared by properties in tests) ------------------------
-@register("pca_scree_survey")
+# -- principal components --------------------------------------------------------------------------
+def _pca_sql(components: int) -> str:
+    return with_enc(",\n" + C.eigen_ctes("enc", FEATURES_DASH, components)).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("pca_scree_survey", _pca_sql(len(FEATURES_DASH)) + f""",
+sh AS (SELECT comp, ev / sum(ev) OVER () AS share, sum(ev) OVER (ORDER BY comp) / sum(ev) OVER () AS cum FROM ev)
+SELECT CAST(comp AS INTEGER) AS component, {r('share * 100')} AS explained_pct, {r('cum * 100')} AS cumulative_pct,
+       CAST((SELECT min(comp) FROM sh WHERE cum >= 0.8 - 1e-12) AS INTEGER) AS n_for_threshold FROM sh""")
 def q_pca_scree_survey(spark, sf_dir):
     return rounded(M.pca_scree(encoded(spark, sf_dir), FEATURES_DASH))
 
 
-@register("pca_loadings_survey")
+@register("pca_loadings_survey", _pca_sql(3) + f"""
+SELECT names[i + 1] AS feature, CAST(comp AS INTEGER) AS component, {r('v[i + 1]')} AS loading
+FROM ev, (SELECT unnest(range({len(FEATURES_DASH)})) AS i), (SELECT {FEATURES_DASH!r} AS names)""")
 def q_pca_loadings_survey(spark, sf_dir):
     return rounded(M.pca_loadings(encoded(spark, sf_dir), FEATURES_DASH, k=3))
 
@@ -143,7 +152,13 @@ def _embedding_columns(spark, sf_dir, dims: int = 64):
                       *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)]), cols
 
 
-@register("pca_project_embeddings")
+_EMB_COLS = [f"e{i}" for i in range(64)]
+_EMB_SQL = "emb AS (SELECT vec_id AS id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(64)) + " FROM embeddings)"
+
+
+@register("pca_project_embeddings", "WITH RECURSIVE " + _EMB_SQL + ",\n" + C.eigen_ctes("emb", _EMB_COLS, 2) + f"""
+SELECT zl.id, any_value(emb.label) AS label, {r('sum(z * v[i + 1]) FILTER (WHERE comp = 1)')} AS pc1,
+       {r('sum(z * v[i + 1]) FILTER (WHERE comp = 2)')} AS pc2 FROM zl JOIN emb USING (id), ev GROUP BY zl.id""")
 def q_pca_project_embeddings(spark, sf_dir):
     emb, cols = _embedding_columns(spark, sf_dir)
     return rounded(M.pca_project(emb, cols, k=2, carry=("id", "label")))
@@ -374,10 +389,6 @@ def q_kmeans_scan(spark, sf_dir):
     return rounded(K.k_scan(encoded(spark, sf_dir), CLUSTER_FEATURES, ks=range(2, 8), n_init=10))
 
 
-_EMB_COLS = [f"e{i}" for i in range(64)]
-_EMB_SQL = "emb AS (SELECT vec_id AS id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(64)) + " FROM embeddings)"
-
-
 @register("embedding_clusters", "WITH RECURSIVE " + _EMB_SQL + ",\n" + C.kmeans_ctes("emb", _EMB_COLS, [4]) + """
 SELECT cl.cluster, emb.label, count(*) AS n FROM cl JOIN (SELECT id, min(id) OVER (PARTITION BY """ + ", ".join(_EMB_COLS) + """) AS pid FROM km_rows) p USING (pid)
 JOIN emb ON emb.id = p.id GROUP BY ALL""")

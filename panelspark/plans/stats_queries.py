@@ -326,6 +326,38 @@ def q_kruskal_platforms(spark, sf_dir):
                                    high_cardinality=False))
 
 
+def _dunn_sql(long_sql: str, min_n: int = 5) -> str:
+    return with_enc(f""",
+lng0 AS ({long_sql}),
+keep AS (SELECT g FROM lng0 GROUP BY g HAVING count(*) >= {min_n}),
+lng AS (SELECT * FROM lng0 WHERE g IN (SELECT g FROM keep)),
+rk AS (SELECT g, {_rank_sql('v')} AS rnk FROM lng),
+ties AS (SELECT sum(c * c * c - c) AS tie, sum(c) AS nn FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM lng GROUP BY v)),
+gs AS (SELECT g, count(*) AS n, avg(rnk) AS mr FROM rk GROUP BY g),
+z AS (SELECT x.g AS a, y.g AS b, x.n AS n_a, y.n AS n_b, x.mr AS ma, y.mr AS mb,
+      (x.mr - y.mr) / sqrt((nn * (nn + 1) / 12 - tie / (12 * (nn - 1))) * (1.0 / x.n + 1.0 / y.n)) AS z FROM gs x, gs y, ties WHERE x.g < y.g),
+p AS (SELECT *, least(1, 2 * {_normal_p_sql('abs(z)')}) AS p, count(*) OVER () AS m FROM z),
+h AS (SELECT *, row_number() OVER (ORDER BY p, a, b) AS i FROM p),
+f AS (SELECT *, max(least(1, (m - i + 1) * p)) OVER (ORDER BY p, a, b) AS holm FROM h)
+SELECT a, b, n_a, n_b, {r('ma')} AS mean_rank_a, {r('mb')} AS mean_rank_b, {r('z')} AS z, {r('p')} AS p_value,
+       {r('least(1, m * p)')} AS p_bonferroni, {r('holm')} AS p_holm,
+       CASE WHEN holm < 0.05 THEN 'REJECT H0' ELSE 'FAIL TO REJECT H0' END AS decision FROM f""")
+
+
+@register("dunn_platforms", _dunn_sql(_KW_PLATFORMS))
+def q_dunn_platforms(spark, sf_dir):
+    """H3 post-hoc: every pair of platforms on ad clicks, with adjusted p-values."""
+    long = explode_members(encoded(spark, sf_dir), PLATFORM_FLAGS, keep=["ad_click_ord"])
+    return rounded(H.dunn(long.select(F.col("member").alias("g"), F.col("ad_click_ord").alias("v")), high_cardinality=False))
+
+
+@register("dunn_age", _dunn_sql(_KW_AGE))
+def q_dunn_age(spark, sf_dir):
+    """H2 post-hoc: every pair of age groups on purchases."""
+    return rounded(H.dunn(encoded(spark, sf_dir).select(F.col("age_group").alias("g"), F.col("purchase_ord").alias("v")),
+                          high_cardinality=False))
+
+
 def _t_sql(r=r) -> str:
     mean, sd, n = "avg(satisfaction_score)", "stddev_samp(satisfaction_score)", "count(satisfaction_score)"
     return with_enc(f"""
