@@ -136,7 +136,7 @@ def dunn(long: DataFrame, group: str = "g", value: str = "v", min_n: int = 5, hi
     variance = (nn * (nn + 1) / 12 - F.col("tie") / (12 * (nn - 1))) * (1 / F.col("n_a") + 1 / F.col("n_b"))
     z = F.when(variance > 1e-12, (F.col("mean_rank_a") - F.col("mean_rank_b")) / F.sqrt(variance))
     pairs = left.join(F.broadcast(right), F.col("a") < F.col("b")).join(F.broadcast(total), F.lit(True)).withColumn("z", z)
-    pairs = pairs.withColumn("p_value", F.least(F.lit(1.0), 2 * normal_sf(F.abs("z"))))
+    pairs = pairs.withColumn("p_value", F.when(F.col("z").isNotNull(), F.least(F.lit(1.0), 2 * normal_sf(F.abs("z")))))
     everything = Window.partitionBy(F.lit(0))
     down = everything.orderBy(F.asc_nulls_last("p_value"), "a", "b")
     pairs = pairs.withColumn("m", F.count(F.lit(1)).over(everything)).withColumn("i", F.row_number().over(down))

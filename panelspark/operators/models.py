@@ -1,6 +1,7 @@
 """Dimensionality reduction, regression and classification.
 
-Fits use MLlib estimators (distributed gradient / normal-equation solvers, tree learners);
+Regressions use MLlib estimators (distributed gradient / normal-equation solvers); components, folds and forests are
+fitted from grouped sums of our own;
 evaluation metrics are exact DataFrame aggregates: the confusion matrix is one grouped count,
 AUC comes from average ranks of the scores (the Mann-Whitney identity, ties count 1/2) rather
 than MLlib's binned curve.
@@ -14,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.encode import column_stats, standardize_exprs
 from panelspark.functions.literals import local_table
+from panelspark.operators.forest import forest_points, grow, predicted
 from panelspark.operators.ranks import rank_table, running_sums
 
 
@@ -276,44 +278,28 @@ def logistic(df: DataFrame, features: Sequence[str], label: str, C: float = 1.0,
 
 def forest_importance(df: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 5,
                       train_frac: float | None = 0.75, key: str = "id", seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Random forest (gini, sqrt feature subsets) -> ``(feature, importance)`` and test
+    """Random forest (gini, sqrt feature subsets; ``operators.forest``) -> ``(feature, importance)`` and test
     predictions; ``train_frac=None`` fits on all rows (dashboard variant)."""
     base = df.select(key, label, *features).dropna()
     if not enough_rows(base, label):
         return _no_fit(df, key, "feature string, importance double")
-    base = base.withColumn(label, F.col(label).cast("double"))
     train, test = (base, base) if train_frac is None else split(base, train_frac, key, seed, label)
-    train, test = (VectorAssembler(inputCols=list(features), outputCol="features").transform(x) for x in (train, test))
-    model = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth,
-                                   impurity="gini", featureSubsetStrategy="sqrt", seed=seed).fit(train)
-    imp = local_table(df.sparkSession, 
-        [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())], "feature string, importance double")
-    pred = model.transform(test).select(key, F.col(label).cast("int").alias("label"),
-                                        F.col("prediction").cast("int").alias("prediction"),
-                                        vector_to_array("probability")[1].alias("score"))
-    return imp, pred
+    model = grow(forest_points(train, features, label, key, trees, seed), len(features), trees, depth, seed)
+    imp = local_table(df.sparkSession, [(f, float(v)) for f, v in zip(features, model.importances())], "feature string, importance double")
+    return imp, predicted(test, model, features, label, key, trees)
 
 
 def forest_cv_auc(df: DataFrame, features: Sequence[str], label: str, k: int = 5, trees: int = 100, depth: int = 5,
                   key: str = "id", seed: int = 42) -> DataFrame:
     """K contiguous folds of each class; ``(fold, auc)`` with mean and population sd; no row below 30 rows or 5
-    rows of a class."""
+    rows of a class.  The forests of all folds grow together, a level being one aggregate."""
     base = df.select(key, label, *features).dropna()
     if not enough_rows(base, label):
-        return local_table(df.sparkSession, [], "fold int, auc double, mean_auc double, sd_auc double")
-    base = contiguous_folds(base, k, key, stratify=label)
-    vec = VectorAssembler(inputCols=list(features), outputCol="features").transform(base)
-    vec = vec.withColumn(label, F.col(label).cast("double")).persist()
-    rows = []
-    for i in range(k):
-        model = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth,
-                                       impurity="gini", featureSubsetStrategy="sqrt", seed=seed).fit(
-            vec.where(F.col("fold") != i))
-        pred = model.transform(vec.where(F.col("fold") == i)).select(
-            F.col(label).cast("int").alias("label"), vector_to_array("probability")[1].alias("score"))
-        rows.append((i, auc(pred).first()["auc"]))
-    vec.unpersist()
-    out = local_table(df.sparkSession, rows, "fold int, auc double")
+        return local_table(df.sparkSession, [], "fold int, auc double, mean_auc double, sd_auc double").where(F.lit(False))
+    folded = contiguous_folds(base, k, key, stratify=label)
+    model = grow(forest_points(folded, features, label, key, trees, seed, "fold"), len(features), trees, depth, seed, folds=k)
+    pred = predicted(folded, model, features, label, key, trees, "fold")
+    out = auc_by(pred, "fold")
     w = Window.partitionBy()
     return out.withColumn("mean_auc", F.avg("auc").over(w)).withColumn("sd_auc", F.stddev_pop("auc").over(w))
 
@@ -380,6 +366,18 @@ def auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFram
                        a.alias("auc"))
 
 
+def auc_by(pred: DataFrame, by: str, label: str = "label", score: str = "score") -> DataFrame:
+    """M9 for each value of ``by``: ``(by, auc)``, all ranked in one pass."""
+    lv = pred.select(by, F.col(label).cast("int").alias("g"), F.col(score).cast("double").alias("v")).dropna()
+    gv = lv.groupBy(by, "g", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    ranks = rank_table(gv, "v", [by], weight="cnt").select(by, "v", "rank")
+    ones = F.col("g") == 1
+    per = gv.join(ranks, [by, "v"]).groupBy(by).agg(
+        F.sum(F.when(ones, F.col("cnt")).otherwise(0)).cast("double").alias("p"), F.sum(F.when(ones, 0).otherwise(F.col("cnt"))).cast("double").alias("q"),
+        F.sum(F.when(ones, F.col("cnt") * F.col("rank")).otherwise(0.0)).alias("r"))
+    return per.select(by, F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0, F.col("p") * F.col("q")).alias("auc"))
+
+
 def roc_points(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """M9: ``(threshold, fpr, tpr)`` at every distinct score.  Running class counts come from
     one range-partitioned pass for both classes (distinct scores can be as many as rows)."""

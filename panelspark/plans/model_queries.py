@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import clustering as K
 from panelspark.operators import models as M
 from panelspark.plans import cluster_sql as C
+from panelspark.plans import forest_sql as FS
 from panelspark.plans.common import encoded
 from panelspark.plans.oracle import r, with_enc
 from panelspark.plans.registry import register, rounded
@@ -296,14 +297,28 @@ def q_logistic_ad_report(spark, sf_dir):
                            (F.col("n_pos") + F.col("n_neg")).alias("support"))))
 
 
-@register("forest_importance_ad")
+_AD_ROWS = f"""SELECT id, CAST(high_ad_responsive AS INTEGER) AS label, {', '.join(FEATURES_AD_LEAK_FREE)} FROM enc
+  WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*FEATURES_AD_LEAK_FREE, 'high_ad_responsive'])}"""
+_AD_IMPORTANCE = f"""SELECT names[j + 1] AS feature, {r('coalesce(part, 0) / (SELECT sum(part) FROM imp)')} AS importance
+FROM (SELECT unnest(range({len(FEATURES_AD_LEAK_FREE)})) AS j) LEFT JOIN imp USING (j), (SELECT {FEATURES_AD_LEAK_FREE!r} AS names)"""
+_AUC_OF = """(sum(rnk) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0)
+  / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0))"""
+
+
+@register("forest_importance_ad", with_enc(f", ad AS (SELECT *, -1 AS fold, true AS trains FROM ({_AD_ROWS})),\n"
+                                           + FS.forest_ctes("ad", FEATURES_AD_LEAK_FREE, 80, 4) + "\n" + _AD_IMPORTANCE))
 def q_forest_importance_ad(spark, sf_dir):
     imp, _ = M.forest_importance(encoded(spark, sf_dir), FEATURES_AD_LEAK_FREE, "high_ad_responsive",
                                  trees=80, depth=4, train_frac=None)
     return rounded(imp)
 
 
-@register("forest_split_auc_ad")
+@register("forest_split_auc_ad", with_enc(f""", ad0 AS ({_AD_ROWS}),
+ad AS (SELECT *, -1 AS fold, row_number() OVER (PARTITION BY label ORDER BY md5(id || ':42'), id) <= round(count(*) OVER (PARTITION BY label) * 0.75) AS trains FROM ad0),
+""" + FS.forest_ctes("ad", FEATURES_AD_LEAK_FREE, 100, 5) + f""",
+tests AS (SELECT fr.label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rnk
+  FROM fr JOIN rid USING (id) JOIN scored USING (pid) WHERE NOT fr.trains)
+{_AD_IMPORTANCE} UNION ALL SELECT '(test auc)', {r(_AUC_OF)} FROM tests"""))
 def q_forest_split_auc_ad(spark, sf_dir):
     """M10 with 100 trees on the stratified split: importances, and the AUC of the test rows."""
     imp, pred = M.forest_importance(encoded(spark, sf_dir), FEATURES_AD_LEAK_FREE, "high_ad_responsive", trees=100, depth=5)
@@ -349,7 +364,15 @@ def q_stratified_folds(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-@register("forest_cv_auc_ad")
+@register("forest_cv_auc_ad", with_enc(f""", ad0 AS ({_AD_ROWS}),
+ad1 AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n FROM ad0),
+ad AS (SELECT *, CAST(CASE WHEN pos < (n % 5) * (n // 5 + 1) THEN pos // (n // 5 + 1) ELSE n % 5 + (pos - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold,
+  true AS trains FROM ad1),
+""" + FS.forest_ctes("ad", FEATURES_AD_LEAK_FREE, 100, 5) + f""",
+tests AS (SELECT fr.fold, fr.label, rank() OVER (PARTITION BY fr.fold ORDER BY score) + (count(*) OVER (PARTITION BY fr.fold, score) - 1) / 2.0 AS rnk
+  FROM fr JOIN rid USING (id) JOIN scored USING (pid)),
+per AS (SELECT fold, {_AUC_OF} AS auc FROM tests GROUP BY fold)
+SELECT fold, {r('auc')} AS auc, {r('avg(auc) OVER ()')} AS mean_auc, {r('stddev_pop(auc) OVER ()')} AS sd_auc FROM per"""))
 def q_forest_cv_auc_ad(spark, sf_dir):
     return rounded(M.forest_cv_auc(encoded(spark, sf_dir), FEATURES_AD_LEAK_FREE, "high_ad_responsive",
                                    k=5, trees=100, depth=5))
