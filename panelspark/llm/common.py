@@ -6,6 +6,7 @@ All hashing works on UTF-8 bytes, 64 bits wide, without per-word Python.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,17 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None, rows_per_fi
     return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of ``df`` has (names differ by more than case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The configured number of shuffle partitions; clusters size it to the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -88,6 +100,22 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
             start = end
 
 
+def exact_longs(column: pa.Array, null: int = -2**63) -> np.ndarray:
+    """64-bit integers of a column, never by way of doubles; a null counts as the smallest long."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return pc.fill_null(column.cast(pa.int64()), pa.scalar(null, pa.int64())).to_numpy(zero_copy_only=False)
+
+
+def release_memory() -> None:
+    """Hand freed memory back to the system, as a Python worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def long_array(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.int64), pa.int64())
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import exact_longs, stage
 from .graph import components, local_labels
 
 COSINE = 0.9
@@ -148,7 +148,7 @@ def _routing(shared, dim: int):
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
                 blobs = batch.column("vector").to_pylist()
-                ids, weights = np.asarray(batch.column("vec_id")), np.asarray(batch.column("weight"))
+                ids, weights = exact_longs(batch.column("vec_id")), exact_longs(batch.column("weight"))
                 same = np.array([len(b) == 8 * dim for b in blobs])
                 usual = np.flatnonzero(same)
                 rows, trees, leaves = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -197,7 +197,7 @@ def _compare(cosine: float):
         block = np.asarray(table.column("block"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         here = (table.column("tree")[0].as_py() << 48) | table.column("leaf")[0].as_py()
-        ids, weights = np.asarray(table.column("vec_id")), np.asarray(table.column("weight"))
+        ids, weights = exact_longs(table.column("vec_id")), exact_longs(table.column("weight"))
         vectors, leaves = unit(table.column("vector").to_pylist()), _pad(table.column("leaves").to_pylist())
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         pairs = []

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii, shuffle_width, small_batches, stage, text_buffers
+from .common import fresh_names, lower_ascii, release_memory, shuffle_width, small_batches, stage, text_buffers
 
 HEAD = 32
 NO_ID = -2**63  # stands for a null identifier
@@ -131,15 +131,19 @@ def exact_duplicates(docs: DataFrame, keep_largest: bool = False, partitions: in
 
 def drop_exact_duplicates(docs: DataFrame, keep_largest: bool = False) -> DataFrame:
     """The documents that stay, one row for each kept text, with their own columns."""
-    kept = exact_duplicates(docs, keep_largest).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    rows = rows.mapInArrow(_with_digest, T.StructType([*rows.schema.fields, T.StructField("__digest", T.BinaryType())]))
-    return rows.join(kept, ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")
+    key = fresh_names(docs, "__id", "__digest")
+    kept = exact_duplicates(docs, keep_largest).where("kept").select("doc_id", "digest").toDF(*key)
+    rows = docs.withColumn(key[0], F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    rows = rows.mapInArrow(_with_digest(key[1]), T.StructType([*rows.schema.fields, T.StructField(key[1], T.BinaryType())]))
+    return rows.join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
 
 
-def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, at = text_buffers(batch.column("text"))
-        raw = lower_ascii(data).tobytes()
-        digests = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=[*batch.schema.names, "__digest"])
+def _with_digest(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = text_buffers(batch.column("text"))
+            raw = lower_ascii(data).tobytes()
+            digests = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=[*batch.schema.names, name])
+        release_memory()
+    return run

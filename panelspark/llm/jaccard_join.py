@@ -34,7 +34,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, group_starts, lower_ascii, mix, ranges, rolling, shuffle_width, small_batches, span_hashes, stage, text_buffers, word_spans
+from .common import (U, fresh_names, group_starts, lower_ascii, mix, ranges, release_memory, rolling, shuffle_width, small_batches, span_hashes,
+                     stage, text_buffers, word_spans)
 from .graph import components
 
 N = 5
@@ -44,6 +45,7 @@ ROUNDS = 2       # rounds of leaders before all remaining pairs
 VERIFY = 20.0    # cost of verifying a candidate, in posting reads
 CHUNK_BYTES = 6 << 20
 BLOCK = 1024     # rows of a posting list that one group compares
+CELLS = 1 << 24  # n-grams of pairs compared at a time, one bit each
 NO_ID = -2**63
 _LOW = U((1 << 48) - 1)
 
@@ -85,6 +87,7 @@ def _digests(n: int):
             values, at = shingle_sets(*text_buffers(batch.column("text")), n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(np.diff(at), pa.int64()),
                                               pa.array(_signatures(values, at), pa.binary())], names=["doc_id", "digest", "n_shingles", "sig"])
+        release_memory()
     return run
 
 
@@ -138,6 +141,7 @@ def _send(buckets: int, n: int):
                 held, size = [], 0
         if held:
             yield chunk(held)
+        release_memory()
 
     return run
 
@@ -212,6 +216,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, v in ((1, doc), (2, size), (3, match), (4, centre), (5, len(tokens) // 8 - held)):
                 columns[k].append(np.full(held, v, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["token", "doc_id", "size", "match", "centre", "rest"])
+    release_memory()
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +254,7 @@ def _candidates(table: pa.Table) -> pa.Table:
         left, right = np.flatnonzero(block[at] == i), np.flatnonzero(block[at] == j)
         mine = int(np.searchsorted(values, token[at[0]].view(U)))
         mine = int(column[mine])
+        early = np.packbits(has[:, :mine] > 0, axis=1)  # n-grams whose lists come before this one
         for start in range(0, len(left), 256):
             x = left[start: start + 256]
             shared = has[x] @ has[right].T
@@ -261,7 +267,10 @@ def _candidates(table: pa.Table) -> pa.Table:
             if i == j:
                 p, q = p[p < q], q[p < q]
             if len(p) and mine:
-                first = ~((has[p, :mine] > 0) & (has[q, :mine] > 0)).any(1)
+                first = np.ones(len(p), bool)
+                strip = max(1, CELLS // mine)  # pairs looked at together
+                for k in range(0, len(p), strip):
+                    first[k: k + strip] = ~(early[p[k: k + strip]] & early[q[k: k + strip]]).any(1)
                 p, q = p[first], q[first]
             out.append(np.stack([doc[at[p]], doc[at[q]]], 1))
     rows = np.concatenate(out) if out else np.empty((0, 2), np.int64)
@@ -276,6 +285,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep.append(100 * shared >= PERCENT * (m + n - shared))
         kept = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
+    release_memory()
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -362,7 +372,6 @@ def drop_near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
     linked = reps.where("component is not null").groupBy("component").agg(F.min("rep").alias("rep")).select("rep")
     kept = reps.where("component is null").select("rep").unionByName(linked).select("rep.doc_id", "rep.digest")
     kept = kept.unionByName(digests.where("n_shingles = 0").select("doc_id", "digest"))
-    kept = kept.toDF("__id", "__digest")
-    key = _row_key()
-    rows = docs.withColumn("__id", key[0]).withColumn("__digest", key[1])
-    return rows.join(kept, ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")
+    names = fresh_names(docs, "__id", "__digest")
+    rows = docs.withColumns(dict(zip(names, _row_key())))
+    return rows.join(kept.toDF(*names), names, "left_semi").dropDuplicates(names).drop(*names)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stage, text_buffers, word_spans
+from .common import fresh_names, small_batches, stage, text_buffers, word_spans
 
 SEED = 20
 PASSES = 3
@@ -188,11 +188,13 @@ def _last_pass(rows: DataFrame, quotas: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, sources: Column, **options) -> DataFrame:
     """The documents with their own columns, each as many times as the mix takes it; ids are expected to be unique."""
     taken, _ = mix_sources(docs, sources, **options)
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__members", F.to_json(F.struct(
-        F.array_sort(F.array_distinct(sources.cast("array<string>"))).alias("m")), {"ignoreNullFields": "false"}))
-    taken = taken.where("passes > 0").select(F.col("doc_id").alias("__id"), F.to_json(F.struct(F.col("members").alias("m")), {"ignoreNullFields": "false"}).alias("__members"),
-                                            F.col("passes").cast("int").alias("__passes"))
+    own, of, passes, number = fresh_names(docs, "__id", "__members", "__passes", "__n")
+    text = {"ignoreNullFields": "false"}
+    rows = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(of, F.to_json(F.struct(
+        F.array_sort(F.array_distinct(sources.cast("array<string>"))).alias("m")), text))
+    taken = taken.where("passes > 0").select(F.col("doc_id").alias(own), F.to_json(F.struct(F.col("members").alias("m")), text).alias(of),
+                                            F.col("passes").cast("int").alias(passes))
     # rows that repeat an id share its passes: each of them stands once
-    taken = taken.groupBy("__id", "__members").agg(F.max("__passes").alias("__passes"))
-    joined = rows.join(taken, rows["__id"].eqNullSafe(taken["__id"]) & (rows["__members"] == taken["__members"])).drop("__id", "__members")
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__passes")))).drop("__n", "__passes")
+    taken = taken.groupBy(own, of).agg(F.max(passes).alias(passes))
+    joined = rows.join(taken, rows[own].eqNullSafe(taken[own]) & (rows[of] == taken[of])).drop(own, of)
+    return joined.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(passes)))).drop(number, passes)

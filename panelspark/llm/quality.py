@@ -180,7 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = M
 
 
 def scored(docs: DataFrame, model: bytes, name: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1.  The model is a table of fixed size (half a megabyte)."""
+    """``docs`` with the probability of label 1 as ``name``, in place of a column of that name.  The model is a table of
+    fixed size (half a megabyte)."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,8 +13,9 @@ documents; windows of those that fill more than an average bucket (and more than
 whole window, so equal ones still meet.  The sample decides only where windows meet, not what is found.
 
 Edge cases: null and empty texts have no words; documents shorter than a window keep all words; overlapping repeats in
-one document count; repeated rows (one ``doc_id`` in several rows) are taken as the same document, so they do not remove
-each other's words; a null id is ordered first; an empty table gives an empty result; extra columns are ignored.
+one document count; rows that agree in ``doc_id`` and text are one document and do not remove each other's words; rows
+of one ``doc_id`` with different texts are documents of their own, ordered by a hash of the text; a null id is ordered
+first and stands as the smallest long; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def _intervals(starts: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.nd
 
 _SENT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("repeats", T.BinaryType()), T.StructField("places", T.BinaryType()),
                       T.StructField("text", T.BinaryType())])
-_FOUND = "doc_id long, first long, end long"
+_FOUND = "doc_id long, tag long, first long, end long"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -113,10 +114,42 @@ def _hot_minimisers(rows: DataFrame, buckets: int, width: int, m: int) -> np.nda
     return np.sort(np.array([r["minimiser"] for r in found], np.int64).view(U))
 
 
+def _documents(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Rising numbers of the documents, rows that agree in id and tag having one; rows are in order."""
+    new = np.ones(len(ids), np.int64)
+    new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])
+    return np.cumsum(new)
+
+
+def _same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, later: np.ndarray, leader: np.ndarray, width: int) -> np.ndarray:
+    """Which windows hold the very words of their leaders.  Neighbouring windows share words, which are compared once."""
+    if not len(later):
+        return np.empty(0, bool)
+    off = leader - later
+    head = np.flatnonzero(np.concatenate(([True], (later[1:] != later[:-1] + 1) | (off[1:] != off[:-1]))))
+    count = np.diff(np.append(head, len(later)))
+    mine = ranges(later[head], count + width - 1)
+    other = mine + np.repeat(off[head], count + width - 1)
+    lengths = ends[mine] - starts[mine]
+    differ = lengths != ends[other] - starts[other]
+    alike = np.flatnonzero(~differ)
+    bytes_before = np.cumsum(lengths[alike]) - lengths[alike]
+    cuts = np.searchsorted(bytes_before, np.arange(0, int(lengths[alike].sum()) + 1, 1 << 20))
+    for a, b in zip(cuts, [*cuts[1:], len(alike)]):  # about a million bytes at a time
+        k = alike[a:b]
+        if len(k):
+            equal = data[ranges(starts[mine[k]], lengths[k])] == data[ranges(starts[other[k]], lengths[k])]
+            differ[k] = ~np.logical_and.reduceat(equal, np.cumsum(lengths[k]) - lengths[k])
+    total = np.concatenate(([0], np.cumsum(differ)))
+    first = ranges(np.cumsum(count + width - 1) - (count + width - 1), count)
+    return total[first + width] == total[first]
+
+
 def _chunk(held: list[pa.RecordBatch], buckets: int, width: int, m: int, hot: np.ndarray) -> pa.RecordBatch:
     """Super-k-mers of the windows that occur first in these documents, by bucket, and the repeats among them."""
-    table = pa.Table.from_batches(held).sort_by("doc_id").combine_chunks()
-    ids = np.asarray(table.column("doc_id"))
+    table = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("tag", "ascending")]).combine_chunks()
+    ids, tags = np.asarray(table.column("doc_id")), np.asarray(table.column("tag"))
+    who = _documents(ids, tags)
     data, offsets = text_buffers(table.column("text"))
     starts, ends, bounds = word_spans(data, offsets)
     hashes = span_hashes(data, starts, ends)
@@ -128,13 +161,19 @@ def _chunk(held: list[pa.RecordBatch], buckets: int, width: int, m: int, hot: np
     first_of = group_starts(windows[order])
     is_first = np.zeros(n, bool)
     is_first[order[first_of]] = True
-    # rows of one id are one document: a window at the same id and start as the first is not later
+    # equal rows are one document: a window at the same document and start as the first is not later
     leader = np.repeat(order[first_of], np.diff(np.append(first_of, len(order))))
     at = np.arange(len(starts)) - bounds[doc]
-    later = order[(ids[doc[order]] != ids[doc[leader]]) | (at[order] != at[leader])]
-    later.sort()
+    is_later = (who[doc[order]] != who[doc[leader]]) | (at[order] != at[leader])
+    later, leader = order[is_later], leader[is_later]
+    by = np.argsort(later)
+    later, leader = later[by], leader[by]
+    # equal hashes of different words: such a window goes to its bucket, which compares all that meet there
+    same = _same_words(data, starts, ends, later, leader, width)
+    is_first[later[~same]] = True
+    later = later[same]
     owner, begin, end = _intervals(at[later], doc[later], width) if len(later) else (later, later, later)
-    repeats = np.stack([ids[owner], begin, end], 1).astype("<i8") if len(later) else np.empty((0, 3), "<i8")
+    repeats = np.stack([ids[owner], tags[owner], begin, end], 1).astype("<i8") if len(later) else np.empty((0, 4), "<i8")
 
     least = _minimisers(hashes, width, m)
     if len(hot):
@@ -152,7 +191,7 @@ def _chunk(held: list[pa.RecordBatch], buckets: int, width: int, m: int, hot: np
     for a, b in zip(group.tolist(), np.append(group[1:], len(by)).tolist()):
         k = by[a:b]
         texts = [raw[i:j] for i, j in zip(starts[word[k]].tolist(), ends[word[k] + count[k] + width - 2].tolist())]
-        places = np.stack([ids[doc[word[k]]], at[word[k]], count[k]], 1).astype("<i8")
+        places = np.stack([ids[doc[word[k]]], tags[doc[word[k]]], at[word[k]], count[k]], 1).astype("<i8")
         rows.append((int(bucket[k[0]]), None, pack.compress(places.tobytes()), pack.compress(b"\n".join(texts))))
     if len(repeats):  # to any bucket, which hands them on
         rows.append((int(repeats[0, 0]) % buckets, repeats.tobytes(), None, None))
@@ -166,30 +205,31 @@ def _bucket_repeats(width: int):
         places, texts, found = [], [], []
         for a, b, c in zip(*(table.column(n).to_pylist() for n in ("places", "text", "repeats"))):
             if c is not None:
-                found.append(np.frombuffer(c, "<i8").reshape(-1, 3))
+                found.append(np.frombuffer(c, "<i8").reshape(-1, 4))
             else:
-                places.append(np.frombuffer(unpack.decompress(a, max_output_size=1 << 31), "<i8").reshape(-1, 3))
+                places.append(np.frombuffer(unpack.decompress(a, max_output_size=1 << 31), "<i8").reshape(-1, 4))
                 texts.append(unpack.decompress(b, max_output_size=1 << 31))
         if places:
             found.append(_sorted_repeats(np.concatenate(places), b"\n".join(texts), width))
-        rows = np.concatenate(found) if found else np.empty((0, 3), np.int64)
-        return pa.table({"doc_id": rows[:, 0], "first": rows[:, 1], "end": rows[:, 2]})
+        rows = np.concatenate(found) if found else np.empty((0, 4), np.int64)
+        return pa.table(dict(zip(("doc_id", "tag", "first", "end"), rows.T)))
 
     return repeats
 
 
 def _sorted_repeats(places: np.ndarray, raw: bytes, width: int) -> np.ndarray:
-    """``(doc_id, first word, end word)`` of the windows of one bucket that are not the first of their words."""
+    """``(doc_id, tag, first word, end word)`` of the windows of one bucket that are not the first of their words."""
     data = np.frombuffer(raw, np.uint8)
     starts, ends, _ = word_spans(data, np.array([0, len(data)]))
     windows = rolling(span_hashes(data, starts, ends), width)
-    words = places[:, 2] + width - 1
+    words = places[:, 3] + width - 1
     begin = np.cumsum(words) - words
-    order = np.lexsort((places[:, 1], places[:, 0]))  # windows by document and start, so a stable sort leaves the first in front
+    order = np.lexsort((places[:, 2], places[:, 1], places[:, 0]))  # windows by document and start, so a stable sort leaves the first in front
     places, begin = places[order], begin[order]
-    count = places[:, 2]
+    count = places[:, 3]
     word = ranges(begin, count)
-    doc, at = np.repeat(places[:, 0], count), ranges(places[:, 1], count)
+    row = np.repeat(np.arange(len(places)), count)
+    doc, at = _documents(places[:, 0], places[:, 1])[row], ranges(places[:, 2], count)
     key = windows[word]
     order = np.argsort(key, kind="stable")
     new = group_starts(key[order])
@@ -207,14 +247,23 @@ def _sorted_repeats(places: np.ndarray, raw: bytes, width: int) -> np.ndarray:
             again &= ~np.isin(later, list(keep))
         later = later[again]
     later.sort()
-    owner, a, b = _intervals(at[later], doc[later], width)
-    return np.stack([owner, a, b], 1) if len(later) else np.empty((0, 3), np.int64)
+    _, a, b = _intervals(at[later], doc[later], width)
+    if not len(later):
+        return np.empty((0, 4), np.int64)
+    head = places[row[later[np.concatenate(([True], (at[later[1:]] != at[later[:-1]] + 1) | (doc[later[1:]] != doc[later[:-1]])))]]]
+    return np.stack([head[:, 0], head[:, 1], a, b], 1)
+
+
+def _row_key() -> list:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("tag")]
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, m: int = M) -> DataFrame:
-    """Word spans ``(doc_id, first, end)`` covered by windows whose words also start earlier in the corpus."""
+    """Word spans ``(doc_id, tag, first, end)`` covered by windows whose words also start earlier in the corpus; ``tag`` is
+    a hash of the text, which tells rows of one id apart."""
     buckets = 4 * shuffle_width(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    rows = docs.select(*_row_key(), "text")
     hot = docs.sparkSession.sparkContext.broadcast(_hot_minimisers(rows, buckets, width, m))
     sent = rows.mapInArrow(_send(buckets, width, m, hot), _SENT)
     return sent.groupBy("bucket").applyInArrow(_bucket_repeats(width), _FOUND)
@@ -222,8 +271,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, m: int = M) -> DataFrame
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: the words outside the spans, joined by one space."""
-    by_doc = spans.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("first", "end"))).alias("spans"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").join(by_doc, "doc_id", "left")
+    by_doc = spans.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list(F.array("first", "end"))).alias("spans"))
+    rows = docs.select(*_row_key(), "text").join(by_doc, ["doc_id", "tag"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):

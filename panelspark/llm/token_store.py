@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_width, small_batches, stage, text_buffers
+from .common import exact_longs, shuffle_width, small_batches, stage, text_buffers
 from .tokens import encoder
 
 MAGIC = b"WAVELET1"
@@ -200,7 +200,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
         for batch in small_batches(batches, "text"):
             flat, bounds = code.encode(*text_buffers(batch.column("text")))
             begins.append(held + bounds[:-1] + np.arange(len(bounds) - 1))
-            docs.append(np.asarray(batch.column("doc_id")))
+            docs.append(exact_longs(batch.column("doc_id")))
             ids.append(np.insert(flat, bounds[1:], end_id))
             held += len(ids[-1])
             if held >= shard_tokens:
@@ -214,7 +214,8 @@ def _shards(path: str, end_id: int, shard_tokens: int):
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode whole texts in ascending ``doc_id`` order and write one wavelet-matrix file for each shard.
 
-    Returns the table of files: ``part`` and ``shard`` in order, ``tokens``, and the bytes of the ``file``."""
+    Returns the table of files: ``part`` and ``shard`` in order, ``tokens``, and the bytes of the ``file``.  A null id comes
+    first and is stored as the smallest long; a null text is empty.  One text may hold up to half a billion ids."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # ties of a repeated id are ordered by text, so that reruns agree

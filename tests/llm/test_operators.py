@@ -287,8 +287,8 @@ def test_substrings_of_a_frequent_line_are_split(spark, monkeypatch):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], bytes(r["kept"])) for r in substring_dedup.drop_repeated_substrings(docs).collect()}
     assert got == want and sum(n for _, n, _ in want.values()) > 0
     hot = substring_dedup._hot_minimisers(docs.select("doc_id", "text"), 16, 20, 4)
-    table = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": [" ".join(w) for w in texts]})
-    windows = lambda split: Counter({r["bucket"]: int(np.frombuffer(zstandard.decompress(r["places"]), "<i8").reshape(-1, 3)[:, 2].sum())
+    table = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "tag": [0] * 300, "text": [" ".join(w) for w in texts]})
+    windows = lambda split: Counter({r["bucket"]: int(np.frombuffer(zstandard.decompress(r["places"]), "<i8").reshape(-1, 4)[:, 3].sum())
                                      for r in substring_dedup._chunk([table], 16, 20, 4, split).to_pylist() if r["places"]})
     before, after = windows(np.empty(0, np.uint64)), windows(hot)
     assert before.total() == after.total() and max(before.values()) > 2.5 * before.total() / 16 and max(after.values()) < 1.5 * after.total() / 16
