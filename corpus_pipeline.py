@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import exact_dedup, jaccard_join, mixing, packing, quality
-from panelspark.llm.common import stage
+from panelspark.llm.common import fresh_names, stage
 from panelspark.llm.queries import crc_of_id, vocabulary
 
 THRESHOLD = 0.5
@@ -21,7 +21,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the quality classifier scores at the threshold or more; fitted on labels of two thirds of the ids."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, learnable=crc_of_id("label_id") % 3 != 1)
-    return quality.scored(docs, model, "__score").where(F.col("__score") >= THRESHOLD).drop("__score")
+    score, = fresh_names(docs, "__score")
+    return quality.scored(docs, model, score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality_filter", quality_filter), ("exact_copies", exact_copies), ("near_copies", near_copies),
           ("source_mix", source_mix), ("pack", pack)]
 
-#: The classifier is trained, which SQL does not express; tests/llm holds the pipeline against a brute-force version.
+#: The classifier is trained, which SQL does not express; tests/llm/test_pipeline.py repeats stages 2 to 5 in plain Python.
 ORACLE_SQL = None
 
 
