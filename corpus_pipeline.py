@@ -48,7 +48,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality_filter", quality_filter), ("exact_copies", exact_copies), ("near_copies", near_copies),
           ("source_mix", source_mix), ("pack", pack)]
 
-#: The classifier is trained, which SQL does not express; tests/llm/test_pipeline.py repeats stages 2 to 5 in plain Python.
+#: The classifier is trained, which SQL does not express.  tests/llm/test_pipeline_brute.py holds exact and near copies
+#: against plain Python, mixing and packing against what they promise.
 ORACLE_SQL = None
 
 
