@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,19 +11,33 @@ from panelspark.functions.encode import encode
 from panelspark.session import checkpoint_dir
 from panelspark.sources.responses import responses
 
-# The prepared response table is built once per (application, source, profile) and written as Parquet into
-# the session's shared checkpoint folder.  Queries read that table, so their columns and filters reach its scan
-# and a lost executor re-reads files instead of re-running the build.
+# The prepared response table is built once per (application, source, profile, version of the source files) and
+# written as Parquet into the session's shared checkpoint folder.  Queries read that table, so their columns and filters
+# reach its scan and a lost executor re-reads files instead of re-running the build.
 _PREPARED: dict[tuple, tuple] = {}
+_SOURCES = ("orders", "lineitem", "part", "customer", "nation", "region")
+
+
+def source_version(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = _SOURCES) -> str:
+    """Digest of the names, sizes and times of the files of the source tables, by the file system Spark reads them from."""
+    digest, jvm = hashlib.md5(usedforsecurity=False), spark._jvm
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        found, files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+        while found.hasNext():
+            f = found.next()
+            files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        digest.update(repr((table, sorted(files))).encode())
+    return digest.hexdigest()
 
 
 def encoded(spark: SparkSession, sf_dir: str, profile: str = "dashboard", cache: bool = True) -> DataFrame:
-    """Encoded response table built from the driver tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, profile)
-    if not cache or key not in _PREPARED:
+    """Encoded response table built from the driver tables; a changed source builds it anew."""
+    if not cache:
+        return encode(responses(spark, sf_dir), profile)
+    key = (spark.sparkContext.applicationId, sf_dir, profile, source_version(spark, sf_dir))
+    if key not in _PREPARED:
         df = encode(responses(spark, sf_dir), profile)
-        if not cache:
-            return df
         path = f"{checkpoint_dir(spark)}/prepared-{uuid.uuid4().hex}"
         df.write.parquet(path)
         _PREPARED[key] = path, df.schema
@@ -30,9 +45,14 @@ def encoded(spark: SparkSession, sf_dir: str, profile: str = "dashboard", cache:
     return spark.read.schema(schema).parquet(path)
 
 
-def release() -> None:
-    """Forget every prepared table; the files stay in the shared folder until it is cleared."""
-    _PREPARED.clear()
+def release(spark: SparkSession) -> int:
+    """Delete the files of this application's prepared tables (older versions included); how many tables there were.
+    Frames read from them before cannot be used any more."""
+    mine = [k for k in _PREPARED if k[0] == spark.sparkContext.applicationId]
+    for key in mine:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PREPARED.pop(key)[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(mine)
 
 
 def values_sql(name: str, cols: list[str], rows: list[tuple]) -> str:
