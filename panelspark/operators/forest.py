@@ -67,13 +67,11 @@ def _binned(points: DataFrame, width: int) -> DataFrame:
         return points
     at = [(i + 1) / MAX_VALUES for i in range(MAX_VALUES)]
     cuts = points.agg(*[F.percentile_approx(F.col("x")[j], at, 100_000).alias(f"c{j}") for j in wide]).first()
-    cells = []
-    for j in range(width):
-        value = F.col("x")[j]
-        if j in wide:
-            edges = F.array(*[F.lit(v) for v in sorted(set(cuts[f"c{j}"]))])
-            value = F.coalesce(F.array_min(F.filter(edges, lambda e, v=value: e >= v)), F.array_max(edges))
-        cells.append(value)
+    def cut_above(j: int):
+        value, edges = F.col("x")[j], F.array(*[F.lit(v) for v in sorted(set(cuts[f"c{j}"]))])
+        return F.coalesce(F.array_min(F.filter(edges, lambda e: e >= value)), F.array_max(edges))
+
+    cells = [cut_above(j) if j in wide else F.col("x")[j] for j in range(width)]
     return points.withColumn("x", F.array(*cells)).checkpoint(eager=True)
 
 
