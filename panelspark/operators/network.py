@@ -4,12 +4,14 @@ Graphs are two DataFrames: nodes ``(node, usage, ...)`` and undirected edges ``(
 with ``src < dst``.  Building them is one explode + one grouped count.  The iterative measures
 (PageRank, closeness, betweenness) are loops of joins + aggregations over those tables; lineage
 is cut every round with ``checkpoint()`` into the session's checkpoint folder, as each round reads the
-previous one more than once.  Distances hold one row for each pair of nodes: closeness and betweenness
-are meant for item vocabularies (the options of a question), not for graphs of users.
+previous one more than once.  Exact betweenness holds one row for each pair of nodes and is meant for item
+vocabularies (the options of a question); on larger graphs it takes ``pivots``.  Closeness keeps bits, not pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,19 +177,73 @@ def shortest_hops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return reached
 
 
-def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def closeness(nodes: DataFrame, edges: DataFrame, blocks_per_pass: int = 256) -> DataFrame:
     """Unweighted closeness with the component-size correction:
-    ``(r - 1) / sum(dist) * (r - 1) / (n - 1)`` where r = nodes reachable from v (incl. v)."""
+    ``(r - 1) / sum(dist) * (r - 1) / (n - 1)`` where r = nodes reachable from v (incl. v).
+
+    Breadth-first search from 64 sources at a time, a bit for each: a row ``(node, block)`` holds in ``seen`` which
+    sources of a block have reached the node.  A round sends the bits that are new to the neighbours, joins them by
+    ``bit_or``, and adds ``round * bits`` to the node's sum of distances, so no table of pairs is kept.  Blocks are dealt
+    to passes: a pass holds at most ``blocks_per_pass`` rows for each node, whatever the size of the graph.  The graph is
+    undirected, so what reaches a node is what the node reaches.
+    """
     n = _node_count(nodes)
-    d = shortest_hops(nodes, edges)
-    agg = d.groupBy(F.col("s").alias("node")).agg(F.sum("dist").alias("tot"), F.count(F.lit(1)).alias("r"))
+    adj = _both_ways(edges).select(F.col("src").alias("node"), F.col("dst").alias("nbr")).distinct().persist()
+    # 64 consecutive numbers of a partition make a block; numbers are pinned before they are used
+    known = _cut(nodes.select("node").distinct().withColumn("number", F.monotonically_increasing_id()))
+    known = known.select("node", F.shiftright("number", 6).alias("block"), F.expr("shiftleft(1L, int(number & 63))").alias("bit"))
+    blocks = known.select("block").distinct().count()
+    passes = max(-(-blocks // blocks_per_pass), 1)
+    zero = F.lit(0).cast("long")
+    sums = None
+    for k in range(passes):
+        mine = known.where(F.pmod(F.xxhash64("block"), F.lit(passes)) == k)
+        state = mine.select("node", "block", F.col("bit").alias("seen"), F.col("bit").alias("fresh"),
+                            zero.alias("tot"), F.lit(1).cast("long").alias("r"))
+        hops = 0
+        while True:
+            hops += 1
+            sent = state.where("fresh != 0").join(adj, "node").select(
+                F.col("nbr").alias("node"), "block", zero.alias("seen"), F.col("fresh").alias("got"), zero.alias("tot"), zero.alias("r"))
+            held = state.select("node", "block", "seen", zero.alias("got"), "tot", "r")
+            merged = held.unionByName(sent).groupBy("node", "block").agg(
+                F.bit_or("seen").alias("seen"), F.bit_or("got").alias("got"), F.sum("tot").alias("tot"), F.sum("r").alias("r"))
+            fresh = F.col("got").bitwiseAND(F.bitwise_not("seen"))
+            state = _cut(merged.select("node", "block", F.col("seen").bitwiseOR(F.col("got")).alias("seen"), fresh.alias("fresh"),
+                                       (F.col("tot") + hops * F.bit_count(fresh)).alias("tot"),
+                                       (F.col("r") + F.bit_count(fresh)).alias("r")))
+            if state.where("fresh != 0").isEmpty():
+                break
+        part = state.groupBy("node").agg(F.sum("tot").alias("tot"), F.sum("r").alias("r"))
+        sums = part if sums is None else _cut(sums.unionByName(part).groupBy("node").agg(F.sum("tot").alias("tot"), F.sum("r").alias("r")))
+    adj.unpersist()
     c = F.when(F.col("tot") > 0, (F.col("r") - 1) / F.col("tot") * (F.col("r") - 1) / F.lit(float(max(n - 1, 1))))
-    return agg.select("node", F.coalesce(c, F.lit(0.0)).alias("closeness"))
+    return sums.select("node", F.coalesce(c, F.lit(0.0)).alias("closeness"))
+
 
+def pivot_count(n: int, error: float, risk: float = 0.05) -> int:
+    """Pivots after which every node's sampled betweenness (normalised) is within ``error`` of the exact one, but for a
+    chance of ``risk``.
 
-def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True) -> DataFrame:
+    A pivot adds to a node a value between 0 and ``n / (n - 1)``; Hoeffding's bound for draws without replacement, over
+    all n nodes, gives ``k = ln(2 n / risk) (n / (n - 1))^2 / (2 error^2)``, at most n."""
+    if n < 2:
+        return n
+    return min(n, math.ceil(math.log(2 * n / risk) * (n / (n - 1)) ** 2 / (2 * error * error)))
+
+
+def _pivots(nodes: DataFrame, pivots: int, seed: int) -> DataFrame:
+    """``pivots`` nodes drawn by md5 of seed and node, which any engine repeats."""
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("node").cast("string")).cast("binary"))
+    return nodes.select("node").distinct().orderBy(draw, "node").limit(pivots)
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True, pivots: int | None = None, seed: int = 7) -> DataFrame:
     """Betweenness with edge weight read as a *distance* (as the source does); weights must be positive.
 
+    ``pivots`` (default: all nodes, which is exact) takes that many seeded sources instead and scales what they give by
+    ``n / pivots``: rows and work fall in that proportion, and ``pivot_count`` tells how many an error needs.
+
     All-source Brandes on DataFrames: (1) relaxation of the pairs that changed last gives ``d(s, v)``;
     (2) the shortest-path DAG keeps edges with ``d(s,u) + w = d(s,v)``; (3) path counts sigma and the
     depth of each node (its longest DAG path) propagate forward until the depths stand still, which they do
@@ -201,7 +257,11 @@ def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True) ->
     if not adj.where(~(F.col("w") > 0)).isEmpty():
         raise ValueError("betweenness needs positive edge weights")
     # (1) distances
-    dist = nodes.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0.0).alias("d"))
+    sampled = pivots is not None and pivots < n
+    if sampled and pivots < 1:
+        raise ValueError("betweenness needs at least one pivot")
+    sources = _cut(_pivots(nodes, pivots, seed)) if sampled else nodes
+    dist = sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0.0).alias("d"))
     frontier = dist
     while True:
         cand = (frontier.withColumnRenamed("v", "u").join(adj, "u")
@@ -244,6 +304,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True) ->
                      .select("s", "v", F.coalesce("nd", F.lit(0.0)).alias("delta")))
     bc = delta.where(F.col("s") != F.col("v")).groupBy(F.col("v").alias("node")).agg(F.sum("delta").alias("b"))
     scale = 1.0 / ((n - 1) * (n - 2)) if (normalized and n > 2) else (0.5 if not normalized else 1.0)
+    if sampled:
+        scale *= n / pivots
     out = nodes.select("node").join(bc, "node", "left").select(
         "node", (F.coalesce(F.col("b"), F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
     adj.unpersist()

@@ -204,6 +204,21 @@ def q_content_betweenness(spark, sf_dir):
     return rounded(N.betweenness(nodes, edges))
 
 
+_PIVOTED = """, drawn AS (SELECT node FROM nodes ORDER BY md5('7:' || node), node LIMIT 4),
+part AS (SELECT path, ways FROM sp WHERE path[1] IN (SELECT node FROM drawn)),
+through AS (SELECT unnest(path[2:len(path) - 1]) AS node, 1.0 / ways AS share FROM part)
+"""
+
+
+@register("content_betweenness_pivots", _central_sql("content_type") + _PIVOTED + f"""
+SELECT nodes.node, {r('coalesce(sum(share), 0) * any_value(nn.n) / 4 / ((any_value(nn.n) - 1) * (any_value(nn.n) - 2))')} AS betweenness
+FROM nodes CROSS JOIN nn LEFT JOIN through ON through.node = nodes.node GROUP BY nodes.node""")
+def q_content_betweenness_pivots(spark, sf_dir):
+    """N9 from four seeded sources."""
+    nodes, edges = N.cooccurrence(encoded(spark, sf_dir), "content_type")
+    return rounded(N.betweenness(nodes, edges, pivots=4))
+
+
 @register("platform_centrality_table", _central_sql("platforms") + _TABLE_SQL + f"""
 SELECT node, usage, degree, {r('degree_centrality')} AS degree_centrality, strength, {r('closeness')} AS closeness,
        {r('pagerank')} AS pagerank, {r('betweenness')} AS betweenness FROM central""")

@@ -38,6 +38,62 @@ def test_degree_closeness_betweenness(spark):
     assert abs(bet["c"] - 4 / 12) < 1e-12 and bet["a"] == 0.0 and bet["e"] == 0.0
 
 
+def _hops(names, pairs):
+    near = {v: set() for v in names}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    out = {}
+    for s in names:
+        dist, queue = {s: 0}, [s]
+        for v in queue:
+            for w in near[v] - dist.keys():
+                dist[w] = dist[v] + 1
+                queue.append(w)
+        out[s] = dist
+    return out
+
+
+def test_closeness_over_several_blocks_and_passes(spark):
+    # 150 nodes: a path, a star and loose nodes, so that sources fill three words of bits and more
+    names = [f"n{i:03d}" for i in range(150)]
+    pairs = [(names[i], names[i + 1]) for i in range(5)] + [(names[20], names[i]) for i in range(21, 140)] + [(names[0], names[20])]
+    nodes = spark.createDataFrame([(v,) for v in names], "node string")
+    edges = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src string, dst string, weight long")
+    hops = _hops(names, pairs)
+    for blocks in (256, 1):
+        got = {r.node: r.closeness for r in N.closeness(nodes, edges, blocks_per_pass=blocks).collect()}
+        assert got.keys() == set(names)
+        for v in names:
+            tot, reach = sum(hops[v].values()), len(hops[v]) - 1
+            assert abs(got[v] - (reach / tot * reach / 149 if tot else 0.0)) < 1e-12
+
+
+def test_closeness_without_edges_or_nodes(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "node string")
+    none = spark.createDataFrame([], "src string, dst string, weight long")
+    assert {tuple(r) for r in N.closeness(nodes, none).collect()} == {("a", 0.0), ("b", 0.0)}
+    assert N.closeness(nodes.limit(0), none).count() == 0
+
+
+def test_betweenness_from_pivots(spark):
+    names = [f"n{i:02d}" for i in range(24)]
+    pairs = [(names[i], names[(i * 5 + 1) % 24]) for i in range(24)] + [(names[i], names[i + 1]) for i in range(0, 22, 3)]
+    pairs = sorted({tuple(sorted(p)) for p in pairs if p[0] != p[1]})
+    nodes = spark.createDataFrame([(v,) for v in names], "node string")
+    edges = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src string, dst string, weight long")
+    exact = {r.node: r.betweenness for r in N.betweenness(nodes, edges).collect()}
+    every = {r.node: r.betweenness for r in N.betweenness(nodes, edges, pivots=24).collect()}
+    assert exact == every
+    some = {r.node: r.betweenness for r in N.betweenness(nodes, edges, pivots=12).collect()}
+    again = {r.node: r.betweenness for r in N.betweenness(nodes, edges, pivots=12).collect()}
+    assert some == again and some.keys() == exact.keys()
+    # the error that pivot_count allows for twelve pivots
+    error = next(e / 100 for e in range(1, 101) if N.pivot_count(24, e / 100) <= 12)
+    assert max(abs(some[v] - exact[v]) for v in names) <= error
+    assert N.pivot_count(10**6, 0.05) < 4000 and N.pivot_count(3, 0.01) == 3
+
+
 def test_pagerank_sums_to_one(spark):
     nodes, edges = _graph(spark)
     pr = {r.node: r.pagerank for r in N.pagerank(nodes, edges).collect()}
