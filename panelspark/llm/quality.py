@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings with softmax output, trained by numpy stochastic gradient descent.
 
 A document is the average of the learned vectors of its words' features.  Features of a word: the word itself, its
-character n-grams of 3 and 4 letters (with boundary marks), and a mark when it repeats the word before it; all are hashed
-to a table of vectors.  A softmax over two classes reads the average.
+character n-grams of 3 and 4 letters (with boundary marks), the word together with the one before it (a word bigram), and
+a mark when both are the same; all are hashed to a table of vectors.  A softmax over two classes reads the average.
 
 Training takes a bounded sample of labelled rows (``max_rows`` of each class, those with the lowest seeded hash) and runs
 in one task; its memory is bounded by ``max_rows`` and ``max_train_bytes``.  Scoring is linear in the average, so each
@@ -26,10 +26,11 @@ from pyspark.sql import types as T
 
 from .common import U, mix, ranges, small_batches, span_hashes, text_buffers, word_spans
 
-TABLE = 1 << 17
+TABLE = 1 << 18
 DIM = 8
 EPOCHS = 6
 RATE = 2.0
+LONGEST = 1.0
 SEED = 10
 MAX_ROWS = 3000
 MAX_TRAIN_BYTES = 64 << 20
@@ -68,17 +69,25 @@ def _spans(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ends - np.array([len(w) for w in words]), ends
 
 
+def bigram_slots(hashes: np.ndarray) -> np.ndarray:
+    """Feature slot of each word hash but the first together with the one before it."""
+    pair = mix(hashes[:-1] * U(0x100000001B3) + mix(hashes[1:]))
+    return (pair % U(TABLE - 2)).astype(np.int64) + 2
+
+
 def _distinct_words(data: np.ndarray, offsets: np.ndarray):
-    """Distinct words of a batch; of each occurrence its word and text; and repetitions in each text."""
+    """Distinct words of a batch; of each occurrence its word and text; slot and text of each bigram; and repetitions in
+    each text."""
     starts, ends, bounds = word_spans(data, offsets)
     hashes = span_hashes(data, starts, ends)
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     raw = data.tobytes()
     words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-    same = np.zeros(len(starts), bool)
-    same[1:] = (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])
-    return words, which, text, np.bincount(text[same], minlength=len(offsets) - 1)
+    inside = np.flatnonzero(text[1:] == text[:-1])
+    same = inside[hashes[inside + 1] == hashes[inside]]
+    pairs = bigram_slots(hashes)[inside] if len(hashes) else np.empty(0, np.int64)
+    return words, which, text, pairs, text[inside], np.bincount(text[same], minlength=len(offsets) - 1)
 
 
 def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> dict:
@@ -87,8 +96,10 @@ def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> dict:
     share = float(labels.mean()) if n else 0.5
     if n == 0 or share in (0.0, 1.0):
         return {"scores": np.zeros(TABLE, np.float32), "bias": 0.0, "constant": share}
-    words, which, text, repeats = _distinct_words(data, offsets)
+    words, which, text, pairs, pair_text, repeats = _distinct_words(data, offsets)
     slots, of = word_features(words)
+    both, both_count = np.unique(pair_text.astype(np.int64) * TABLE + pairs, return_counts=True)
+    both_first = np.searchsorted(both, np.arange(n + 1, dtype=np.int64) * TABLE)
     pair, count = np.unique(text.astype(np.int64) * (len(words) + 1) + which, return_counts=True)
     doc, word = pair // (len(words) + 1), pair % (len(words) + 1)
     first = np.searchsorted(doc, np.arange(n + 1))
@@ -108,9 +119,11 @@ def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> dict:
             used, weight = word[at], count[at].astype(np.float32)
             owner = np.repeat(np.arange(len(rows)), spans)
             wide = sizes[used]
-            slot = np.concatenate((slots[ranges(of[used], wide)], np.full(len(rows), _REPEAT)))
-            value = np.concatenate((np.repeat(weight, wide), repeats[rows].astype(np.float32)))
-            owner = np.concatenate((np.repeat(owner, wide), np.arange(len(rows))))
+            two_spans = np.diff(both_first)[rows]
+            two = ranges(both_first[rows], two_spans)
+            slot = np.concatenate((slots[ranges(of[used], wide)], both[two] % TABLE, np.full(len(rows), _REPEAT)))
+            value = np.concatenate((np.repeat(weight, wide), both_count[two].astype(np.float32), repeats[rows].astype(np.float32)))
+            owner = np.concatenate((np.repeat(owner, wide), np.repeat(np.arange(len(rows)), two_spans), np.arange(len(rows))))
             total = np.maximum(np.bincount(owner, weights=value, minlength=len(rows)), 1).astype(np.float32)
             value /= total[owner]
             unique, inverse = np.unique(slot, return_inverse=True)
@@ -123,10 +136,13 @@ def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> dict:
             p /= p.sum(1, keepdims=True)
             error = (p - target[rows]) / np.float32(len(rows))
             rate = np.float32(RATE * batch * (1 - step / steps))
-            back = error @ output.T
-            output -= rate * (mean.T @ error)
+            to_output, to_vectors = mean.T @ error, table.T @ (error @ output.T)
+            # a step is no longer than LONGEST, which keeps texts of few and frequent words from blowing up
+            length = rate * np.float32(np.sqrt((to_output ** 2).sum() + (to_vectors ** 2).sum()))
+            rate *= np.float32(min(1.0, LONGEST / max(float(length), 1e-9)))
+            output -= rate * to_output
             bias -= np.float32(0.1) * rate * error.sum(0)
-            vectors[unique] -= rate * (table.T @ back)
+            vectors[unique] -= rate * to_vectors
             step += 1
     return {"scores": vectors @ (output[:, 1] - output[:, 0]), "bias": float(bias[1] - bias[0]), "constant": None}
 
@@ -136,12 +152,13 @@ def score(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     if model["constant"] is not None:
         return np.full(n, model["constant"])
-    words, which, text, repeats = _distinct_words(data, offsets)
+    words, which, text, pairs, pair_text, repeats = _distinct_words(data, offsets)
     slots, of = word_features(words)
     sums = np.concatenate(([0.0], np.cumsum(model["scores"][slots].astype(np.float64))))
     value, size = sums[of[1:]] - sums[of[:-1]], np.diff(of).astype(np.float64)
     total = np.bincount(text, weights=value[which], minlength=n) + repeats * float(model["scores"][_REPEAT])
-    count = np.bincount(text, weights=size[which], minlength=n) + repeats
+    total += np.bincount(pair_text, weights=model["scores"][pairs].astype(np.float64), minlength=n)
+    count = np.bincount(text, weights=size[which], minlength=n) + np.bincount(pair_text, minlength=n) + repeats
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + model["bias"], -500, 500)))
 
 
@@ -181,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = M
 
 def scored(docs: DataFrame, model: bytes, name: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 as ``name``, in place of a column of that name.  The model is a table of
-    fixed size (half a megabyte)."""
+    fixed size (a megabyte)."""
     docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
