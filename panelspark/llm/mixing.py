@@ -16,7 +16,6 @@ documents; empty texts have size 0 and are never taken; an empty table gives an
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -70,49 +69,88 @@ def capped_targets(sizes: Sequence[int], weights: Sequence[float], most: float)
 def min_cost_flow(capacity: Sequence[int], members: Sequence[Sequence[int]], quota: Sequence[int], passes: int = PASSES) -> list[int]:
     """Words each pattern sends when the quotas are met as far as possible at the least cost of repetition.
 
-    Arcs: origin to pattern once for each pass (costs 0, 1, 3, 6 ... for each word), pattern to its sources, source to
-    sink.  Successive shortest augmenting paths; costs are convex, so passes fill in order."""
+    Arcs: origin to pattern once for each pass (costs rise with the pass), pattern to its sources, source to sink.  A way
+    from the origin never comes back to it, so it costs what its first arc does: the cheapest flow is a greatest flow
+    over the first passes, then one over the second passes on top of it, and so on.  Each is found by blocking flows in
+    layered graphs, whose ways may also go back from a source to a pattern that has sent to it."""
     n, m = len(capacity), len(quota)
-    origin, sink = n + m, n + m + 1
-    arcs: list[list] = []  # head, room, cost; the reverse arc is at index ^ 1
-    out: dict[int, list[int]] = defaultdict(list)
-
-    def arc(a: int, b: int, room: int, cost: int) -> None:
-        out[a].append(len(arcs))
-        arcs.append([b, room, cost])
-        out[b].append(len(arcs))
-        arcs.append([a, 0, -cost])
-
+    givers: list[list[int]] = [[] for _ in range(m)]
     for p in range(n):
-        for k in range(passes):
-            arc(origin, p, capacity[p], k * (k + 1) // 2)
         for s in members[p]:
-            arc(p, n + s, passes * capacity[p], 0)
-    for s in range(m):
-        arc(n + s, sink, quota[s], 0)
-    while True:
-        cost, via, queue, queued = {origin: 0}, {}, deque([origin]), {origin}
-        while queue:
-            a = queue.popleft()
-            queued.discard(a)
-            for e in out[a]:
-                b, room, c = arcs[e]
-                if room > 0 and cost[a] + c < cost.get(b, 1 << 60):
-                    cost[b], via[b] = cost[a] + c, e
-                    if b not in queued:
-                        queue.append(b)
-                        queued.add(b)
-        if sink not in cost:
-            break
-        path, b = [], sink
-        while b != origin:
-            path.append(via[b])
-            b = arcs[via[b] ^ 1][0]
-        flow = min(arcs[e][1] for e in path)
-        for e in path:
-            arcs[e][1] -= flow
-            arcs[e ^ 1][1] += flow
-    return [sum(arcs[e ^ 1][1] for e in out[origin] if arcs[e][0] == p and e % 2 == 0) for p in range(n)]
+            givers[s].append(p)
+    sent = [dict.fromkeys(of, 0) for of in members]
+    free, room = [0] * n, list(quota)
+
+    def layers() -> tuple[list[int], list[int]] | None:
+        """Distance of patterns and sources from the origin, up to the first source with room; None without one."""
+        far_p, far_s = [-1] * n, [-1] * m
+        front = [p for p in range(n) if free[p] and members[p]]
+        for p in front:
+            far_p[p] = 0
+        depth = 0
+        while front:
+            reached = []
+            for p in front:
+                for s in members[p]:
+                    if far_s[s] < 0:
+                        far_s[s] = depth + 1
+                        reached.append(s)
+            if any(room[s] for s in reached):
+                return far_p, far_s
+            front = []
+            for s in reached:
+                for p in givers[s]:
+                    if far_p[p] < 0 and sent[p][s]:
+                        far_p[p] = depth + 2
+                        front.append(p)
+            depth += 2
+        return None
+
+    def block(far_p: list[int], far_s: list[int]) -> None:
+        """Sends along ways of the layered graph until none is left; each pattern and source keeps its next arc."""
+        at_p, at_s = [0] * n, [0] * m
+        for first in range(n):
+            while far_p[first] == 0 and free[first]:
+                way = [first]  # patterns and sources in turn
+                while way:
+                    if len(way) % 2:
+                        p = way[-1]
+                        while at_p[p] < len(members[p]) and far_s[members[p][at_p[p]]] != far_p[p] + 1:
+                            at_p[p] += 1
+                        if at_p[p] < len(members[p]):
+                            way.append(members[p][at_p[p]])
+                            continue
+                    else:
+                        s = way[-1]
+                        if room[s]:
+                            break
+                        while at_s[s] < len(givers[s]) and not (far_p[givers[s][at_s[s]]] == far_s[s] + 1 and sent[givers[s][at_s[s]]][s]):
+                            at_s[s] += 1
+                        if at_s[s] < len(givers[s]):
+                            way.append(givers[s][at_s[s]])
+                            continue
+                    way.pop()
+                    if way:  # a dead end: the one before tries its next arc
+                        if len(way) % 2:
+                            at_p[way[-1]] += 1
+                        else:
+                            at_s[way[-1]] += 1
+                if not way:
+                    break
+                flow = min(free[first], room[way[-1]], *(sent[way[k + 1]][way[k]] for k in range(1, len(way) - 1, 2)))
+                for k in range(0, len(way), 2):
+                    sent[way[k]][way[k + 1]] += flow
+                for k in range(1, len(way) - 1, 2):
+                    sent[way[k + 1]][way[k]] -= flow
+                free[first] -= flow
+                room[way[-1]] -= flow
+
+    for _ in range(passes):
+        # what a pass has left over would stay cheaper, but no way leads from it any more
+        free = list(capacity)
+        while (found := layers()) is not None:
+            block(*found)
+    return [sum(of.values()) for of in sent]
 
 
 def mix_sources(docs: DataFrame, sources: Column, weights: Sequence[float] = (1, 2, 3), seed: int = SEED,

@@ -1,8 +1,10 @@
 """Operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import (embedding_neardup, exact_dedup, html_extract, html_pages, jaccard_join, lm_scoring, mixing, packing,
                             quality, substring_dedup, token_store)
+from panelspark.llm.common import span_hashes
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, source string, component string, size string, score string, key string"
@@ -148,6 +151,47 @@ def test_flow_prefers_first_passes():
     # the shared pattern serves the source that could only repeat otherwise
     assert mixing.min_cost_flow([100, 100], [[0], [0, 1]], [150, 50]) == [100, 100]
     assert mixing.min_cost_flow([10], [[0]], [100]) == [30]
+
+
+def _cheapest(capacity, members, quota, passes):
+    """Greatest flow at the least cost, by trying every way to share each pattern's words among its sources."""
+    best = {tuple(quota): 0}  # room left -> least cost so far
+    cost = lambda cap, sent: sum(k * (k + 1) // 2 * min(max(sent - k * cap, 0), cap) for k in range(passes))
+    for cap, of in zip(capacity, members):
+        step = {}
+        for room, spent in best.items():
+            for share in itertools.product(*(range(min(room[s], passes * cap) + 1) for s in of)):
+                if sum(share) <= passes * cap:
+                    left = list(room)
+                    for s, x in zip(of, share):
+                        left[s] -= x
+                    value = spent + cost(cap, sum(share))
+                    step[tuple(left)] = min(step.get(tuple(left), 1 << 60), value)
+        best = step
+    least = min(sum(room) for room in best)
+    return sum(quota) - least, min(c for room, c in best.items() if sum(room) == least)
+
+
+def test_flow_is_the_cheapest():
+    rng = random.Random(5)
+    for _ in range(150):
+        sources = rng.randint(1, 3)
+        members = [rng.sample(range(sources), rng.randint(0, sources)) for _ in range(rng.randint(1, 4))]
+        capacity, quota = [rng.randint(0, 3) for _ in members], [rng.randint(0, 6) for _ in range(sources)]
+        sent = mixing.min_cost_flow(capacity, members, quota)
+        assert all(0 <= x <= 3 * c for x, c in zip(sent, capacity))
+        cost = sum(k * (k + 1) // 2 * min(max(x - k * c, 0), c) for x, c in zip(sent, capacity) for k in range(3))
+        assert (sum(sent), cost) == _cheapest(capacity, members, quota, 3)
+
+
+def test_flow_of_many_patterns_ends_soon():
+    rng = random.Random(6)
+    members = [sorted(rng.sample(range(40), rng.randint(1, 5))) for _ in range(100_000)]
+    capacity = [rng.randint(0, 10**6) for _ in members]
+    total = sum(capacity)
+    start = time.monotonic()
+    sent = mixing.min_cost_flow(capacity, members, [total // 820 * (k + 1) for k in range(40)])
+    assert sum(sent) == sum(total // 820 * (k + 1) for k in range(40)) and time.monotonic() - start < 60
     assert mixing.capped_targets([10, 100], [1, 1], 3) == [30.0, 80.0]
 
 
@@ -404,3 +448,40 @@ def test_quality_learns(spark):
     assert 0 < got[300] == got[301] < 1 and len(got) == 302
     one = quality.fit(docs, labels.where("quality = 1"), F.lit(True))
     assert quality.scored(docs, one).agg(F.min("score")).first()[0] == 1.0
+
+
+def test_quality_score_by_hand():
+    texts = ["a rose is a rose is a rose", "", "one", "no no no yes", "Äpfel und 数据 und  mehr\tund"]
+    rng = np.random.default_rng(3)
+    model = {"scores": rng.normal(size=quality.TABLE).astype(np.float32), "bias": 0.25, "constant": None}
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    got = quality.score(model, data, offsets)
+    for text, value in zip(raw, got):
+        words, slots = text.split(), []
+        for k, w in enumerate(words):
+            slots += quality.word_features([w])[0].tolist()
+            assert len(quality.word_features([w])[0]) == 1 + sum(max(len(w.decode()) + 3 - n, 0) for n in (3, 4))
+            if k:
+                two = span_hashes(np.frombuffer(words[k - 1] + w, np.uint8), np.array([0, len(words[k - 1])]),
+                                  np.array([len(words[k - 1]), len(words[k - 1]) + len(w)]))
+                slots += quality.bigram_slots(two).tolist()
+                slots += [1] if words[k - 1] == w else []
+        mean = sum(float(model["scores"][s]) for s in slots) / max(len(slots), 1)
+        assert abs(value - 1 / (1 + math.exp(-mean - 0.25))) < 1e-9
+
+
+def test_quality_tells_word_order():
+    # both classes hold the same words and letters; only neighbours differ
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        pairs = [("red", "fox"), ("old", "oak"), ("big", "sea")] * 4
+        rng.shuffle(pairs)
+        rows.append((" ".join(f"{a} {b}" if i % 2 else f"{b} {a}" for a, b in pairs), i % 2))
+    raw = [t.encode() for t, _ in rows]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    marks = np.array([q for _, q in rows])
+    cut = int(offsets[300])
+    model = quality.train(data[:cut], offsets[:301], marks[:300])
+    assert np.mean((quality.score(model, data[cut:], offsets[300:] - cut) >= 0.5) == marks[300:]) > 0.95
