@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workbook import SUFFIXES, read_workbooks
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -19,11 +21,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def load_responses(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str | None = None,
                    fmt: str | None = None, header: bool = True) -> DataFrame:
     """Read the first existing candidate path (Hadoop file-system check, works for any
-    scheme the cluster supports).  Parquet by default; ``.csv`` / ``.json`` picked by suffix."""
+    scheme the cluster supports).  Parquet by default; ``.csv``, ``.json`` and workbooks picked by suffix."""
     for p in paths:
         if not _exists(spark, p):
             continue
-        kind = fmt or ("csv" if p.endswith(".csv") else "json" if p.endswith(".json") else "parquet")
+        kind = fmt or ("csv" if p.endswith(".csv") else "json" if p.endswith(".json")
+                       else "workbook" if p.lower().endswith(SUFFIXES) else "parquet")
+        if kind == "workbook":
+            return read_workbooks(spark, p, schema, header=header)
         reader = spark.read
         if schema is not None:
             reader = reader.schema(schema)
