@@ -35,6 +35,7 @@ MAGIC = b"WAVELET1"
 SHARD_TOKENS = 1 << 20
 _HEAD = struct.Struct("<8s7q")
 _STEP = 512
+_CHUNK = 1 << 16
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint8)
 
 
@@ -43,6 +44,19 @@ def _frame(data: bytes) -> bytes:
     return struct.pack("<q", len(packed)) + packed
 
 
+def _parted(seq: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Elements whose bit is zero, then the others, each in order; worked through in chunks that fit the cache."""
+    out = np.empty_like(seq)
+    zero, one = 0, len(seq) - int(np.count_nonzero(bit))
+    for at in range(0, len(seq), _CHUNK):
+        part, ones = seq[at: at + _CHUNK], bit[at: at + _CHUNK]
+        low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
+        out[zero: zero + len(low)] = part.take(low)
+        out[one: one + len(high)] = part.take(high)
+        zero, one = zero + len(low), one + len(high)
+    return out
+
+
 def build(ids: np.ndarray, doc_ids: np.ndarray, offsets: np.ndarray, before: int = 0) -> bytes:
     """One shard's file: ``offsets`` are the places in ``ids`` at which the documents begin."""
     top = int(ids.max()) + 1 if len(ids) else 1
@@ -53,9 +67,9 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, offsets: np.ndarray, before: int
     levels = max(1, int(max(len(symbols) - 1, 1)).bit_length())
     planes = []
     for level in range(levels - 1, -1, -1):
-        bit = ((seq >> level) & 1).astype(bool)
+        bit = (seq & seq.dtype.type(1 << level)).astype(bool)
         planes.append(np.packbits(bit))
-        seq = seq[np.concatenate((np.flatnonzero(~bit), np.flatnonzero(bit)))]
+        seq = _parted(seq, bit) if level else seq
     width = (len(ids) + 7) // 8
     docs = np.stack([np.asarray(doc_ids, np.int64), np.asarray(offsets, np.int64)], 1)
     head = _HEAD.pack(MAGIC, len(ids), len(symbols), levels, len(docs), before, width, 0)
@@ -167,7 +181,14 @@ class WaveletMatrix:
             zeros = self.n - int(np.count_nonzero(bit))
             values[zeros:] |= values.dtype.type(1 << shift)
             out = np.empty_like(values)
-            out[np.concatenate((np.flatnonzero(~bit), np.flatnonzero(bit)))] = values
+            low = 0
+            for at in range(0, self.n, _CHUNK):
+                part, ones = out[at: at + _CHUNK], bit[at: at + _CHUNK]
+                zero, one = np.flatnonzero(~ones), np.flatnonzero(ones)
+                part[zero] = values[low: low + len(zero)]
+                low += len(zero)
+                high = zeros + at + len(part) - low
+                part[one] = values[high - len(one): high]
             values = out
         return self.symbols[values]
 

@@ -24,6 +24,8 @@ _LATIN = re.compile(r"[\x00-ɏ]*")
 _WHITE, _WIDE = np.zeros(256, bool), np.zeros(256, bool)
 _WHITE[[*range(9, 14), *range(0x1C, 0x21)]] = True
 _WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True  # bytes that begin every white space character beyond ASCII
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SEP = "\x00"
 # How the two kinds of public vocabulary cut a text before merging, with units set apart by _SEP.
 _PIECES = {
@@ -40,6 +42,14 @@ _MAX_UNITS = 600_000
 _MAX_PIECES = 200_000
 
 
+def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
+    """Spans in order, set apart by _SEP."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    return np.insert(data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)], np.cumsum(ends - starts)[:-1], 0).tobytes().decode("utf-8", "replace")
+
+
 class Encoder:
     """Encodes batches of texts; ``ids`` are uint16 or uint32 by the size of the vocabulary."""
 
@@ -53,6 +63,7 @@ class Encoder:
         if kind not in _PIECES:
             raise ValueError(f"pre-tokenizer {kind} is not supported")
         self.pieces = regex.compile(_PIECES[kind])
+        self.spaced = kind == "ByteLevel"
         self.model = self.tok.model
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
@@ -73,17 +84,39 @@ class Encoder:
         """Merges of pieces never seen, by the tokenizer's own model."""
         tokenize, known, code = self.model.tokenize, self.known, "H" if self.dtype == np.uint16 else "I"
         letters = _LETTERS[np.frombuffer(_SEP.join(pieces).encode(), np.uint8)].tobytes().decode("utf-16-le").split(_SEP)
+        ids, ends = array(code), []
         gc.disable()  # a million short-lived token objects, none in a cycle
-        for piece, spelt in zip(pieces, letters):
-            known[piece] = array(code, [t.id for t in tokenize(spelt)]).tobytes()
+        for spelt in letters if pieces else ():
+            ids.extend([t.id for t in tokenize(spelt)])
+            ends.append(len(ids) * ids.itemsize)
         gc.enable()
+        raw = ids.tobytes()
+        known.update(zip(pieces, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+
+    def _coded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, as bytes."""
+        distinct = set(pieces)
+        if len(self.known) > _MAX_PIECES:
+            self.known = {p: self.known[p] for p in distinct if p in self.known}
+        self.known[_SEP] = b""
+        self._encode_pieces([p for p in distinct if p not in self.known])
+        return list(map(self.known.__getitem__, pieces))
+
+    def _encode_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """Units of ASCII letters after a space or none: each is one piece."""
+        if not len(starts):
+            return np.empty(0, np.int64), b""
+        joined = _joined(data, starts, ends)
+        if self.lower:
+            joined = joined.lower()
+        coded = self._coded((joined if self.spaced else joined.replace(" ", "")).split(_SEP))
+        return np.fromiter(map(len, coded), np.int64, len(coded)) // np.dtype(self.dtype).itemsize, b"".join(coded)
 
     def _encode_units(self, raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, bytes]:
         """Number of ids and ids of units never seen, in text order; only their distinct pieces reach the model."""
-        edge = np.zeros(len(data) + 1, np.int8)
-        edge[starts] += 1
-        edge[ends] -= 1
-        joined = np.insert(data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)], np.cumsum(ends - starts)[:-1], 0).tobytes().decode("utf-8", "replace")
+        if not len(starts):
+            return np.empty(0, np.int64), b""
+        joined = _joined(data, starts, ends)
         odd = []
         if _LATIN.fullmatch(joined) is None or joined.count(_SEP) != len(starts) - 1 or (self.added and self.added.search(joined)):
             units = [raw[i:j].decode("utf-8", "replace") for i, j in zip(starts.tolist(), ends.tolist())]
@@ -95,11 +128,7 @@ class Encoder:
         if self.lower:
             joined = unicodedata.normalize("NFC", joined).lower()
         pieces = self.pieces.findall(joined)
-        if len(self.known) > _MAX_PIECES:
-            self.known = {p: self.known[p] for p in set(pieces) if p in self.known}
-        self.known[_SEP] = b""
-        self._encode_pieces([p for p in set(pieces) if p not in self.known])
-        coded = list(map(self.known.__getitem__, pieces))
+        coded = self._coded(pieces)
         cuts = np.flatnonzero(np.fromiter(map(_SEP.__eq__, pieces), bool, len(pieces)))
         sums = np.concatenate(([0], np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))))) // np.dtype(self.dtype).itemsize
         lengths = np.diff(np.concatenate(([0], sums[cuts], [sums[-1]])))
@@ -135,7 +164,13 @@ class Encoder:
         if not found.all():
             new = np.flatnonzero(~found)
             new = new[np.argsort(at[new])]
-            sizes, ids = self._encode_units(raw, data, starts[at[new]], ends[at[new]])
+            s, e = starts[at[new]], ends[at[new]]
+            plain = np.concatenate(([0], np.cumsum(~_LETTER[data])))
+            led = data[s] == 0x20
+            plain = (plain[e] - plain[s] == led) & (e - s > led)
+            new, parts = np.concatenate((new[plain], new[~plain])), (self._encode_words(data, s[plain], e[plain]),
+                                                                     self._encode_units(raw, data, s[~plain], e[~plain]))
+            sizes, ids = np.concatenate([x for x, _ in parts]), b"".join(x for _, x in parts)
             if len(self.hashes) + len(new) > _MAX_UNITS:
                 old = unique[found]
                 keep = self.slots[place[found]]
