@@ -8,6 +8,10 @@ A split may part at most ``LOSS`` of the pairs of its sample that reach the cosi
 group of near copies that fills much of the node), the cut moves beside the group or the spill widens to the distance of
 its pairs, and a node that no such split makes cheaper to compare is a leaf, whatever its size.
 
+The sample bounds how deep a tree can be fitted.  A leaf that ends for want of sampled rows and holds more than ``BLOCK``
+rows is split again on a sample of its own (``OWN_SAMPLE`` rows or so, fitted in a task), round by round, so leaves do not
+grow with the table.
+
 Equal vectors are one row with a weight.  A leaf with more than ``BLOCK`` rows is compared in pairs of blocks, each a
 group of its own, so no leaf is held whole by one task and none is cut.  A pair that meets in several leaves counts in
 the first of them: rows carry the leaves they lie in.  A group hands on sums for each vector and stars for each
@@ -21,6 +25,7 @@ vectors; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,6 +42,8 @@ TREES = 10
 LEAF = 96
 SPILL = 0.08
 SAMPLE = 20_000
+OWN_SAMPLE = 2048   # rows on which a large leaf is split again
+DEALT = 16_384      # rows of a large leaf that one group routes
 LEAST_SAMPLE = 16   # sampled rows of a node that is still split
 LOSS = 0.05         # share of a node's sampled near pairs that a split may part
 PROBE = 384         # sampled rows of a node whose near pairs are looked at
@@ -87,53 +94,73 @@ def _split(p: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple
     return best
 
 
-def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, cosine: float = COSINE) -> list[list[dict[int, tuple]]]:
-    """For each tree and level, the split of each node: direction, lower and upper end of the spill, and threshold."""
+def _grow(sample: np.ndarray, rows: int, rng: np.random.Generator, cosine: float, root: int = 0) -> tuple[list[dict[int, tuple]], list[int]]:
+    """Splits by level of the tree below a node, and the leaves that more sampled rows would not split."""
+    levels, closed, members = [], [], {root: np.arange(len(sample))}
+    depth = (root + 1).bit_length() - 1
+    while members:
+        splits, below = {}, {}
+        for node, at in members.items():
+            if len(at) * rows <= LEAF * len(sample) or depth + len(levels) >= LEVELS:
+                closed.append(node)
+                continue
+            if len(at) < LEAST_SAMPLE:
+                continue
+            direction = rng.standard_normal(sample.shape[1])
+            p = sample[at] @ direction
+            probe = sample[at[:PROBE]]  # the sample is in hash order
+            x, y = np.nonzero(np.triu(probe @ probe.T >= cosine, 1))
+            split = _split(p, at, x, y)
+            if split is None:
+                closed.append(node)
+                continue
+            splits[node] = (direction, *split)
+            below[2 * node + 1], below[2 * node + 2] = at[p <= split[1]], at[p > split[1]]
+        if not splits:
+            break
+        levels.append(splits)
+        members = below
+    return levels, closed
+
+
+def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, cosine: float = COSINE,
+               closed: list[tuple[int, int]] | None = None) -> list[list[dict[int, tuple]]]:
+    """For each tree and level, the split of each node: direction, lower and upper end of the spill, and threshold.
+
+    ``closed`` receives the (tree, leaf) that more sampled rows would not split."""
     rng = np.random.default_rng(SEED)
     forest = []
-    for _ in range(trees):
-        levels, members = [], {0: np.arange(len(sample))}
-        while members and len(levels) < LEVELS:
-            splits, below = {}, {}
-            for node, at in members.items():
-                if len(at) < LEAST_SAMPLE or len(at) * rows <= LEAF * len(sample):
-                    continue
-                direction = rng.standard_normal(sample.shape[1])
-                p = sample[at] @ direction
-                probe = sample[at[:PROBE]]  # the sample is in hash order
-                x, y = np.nonzero(np.triu(probe @ probe.T >= cosine, 1))
-                split = _split(p, at, x, y)
-                if split is None:
-                    continue
-                splits[node] = (direction, *split)
-                below[2 * node + 1], below[2 * node + 2] = at[p <= split[1]], at[p > split[1]]
-            if not splits:
-                break
-            levels.append(splits)
-            members = below
+    for tree in range(trees):
+        levels, ended = _grow(sample, rows, rng, cosine)
         forest.append(levels)
+        if closed is not None:
+            closed += [(tree, leaf) for leaf in ended]
     return forest
 
 
+def _descend(levels: list[dict[int, tuple]], vectors: np.ndarray, root: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """All (row, leaf) of the vectors below a node."""
+    row, node = np.arange(len(vectors)), np.full(len(vectors), root, np.int64)
+    for splits in levels:
+        nodes = np.array(sorted(splits))
+        split = np.searchsorted(nodes, node)
+        split[split == len(nodes)] = 0
+        open_ = nodes[split] == node
+        table = np.stack([splits[k][0] for k in nodes.tolist()])
+        ends = np.array([splits[k][1:] for k in nodes.tolist()])
+        p = np.einsum("ij,ij->i", vectors[row], table[split])
+        low, cut, high = ends[split].T
+        left, right = open_ & ((p <= cut) | (p < high)), open_ & ((p > cut) | (p > low))
+        row = np.concatenate((row[~open_], row[left], row[right]))
+        node = np.concatenate((node[~open_], 2 * node[left] + 1, 2 * node[right] + 2))
+    return row, node
+
+
 def route(forest, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All ``(row, tree, leaf)`` of the vectors."""
     out = []
     for tree, levels in enumerate(forest):
-        row, node = np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
-        for splits in levels:
-            if not splits:
-                break
-            nodes = np.array(sorted(splits))
-            split = np.searchsorted(nodes, node)
-            split[split == len(nodes)] = 0
-            open_ = nodes[split] == node
-            table = np.stack([splits[k][0] for k in nodes.tolist()])
-            ends = np.array([splits[k][1:] for k in nodes.tolist()])
-            p = np.einsum("ij,ij->i", vectors[row], table[split])
-            low, cut, high = ends[split].T
-            left, right = open_ & ((p <= cut) | (p < high)), open_ & ((p > cut) | (p > low))
-            row = np.concatenate((row[~open_], row[left], row[right]))
-            node = np.concatenate((node[~open_], 2 * node[left] + 1, 2 * node[right] + 2))
+        row, node = _descend(levels, vectors)
         out.append((row, np.full(len(row), tree), node))
     return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
 
@@ -169,6 +196,68 @@ def _routing(shared, dim: int):
     return run
 
 
+_SUBTREE = "tree int, leaf long, subtree binary, closed array<long>"
+
+
+def _fit_below(cosine: float):
+    def run(table: pa.Table) -> pa.Table:
+        tree, leaf = table.column("tree")[0].as_py(), table.column("leaf")[0].as_py()
+        order = np.argsort(exact_longs(table.column("vec_id")), kind="stable")
+        order = order[np.random.default_rng([SEED, tree, leaf]).permutation(len(order))]  # reruns agree
+        blobs = table.column("vector").to_pylist()
+        levels, closed = _grow(unit([blobs[i] for i in order]), table.column("rows")[0].as_py(), np.random.default_rng([SEED, leaf, tree]), cosine, leaf)
+        closed = closed if levels else [leaf]
+        return pa.table({"tree": pa.array([tree], pa.int32()), "leaf": [leaf], "subtree": pa.array([pickle.dumps(levels)], pa.binary()),
+                         "closed": pa.array([closed], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _route_below(rows: pa.Table, fitted: pa.Table) -> pa.Table:
+    rows = rows.select(["tree", "leaf", "vec_id", "weight", "leaves", "vector"])
+    if not rows.num_rows or not fitted.num_rows:
+        return rows
+    vectors = unit(rows.column("vector").to_pylist())
+    row, leaf = _descend(pickle.loads(fitted.column("subtree")[0].as_py()), vectors, rows.column("leaf")[0].as_py())
+    return rows.take(pa.array(row)).set_column(1, "leaf", pa.array(leaf))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codes = [np.array(c, np.int64).tobytes() for c in batch.column("codes").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(codes, pa.binary())], names=["vec_id", "leaves"])
+
+
+def _split_again(routed: DataFrame, closed: list[tuple[int, int]], cosine: float) -> DataFrame:
+    """Splits leaves of more than ``BLOCK`` rows on samples of their own until each is smaller or closed."""
+    spark, node, first = routed.sparkSession, ["tree", "leaf"], True
+    # at most a leaf for every few rows of the forest's sample
+    done = spark.createDataFrame(closed, "tree int, leaf long")
+    while True:
+        large = routed.where(F.col("tree") != _OTHER).groupBy(*node).agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK)
+        large = stage(large.join(done, node, "left_anti"), "vectors-large-leaves")
+        if large.isEmpty():
+            break
+        first = False
+        inside = routed.join(large, node)
+        chosen = inside.where(F.pmod(F.xxhash64("vec_id", "tree"), "rows") < OWN_SAMPLE).select(*node, "rows", "vec_id", "vector")
+        fitted = stage(chosen.groupBy(*node).applyInArrow(_fit_below(cosine), _SUBTREE), "vectors-subtrees")
+        salts = F.ceil(F.col("rows") / DEALT).cast("int")
+        left = inside.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts).cast("int")).drop("rows")
+        right = large.join(fitted, node).select(*node, "subtree", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        below = left.groupBy(*node, "salt").cogroup(right.groupBy(*node, "salt")).applyInArrow(_route_below, _ROUTED)
+        rest = routed.join(large, node, "left_anti").select(*below.columns)
+        routed = stage(rest.union(below), "vectors-routed")
+        # a leaf too small a sample could not tell of stays open; one without any sampled row is compared as it is
+        ended = fitted.select("tree", F.explode("closed").alias("leaf")).union(large.join(fitted, node, "left_anti").select(*node))
+        done = stage(done.union(ended), "vectors-closed-leaves")
+    if first:
+        return routed
+    code = F.shiftleft(F.col("tree").cast("long"), 48).bitwiseOR(F.col("leaf"))
+    codes = routed.groupBy("vec_id").agg(F.collect_list(code).alias("codes")).mapInArrow(_packed, "vec_id long, leaves binary")
+    return stage(routed.drop("leaves").join(codes, "vec_id"), "vectors-routed")
+
+
 _COMPARED = "vec_id long, links long, a long, b long"
 
 
@@ -232,8 +321,10 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, trees: in
     sample = [r["vector"] for r in reps.orderBy(F.xxhash64("key"), "vec_id").select("vector").limit(SAMPLE).collect()]
     dim = Counter(len(v) // 8 for v in sample).most_common(1)[0][0] if sample else 0
     usual = [v for v in sample if len(v) == 8 * dim]
-    forest = fit_forest(unit(usual), n, trees, cosine) if usual else []
+    closed: list[tuple[int, int]] = []
+    forest = fit_forest(unit(usual), n, trees, cosine, closed) if usual else []
     routed = stage(reps.mapInArrow(_routing(spark.sparkContext.broadcast(forest), dim), _ROUTED), "vectors-routed")
+    routed = _split_again(routed, closed, cosine)
     sizes = routed.groupBy("tree", "leaf").agg(F.count("*").alias("rows")).where("rows > 1")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     dealt = routed.join(sizes, ["tree", "leaf"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))

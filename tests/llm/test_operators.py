@@ -378,6 +378,35 @@ def test_forest_finds_the_links_of_a_large_group(size, noise):
     assert len(row) < 80 * len(x)
 
 
+def test_large_leaves_are_split_again(spark, monkeypatch):
+    for name, value in dict(SAMPLE=64, BLOCK=64, OWN_SAMPLE=128, DEALT=256).items():
+        monkeypatch.setattr(embedding_neardup, name, value)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2000, 16))
+    x[:400] = x[0] + 0.1 * rng.standard_normal((400, 16))
+    x[400:1200] = x[1200:] + 0.1 * rng.standard_normal((800, 16))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(2000)] + [(2000, [1.0, 2.0]), (2001, [2.0, 4.0]), (2002, None)]
+    leaves, again = [], embedding_neardup._split_again
+
+    def watched(routed, closed, cosine):
+        out = again(routed, closed, cosine)
+        for table in (routed, out):
+            leaves.append({(r["tree"], r["leaf"]): r["count"] for r in table.groupBy("tree", "leaf").count().collect()})
+        return out
+
+    monkeypatch.setattr(embedding_neardup, "_split_again", watched)
+    out = {r["vec_id"]: r for r in embedding_neardup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    found = np.array([out[i]["n_links"] for i in range(2000)])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.95 * near.sum()
+    assert all(out[i]["component_id"] == 0 for i in range(400) if near[i, :400].sum() > 200)
+    assert out[2001]["component_id"] == 2000 and out[2002]["n_links"] == 0
+    before, after = ([n for (tree, _), n in sizes.items() if tree >= 0] for sizes in leaves)
+    assert len(after) > 2 * len(before) and np.median(after) < 0.5 * np.median(before)
+
+
 def test_links_of_a_large_group(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((2500, 16))
