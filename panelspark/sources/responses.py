@@ -7,15 +7,15 @@ answers (and score bands are not produced from nulls).
 
 Plan shape at scale: lineitem |><| part is a shuffle join on the part key (part grows with the
 data, so it is not broadcast unless the optimizer's size statistics allow it); the per-order
-aggregate is partial+final hash aggregation on ``l_orderkey``; ``orders`` left-joins it on the same
+aggregate runs on one shuffle by ``l_orderkey`` of narrow rows; ``orders`` left-joins it on the same
 key; ``customer`` joins on the customer key; ``nation`` and ``region`` are fixed 25/5-row
-dimension tables and are broadcast.  Multi-select answers are presence flags over fixed label
+dimension tables and are broadcast.  Multi-select answers are presence bits over fixed label
 domains (6-7 values), so no group ever collects a list.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark import schema as S
@@ -60,75 +60,88 @@ def _pick(labels: list[str], idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in labels]), idx.cast("int") + 1)
 
 
-def _label_flags(prefix: str, label: Column, labels: list[str]) -> list[Column]:
-    """One 0/1 presence column per label of a fixed domain (plain, codegen'd aggregates)."""
-    return [F.max((label == F.lit(x)).cast("int")).alias(f"{prefix}{i}") for i, x in enumerate(labels)]
+def _label_bits(label: Column, labels: list[str], first: int) -> Column:
+    """The bit of a label of a fixed domain, counted from bit ``first``; 0 for a null or other label."""
+    return F.coalesce(_lookup({x: 1 << (first + i) for i, x in enumerate(labels)}, label), F.lit(0))
 
 
-def _joined_from_flags(prefix: str, labels: list[str]) -> Column:
+def _joined_from_bits(bits: str, labels: list[str], first: int) -> Column:
     """';'-joined labels present, in code-point order (as sorting the distinct set would give)."""
     order = sorted(range(len(labels)), key=lambda i: labels[i])
-    parts = [F.when(F.col(f"{prefix}{i}") == 1, F.lit(labels[i])) for i in order]
+    parts = [F.when(F.col(bits).bitwiseAND(1 << (first + i)) != 0, F.lit(labels[i])) for i in order]
     return F.concat_ws(";", *parts)
 
 
-def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-order item answers (one row per order that has items).
+_PLATFORM_LABELS = list(dict.fromkeys(PART_TYPE_TO_PLATFORM.values()))
+_MOTIVATION_LABELS = list(dict.fromkeys(FLAGS_TO_MOTIVATION.values()))
+_CONTENT_LABELS = list(S.CONTENT_TYPES)
+_MOTIVATION_BIT = len(_PLATFORM_LABELS)
+_CONTENT_BIT = _MOTIVATION_BIT + len(_MOTIVATION_LABELS)
+_OPEN_BIT = _CONTENT_BIT + len(_CONTENT_LABELS)
+
 
-    Two hash aggregates, each with map-side partial aggregation: (order, supplier) first, then
-    order -- the count of rows at the second level is the number of distinct suppliers, and
-    multi-select answers are presence flags over their fixed label domains, so no set-valued
-    aggregate (object hash aggregate with sort fallback) and no Expand is needed.
+def _item_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals and presence bits of every order that has items.
+
+    The joined items travel once, by order, as a row of seven numbers.  There they are sorted by supplier and the first
+    row of each supplier is marked, so the marks add up to the distinct suppliers and one grouped aggregate on the
+    partitioning at hand gives the rest.  Nothing is aggregated before that shuffle: an order has a handful of items
+    and (order, supplier) hardly repeats, so a map-side table would hold every row and spill.
     """
     li = read_table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate"])
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_size"])
     items = li.join(part, li.l_partkey == part.p_partkey, "inner")
-    plat_labels = list(dict.fromkeys(PART_TYPE_TO_PLATFORM.values()))
-    motiv_labels = list(dict.fromkeys(FLAGS_TO_MOTIVATION.values()))
-    content_labels = list(S.CONTENT_TYPES)
     plat = _lookup(PART_TYPE_TO_PLATFORM, F.col("p_type"))
     motiv = _lookup(FLAGS_TO_MOTIVATION, F.concat("l_returnflag", "l_linestatus"))
     content = _pick(S.CONTENT_TYPES, F.floor((F.col("p_size") - 1) / 8).cast("int"))
-    flag_cols = ([f"pf{i}" for i in range(len(plat_labels))] + [f"mf{i}" for i in range(len(motiv_labels))]
-                 + [f"cf{i}" for i in range(len(content_labels))])
-    per_supplier = items.groupBy(F.col("l_orderkey").alias("id"), "l_suppkey").agg(
-        F.max("l_shipdate").alias("end_time"),
-        F.sum("l_quantity").alias("qty"),
-        F.count(F.lit(1)).alias("n_items"),
-        F.sum((F.col("l_returnflag") == "N").cast("int")).alias("n_flag_n"),
-        F.sum((F.col("l_returnflag") == "R").cast("int")).alias("n_flag_r"),
-        F.sum(F.round(F.col("l_discount") * 100).cast("int")).alias("disc_pct"),
-        F.sum(F.round(F.col("l_tax") * 100).cast("int")).alias("tax_pct"),
-        F.max((F.col("l_linestatus") == "O").cast("int")).alias("any_open"),
-        *_label_flags("pf", plat, plat_labels), *_label_flags("mf", motiv, motiv_labels),
-        *_label_flags("cf", content, content_labels))
-    agg = per_supplier.groupBy("id").agg(
+    bits = (_label_bits(plat, _PLATFORM_LABELS, 0)
+            .bitwiseOR(_label_bits(motiv, _MOTIVATION_LABELS, _MOTIVATION_BIT))
+            .bitwiseOR(_label_bits(content, _CONTENT_LABELS, _CONTENT_BIT))
+            .bitwiseOR(F.when(F.col("l_linestatus") == "O", 1 << _OPEN_BIT).otherwise(0)))
+    narrow = items.select(
+        F.col("l_orderkey").alias("id"), "l_suppkey", F.col("l_shipdate").alias("end_time"), F.col("l_quantity").alias("qty"),
+        F.round(F.col("l_discount") * 100).cast("int").alias("disc_pct"),
+        F.round(F.col("l_tax") * 100).cast("int").alias("tax_pct"),
+        F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "R", 2)
+        .when(F.col("l_returnflag").isNotNull(), 0).alias("returned"), bits.alias("bits"))
+    of_supplier = F.row_number().over(Window.partitionBy("id", "l_suppkey").orderBy("l_suppkey"))
+    marked = narrow.repartition("id").withColumn("first", (of_supplier == 1).cast("int"))
+    return marked.groupBy("id").agg(
         F.max("end_time").alias("end_time"), F.sum("qty").alias("qty"),
-        F.count(F.lit(1)).alias("n_supp"), F.sum("n_items").alias("n_items"),
-        F.sum("n_flag_n").alias("n_flag_n"), F.sum("n_flag_r").alias("n_flag_r"),
-        F.sum("disc_pct").alias("disc_pct"), F.sum("tax_pct").alias("tax_pct"),
-        F.max("any_open").alias("any_open"), *[F.max(c).alias(c) for c in flag_cols])
-    agg = agg.select("*", _joined_from_flags("pf", plat_labels).alias("platforms"),
-                     _joined_from_flags("mf", motiv_labels).alias("purchase_motivation"),
-                     _joined_from_flags("cf", content_labels).alias("content_type"))
+        F.sum("first").alias("n_supp"), F.count(F.lit(1)).alias("n_items"),
+        F.sum((F.col("returned") == 1).cast("int")).alias("n_flag_n"),
+        F.sum((F.col("returned") == 2).cast("int")).alias("n_flag_r"),
+        F.sum("disc_pct").alias("disc_pct"), F.sum("tax_pct").alias("tax_pct"), F.bit_or("bits").alias("bits"))
+
+
+def _item_answers() -> list[Column]:
+    """The item answers of a row of totals; null where an order has no items."""
     q1, q2, q3 = QTY_CUTS
     s1, s2, s3 = SUPPLIER_CUTS
     qty_band = (F.when(F.col("qty") < q1, 0).when(F.col("qty") < q2, 1)
                 .when(F.col("qty") < q3, 2).otherwise(3))
     supp_band = (F.when(F.col("n_supp") <= s1, 0).when(F.col("n_supp") <= s2, 1)
                  .when(F.col("n_supp") <= s3, 2).otherwise(3))
-    return agg.select(
-        "id", "end_time", "platforms", "purchase_motivation", "content_type",
-        _pick(S.DAILY_TIME_LEVELS, qty_band).alias("daily_time"),
-        _pick(S.ENGAGEMENT_LEVELS, supp_band).alias("engagement_freq"),
-        _pick(S.PURCHASE_LEVELS, F.least(F.col("n_flag_n"), F.lit(4))).alias("purchase_freq"),
-        _pick(S.AD_CLICK_LEVELS, F.least(F.col("n_flag_r"), F.lit(3))).alias("ad_click_freq"),
-        F.least(F.lit(5), 1 + F.expr("disc_pct div (2 * n_items)")).cast("int").alias("satisfaction_score"),
-        F.least(F.lit(5), 1 + F.expr("(10 * tax_pct) div (16 * n_items)")).cast("int").alias("retargeting_score"),
-        F.when(F.col("any_open") == 1, "Yes").otherwise("No").alias("searched_product"),
-    )
+    answers = {
+        "platforms": _joined_from_bits("bits", _PLATFORM_LABELS, 0),
+        "purchase_motivation": _joined_from_bits("bits", _MOTIVATION_LABELS, _MOTIVATION_BIT),
+        "content_type": _joined_from_bits("bits", _CONTENT_LABELS, _CONTENT_BIT),
+        "daily_time": _pick(S.DAILY_TIME_LEVELS, qty_band),
+        "engagement_freq": _pick(S.ENGAGEMENT_LEVELS, supp_band),
+        "purchase_freq": _pick(S.PURCHASE_LEVELS, F.least(F.col("n_flag_n"), F.lit(4))),
+        "ad_click_freq": _pick(S.AD_CLICK_LEVELS, F.least(F.col("n_flag_r"), F.lit(3))),
+        "satisfaction_score": F.least(F.lit(5), 1 + F.expr("disc_pct div (2 * n_items)")).cast("int"),
+        "retargeting_score": F.least(F.lit(5), 1 + F.expr("(10 * tax_pct) div (16 * n_items)")).cast("int"),
+        "searched_product": F.when(F.col("bits").bitwiseAND(1 << _OPEN_BIT) != 0, "Yes").otherwise("No"),
+    }
+    return [F.col("end_time"), *[F.when(F.col("n_items").isNotNull(), e).alias(c) for c, e in answers.items()]]
+
+
+def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-order item answers (one row per order that has items)."""
+    return _item_totals(spark, sf_dir).select("id", *_item_answers())
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,15 +151,17 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
     region = read_table(spark, sf_dir, "region", ["r_regionkey"])
-    items = order_items(spark, sf_dir)
+    items = _item_totals(spark, sf_dir)
 
     geo = F.broadcast(nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey))
     base = (orders
             .join(customer, orders.o_custkey == customer.c_custkey, "inner")
             .join(geo, F.col("c_nationkey") == F.col("n_nationkey"), "inner"))
     band = F.least(F.floor(F.col("o_totalprice") / PRICE_BAND_WIDTH), F.lit(3)).cast("int")
-    order_level = base.select(
-        F.col("o_orderkey").alias("id"),
+    # numbers and codes are joined; labels are spelt out behind the last shuffle
+    joined = base.withColumnRenamed("o_orderkey", "id").join(items, "id", "left")
+    return joined.select(
+        "id",
         F.col("o_orderdate").alias("start_time"),
         _pick(S.AGE_GROUPS, F.col("r_regionkey")).alias("age_group"),
         _lookup(STATUS_TO_GENDER, F.col("o_orderstatus")).alias("gender"),
@@ -154,7 +169,6 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_acctbal") >= 0, "Yes").otherwise("No").alias("follows_influencers"),
         _lookup(SEGMENT_TO_TRUST, F.col("c_mktsegment")).alias("trust_factor"),
         (6 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("product_interest_score"),
-        _pick(S.AD_INFLUENCED_LEVELS, (F.col("o_orderkey") % 3).cast("int")).alias("ad_influenced"),
+        _pick(S.AD_INFLUENCED_LEVELS, (F.col("id") % 3).cast("int")).alias("ad_influenced"),
         _pick(S.AD_FORMATS, (F.col("c_custkey") % 5).cast("int")).alias("preferred_ad_format"),
-    )
-    return order_level.join(items, "id", "left").select(*RAW_COLUMNS)
+        *_item_answers()).select(*RAW_COLUMNS)
