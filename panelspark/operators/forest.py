@@ -2,7 +2,7 @@
 
 Rows that agree in features, label and fold become one point.  A tree's bootstrap gives every *row* a Poisson(1) weight
 from md5("key:seed:block"), sixteen bits for each of eight trees, and a point carries the sum of its rows' weights, so the
-raw rows are read once however many trees and levels there are.  A level is one grouped aggregate for all nodes of all
+raw rows are read and shuffled once, without weights, however many trees and levels there are.  A level is one grouped aggregate for all nodes of all
 trees of all folds: tasks send (tree, node, feature, value) histograms of two counts, whose sums give every split.  A node
 tries sqrt(m) features, those with the smallest md5("seed:tree:node:feature").  Counts are whole numbers, so any engine
 finds the same splits; equal gains go to the first feature, then the smallest value.
@@ -39,24 +39,55 @@ def poisson_steps() -> list[int]:
     return out
 
 
-def bootstrap_weight(key: str, tree: int, seed: int):
-    """Poisson(1) weight of a row in a tree, as one expression."""
-    block, slot = divmod(tree, TREES_OF_A_DRAW)
-    word = F.substring(F.md5(F.concat_ws(":", F.col(key), F.lit(seed), F.lit(block))), 4 * slot + 1, 4)
-    draw = F.conv(word, 16, 10).cast("int")
-    return sum(((draw >= s).cast("long") for s in poisson_steps()), F.lit(0).cast("long"))
+def _drawn(width: int, trees: int, bootstrap: bool):
+    """Sums the weights of runs of equal rows: one row for each run of a batch."""
+    blocks = [f":{b}".encode() for b in range(-(-trees // TREES_OF_A_DRAW))]
+    weight_of = np.searchsorted(poisson_steps(), np.arange(65536), "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, width)
+            new = np.ones(n, bool)
+            new[1:] = (x[1:] != x[:-1]).any(1)
+            for c in ("label", "fold"):
+                v = batch.column(c).fill_null(-2).to_numpy(zero_copy_only=False)
+                new[1:] |= v[1:] != v[:-1]
+            first = np.flatnonzero(new)
+            if bootstrap:
+                heads = [k.encode() for k in batch.column("head").to_pylist()]
+                words = b"".join([hashlib.md5(h + b, usedforsecurity=False).digest() for h in heads for b in blocks])
+                weights = weight_of[np.frombuffer(words, ">u2").reshape(n, -1)[:, :trees]]
+            else:
+                weights = np.ones((n, trees), np.int64)
+            sums = np.add.reduceat(weights, first, axis=0).astype(np.int64)
+            at = pa.array(np.arange(0, sums.size + 1, trees), pa.int32())
+            kept = pa.array(first)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("x").take(kept), batch.column("label").take(kept), batch.column("fold").take(kept),
+                 pa.ListArray.from_arrays(at, pa.array(sums.ravel())), pa.array(np.diff(np.append(first, n)), pa.int64())],
+                names=["x", "label", "fold", "w", "n"])
+    return run
 
 
 def forest_points(rows: DataFrame, features: Sequence[str], label: str, key: str, trees: int, seed: int,
                   fold: str | None = None, bootstrap: bool = True) -> DataFrame:
-    """``(x, label, fold, w)`` of each distinct row; ``w`` holds its weight in every tree.  Checkpointed."""
+    """``(x, label, fold, w, n)``: rows that agree in ``x``, label and fold, ``w`` their weight in every tree and ``n``
+    their number.  Checkpointed.
+
+    The rows travel once, with their key and before any weight is drawn, so that a tree adds nothing to the shuffle and
+    no table of weights is held.  Equal rows come together there and are summed run by run.  A combination may come in a
+    few points (a run that a batch or a split of a large partition cuts): all uses of the points are sums.
+    """
     checkpoint_dir(rows.sparkSession)
     x = F.array(*[F.col(c).cast("double") for c in features])
-    base = rows.select(F.col(key).alias("key"), x.alias("x"), F.col(label).cast("int").alias("label"),
+    base = rows.select(F.concat_ws(":", F.col(key), F.lit(seed)).alias("head"), x.alias("x"), F.col(label).cast("int").alias("label"),
                        (F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold"))
-    weights = [bootstrap_weight("key", t, seed) if bootstrap else F.lit(1).cast("long") for t in range(trees)]
-    grouped = base.groupBy("x", "label", "fold").agg(*[F.sum(w).alias(f"w{t}") for t, w in enumerate(weights)])
-    return grouped.select("x", "label", "fold", F.array(*[f"w{t}" for t in range(trees)]).alias("w")).checkpoint(eager=True)
+    near = base.withColumn("at", F.xxhash64("x", "label", "fold")).hint("rebalance", "at").sortWithinPartitions("at")
+    return near.drop("at").mapInArrow(_drawn(len(features), trees, bootstrap),
+                                      "x array<double>, label int, fold int, w array<long>, n long").checkpoint(eager=True)
 
 
 def _binned(points: DataFrame, width: int) -> DataFrame:
@@ -202,6 +233,27 @@ def grow(points: DataFrame, width: int, trees: int, depth: int, seed: int, folds
     return forest
 
 
+def scored_points(points: DataFrame, forest: Forest, width: int, trees: int) -> DataFrame:
+    """``(label, fold, score, n)`` of points: a combination of answers is scored once, however many rows share it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            score = _scores(forest, x, batch.column("fold").to_numpy(zero_copy_only=False), trees)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("fold"), pa.array(score), batch.column("n")],
+                                             names=["label", "fold", "score", "n"])
+    return points.select("x", "label", "fold", "n").mapInArrow(run, "label int, fold int, score double, n long")
+
+
+def _scores(forest: Forest, x: np.ndarray, fold: np.ndarray, trees: int) -> np.ndarray:
+    """Each row's score by the trees of its fold."""
+    score = np.zeros(len(x))
+    for f in np.unique(fold).tolist():
+        mine = fold == f
+        first = max(f, 0) * trees
+        score[mine] = forest.scores(x[mine], range(first, first + trees))
+    return score
+
+
 def predicted(rows: DataFrame, forest: Forest, features: Sequence[str], label: str, key: str, trees: int, fold: str | None = None) -> DataFrame:
     """``(key, label, prediction, score[, fold])``: a row's score is the mean share of ones in the leaves it reaches, of
     its fold's trees where ``fold`` is given; above one half it is predicted 1."""
@@ -210,12 +262,7 @@ def predicted(rows: DataFrame, forest: Forest, features: Sequence[str], label: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(features))
-            of = batch.column("fold").to_numpy(zero_copy_only=False)
-            score = np.zeros(batch.num_rows)
-            for f in np.unique(of).tolist():
-                mine = of == f
-                first = max(f, 0) * trees
-                score[mine] = forest.scores(x[mine], range(first, first + trees))
+            score = _scores(forest, x, batch.column("fold").to_numpy(zero_copy_only=False), trees)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array((score > 0.5).astype(np.int32)),
                                               pa.array(score), batch.column("fold")], names=["key", "label", "prediction", "score", "fold"])
 

@@ -1,10 +1,12 @@
 """How much of the rows travels: few shuffles, narrow rows, and results against plain Python on rows of our own."""
 
+import hashlib
 import re
 
 from pyspark.sql import functions as F
 
 from panelspark import schema as S
+from panelspark.operators import forest as FO
 from panelspark.sources import responses as R
 
 
@@ -50,3 +52,27 @@ def test_items_travel_by_order_once_and_answers_match_plain_python(spark, tmp_pa
         both = {R.FLAGS_TO_MOTIVATION.get(x[6] + x[7]) for x, _ in rows if x[6] and x[7]} - {None}
         assert r["purchase_motivation"] == ";".join(sorted(both))
         assert r["content_type"] == ";".join(sorted({S.CONTENT_TYPES[(p[2] - 1) // 8] for _, p in rows}))
+
+
+def _answers(spark, n=600):
+    rows = [(i // 2 if i < 40 else i, i % 3 == 0, float(i * 7 % 4), float(i * 13 % 3)) for i in range(n)]  # the first keys repeat
+    return spark.createDataFrame([(k, int(y), a, b) for k, y, a, b in rows], "id long, y int, a double, b double")
+
+
+def test_forest_points_draw_weights_behind_the_shuffle(spark):
+    df = _answers(spark)
+    seen = {}
+    for id_, y, a, b in map(tuple, df.collect()):
+        words = [hashlib.md5(f"{id_}:7:{k}".encode()).hexdigest() for k in range(2)]
+        draws = [int("".join(words)[4 * t: 4 * t + 4], 16) for t in range(11)]
+        cell = seen.setdefault((a, b, y), [0] * 12)
+        for t, d in enumerate(draws):
+            cell[t] += sum(d >= s for s in FO.poisson_steps())
+        cell[11] += 1
+    for bootstrap in (True, False):
+        got = {}
+        for r in FO.forest_points(df.repartition(5), ["a", "b"], "y", "id", 11, 7, bootstrap=bootstrap).collect():
+            cell = got.setdefault((*r["x"], r["label"]), [0] * 12)
+            for t, w in enumerate([*r["w"], r["n"]]):
+                cell[t] += w
+        assert got == (seen if bootstrap else {k: [c[11]] * 12 for k, c in seen.items()})
