@@ -19,13 +19,14 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.encode import column_stats, standardize_exprs
 from panelspark.functions.literals import local_table
 from panelspark.operators.forest import forest_points, grow, predicted
 from panelspark.operators.ranks import rank_table, running_sums
+from panelspark.session import checkpoint_dir
 
 
 MIN_ROWS, MIN_CLASS_ROWS, MIN_PCA_ROWS = 30, 5, 10
@@ -41,13 +42,57 @@ def placed(df: DataFrame, order: Sequence[str], label: str | None = None) -> Dat
     return out.join(F.broadcast(sizes), by) if by else out.crossJoin(F.broadcast(sizes))
 
 
+def _split_cuts(drawn: DataFrame, train_frac: float, by: list[str]) -> DataFrame:
+    """``(by..., __cut, __need)``: the draw of the first row of a class that does not train (null: all train), and how many
+    of the rows with that very draw still do (above 0 for repeated keys only).
+
+    Draws are md5 text, evenly spread, so the counts of 65,536 leading digits tell the place of the cut to within a
+    65,536th of the class, and only the draws of that part are ordered.
+    """
+    checkpoint_dir(drawn.sparkSession)
+    before = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+
+    def holding(cells: DataFrame, order: str, base: Column) -> DataFrame:
+        """The cell that holds the place sought, with the rows before it."""
+        at = cells.withColumn("__before", F.coalesce(F.sum("__n").over(before.orderBy(order)), F.lit(0)) + base)
+        return at.where((F.col("__before") <= F.col("__place")) & (F.col("__place") < F.col("__before") + F.col("__n")))
+
+    head = F.substring("__draw", 1, 4)
+    heads = drawn.groupBy(*by, head.alias("__head")).agg(F.count(F.lit(1)).alias("__n"))
+    size = F.sum("__n").over(Window.partitionBy(*by))
+    heads = heads.withColumn("__place", F.round(size * train_frac).cast("long")).checkpoint(eager=True)
+    classes = heads.select(*by, "__place").distinct()  # one row for each class
+    part = holding(heads, "__head", F.lit(0)).select(*[F.col(c).alias(f"__of_{c}") for c in by], "__head", "__place", F.col("__before").alias("__base"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by], head == F.col("__head"))
+    cells = (drawn.join(F.broadcast(part), same).groupBy(*by, "__draw", "__place", "__base").agg(F.count(F.lit(1)).alias("__n")))
+    found = holding(cells, "__draw", F.col("__base")).select(
+        *[F.col(c).alias(f"__of_{c}") for c in by], F.col("__draw").alias("__cut"), (F.col("__place") - F.col("__before")).alias("__need"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by], F.lit(True))
+    return classes.join(F.broadcast(found), same, "left").select(*by, "__cut", "__need").checkpoint(eager=True)
+
+
 def split(df: DataFrame, train_frac: float = 0.75, key: str = "id", seed: int = 42,
           stratify: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Seeded split by the rows' places in the order of md5("key:seed"), which any engine can repeat: exactly the rounded share of all rows,
-    or of each class of ``stratify``, trains; reruns and other partitionings agree."""
-    drawn = placed(df.withColumn("__draw", F.md5(F.concat_ws(":", F.col(key), F.lit(seed)))), ["__draw", key], stratify)
-    trains = F.col("__pos") < F.round(F.col("__size") * train_frac)
-    return drawn.where(trains).select(*df.columns), drawn.where(~trains).select(*df.columns)
+    or of each class of ``stratify``, trains; reruns and other partitionings agree.
+
+    Only the draw at which a class is cut is looked for; both sides are then filters of the rows, which neither travel nor
+    are written.  Rows of one repeated key on the cut are told apart by their values.
+    """
+    by = [stratify] if stratify else []
+    drawn = df.withColumn("__draw", F.md5(F.concat_ws(":", F.col(key), F.lit(seed))))
+    cuts = _split_cuts(drawn.select(*by, "__draw"), train_frac, by)
+    placed_ = drawn.join(F.broadcast(cuts), by) if by else drawn.crossJoin(F.broadcast(cuts))
+    trains = F.col("__cut").isNull() | (F.col("__draw") < F.col("__cut"))
+    train, test = placed_.where(trains).select(*df.columns), placed_.where(~trains)
+    if not cuts.where("__need > 0").isEmpty():
+        values = [f.name for f in df.schema.fields if f.dataType.typeName() != "map"]
+        tied = placed_.where(F.col("__draw") == F.col("__cut")).withColumn(
+            "__nth", F.row_number().over(Window.partitionBy(*by).orderBy(key, *values)))
+        still = F.col("__nth") <= F.col("__need")
+        train = train.unionByName(tied.where(still).select(*df.columns))
+        test = test.where(F.col("__draw") != F.col("__cut")).select(*df.columns).unionByName(tied.where(~still).select(*df.columns))
+    return train, test.select(*df.columns)
 
 
 def contiguous_folds(df: DataFrame, k: int = 5, key: str = "id", stratify: str | None = None) -> DataFrame:
@@ -349,12 +394,18 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
     return wide.select(F.inline(rows))
 
 
+def _pinned(counts: DataFrame) -> DataFrame:
+    """Counts of scores, which ranks and sums both read, so that the rows are scored once."""
+    checkpoint_dir(counts.sparkSession)
+    return counts.checkpoint(eager=True)
+
+
 def auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """M9: (null where a class is absent) exact ROC AUC = (R_pos - n_pos (n_pos + 1) / 2) / (n_pos n_neg) with average ranks of
     the scores over both classes (tied scores count one half)."""
     lv = pred.select(F.col(label).cast("int").alias("g"), F.col(score).cast("double").alias("v")).where(
         F.col("v").isNotNull() & F.col("g").isNotNull())
-    gv = lv.groupBy("g", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    gv = _pinned(lv.groupBy("g", "v").agg(F.count(F.lit(1)).alias("cnt")))
     rt = rank_table(gv, "v", weight="cnt").select("v", "rank")
     per = gv.join(rt, "v").groupBy("g").agg(F.sum("cnt").alias("n"), F.sum(F.col("cnt") * F.col("rank")).alias("rs"))
     wide = per.agg(F.max(F.when(F.col("g") == 1, F.col("n"))).alias("n_pos"),
@@ -366,10 +417,11 @@ def auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFram
                        a.alias("auc"))
 
 
-def auc_by(pred: DataFrame, by: str, label: str = "label", score: str = "score") -> DataFrame:
-    """M9 for each value of ``by``: ``(by, auc)``, all ranked in one pass."""
-    lv = pred.select(by, F.col(label).cast("int").alias("g"), F.col(score).cast("double").alias("v")).dropna()
-    gv = lv.groupBy(by, "g", "v").agg(F.count(F.lit(1)).alias("cnt"))
+def auc_by(pred: DataFrame, by: str, label: str = "label", score: str = "score", weight: str | None = None) -> DataFrame:
+    """M9 for each value of ``by``: ``(by, auc)``, all ranked in one pass; a row counts ``weight`` times."""
+    times = F.lit(1) if weight is None else F.col(weight)
+    lv = pred.select(by, F.col(label).cast("int").alias("g"), F.col(score).cast("double").alias("v"), times.cast("long").alias("w")).dropna()
+    gv = _pinned(lv.groupBy(by, "g", "v").agg(F.sum("w").alias("cnt")))
     ranks = rank_table(gv, "v", [by], weight="cnt").select(by, "v", "rank")
     ones = F.col("g") == 1
     per = gv.join(ranks, [by, "v"]).groupBy(by).agg(

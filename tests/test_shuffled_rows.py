@@ -1,12 +1,14 @@
 """How much of the rows travels: few shuffles, narrow rows, and results against plain Python on rows of our own."""
 
 import hashlib
+import math
 import re
 
 from pyspark.sql import functions as F
 
 from panelspark import schema as S
 from panelspark.operators import forest as FO
+from panelspark.operators import models as M
 from panelspark.sources import responses as R
 
 
@@ -59,6 +61,26 @@ def _answers(spark, n=600):
     return spark.createDataFrame([(k, int(y), a, b) for k, y, a, b in rows], "id long, y int, a double, b double")
 
 
+def test_split_is_a_filter_that_moves_no_rows_and_takes_the_exact_share_of_repeated_keys(spark):
+    df = _answers(spark).where("id >= 20")
+    for side in M.split(df, 0.75, "id", 42, "y"):
+        assert "Exchange hashpartitioning" not in _plan(side) and "rangepartitioning" not in _plan(side)
+    for rows, by in ((df, None), (df, "y"), (_answers(spark), None), (_answers(spark), "y"), (df.union(df), "y"), (df.where("id < 21"), "y"),
+                     (df.where("id < 0"), "y"), (df.withColumn("id", F.lit(5).cast("long")), "y")):
+        for frac in (0.75, 0.5):
+            train, test = (sorted(map(tuple, d.collect())) for d in M.split(rows, frac, "id", 42, by))
+            every = sorted(map(tuple, rows.collect()))
+            assert sorted(train + test) == every
+            for c in {r[1] for r in every} if by else {None}:
+                of = lambda part: sum(1 for r in part if by is None or r[1] == c)
+                assert of(train) == math.floor(of(every) * frac + 0.5)
+            order = lambda r: (by and r[1], hashlib.md5(f"{r[0]}:42".encode()).hexdigest())
+            last = {}
+            for r in train:
+                last[order(r)[0]] = max(last.get(order(r)[0], ""), order(r)[1])
+            assert all(order(r)[1] >= last.get(order(r)[0], "") for r in test)
+
+
 def test_forest_points_draw_weights_behind_the_shuffle(spark):
     df = _answers(spark)
     seen = {}
