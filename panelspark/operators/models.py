@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.encode import column_stats, standardize_exprs
 from panelspark.functions.literals import local_table
-from panelspark.operators.forest import forest_points, grow, predicted
+from panelspark.operators.forest import forest_points, grow, predicted, scored_points
 from panelspark.operators.ranks import rank_table, running_sums
 from panelspark.session import checkpoint_dir
 
@@ -342,9 +342,9 @@ def forest_cv_auc(df: DataFrame, features: Sequence[str], label: str, k: int = 5
     if not enough_rows(base, label):
         return local_table(df.sparkSession, [], "fold int, auc double, mean_auc double, sd_auc double").where(F.lit(False))
     folded = contiguous_folds(base, k, key, stratify=label)
-    model = grow(forest_points(folded, features, label, key, trees, seed, "fold"), len(features), trees, depth, seed, folds=k)
-    pred = predicted(folded, model, features, label, key, trees, "fold")
-    out = auc_by(pred, "fold")
+    points = forest_points(folded, features, label, key, trees, seed, "fold")
+    model = grow(points, len(features), trees, depth, seed, folds=k)
+    out = auc_by(scored_points(points, model, len(features), trees), "fold", weight="n")
     w = Window.partitionBy()
     return out.withColumn("mean_auc", F.avg("auc").over(w)).withColumn("sd_auc", F.stddev_pop("auc").over(w))
 

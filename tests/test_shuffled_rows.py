@@ -98,3 +98,14 @@ def test_forest_points_draw_weights_behind_the_shuffle(spark):
             for t, w in enumerate([*r["w"], r["n"]]):
                 cell[t] += w
         assert got == (seen if bootstrap else {k: [c[11]] * 12 for k, c in seen.items()})
+
+
+def test_cross_validation_scores_points_not_rows(spark, monkeypatch):
+    df = _answers(spark)
+    points = FO.forest_points(M.contiguous_folds(df, 3, "id", "y"), ["a", "b"], "y", "id", 4, 42, "fold")
+    forest = FO.grow(points, 2, 4, 2, 42, folds=3)
+    rows = FO.predicted(M.contiguous_folds(df, 3, "id", "y"), forest, ["a", "b"], "y", "id", 4, "fold")
+    want = sorted((r["fold"], round(r["auc"], 9)) for r in M.auc_by(rows, "fold").collect())
+    monkeypatch.setattr(M, "predicted", None)
+    got = M.forest_cv_auc(df, ["a", "b"], "y", k=3, trees=4, depth=2).collect()
+    assert sorted((r["fold"], round(r["auc"], 9)) for r in got) == want
