@@ -29,6 +29,8 @@ from panelspark.operators.points import squared_distance, weighted_points
 #: Candidates of a greedy seeding step, units in which distances are compared, Lloyd rounds at most, and the sum of
 #: squared moves of all centres (standardized units) below which a fit has settled.
 CANDIDATES, UNITS, MAX_ITER, TOLERANCE = 3, 1e9, 100, 1e-4
+#: Points of more features than this are compared with centres by products of matrices.
+WIDE = 16
 #: Points of a block of the exact silhouette.
 BLOCK = 2048
 
@@ -49,9 +51,47 @@ def _units(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
-def _uniform(pid, seed: int, start: int, step: int) -> float:
-    head = hashlib.md5(f"{pid}:{seed}:{start}:{step}".encode(), usedforsecurity=False).hexdigest()[:13]
-    return (int(head, 16) + 0.5) / 16.0 ** 13
+def _all_units(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Distances as ``_units``; of wide points by one product of matrices, which may be off by a unit."""
+    if x.shape[1] <= WIDE:
+        return _units(x, centres)
+    near = (x * x).sum(1)[:, None] - 2.0 * (x @ centres.T) + (centres * centres).sum(1)
+    return np.floor(np.maximum(near, 0.0) * UNITS + 0.5).astype(np.int64)
+
+
+def _nearest(x: np.ndarray, fits: Sequence[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each fit the place of every point's nearest centre (the first of equally near ones) and its distance in units.
+
+    Wide points meet the centres of all fits in one product of matrices; where that leaves the nearest centre open, or the
+    distance too small for it, the differences themselves decide.
+    """
+    if x.shape[1] <= WIDE:
+        for centres in fits:
+            units = _units(x, centres)
+            yield units.argmin(1), units.min(1)
+        return
+    every = np.concatenate(list(fits))
+    size, others = (x * x).sum(1), (every * every).sum(1)
+    near = size[:, None] - 2.0 * (x @ every.T) + others
+    blur = 2.0 / UNITS + 1e-12 * (size + others.max(initial=0.0))
+    at = 0
+    for centres in fits:
+        mine = near[:, at: at + len(centres)]
+        at += len(centres)
+        place, least = mine.argmin(1), mine.min(1)
+        units = np.floor(np.maximum(least, 0.0) * UNITS + 0.5).astype(np.int64)
+        open_ = np.flatnonzero(((mine <= (least + blur)[:, None]).sum(1) > 1) | (least <= blur))
+        if len(open_):
+            exact = _units(x[open_], centres)
+            place[open_], units[open_] = exact.argmin(1), exact.min(1)
+        yield place, units
+
+
+def _uniforms(pids: np.ndarray, seed: int, start: int, step: int) -> np.ndarray:
+    """Of each point a number between 0 and 1 from the first thirteen hex digits of md5("pid:seed:start:step")."""
+    tail = f":{seed}:{start}:{step}".encode()
+    heads = b"".join([hashlib.md5(b"%d" % p + tail, usedforsecurity=False).digest()[:8] for p in pids.tolist()])
+    return ((np.frombuffer(heads, ">u8") >> np.uint64(12)).astype(np.float64) + 0.5) / 16.0 ** 13
 
 
 def _draws(centres: dict[int, np.ndarray], seed: int, starts: int, step: int, keep: int):
@@ -63,9 +103,9 @@ def _draws(centres: dict[int, np.ndarray], seed: int, starts: int, step: int, ke
             for s in range(starts):
                 weight = w.astype(np.float64)
                 if step:
-                    weight = weight * _units(x, centres[s]).min(1)
+                    weight = weight * next(_nearest(x, [centres[s]]))[1]
                 some = np.flatnonzero(weight > 0)
-                draw = np.array([-math.log(_uniform(p, seed, s, step)) for p in pid[some].tolist()]) / weight[some]
+                draw = -np.log(_uniforms(pid[some], seed, s, step)) / weight[some]
                 best = np.lexsort((pid[some], draw))[:keep]
                 rows += [(s, float(draw[b]), int(pid[some[b]]), x[some[b]].tolist()) for b in best]
             yield pa.RecordBatch.from_arrays(
@@ -82,8 +122,8 @@ def _potentials(centres: dict[int, np.ndarray], tried: dict[int, np.ndarray]):
             _, w, x = _points_of(batch)
             rows = []
             for s, candidates in tried.items():
-                near = _units(x, centres[s]).min(1)
-                total = (np.minimum(near[:, None], _units(x, candidates)) * w[:, None].astype(np.float64)).sum(0)
+                near = next(_nearest(x, [centres[s]]))[1]
+                total = (np.minimum(near[:, None], _all_units(x, candidates)) * w[:, None].astype(np.float64)).sum(0)
                 rows += [(s, c, float(t)) for c, t in enumerate(total)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
                                               pa.array([r[2] for r in rows], pa.float64())], names=["start", "candidate", "total"])
@@ -121,11 +161,15 @@ def _round(fits: dict[tuple[int, int], np.ndarray], names: list[str]):
         for batch in batches:
             _, w, x = _points_of(batch)
             keys, sums = [], []
-            for (k, s), centres in fits.items():
-                units = _units(x, centres)
-                nearest = units.argmin(1)
-                columns = [w.astype(np.float64), w * (units.min(1) / UNITS), *(w * x[:, j] for j in range(x.shape[1]))]
-                table = np.stack([np.bincount(nearest, c, len(centres)) for c in columns], 1)
+            weighted = w[:, None] * x if x.shape[1] > WIDE else None
+            for ((k, s), centres), (nearest, units) in zip(fits.items(), _nearest(x, list(fits.values()))):
+                cost = w * (units / UNITS)
+                if weighted is None:
+                    columns = [w.astype(np.float64), cost, *(w * x[:, j] for j in range(x.shape[1]))]
+                    table = np.stack([np.bincount(nearest, c, len(centres)) for c in columns], 1)
+                else:
+                    member = (nearest == np.arange(len(centres))[:, None]).astype(np.float64)
+                    table = np.concatenate([member @ np.stack([w.astype(np.float64), cost], 1), member @ weighted], 1)
                 keys += [(k, s, c) for c in range(len(centres))]
                 sums.append(table)
             table = np.concatenate(sums)
@@ -210,7 +254,7 @@ def _labelled(points: DataFrame, fits: dict[int, np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, _, x = _points_of(batch)
-            labels = np.stack([_units(x, c).argmin(1) for c in fits.values()], 1).astype(np.int32)
+            labels = np.stack([place for place, _ in _nearest(x, list(fits.values()))], 1).astype(np.int32)
             flat = pa.array(labels.ravel(), pa.int32())
             at = pa.array(np.arange(0, labels.size + 1, labels.shape[1]), pa.int32())
             yield batch.append_column("labels", pa.ListArray.from_arrays(at, flat))

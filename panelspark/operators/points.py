@@ -34,7 +34,8 @@ def weighted_points(df: DataFrame, cols: Sequence[str], key: str = "id") -> tupl
         grouped = grouped.repartition(parts).checkpoint(eager=True)
     stats = weighted_stats(grouped, cols)
     z = [(F.col("x")[j] - F.lit(stats[c][0])) / F.lit(stats[c][1] if stats[c][1] > 0 else 1.0) for j, c in enumerate(cols)]
-    return grouped.select("pid", "w", F.array(*z).alias("x")), stats
+    # a fit reads its points in every round: they are scaled once
+    return grouped.select("pid", "w", F.array(*z).alias("x")).checkpoint(eager=True), stats
 
 
 def weighted_stats(points: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:

@@ -4,11 +4,14 @@ import hashlib
 import math
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelspark import schema as S
+from panelspark.operators import clustering as K
 from panelspark.operators import forest as FO
 from panelspark.operators import models as M
+from panelspark.operators import points as P
 from panelspark.sources import responses as R
 
 
@@ -109,3 +112,19 @@ def test_cross_validation_scores_points_not_rows(spark, monkeypatch):
     monkeypatch.setattr(M, "predicted", None)
     got = M.forest_cv_auc(df, ["a", "b"], "y", k=3, trees=4, depth=2).collect()
     assert sorted((r["fold"], round(r["auc"], 9)) for r in got) == want
+
+
+def test_scaled_points_are_pinned_and_wide_points_find_the_same_centres(spark):
+    rnd = np.random.default_rng(5)
+    cols = [f"c{j}" for j in range(20)]
+    df = spark.createDataFrame([(i, *map(float, rnd.normal(size=20))) for i in range(90)], ["id", *cols])
+    points, _ = P.weighted_points(df, cols)
+    assert not any(word in _plan(points) for word in ("Project", "Exchange", "Aggregate"))   # a round reads, and scales nothing
+    x = rnd.integers(-2, 3, (400, 20)).astype(float)              # many equal distances
+    fits = [x[:5].copy(), np.concatenate([x[7:9], x[7:9]]), x[20:21] + 1e-7]
+    for (place, units), centres in zip(K._nearest(x, fits), fits):
+        want = K._units(x, centres)
+        assert (place == want.argmin(1)).all() and (np.abs(units - want.min(1)) <= 1).all() and (units[want.min(1) == 0] == 0).all()
+    pids = np.array([0, 7, -3, 2 ** 60])
+    assert K._uniforms(pids, 42, 3, 1).tolist() == [
+        (int(hashlib.md5(f"{p}:42:3:1".encode()).hexdigest()[:13], 16) + 0.5) / 16.0 ** 13 for p in pids.tolist()]
