@@ -10,7 +10,8 @@ data, so it is not broadcast unless the optimizer's size statistics allow it); t
 aggregate runs on one shuffle by ``l_orderkey`` of narrow rows; ``orders`` left-joins it on the same
 key; ``customer`` joins on the customer key; ``nation`` and ``region`` are fixed 25/5-row
 dimension tables and are broadcast.  Multi-select answers are presence bits over fixed label
-domains (6-7 values), so no group ever collects a list.
+domains (6-7 values), so no group ever collects a list.  Codes of strings become numbers at the scan, before any
+shuffle.  What can fail on an odd value (casts, picks by number) is worked out behind the joins, on joined rows only.
 """
 
 from __future__ import annotations
@@ -78,41 +79,66 @@ _CONTENT_LABELS = list(S.CONTENT_TYPES)
 _MOTIVATION_BIT = len(_PLATFORM_LABELS)
 _CONTENT_BIT = _MOTIVATION_BIT + len(_MOTIVATION_LABELS)
 _OPEN_BIT = _CONTENT_BIT + len(_CONTENT_LABELS)
+# not answers: the return flag of an item is known, is N, is R
+_FLAG_BIT, _N_BIT, _R_BIT = _OPEN_BIT + 1, _OPEN_BIT + 2, _OPEN_BIT + 3
+_GENDERS = list(STATUS_TO_GENDER.values())
+_TRUST_LABELS = list(SEGMENT_TO_TRUST.values())
+
+
+def _code(mapping: dict, labels: list[str], key: Column) -> Column:
+    """Number of the label of a key in ``labels``; null for a null or other key."""
+    return _lookup({k: labels.index(x) for k, x in mapping.items()}, key)
+
+
+def _bit_if(cond: Column, bit: int) -> Column:
+    return F.when(cond, 1 << bit).otherwise(0)
+
+
+def _known_flag(bit: int) -> Column:
+    """1 or 0 where an item has a return flag, null without."""
+    def has(b: int) -> Column:
+        return F.col("bits").bitwiseAND(1 << b) != 0
+    return F.when(has(_FLAG_BIT), has(bit).cast("int"))
 
 
 def _item_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals and presence bits of every order that has items.
 
-    The joined items travel once, by order, as a row of seven numbers.  There they are sorted by supplier and the first
-    row of each supplier is marked, so the marks add up to the distinct suppliers and one grouped aggregate on the
-    partitioning at hand gives the rest.  Nothing is aggregated before that shuffle: an order has a handful of items
-    and (order, supplier) hardly repeats, so a map-side table would hold every row and spill.
+    Items and parts meet as rows of numbers, and the joined items travel once, by order, as a row of seven numbers.
+    There they are sorted by supplier and the first row of each supplier is marked, so the marks add up to the distinct
+    suppliers and one grouped aggregate on the partitioning at hand gives the rest.  Nothing is aggregated before that
+    shuffle: an order has a handful of items and (order, supplier) hardly repeats, so a map-side table would hold every
+    row and spill.
     """
     li = read_table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate"])
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_size"])
-    items = li.join(part, li.l_partkey == part.p_partkey, "inner")
-    plat = _lookup(PART_TYPE_TO_PLATFORM, F.col("p_type"))
+    returned = F.col("l_returnflag")
     motiv = _lookup(FLAGS_TO_MOTIVATION, F.concat("l_returnflag", "l_linestatus"))
+    line_bits = (_label_bits(motiv, _MOTIVATION_LABELS, _MOTIVATION_BIT)
+                 .bitwiseOR(_bit_if(F.col("l_linestatus") == "O", _OPEN_BIT))
+                 .bitwiseOR(_bit_if(returned.isNotNull(), _FLAG_BIT))
+                 .bitwiseOR(_bit_if(returned == "N", _N_BIT))
+                 .bitwiseOR(_bit_if(returned == "R", _R_BIT)))
+    li = li.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate",
+                   line_bits.alias("line_bits"))
+    plat = _lookup(PART_TYPE_TO_PLATFORM, F.col("p_type"))
+    part = part.select("p_partkey", "p_size", _label_bits(plat, _PLATFORM_LABELS, 0).alias("part_bits"))
+    items = li.join(part, li.l_partkey == part.p_partkey, "inner")
     content = _pick(S.CONTENT_TYPES, F.floor((F.col("p_size") - 1) / 8).cast("int"))
-    bits = (_label_bits(plat, _PLATFORM_LABELS, 0)
-            .bitwiseOR(_label_bits(motiv, _MOTIVATION_LABELS, _MOTIVATION_BIT))
-            .bitwiseOR(_label_bits(content, _CONTENT_LABELS, _CONTENT_BIT))
-            .bitwiseOR(F.when(F.col("l_linestatus") == "O", 1 << _OPEN_BIT).otherwise(0)))
+    bits = (F.col("line_bits").bitwiseOR(F.col("part_bits"))
+            .bitwiseOR(_label_bits(content, _CONTENT_LABELS, _CONTENT_BIT)))
     narrow = items.select(
         F.col("l_orderkey").alias("id"), "l_suppkey", F.col("l_shipdate").alias("end_time"), F.col("l_quantity").alias("qty"),
         F.round(F.col("l_discount") * 100).cast("int").alias("disc_pct"),
-        F.round(F.col("l_tax") * 100).cast("int").alias("tax_pct"),
-        F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "R", 2)
-        .when(F.col("l_returnflag").isNotNull(), 0).alias("returned"), bits.alias("bits"))
+        F.round(F.col("l_tax") * 100).cast("int").alias("tax_pct"), bits.alias("bits"))
     of_supplier = F.row_number().over(Window.partitionBy("id", "l_suppkey").orderBy("l_suppkey"))
     marked = narrow.repartition("id").withColumn("first", (of_supplier == 1).cast("int"))
     return marked.groupBy("id").agg(
         F.max("end_time").alias("end_time"), F.sum("qty").alias("qty"),
         F.sum("first").alias("n_supp"), F.count(F.lit(1)).alias("n_items"),
-        F.sum((F.col("returned") == 1).cast("int")).alias("n_flag_n"),
-        F.sum((F.col("returned") == 2).cast("int")).alias("n_flag_r"),
+        F.sum(_known_flag(_N_BIT)).alias("n_flag_n"), F.sum(_known_flag(_R_BIT)).alias("n_flag_r"),
         F.sum("disc_pct").alias("disc_pct"), F.sum("tax_pct").alias("tax_pct"), F.bit_or("bits").alias("bits"))
 
 
@@ -153,22 +179,29 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = read_table(spark, sf_dir, "region", ["r_regionkey"])
     items = _item_totals(spark, sf_dir)
 
+    band = F.least(F.floor(F.col("o_totalprice") / PRICE_BAND_WIDTH), F.lit(3))
+    orders = orders.select(
+        F.col("o_orderkey").alias("id"), "o_custkey", "o_orderdate", band.alias("band"),
+        _code(STATUS_TO_GENDER, _GENDERS, F.col("o_orderstatus")).alias("gender_code"),
+        F.substring("o_orderpriority", 1, 1).alias("priority"))
+    customer = customer.select(
+        "c_custkey", "c_nationkey", (F.col("c_acctbal") >= 0).alias("follows"),
+        _code(SEGMENT_TO_TRUST, _TRUST_LABELS, F.col("c_mktsegment")).alias("trust_code"))
     geo = F.broadcast(nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey))
     base = (orders
             .join(customer, orders.o_custkey == customer.c_custkey, "inner")
             .join(geo, F.col("c_nationkey") == F.col("n_nationkey"), "inner"))
-    band = F.least(F.floor(F.col("o_totalprice") / PRICE_BAND_WIDTH), F.lit(3)).cast("int")
     # numbers and codes are joined; labels are spelt out behind the last shuffle
-    joined = base.withColumnRenamed("o_orderkey", "id").join(items, "id", "left")
+    joined = base.join(items, "id", "left")
     return joined.select(
         "id",
         F.col("o_orderdate").alias("start_time"),
         _pick(S.AGE_GROUPS, F.col("r_regionkey")).alias("age_group"),
-        _lookup(STATUS_TO_GENDER, F.col("o_orderstatus")).alias("gender"),
-        _pick(S.SPENDING_LEVELS, band).alias("spending"),
-        F.when(F.col("c_acctbal") >= 0, "Yes").otherwise("No").alias("follows_influencers"),
-        _lookup(SEGMENT_TO_TRUST, F.col("c_mktsegment")).alias("trust_factor"),
-        (6 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("product_interest_score"),
+        _lookup(dict(enumerate(_GENDERS)), F.col("gender_code")).alias("gender"),
+        _pick(S.SPENDING_LEVELS, F.col("band")).alias("spending"),
+        F.when(F.col("follows"), "Yes").otherwise("No").alias("follows_influencers"),
+        _lookup(dict(enumerate(_TRUST_LABELS)), F.col("trust_code")).alias("trust_factor"),
+        (6 - F.col("priority").cast("int")).alias("product_interest_score"),
         _pick(S.AD_INFLUENCED_LEVELS, (F.col("id") % 3).cast("int")).alias("ad_influenced"),
         _pick(S.AD_FORMATS, (F.col("c_custkey") % 5).cast("int")).alias("preferred_ad_format"),
         *_item_answers()).select(*RAW_COLUMNS)

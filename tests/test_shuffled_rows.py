@@ -32,6 +32,47 @@ def _item_tables(spark, folder):
     return lines, parts
 
 
+def _shuffled_strings(df):
+    """Names of the string columns that any exchange of a plan carries."""
+    found, nodes = set(), [df._jdf.queryExecution().executedPlan().initialPlan()]
+    while nodes:
+        node = nodes.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            columns = [node.output().apply(i) for i in range(node.output().size())]
+            found |= {c.name() for c in columns if c.dataType().simpleString() == "string"}
+        nodes += below
+    return found
+
+
+def test_joins_of_large_parts_shuffle_codes_instead_of_strings(spark, tmp_path):
+    sf = str(tmp_path)
+    _item_tables(spark, sf)
+    day = F.expr("timestamp_ntz'1994-12-01 00:00:00'")
+    orders = [(1, 1, "F", 130000.0, "1-URGENT"), (2, 2, None, None, "5-LOW"), (3, 3, "zz", 10.0, "2-HIGH"), (9, 1, "P", 9e9, "3-MEDIUM"),
+              (8, 7, "O", 1.0, "no customer")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+                          ).withColumn("o_orderdate", day).write.parquet(f"{sf}/orders.parquet")
+    spark.createDataFrame([(1, 0, 5.0, "BUILDING"), (2, 1, None, None), (3, 1, -1.0, "none")],
+                          "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{sf}/customer.parquet")
+    spark.createDataFrame([(0, 4), (1, 0)], "n_nationkey int, n_regionkey int").write.parquet(f"{sf}/nation.parquet")
+    spark.createDataFrame([(0,), (4,)], "r_regionkey int").write.parquet(f"{sf}/region.parquet")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")   # as on large tables: the planner broadcasts neither part nor customer
+    try:
+        df = R.responses(spark, sf)
+        assert _shuffled_strings(df) <= {"priority"}   # the first letter of the order's priority
+        got = {r["id"]: r for r in df.collect()}
+    finally:
+        spark.conf.set(key, before)
+    answers = {k: (r["gender"], r["spending"], r["follows_influencers"], r["trust_factor"], r["product_interest_score"]) for k, r in got.items()}
+    top = S.SPENDING_LEVELS[3]
+    assert answers == {1: ("Female", S.SPENDING_LEVELS[1], "Yes", "Transparency in reviews", 5), 2: (None, top, "No", None, 1),
+                       3: (None, S.SPENDING_LEVELS[0], "No", None, 4), 9: ("Other", top, "Yes", "Transparency in reviews", 3)}
+    assert got[9]["platforms"] is None and got[1]["platforms"] == "Instagram;Snapchat" and got[1]["purchase_freq"] == S.PURCHASE_LEVELS[1]
+
+
 def test_items_travel_by_order_once_and_answers_match_plain_python(spark, tmp_path):
     lines, parts = _item_tables(spark, str(tmp_path))
     df = R.order_items(spark, str(tmp_path))
