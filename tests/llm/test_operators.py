@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import time
 import zlib
@@ -419,6 +420,77 @@ def test_links_of_a_large_group(spark):
     assert (found <= links).all() and found.sum() >= 0.95 * links.sum()
 
 
+def test_copies_of_vectors_are_not_written(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((4000, 32))
+    x[:300] = x[300:600] + 0.1 * rng.standard_normal((300, 32))
+    tables, stage = [], embedding_neardup.stage
+
+    def watched(df, name, *args):
+        out = stage(df, name, *args)
+        tables.append((name, [f.removeprefix("file:") for f in out.inputFiles()]))
+        tables[-1] += (sum(os.path.getsize(f) for f in tables[-1][1]),)
+        return out
+
+    monkeypatch.setattr(embedding_neardup, "stage", watched)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype("f4"))], "vec_id long, embedding array<float>")
+    out = embedding_neardup.near_duplicate_vectors(rows)
+    assert out.where("n_links > 0").count() > 500 and out.count() == 4000
+    assert sum(size for *_, size in tables) < 4 * 4000 * 32 * 4
+    left = {name for name, files, _ in tables if any(map(os.path.exists, files))}
+    assert not left & {"vectors", "vectors-distinct", "vectors-met", "vectors-linked"}
+
+
+def test_units_blocks_and_passes_change_no_result(spark, monkeypatch):
+    for name, value in dict(SAMPLE=256, BLOCK=64, OWN_SAMPLE=128).items():
+        monkeypatch.setattr(embedding_neardup, name, value)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((2400, 16))
+    x[:900] = x[0] + 0.05 * rng.standard_normal((900, 16))
+    x[1000:1300] = x[1300:1600] + 0.1 * rng.standard_normal((300, 16))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(2400)] + [(2400 + i, [1.0 + (i > 400), 2.0, float(i % 7)]) for i in range(500)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    answers, passes, plan = [], [], embedding_neardup._passes
+
+    def planned(*args):
+        passes.append(plan(*args))
+        return passes[-1]
+
+    monkeypatch.setattr(embedding_neardup, "_passes", planned)
+    for small in ({}, dict(DEALT=128, UNIT_BYTES=1, PASS_BYTES=1, TOGETHER=100, AT_ONCE=64)):
+        for name, value in small.items():
+            monkeypatch.setattr(embedding_neardup, name, value)
+        answers.append(sorted(map(tuple, embedding_neardup.near_duplicate_vectors(table, trees=4).collect())))
+    assert answers[0] == answers[1]
+    assert len(passes[0]) == 1 and len(passes[1]) > 5 and max(blocks for due in passes[1] for blocks, _ in due.values()) > 2
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    found = np.array([r[1] for r in answers[1][:2400]])
+    assert (found <= links).all() and found.sum() >= 0.95 * links.sum() and found[:900].min() >= 800
+    assert sum(r[1] > 0 for r in answers[1][2400:]) > 400
+
+
+def test_split_helpers_agree_with_their_models(spark):
+    ids = [0, 1, -1, 2**63 - 1, -2**63, 1234567890123]
+    for tree in (0, 7):
+        want = [r[0] for r in spark.createDataFrame([(i, tree) for i in ids], "i long, t int").selectExpr("xxhash64(i, t)").collect()]
+        assert embedding_neardup.xxhash64(np.array(ids), tree).tolist() == want
+    rng = np.random.default_rng(4)
+    for n in (16, 17, 100, 383):
+        p = rng.standard_normal(n)
+        assert embedding_neardup._quantiles(np.sort(p), [0.42, 0.5, 0.58]) == np.quantile(p, [0.42, 0.5, 0.58]).tolist()
+    x = rng.standard_normal((500, 16))
+    x[250:] = x[:250] + 0.2 * rng.standard_normal((250, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for cut in (0, 250):
+        near = np.triu(x @ x.T >= 0.9, 1)
+        if cut:
+            near[:, :cut] = near[cut:] = False
+        met, label = embedding_neardup._linked(x, 0.9, cut)
+        assert (met == near.any(0) | near.any(1)).all() and near.sum() > 50
+        assert (label[np.nonzero(near)[0]] == label[np.nonzero(near)[1]]).all() and (label[~met] == np.flatnonzero(~met)).all()
+
+
 # ---------------------------------------------------------------------------------------------- 7
 
 def test_html_model_on_unseen_layouts(spark):
