@@ -521,18 +521,20 @@ def _count(cosine: float, by_leaf: bool):
 _LINKS = "vec_id long, links long"
 
 
-def _links(met: DataFrame, groups: DataFrame, reps: DataFrame, size: int, cosine: float) -> DataFrame:
-    """Sums of the weights that each row links with, in parts, from the leaves in which rows met and their components.
-
-    A pass over leaves sends about as much as ``size``, the bytes of all vectors, or ``PASS_BYTES``."""
-    spark = reps.sparkSession
+def _gathered(met: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows that met others, with the leaves in which they did and their component."""
     code = F.shiftleft(F.col("tree").cast("long"), 48).bitwiseOR(F.col("leaf"))
-    gathered = met.groupBy("rid").agg(F.min("vec_id").alias("vec_id"), F.sort_array(F.collect_set(F.struct(code.alias("code"), "pieces"))).alias("leaves"))
-    gathered = gathered.join(groups, F.col("vec_id") == F.col("node"), "left")
-    linked = gathered.join(reps.select("rid", "weight", "dim", "vector"), "rid").select(
+    leaves = met.groupBy("rid").agg(F.min("vec_id").alias("vec_id"), F.sort_array(F.collect_set(F.struct(code.alias("code"), "pieces"))).alias("leaves"))
+    leaves = leaves.join(groups, F.col("vec_id") == F.col("node"), "left")
+    return stage(leaves.join(reps.select("rid", "weight", "dim", "vector"), "rid").select(
         "rid", "vec_id", "weight", "dim", F.col("leaves.code").alias("leaves"), F.col("leaves.pieces").alias("pieces"),
-        F.coalesce("component", "vec_id").alias("component"), "vector")
-    linked = stage(linked, "vectors-linked")
+        F.coalesce("component", "vec_id").alias("component"), "vector"), "vectors-linked")
+
+
+def _links(linked: DataFrame, size: int, cosine: float) -> DataFrame:
+    """The weight that each row links with; ``linked`` goes.
+
+    A pass over leaves sends about as much as ``size``, the bytes of all vectors, or ``PASS_BYTES``."""
     sizes = stage(linked.groupBy("component").agg(F.count("*").alias("members")), "vectors-component-sizes")
     n = sizes.where(F.col("members") <= TOGETHER).agg(F.sum("members")).first()[0] or 0
     large = sizes.where(F.col("members") > TOGETHER).select("component")
@@ -540,16 +542,15 @@ def _links(met: DataFrame, groups: DataFrame, reps: DataFrame, size: int, cosine
     small = linked.join(large, "component", "left_anti").select(bucket.alias("bucket"), F.col("component").alias("place"), F.lit(0).alias("i"),
         F.lit(0).alias("j"), "vec_id", "rid", F.lit(1).alias("pieces"), "weight", "dim", "leaves", "vector")
     parts = [stage(small.groupBy("bucket").applyInArrow(_count(cosine, False), _LINKS), "vectors-links")]
-    if not large.isEmpty():
-        large = stage(linked.join(large, "component", "left_semi"), "vectors-linked-large")
-        groups_of = F.expr("aggregate(pieces, 0L, (s, x) -> s + x)")
-        rows, sent = large.agg(F.sum(groups_of), F.sum(groups_of * (F.length("vector") + 8 * F.size("leaves") + 64))).first()
-        passes = -(-sent // max(size, PASS_BYTES))
-        for number in range(passes):
-            sets = large.mapInArrow(_meetings(passes, number, -(-rows // (passes * AT_ONCE))), _SET)
-            parts.append(stage(sets.groupBy("bucket").applyInArrow(_count(cosine, True), _LINKS), "vectors-links"))
-        discard(large)
+    rest = stage(linked.join(large, "component", "left_semi"), "vectors-linked-large")
     discard(linked)
+    groups = F.expr("aggregate(pieces, 0L, (s, x) -> s + x)")
+    rows, sent = rest.agg(F.sum(groups), F.sum(groups * (F.length("vector") + 8 * F.size("leaves") + 64))).first()
+    passes = -(-(sent or 0) // max(size, PASS_BYTES))
+    for number in range(passes):
+        sets = rest.mapInArrow(_meetings(passes, number, -(-rows // (passes * AT_ONCE))), _SET)
+        parts.append(stage(sets.groupBy("bucket").applyInArrow(_count(cosine, True), _LINKS), "vectors-links"))
+    discard(rest)
     return reduce(DataFrame.unionByName, parts).groupBy("vec_id").agg(F.sum("links").alias("links"))
 
 
@@ -592,12 +593,14 @@ def _near_duplicate_vectors(vectors: DataFrame, cosine: float, trees: int) -> Da
         parts.append(stage(_split_again(routed, (shared, dim, most), cosine), "vectors-met"))
     met = reduce(DataFrame.unionByName, parts)
     groups = components(met.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), "vector-components")
-    links = _links(met, groups, reps, size, cosine)
+    linked = _gathered(met, groups, reps)
+    for part in parts:
+        discard(part)
+    links = _links(linked, size, cosine)
     known = reps.select("key", "vec_id", "weight").join(links, "vec_id", "left").join(groups, F.col("vec_id") == F.col("node"), "left")
     known = known.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     known = stage(known, "vectors-known")
-    for done in (reps, *parts):
-        discard(done)
+    discard(reps)
     out = rows.select("vec_id", "key").join(known, "key", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
